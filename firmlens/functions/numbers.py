@@ -39,20 +39,27 @@ def stated_total(text: Column) -> Column:
 
 
 def people_count(text: Column, upper: bool = False) -> Column:
-    """Head count from ``120``, ``50-100`` or ``500+``; ranges give one end."""
-    parts = F.split(F.regexp_replace(text, r"[,+\s]", ""), "-")
-    return F.element_at(parts, -1 if upper else 1).try_cast("long")
+    """Head count from ``120`` or ``50-100``: the lower end (also of ``500+``), or the upper end."""
+    parts = F.split(F.regexp_replace(text, "," if upper else "[,+]", ""), "-")
+    ranged = F.contains(text, F.lit("-"))
+    at = F.when(ranged, F.try_element_at(parts, F.lit(2))).otherwise(F.element_at(parts, 1)) if upper else F.element_at(parts, 1)
+    return F.trim(at).try_cast("long")
+
+
+def plain_number(text: Column) -> Column:
+    t = F.trim(text)
+    return F.when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), t.try_cast("double"))
 
 
 def money_worded(text: Column) -> Column:
     """Amount from texts such as ``$1.5 billion``, ``3B``, ``20 million`` or ``7M``."""
-    t = F.lower(F.regexp_replace(text, r"[$,]", ""))
-    number = F.regexp_extract(t, r"([0-9]+\.?[0-9]*)", 1).try_cast("double")
-    return number * F.when(t.contains("billion") | t.contains("b"), 1e9).when(t.contains("million") | t.contains("m"), 1e6).otherwise(1.0)
+    t = F.lower(F.regexp_replace(text, "[$,]", ""))
+    return (F.when(t.contains("b"), plain_number(F.regexp_replace(t, "billion|b", "")) * 1e9)
+            .when(t.contains("m"), plain_number(F.regexp_replace(t, "million|m", "")) * 1e6).otherwise(plain_number(t)))
 
 
 def money_suffixed(text: Column) -> Column:
     """Amount from texts ending in K, M or B."""
-    t = F.upper(F.regexp_replace(text, r"[$,\s]", ""))
-    number = F.regexp_extract(t, r"^([0-9]+\.?[0-9]*)[KMB]?$", 1).try_cast("double")
-    return number * F.when(t.endswith("B"), 1e9).when(t.endswith("M"), 1e6).when(t.endswith("K"), 1e3).otherwise(1.0)
+    t = F.upper(F.regexp_replace(text, "[$,]", ""))
+    scale = F.when(t.endswith("K"), 1e3).when(t.endswith("M"), 1e6).when(t.endswith("B"), 1e9).otherwise(1.0)
+    return plain_number(F.regexp_replace(t, "[KMB]$", "")) * scale

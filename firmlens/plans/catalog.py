@@ -1,3 +1,3 @@
 """All queries and their checking SQL."""
 from firmlens.plans.registry import ORACLES, QUERIES  # noqa: F401
-from firmlens.plans import search, telemetry, validation  # noqa: F401
+from firmlens.plans import batches, companies, search, telemetry, validation  # noqa: F401

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from firmlens.functions import numbers
 from firmlens.operators import dimensions as dims
 from firmlens.operators import ordered, sequential, telemetry
 from firmlens.plans import views
@@ -29,7 +30,7 @@ def named_series(spark, sf):
 
 
 def rounded(df, *cols, digits=6):
-    return df.withColumns({c: F.round(F.col(c), digits) for c in cols})
+    return df.withColumns({c: numbers.rounded(F.col(c), digits) for c in cols})
 
 
 _EXCL = """(s[greatest(1, least({i} * (n + 1) // {n}, n - 1))] * ({n} - ({i} * (n + 1) - greatest(1, least({i} * (n + 1) // {n}, n - 1)) * {n}))
