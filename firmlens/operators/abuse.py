@@ -89,7 +89,7 @@ def sliding_limit(log: DataFrame, keys: list[str], limit: int, window_seconds: i
     """Exact limiter verdict per request: only allowed requests use up the window."""
     work = log.withColumn("chunk", F.floor(F.col("us") / chunk_us).cast("long"))
     return sequential.chunked_scan(work, keys, "chunk", ["us", "event_id"], "us",
-                                   sequential.window_limit_scan("us", window_seconds * SECOND, limit),
+                                   sequential.window_limit_scan(window_seconds * SECOND, limit),
                                    "allowed boolean, remaining long").drop("chunk")
 
 

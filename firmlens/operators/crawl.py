@@ -26,7 +26,7 @@ def hourly_counts(log: DataFrame, keys: list[str], limit: int = 100, width_us: i
     """Crawls since the domain's last counter reset; the reset is anchored at a crawl."""
     work = log.withColumn("chunk", F.floor(F.col("us") / chunk_us).cast("long"))
     out = sequential.chunked_scan(work, keys, "chunk", ["us", "event_id"], "us",
-                                  sequential.anchored_count_scan("us", width_us), "hour_count long")
+                                  sequential.anchored_count_scan(width_us), "hour_count long")
     return out.withColumn("over_limit", F.col("hour_count") > limit).drop("chunk")
 
 

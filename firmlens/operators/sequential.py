@@ -4,13 +4,15 @@ Each key's log is cut into time chunks. Every chunk is scanned on its own from
 an assumed entry state; its exit state becomes the next chunk's entry state.
 Chunks whose entry state changed are scanned again until nothing changes. The
 first chunk is right after the first round, so the result equals a single scan
-of the whole log, yet no task ever holds more than one chunk of one key.
+of the whole log, yet the work of one key is spread over all its chunks. Rows
+stream through the scan in Arrow batches, so a chunk need not fit in memory.
 """
 from __future__ import annotations
 
 import json
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,60 +21,92 @@ from firmlens.operators.durable import checkpointed
 from firmlens.operators.ordered import join_null_safe
 
 
+def segments(frame: pd.DataFrame, ids: list[str]) -> list[tuple[int, int]]:
+    """Start and end of each run of equal ids in a sorted frame."""
+    change = np.zeros(len(frame), dtype=bool)
+    for c in ids:
+        v = frame[c].to_numpy()
+        change[1:] |= v[1:] != v[:-1]
+    starts = [0, *np.flatnonzero(change).tolist()]
+    return list(zip(starts, [*starts[1:], len(frame)]))
+
+
 def chunked_scan(df: DataFrame, keys: list[str], chunk: str, order: list[str], time: str,
                  scan: Callable, out_fields: str) -> DataFrame:
-    """Run ``scan(state, frame) -> (state, {column: values})`` along each key.
+    """Run ``scan(state, times) -> (state, {column: values})`` along each key.
 
-    ``state`` is None or a JSON-able value. Output: the input columns plus
-    ``out_fields`` (a DDL list such as ``"allowed boolean"``).
+    ``state`` is None or a JSON-able value; a scan may be called several times for one chunk, each
+    time with the next rows. Keys must not be null. Output: the input columns plus ``out_fields``
+    (a DDL list such as ``"allowed boolean"``).
     """
     ids = keys + [chunk]
-    out_names = [f.strip().split(" ")[0] for f in out_fields.split(",")]
-    id_ddl = ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in ids)
+    types = dict(df.dtypes)
+    id_ddl = ", ".join(f"{c} {types[c]}" for c in ids)
     full_ddl = ", ".join(f"{c} {t}" for c, t in df.dtypes) + ", " + out_fields
-
-    def exit_state(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame(columns=ids + ["state"])
-        start = entry["state"].iloc[0] if len(entry) else None
-        end, _ = scan(json.loads(start) if isinstance(start, str) else None, rows.sort_values(order))
-        return pd.DataFrame([[rows[c].iloc[0] for c in ids] + [None if end is None else json.dumps(end)]],
-                            columns=ids + ["state"])
-
-    def verdicts(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame(columns=list(rows.columns) + out_names)
-        start = entry["state"].iloc[0] if len(entry) else None
-        rows = rows.sort_values(order).reset_index(drop=True)
-        _, new = scan(json.loads(start) if isinstance(start, str) else None, rows)
-        return rows.assign(**new)[list(rows.columns) + out_names]
+    columns = [c for c, _ in df.dtypes]
+
+    def walk(batches, on_rows, on_end):
+        at, state = None, None
+        for frame in batches:
+            if frame.empty:
+                continue
+            for a, b in segments(frame, ids):
+                here = tuple(frame[c].iloc[a] for c in ids)
+                if here != at:
+                    if at is not None:
+                        on_end(at, state)
+                    start = frame["__state"].iloc[a]
+                    at, state = here, (json.loads(start) if isinstance(start, str) else None)
+                state, new = scan(state, frame[time].to_numpy()[a:b].tolist())
+                on_rows(new)
+            yield frame
+        if at is not None:
+            on_end(at, state)
+
+    def exit_states(batches):
+        found: list[tuple] = []
+        for _ in walk(batches, lambda new: None, lambda at, s: found.append((*at, None if s is None else json.dumps(s)))):
+            if len(found) > 10000:
+                yield pd.DataFrame(found, columns=ids + ["state"])
+                found.clear()
+        yield pd.DataFrame(found, columns=ids + ["state"])
+
+    def verdicts(batches):
+        parts: list[dict] = []
+        for frame in walk(batches, parts.append, lambda at, s: None):
+            new = {c: [x for p in parts for x in p[c]] for c in parts[0]}
+            parts.clear()
+            yield frame[columns].assign(**new)
+
+    def sorted_with(rows: DataFrame, entries: DataFrame) -> DataFrame:
+        joined = join_null_safe(rows, entries.withColumnRenamed("state", "__state"), ids, "inner")
+        return joined.repartition(*ids).sortWithinPartitions(*ids, *order)
 
     def exits_of(rows: DataFrame, entries: DataFrame) -> DataFrame:
-        return rows.groupBy(*ids).cogroup(entries.groupBy(*ids)).applyInPandas(
-            exit_state, id_ddl + ", state string")
+        return sorted_with(rows, entries).mapInPandas(exit_states, id_ddl + ", state string")
 
     slim = df.select(*dict.fromkeys(ids + order + [time]))
-    chunks = df.select(*ids).distinct().withColumn("state", F.lit(None).cast("string"))
-    entries = checkpointed(chunks)
+    entries = df.select(*ids).distinct().withColumn("state", F.lit(None).cast("string"))
     exits = checkpointed(exits_of(slim, entries))
     follow = Window.partitionBy(*keys).orderBy(chunk)
     while True:
-        proposed = checkpointed(exits.select(*ids, F.lag("state").over(follow).alias("state")))
-        changed = (join_null_safe(proposed, entries.withColumnRenamed("state", "__old"), ids)
-                   .filter(~F.col("state").eqNullSafe(F.col("__old"))).drop("__old"))
-        entries = proposed
+        proposed = exits.select(*ids, F.lag("state").over(follow).alias("state"))
+        changed = checkpointed(
+            join_null_safe(proposed, entries.withColumnRenamed("state", "__old"), ids)
+            .filter(~F.col("state").eqNullSafe(F.col("__old"))).drop("__old"))
         if changed.isEmpty():
             break
-        redo = exits_of(join_null_safe(slim, changed.select(*ids), ids, "leftsemi"), changed)
-        exits = checkpointed(join_null_safe(exits, changed.select(*ids), ids, "leftanti").unionByName(redo))
-    return df.groupBy(*ids).cogroup(entries.groupBy(*ids)).applyInPandas(verdicts, full_ddl)
+        entries = proposed
+        untouched = join_null_safe(exits, changed.select(*ids), ids, "leftanti")
+        exits = checkpointed(untouched.unionByName(exits_of(slim, changed)))
+    return sorted_with(df, entries).mapInPandas(verdicts, full_ddl)
 
 
-def cooldown_scan(time: str, wait: int):
+def cooldown_scan(wait: int):
     """Emit a row only if more than ``wait`` passed since the last emitted one."""
-    def scan(state, rows):
+    def scan(state, times):
         last, emitted = state, []
-        for t in rows[time].tolist():
+        for t in times:
             ok = last is None or t - last > wait
             emitted.append(ok)
             last = t if ok else last
@@ -80,11 +114,11 @@ def cooldown_scan(time: str, wait: int):
     return scan
 
 
-def window_limit_scan(time: str, width: int, limit: int):
+def window_limit_scan(width: int, limit: int):
     """Sliding-window limiter in which only allowed requests count."""
-    def scan(state, rows):
+    def scan(state, times):
         kept, allowed, remaining = list(state or []), [], []
-        for t in rows[time].tolist():
+        for t in times:
             while kept and kept[0] < t - width:
                 kept.pop(0)
             ok = len(kept) < limit
@@ -96,12 +130,12 @@ def window_limit_scan(time: str, width: int, limit: int):
     return scan
 
 
-def anchored_count_scan(time: str, width: int):
+def anchored_count_scan(width: int):
     """Counter that restarts at 1 once ``width`` passed since its last restart."""
-    def scan(state, rows):
+    def scan(state, times):
         anchor, count = state or (None, 0)
         counts = []
-        for t in rows[time].tolist():
+        for t in times:
             count += 1
             if anchor is None or t - anchor >= width:
                 anchor, count = t, 1

@@ -235,7 +235,7 @@ def emitted_alerts(alerts: DataFrame, keys: list[str], wait_seconds: int = 300,
     """Alerts that survive the per-key cooldown."""
     work = alerts.withColumn("chunk", F.floor(F.col("us") / chunk_us).cast("long"))
     out = sequential.chunked_scan(work, keys, "chunk", ["us", "event_id"], "us",
-                                  sequential.cooldown_scan("us", wait_seconds * SECOND), "emitted boolean")
+                                  sequential.cooldown_scan(wait_seconds * SECOND), "emitted boolean")
     return out.filter("emitted").drop("emitted", "chunk")
 
 

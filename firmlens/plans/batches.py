@@ -189,7 +189,7 @@ def cache_keys(spark, sf):
 
 
 @query("cache_answers", "req", """k AS (SELECT event_id, us, client % 20 AS item, (['company', 'serp', 'crawl', 'performance', 'other'])[client % 5 + 1] AS kind,
-      CASE client % 5 WHEN 0 THEN 86400 WHEN 1 THEN 21600 WHEN 2 THEN 43200 WHEN 3 THEN 300 ELSE 3600 END * 1000000 AS ttl, event_id % 4 = 0 AS put FROM req),
+      CASE client % 5 WHEN 0 THEN 86400 WHEN 1 THEN 21600 WHEN 2 THEN 43200 WHEN 3 THEN 300 ELSE 3600 END * 1000000::BIGINT AS ttl, event_id % 4 = 0 AS put FROM req),
     e AS (SELECT kind, item, us FROM k WHERE put),
     a AS (SELECT k.*, e.us AS cached_us FROM (SELECT * FROM k WHERE NOT put) k ASOF LEFT JOIN e ON k.kind = e.kind AND k.item = e.item AND k.us >= e.us)
     SELECT event_id, kind, item, CASE WHEN us - cached_us < ttl THEN cached_us END AS cached_us, coalesce(us - cached_us < ttl, false) AS hit FROM a""")

@@ -93,7 +93,7 @@ VIEW_SQL: dict[str, tuple[str, str]] = {
         CASE WHEN l_linenumber % 2 = 0 THEN 'CEO' ELSE 'CTO' END AS person_title FROM lineitem"""),
     "data_record": ("", """SELECT o_orderkey AS record_id, o_custkey AS subject_id,
         CASE left(o_orderpriority, 1) WHEN '1' THEN 'personal_identifiable' WHEN '2' THEN 'business_data'
-          WHEN '3' THEN 'technical_data' WHEN '5' THEN 'usage_data' ELSE 'other' END AS category,
+          WHEN '3' THEN 'technical_logs' WHEN '5' THEN 'analytics_data' ELSE 'security_logs' END AS category,
         CASE o_orderstatus WHEN 'F' THEN 'consent' WHEN 'O' THEN 'legitimate_interests'
           ELSE 'legal_obligation' END AS basis,
         CASE WHEN o_orderkey % 6 = 0 THEN 'security_logging' ELSE 'service' END AS purpose,

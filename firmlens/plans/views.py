@@ -171,8 +171,8 @@ def data_records(spark, sf) -> DataFrame:
     """Personal-data records kept about a subject."""
     pr, st = F.col("o_orderpriority"), F.col("o_orderstatus")
     category = (F.when(pr.startswith("1"), "personal_identifiable").when(pr.startswith("2"), "business_data")
-                .when(pr.startswith("3"), "technical_data").when(pr.startswith("5"), "usage_data")
-                .otherwise("other"))
+                .when(pr.startswith("3"), "technical_logs").when(pr.startswith("5"), "analytics_data")
+                .otherwise("security_logs"))
     return table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("record_id"), F.col("o_custkey").alias("subject_id"),
         category.alias("category"),
