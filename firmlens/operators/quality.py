@@ -83,7 +83,7 @@ def extraction_scores(df: DataFrame) -> DataFrame:
                   + one("website") * 10 + one("industry") * 5 + one("email") * 15 + one("phone") * 10 + one("address") * 5
                   + F.least(F.col("n_social") * 4, F.lit(20)) + F.when(money, 5).otherwise(0) + F.when(staff, 5).otherwise(0))
     quality = (F.when(F.length("name") > 2, 1.0).otherwise(0.0)
-               + F.coalesce(F.least(F.length("description") / 100, F.lit(1.0)), F.lit(0.0))
+               + F.when(F.col("description").isNull(), 0.0).otherwise(F.least(F.length("description") / 100, F.lit(1.0)))
                + (one("email") * 0.4 + one("phone") * 0.3 + one("address") * 0.3) + F.least(F.col("n_social") / 3, F.lit(1.0))) / 4
     complete = (sum((one(f) for f in ("name", "description", "website", "industry", "headquarters", "founded_year",
                                       "email", "phone", "address", "city", "state")), F.lit(0))

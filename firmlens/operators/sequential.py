@@ -10,16 +10,20 @@ stream through the scan in Arrow batches, so a chunk need not fit in memory.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from firmlens.operators.durable import checkpointed
 from firmlens.operators.ordered import join_null_safe
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def segments(frame: pd.DataFrame, ids: list[str]) -> list[tuple[int, int]]:
     """Start and end of each run of equal ids in a sorted frame."""

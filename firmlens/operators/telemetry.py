@@ -116,7 +116,7 @@ def performance_grades(samples: DataFrame, keys: list[str]) -> DataFrame:
     load = bottlenecks(samples, keys).groupBy(*keys).agg(
         F.sum("severity").alias("severities"), F.count_if(F.col("severity") > 0.8).alias("critical_bottlenecks"))
     score = (100.0 - F.coalesce(F.col("severities"), F.lit(0.0)) * 20
-             - F.coalesce(F.least(F.col("error_rate") * 2, F.lit(20.0)), F.lit(0.0)))
+             - F.when(F.col("error_rate").isNull(), 0.0).otherwise(F.least(F.col("error_rate") * 2, F.lit(20.0))))
     return ordered.join_null_safe(agg.withColumn("points", level), load, keys).select(
         *keys, F.when(F.col("points") >= 90, "excellent").when(F.col("points") >= 75, "good")
         .when(F.col("points") >= 60, "acceptable").when(F.col("points") >= 40, "poor").otherwise("critical")

@@ -127,7 +127,7 @@ def bottleneck_alerts(spark, sf):
     f AS (SELECT day, sum(severity) AS sev, count(*) FILTER (severity > 0.8) AS crit FROM found GROUP BY day)
     SELECT p.day, CASE WHEN points >= 90 THEN 'excellent' WHEN points >= 75 THEN 'good' WHEN points >= 60 THEN 'acceptable'
       WHEN points >= 40 THEN 'poor' ELSE 'critical' END AS level,
-    round(greatest(0, least(100, 100 - coalesce(sev, 0) * 20 - coalesce(least(er * 2, 20), 0))), 6) AS score,
+    round(greatest(0, least(100, 100 - coalesce(sev, 0) * 20 - CASE WHEN er IS NULL THEN 0 ELSE least(er * 2, 20) END)), 6) AS score,
     coalesce(crit, 0) AS critical_bottlenecks FROM p LEFT JOIN f ON p.day = f.day""")
 def performance_grades(spark, sf):
     return rounded(telemetry.performance_grades(named_series(spark, sf), ["day"]), "score")

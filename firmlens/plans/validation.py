@@ -158,7 +158,7 @@ def populated_share(spark, sf):
       + CASE WHEN website IS NOT NULL THEN 10 ELSE 0 END + 5 + CASE WHEN email IS NOT NULL THEN 15 ELSE 0 END + CASE WHEN phone IS NOT NULL THEN 10 ELSE 0 END
       + CASE WHEN address IS NOT NULL THEN 5 ELSE 0 END + least(n_social * 4, 20) + CASE WHEN money_text IS NOT NULL THEN 5 ELSE 0 END
       + CASE WHEN n_people > 0 THEN 5 ELSE 0 END) / 100, 2) AS confidence_score,
-    round((1 + coalesce(least(length(description) / 100, 1), 0) + (CASE WHEN email IS NOT NULL THEN 0.4::DOUBLE ELSE 0 END
+    round((1 + CASE WHEN description IS NULL THEN 0 ELSE least(length(description) / 100, 1) END + (CASE WHEN email IS NOT NULL THEN 0.4::DOUBLE ELSE 0 END
       + CASE WHEN phone IS NOT NULL THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN address IS NOT NULL THEN 0.3::DOUBLE ELSE 0 END) + least(n_social / 3, 1)) / 4, 2) AS data_quality_score,
     round((3 + (description IS NOT NULL)::INT + (website IS NOT NULL)::INT + (city IS NOT NULL)::INT + (email IS NOT NULL)::INT + (phone IS NOT NULL)::INT
       + (address IS NOT NULL)::INT + (city IS NOT NULL)::INT + (state IS NOT NULL)::INT + least(n_social, 5) + CASE WHEN money_text IS NOT NULL THEN 2 ELSE 0 END
