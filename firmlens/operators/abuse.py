@@ -71,17 +71,30 @@ def in_network(ip: Column, cidr: Column) -> Column:
     return F.floor(ip_number(ip) / size) == F.floor(net / size)
 
 
-def applicable_rules(log: DataFrame, rules: DataFrame) -> DataFrame:
-    """Requests with each rule that covers them, most urgent first.
+def applicable_rules(log: DataFrame, rules: list[tuple]) -> DataFrame:
+    """Requests with each rule that covers them.
 
-    ``rules``: rule, requests, window_seconds, prefixes, agents, networks, priority. The rule
-    table is a hand-written configuration, so it is broadcast.
+    A rule is (name, requests, window seconds, endpoint prefixes, agent parts, exempt networks,
+    priority). Rules are a short configuration list, so each request tests them in place.
     """
-    covers = (
-        (F.col("prefixes").isNull() | F.exists("prefixes", lambda p: F.startswith(F.col("endpoint"), p)))
-        & (F.col("agent_parts").isNull() | F.exists("agent_parts", lambda a: F.contains(F.lower("user_agent"), F.lower(a))))
-        & (F.col("networks").isNull() | ~F.exists("networks", lambda n: in_network(F.col("ip"), n))))
-    return log.crossJoin(F.broadcast(rules)).filter(covers)
+    def any_of(tests):
+        out = F.lit(False)
+        for t in tests:
+            out = out | F.coalesce(t, F.lit(False))
+        return out
+
+    def covers(prefixes, agents, networks):
+        ok = F.lit(True)
+        if prefixes:
+            ok = ok & any_of(F.startswith(F.col("endpoint"), F.lit(p)) for p in prefixes)
+        if agents:
+            ok = ok & any_of(F.contains(F.lower("user_agent"), F.lit(a.lower())) for a in agents)
+        if networks:
+            ok = ok & ~any_of(in_network(F.col("ip"), F.lit(n)) for n in networks)
+        return ok
+    hits = [F.when(covers(p, a, n), F.struct(F.lit(name).alias("rule"), F.lit(q).alias("requests"), F.lit(w).alias("window_seconds"),
+                                             F.lit(pr).alias("priority"))) for name, q, w, p, a, n, pr in rules]
+    return log.withColumn("r", F.explode(F.array_compact(F.array(*hits)))).select(*log.columns, "r.*")
 
 
 def sliding_limit(log: DataFrame, keys: list[str], limit: int, window_seconds: int,
@@ -95,10 +108,14 @@ def sliding_limit(log: DataFrame, keys: list[str], limit: int, window_seconds: i
 
 def security_rollup(events: DataFrame, violations: DataFrame, profiles: DataFrame, samples: DataFrame) -> DataFrame:
     """One row: limiter and security violations, blocks, suspicious clients, response time, error share."""
-    one = events.agg(F.count(F.lit(1)).alias("rate_limit_violations"),
-                     F.count_if(F.contains("action", F.lit("blocked"))).alias("blocked_requests"))
-    two = violations.agg(F.count(F.lit(1)).alias("security_violations"))
-    three = profiles.agg(F.count_if(F.col("score") > 0.7).alias("suspicious_clients"))
-    four = samples.agg(F.coalesce(F.avg("ms"), F.lit(0.0)).alias("avg_ms"),
-                       (F.count_if("is_error") / F.greatest(F.count(F.lit(1)), F.lit(1)) * 100).alias("error_pct"))
-    return one.crossJoin(two).crossJoin(three).crossJoin(four)
+    parts = [
+        events.agg(F.count(F.lit(1)).alias("rate_limit_violations"),
+                   F.count_if(F.contains("action", F.lit("blocked"))).alias("blocked_requests")),
+        violations.agg(F.count(F.lit(1)).alias("security_violations")),
+        profiles.agg(F.count_if(F.col("score") > 0.7).alias("suspicious_clients")),
+        samples.agg(F.coalesce(F.avg("ms"), F.lit(0.0)).alias("avg_ms"),
+                    (F.count_if("is_error") / F.greatest(F.count(F.lit(1)), F.lit(1)) * 100).alias("error_pct"))]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])

@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from firmlens.functions import numbers, urls
+from firmlens.functions import urls
+from firmlens.operators.durable import computed_once
 
 # Words that speak for a sector, in order of precedence.
 SECTOR_WORDS = {
@@ -73,28 +74,15 @@ def description(meta: Column, og: Column, about: Column) -> Column:
     return F.coalesce(long(meta), long(og), F.regexp_replace(part, r"(?U)\s+", " "))
 
 
-def occurrences(text: Column, word: str) -> Column:
-    return F.expr("0") + ((F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word)).cast("int")
-
-
-def sector_scores(text: Column) -> Column:
-    """Array of (score, precedence, sector); text must be lower case."""
-    n = len(SECTOR_WORDS)
-    return F.array(*[F.struct(sum((occurrences(text, w) for w in words), F.lit(0)).alias("score"), F.lit(n - i).alias("precedence"), F.lit(s).alias("sector"))
-                     for i, (s, words) in enumerate(SECTOR_WORDS.items())])
-
-
 def with_sector(df: DataFrame, text: str, keywords: str | None = None) -> DataFrame:
-    """Sector with most keyword hits and the first of its keywords that occurs."""
+    """Sector with most keyword hits (substring counts) and the first of its keywords that occurs."""
     low = F.lower(F.col(text)) if keywords is None else F.concat(F.coalesce(F.concat(F.lower(F.col(keywords)), F.lit(" ")), F.lit("")), F.lower(F.col(text)))
-    best = F.array_max(sector_scores(F.col("__low")))
-    word = F.lit(None).cast("string")
-    for s, words in SECTOR_WORDS.items():
-        hit = F.coalesce(*[F.when(F.col("__low").contains(w), F.lit(w)) for w in words])
-        word = F.when(F.col("sector") == s, hit).otherwise(word)
-    return (df.withColumn("__low", low).withColumn("__best", best)
+    hits = lambda words: " + ".join(f"int((length(__low) - length(replace(__low, '{w}', ''))) / {len(w)})" for w in words)
+    scores = ", ".join(f"struct({hits(words)} AS score, {-i} AS precedence, '{s}' AS sector)" for i, (s, words) in enumerate(SECTOR_WORDS.items()))
+    first = " ".join(f"WHEN '{s}' THEN CASE " + " ".join(f"WHEN contains(__low, '{w}') THEN '{w}'" for w in words) + " END" for s, words in SECTOR_WORDS.items())
+    return (df.withColumn("__low", low).withColumn("__best", F.expr(f"array_max(array({scores}))"))
             .withColumn("sector", F.when(F.col("__best.score") > 0, F.col("__best.sector")))
-            .withColumn("industry", F.initcap(word)).drop("__low", "__best"))
+            .withColumn("industry", F.initcap(F.expr(f"CASE sector {first} END"))).drop("__low", "__best"))
 
 
 def people_counts(text: Column) -> tuple[Column, Column]:
@@ -162,17 +150,22 @@ def contact(df: DataFrame, text: str) -> DataFrame:
     """Primary and further mail addresses and phones, and the postal address."""
     mails, numbers_ = emails(F.col(text)), phones(F.col(text))
     rest = lambda c: F.slice(F.col(c), F.lit(2), F.greatest(F.size(c) - 1, F.lit(0)))
-    return df.withColumns({"emails": mails, "phones": numbers_, **address_parts(F.col(text))}).withColumns({
+    return computed_once(df, emails=mails, phones=numbers_, **address_parts(F.col(text))).withColumns({
         "email": first_item(F.col("emails")), "phone": first_item(F.col("phones")), "more_emails": rest("emails"), "more_phones": rest("phones")}).withColumn(
         "has_contact", F.col("email").isNotNull() | F.col("phone").isNotNull() | F.col("address").isNotNull())
 
 
+def profile_list(links: Column) -> Column:
+    """Social profiles among a page's links: distinct addresses, each with the first platform that fits."""
+    fits = lambda u: F.coalesce(*[F.when(u.rlike("(?i)" + p), F.lit(n)) for n, p in PROFILES])
+    account = lambda u: F.coalesce(*[F.nullif(F.regexp_extract(u, "(?i)" + p, 1), F.lit("")) for _, p in PROFILES])
+    named = F.filter(F.array_distinct(links), lambda u: (u != "") & ~u.startswith("#") & fits(u).isNotNull())
+    return F.transform(named, lambda u: F.struct(fits(u).alias("platform"), u.alias("href"), account(u).alias("username")))
+
+
 def profiles(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """Social profiles among a page's ``links``: one row per distinct address, first platform that fits."""
-    links = pages.select(*keys, F.posexplode("links").alias("pos", "href")).filter("href <> '' and not startswith(href, '#')")
-    once = links.groupBy(*keys, "href").agg(F.min("pos").alias("pos"))
-    fits = [F.when(F.col("href").rlike("(?i)" + p), F.struct(F.lit(n).alias("platform"), F.regexp_extract("href", "(?i)" + p, 1).alias("username"))) for n, p in PROFILES]
-    return once.withColumn("p", F.coalesce(*fits)).filter("p is not null").select(*keys, "pos", "href", "p.platform", "p.username")
+    """One row per social profile a page links to."""
+    return pages.select(*keys, F.explode(profile_list(F.col("links"))).alias("p")).select(*keys, "p.*")
 
 
 def financial_mentions(text: Column) -> tuple[Column, Column]:
@@ -227,8 +220,8 @@ def company_facts(parts: DataFrame, url: str = "url", known: str = "known_name")
     hq, others = places(F.col("sections"), F.col("text"))
     money, value = financial_mentions(F.col("text"))
     empty = F.coalesce(F.length(F.trim("html_text")) == 0, F.lit(True)) if "html_text" in parts.columns else F.lit(False)
-    facts = with_sector(parts, "text", "meta_keywords").withColumns({
-        "name": F.when(empty, F.coalesce(F.nullif(F.col(known), F.lit("")), F.lit("Unknown"))).otherwise(
+    facts = computed_once(with_sector(parts, "text", "meta_keywords"), **{
+        "sector": F.col("sector"), "industry": F.col("industry"), "name": F.when(empty, F.coalesce(F.nullif(F.col(known), F.lit("")), F.lit("Unknown"))).otherwise(
             company_name(F.col(known), F.col("title"), F.col("h1s"), F.col("og_title"))),
         "description": description(F.col("meta_description"), F.col("og_description"), F.col("about")),
         "website": F.when(F.length(url) > 0, urls.site(F.col(url))), "domain": urls.host(F.col(url)), "employee_count": size, "employee_range": size_range,

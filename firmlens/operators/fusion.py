@@ -15,7 +15,7 @@ def trusted(records: DataFrame, least: float = 0.1) -> DataFrame:
     return records.filter(F.col("confidence") > least)
 
 
-def fuse(records: DataFrame, key: str, fill_headquarters: bool = False) -> DataFrame:
+def fuse(records: DataFrame, key: str, fill_headquarters: bool = False, simple: list[str] = SIMPLE) -> DataFrame:
     """One record per company: the most confident source, gaps filled from the others in order.
 
     The order is confidence, highest first, then source name. Address and city come together from
@@ -32,7 +32,7 @@ def fuse(records: DataFrame, key: str, fill_headquarters: bool = False) -> DataF
     people = F.struct("employee_count", "company_size") if "company_size" in records.columns else F.struct("employee_count")
     agg = good.groupBy(key).agg(
         F.count(F.lit(1)).alias("sources"), F.min_by("source", order).alias("base_source"),
-        *[first(F.col(c), has(c)).alias(c) for c in SIMPLE],
+        *[first(F.col(c), has(c)).alias(c) for c in simple],
         first(people, has("employee_count")).alias("__people"),
         (first(F.col("headquarters"), has("headquarters")) if fill_headquarters else F.min_by("headquarters", order)).alias("headquarters"),
         first(F.col("email"), has("email")).alias("email"), first(F.col("phone"), has("phone")).alias("phone"),

@@ -151,10 +151,14 @@ def industry_totals(rows: DataFrame) -> DataFrame:
                     F.avg("company_age").alias("avg_age"), F.sum("employees").alias("employees"), F.sum("valuation").alias("valuation"))
 
 
-def median(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+def medians(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Exact medians of several columns in one pass over (column, value) pairs."""
     n = F.col("n")
-    m = ordered.order_statistics(rows, keys, value, {"a": F.floor((n + 1) / 2), "b": F.floor(n / 2) + 1})
-    return m.select(*keys, ((F.col("a") + F.col("b")) / 2).alias(name))
+    pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("measure"), F.col(v).cast("double").alias("x")) for v in values]))
+    long = rows.select(*keys, pairs.alias("p")).select(*keys, "p.*")
+    m = ordered.order_statistics(long, keys + ["measure"], "x", {"a": F.floor((n + 1) / 2), "b": F.floor(n / 2) + 1})
+    mid = (F.col("a") + F.col("b")) / 2
+    return m.groupBy(*keys).agg(*[F.max(F.when(F.col("measure") == v, mid)).alias(f"{v}_median") for v in values])
 
 
 def industry_breakdown(rows: DataFrame) -> DataFrame:
@@ -162,9 +166,7 @@ def industry_breakdown(rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("companies"), F.avg("employees").alias("employees_mean"), F.sum("employees").alias("employees_sum"),
         F.avg("valuation").alias("valuation_mean"), F.sum("valuation").alias("valuation_sum"), F.avg("revenue").alias("revenue_mean"),
         F.avg("company_age").alias("age_mean"))
-    for value in ("employees", "valuation", "revenue"):
-        agg = ordered.join_null_safe(agg, median(rows, ["industry"], value, f"{value}_median"), ["industry"])
-    return agg
+    return ordered.join_null_safe(agg, medians(rows, ["industry"], ["employees", "valuation", "revenue"]), ["industry"])
 
 
 def industry_rollup(rows: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 A plain ``Window.partitionBy(key).orderBy(...)`` puts every row of a key in one
 task. The helpers here take *bucket* columns that grow with the sort order
 (a page number, a ten-minute slot, a block of ids). The heavy window then runs
-per (key, bucket); only one summary row per bucket is ordered per key.
+per (key, bucket); only one summary row per bucket is ordered per key. Inputs whose
+checked size fits one task anyway take the plain window instead.
 """
 from __future__ import annotations
 
@@ -12,11 +13,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from firmlens.operators.sizes import is_small
+
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Equi-join in which null keys meet null keys; keeps the left key columns."""
-    if not keys:
-        return left.crossJoin(right)
     tmp = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
                        *[c for c in right.columns if c not in keys])
     cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(tmp[f"__r_{k}"]) for k in keys])
@@ -31,6 +32,9 @@ def running_totals(df: DataFrame, keys: list[str], levels: list[list[str]],
     them first. With no keys the coarsest level is the only global ordering, so
     it must have few distinct values.
     """
+    if is_small(df):
+        along = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(e).over(along).alias(n) for n, e in totals.items()])
     flat = [c for lvl in levels for c in lvl]
     parts = {n: f"__part_{n}" for n in totals}
     work = df.select("*", *[e.alias(parts[n]) for n, e in totals.items()])
@@ -68,6 +72,9 @@ def row_numbers(df: DataFrame, keys: list[str], levels: list[list[str]], order:
 def previous_values(df: DataFrame, keys: list[str], bucket: list[str], order: list[str],
                     columns: dict[str, str]) -> DataFrame:
     """Lag by one row per key: ``columns`` maps source column to new column."""
+    if is_small(df):
+        along = Window.partitionBy(*keys).orderBy(*order)
+        return df.select("*", *[F.lag(s).over(along).alias(d) for s, d in columns.items()])
     packed = F.struct(*[F.col(s).alias(d) for s, d in columns.items()])
     last = df.groupBy(*keys, *bucket).agg(
         F.max_by(packed, F.struct(*order)).alias("__last"))
@@ -86,6 +93,9 @@ def trailing_counts(df: DataFrame, keys: list[str], at: str, width: int, name: s
     Each row is also sent to the next slot of ``width`` as context, so a task
     holds two slots of one key and not the whole key.
     """
+    if is_small(df):
+        seen = F.count(F.lit(1)).over(Window.partitionBy(*keys).orderBy(at).rangeBetween(-width, 0))
+        return df.withColumn(name, seen if include_self else seen - 1)
     slot = F.floor(F.col(at) / F.lit(width)).cast("long")
     spread = (df.withColumn("__slot", slot)
               .withColumn("__copy", F.explode(F.array(F.lit(0), F.lit(1))))
@@ -107,40 +117,46 @@ def streaks(df: DataFrame, keys: list[str], levels: list[list[str]], order: list
 
 
 def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column],
-                     bins: int = 1024) -> DataFrame:
+                     bins: int = 1024, levels: int = 2) -> DataFrame:
     """Exact k-th smallest values per key, at ranks given as expressions over ``n``.
 
-    Equal values are counted map-side first. Each key's value range is then cut
-    into ``bins``; a prefix sum over at most ``bins`` rows finds the bin holding
-    a rank, and only that bin is ordered.
+    Equal values are counted map-side first. The value range of a key is cut into ``bins``,
+    prefix sums over the bins find the one that holds a rank, and that bin is cut again;
+    only values of a last, narrow bin are ever sorted together. Two levels tell a million
+    ranges apart, which also serves long-tailed values.
     """
-    freq = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(
+    base = df if keys else df.withColumn("__all", F.lit(0))
+    by = keys or ["__all"]
+    if is_small(df):
+        held = (base.filter(F.col(value).isNotNull()).groupBy(*by)
+                .agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(value)).alias("__s")))
+        return held.select(*keys, "n", *[F.try_element_at("__s", e.cast("int")).alias(nm) for nm, e in ranks.items()])
+    freq = base.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(
         F.count(F.lit(1)).alias("__c"))
-    span = freq.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"),
-                                   F.sum("__c").alias("n"))
-    width = (F.col("__hi") - F.col("__lo")) / F.lit(bins)
-    binned = join_null_safe(freq, span.select(*keys, "__lo", "__hi"), keys).withColumn(
-        "__bin", F.when(width > 0, F.least(F.floor((F.col("__v") - F.col("__lo")) / width),
-                                           F.lit(bins - 1))).otherwise(0).cast("int"))
-    upto = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
-    per_bin = (binned.groupBy(*keys, "__bin").agg(F.sum("__c").alias("__bc"))
-               .withColumn("__to", F.sum("__bc").over(upto)))
-    wanted = span.select(*keys, "n", F.explode(F.array(*[
-        F.struct(F.lit(nm).alias("what"), e.cast("long").alias("rank")) for nm, e in ranks.items()])
-    ).alias("__w")).select(*keys, F.col("__w.what").alias("__what"), F.col("__w.rank").alias("__rank"))
-    hit_bins = (join_null_safe(wanted, per_bin, keys, "inner")
-                .filter((F.col("__rank") <= F.col("__to")) & (F.col("__rank") > F.col("__to") - F.col("__bc")))
-                .select(*keys, "__bin", "__what", (F.col("__rank") - F.col("__to") + F.col("__bc")).alias("__in")))
-    inside = (Window.partitionBy(*keys, "__bin").orderBy("__v")
-              .rowsBetween(Window.unboundedPreceding, 0))
-    near = join_null_safe(binned.select(*keys, "__bin", "__v", "__c"),
-                          hit_bins.select(*keys, "__bin").distinct(), keys + ["__bin"], "leftsemi")
-    ranked = near.withColumn("__upto", F.sum("__c").over(inside))
-    found = (join_null_safe(hit_bins, ranked, keys + ["__bin"], "inner")
-             .filter((F.col("__in") <= F.col("__upto")) & (F.col("__in") > F.col("__upto") - F.col("__c"))))
-    picked = [F.max(F.when(F.col("__what") == nm, F.col("__v"))).alias(nm) for nm in ranks]
-    if keys:
-        stats = found.groupBy(*keys).agg(*picked)
-    else:
-        stats = found.agg(*picked)
-    return join_null_safe(span.select(*keys, "n"), stats, keys)
+    span = freq.groupBy(*by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__c").alias("n"))
+    targets = span.select(*by, "n", "__lo", "__hi", F.explode(F.array(*[
+        F.struct(F.lit(nm).alias("what"), e.cast("long").alias("rank")) for nm, e in ranks.items()])).alias("__w")
+    ).select(*by, "__lo", "__hi", F.col("__w.what").alias("__what"), F.col("__w.rank").alias("__rank"))
+
+    def inside(targets: DataFrame) -> DataFrame:
+        spans = targets.select(*by, "__lo", "__hi").distinct()
+        return join_null_safe(freq, spans, by, "inner").filter(F.col("__v").between(F.col("__lo"), F.col("__hi")))
+
+    upto = Window.partitionBy(*by, "__lo").orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
+    for _ in range(levels):
+        width = (F.col("__hi") - F.col("__lo")) / F.lit(bins)
+        cell = F.when(width > 0, F.least(F.floor((F.col("__v") - F.col("__lo")) / width), F.lit(bins - 1))).otherwise(0)
+        per_bin = (inside(targets).groupBy(*by, "__lo", cell.cast("int").alias("__bin"))
+                   .agg(F.sum("__c").alias("__bc"), F.min("__v").alias("__blo"), F.max("__v").alias("__bhi"))
+                   .withColumn("__to", F.sum("__bc").over(upto)))
+        rest = F.col("__rank") - F.col("__to") + F.col("__bc")
+        targets = (join_null_safe(targets.drop("__hi"), per_bin, by + ["__lo"], "inner")
+                   .filter((rest > 0) & (F.col("__rank") <= F.col("__to")))
+                   .select(*by, F.col("__blo").alias("__lo"), F.col("__bhi").alias("__hi"), "__what", rest.alias("__rank")))
+    along = Window.partitionBy(*by, "__lo").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = inside(targets).drop("__hi").withColumn("__to", F.sum("__c").over(along))
+    found = (join_null_safe(targets.drop("__hi"), ranked, by + ["__lo"], "inner")
+             .filter((F.col("__rank") <= F.col("__to")) & (F.col("__rank") > F.col("__to") - F.col("__c"))))
+    stats = found.groupBy(*by).agg(*[F.max(F.when(F.col("__what") == nm, F.col("__v"))).alias(nm) for nm in ranks])
+    out = join_null_safe(span.select(*by, "n"), stats, by)
+    return out if keys else out.drop("__all")

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmlens.functions.numbers import rounded
+from firmlens.operators.durable import computed_once
 
 
 def filled(column: str | Column) -> Column:
@@ -88,5 +89,5 @@ def extraction_scores(df: DataFrame) -> DataFrame:
     complete = (sum((one(f) for f in ("name", "description", "website", "industry", "headquarters", "founded_year",
                                       "email", "phone", "address", "city", "state")), F.lit(0))
                 + F.least(F.col("n_social"), F.lit(5)) + F.when(money, 2).otherwise(0) + F.least(F.col("n_people"), F.lit(2))) / 20
-    return df.withColumns({"confidence_score": rounded(confidence / 100, 2), "data_quality_score": rounded(quality, 2),
-                           "completeness_score": rounded(complete, 2)})
+    return computed_once(df, confidence_score=rounded(confidence / 100, 2), data_quality_score=rounded(quality, 2),
+                         completeness_score=rounded(complete, 2))

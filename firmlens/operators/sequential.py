@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from firmlens.operators.durable import checkpointed
 from firmlens.operators.ordered import join_null_safe
+from firmlens.operators.sizes import is_small
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -44,6 +45,7 @@ def chunked_scan(df: DataFrame, keys: list[str], chunk: str, order: list[str], t
     (a DDL list such as ``"allowed boolean"``).
     """
     ids = keys + [chunk]
+    groups = keys if is_small(df) else ids
     types = dict(df.dtypes)
     id_ddl = ", ".join(f"{c} {types[c]}" for c in ids)
     full_ddl = ", ".join(f"{c} {t}" for c, t in df.dtypes) + ", " + out_fields
@@ -54,8 +56,8 @@ def chunked_scan(df: DataFrame, keys: list[str], chunk: str, order: list[str], t
         for frame in batches:
             if frame.empty:
                 continue
-            for a, b in segments(frame, ids):
-                here = tuple(frame[c].iloc[a] for c in ids)
+            for a, b in segments(frame, groups):
+                here = tuple(frame[c].iloc[a] for c in groups)
                 if here != at:
                     if at is not None:
                         on_end(at, state)
@@ -86,10 +88,17 @@ def chunked_scan(df: DataFrame, keys: list[str], chunk: str, order: list[str], t
         joined = join_null_safe(rows, entries.withColumnRenamed("state", "__state"), ids, "inner")
         return joined.repartition(*ids).sortWithinPartitions(*ids, *order)
 
+    def by_key(rows: DataFrame) -> DataFrame:
+        """Small input: one chunk per key, nothing to carry over."""
+        none = F.lit(None).cast("string")
+        return rows.withColumn("__state", none).repartition(*keys).sortWithinPartitions(*keys, *order)
+
     def exits_of(rows: DataFrame, entries: DataFrame) -> DataFrame:
         return sorted_with(rows, entries).mapInPandas(exit_states, id_ddl + ", state string")
 
     slim = df.select(*dict.fromkeys(ids + order + [time]))
+    if groups == keys:
+        return by_key(df).mapInPandas(verdicts, full_ddl)
     entries = df.select(*ids).distinct().withColumn("state", F.lit(None).cast("string"))
     exits = checkpointed(exits_of(slim, entries))
     follow = Window.partitionBy(*keys).orderBy(chunk)

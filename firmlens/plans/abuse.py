@@ -54,11 +54,10 @@ _PATH_SQL = "CASE endpoint " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _PA
 def rate_rule_matches(spark, sf):
     rules = [(n, q, w, p, None, ["10.0.1.0/24", "10.9.9.9"] if n == "burst_protection" else None, pr) for n, q, w, p, pr in dims.RATE_RULES]
     rules.append(("curl_agents", 5, 60, None, ["CURL"], None, 15))
-    dim = dims.frame(spark, rules, "rule string, requests int, window_seconds int, prefixes array<string>, agent_parts array<string>, networks array<string>, priority int")
     paths = F.create_map(*[F.lit(x) for kv in _PATHS.items() for x in kv])
     log = with_agents(spark, sf).select("event_id", paths[F.col("endpoint")].alias("endpoint"), "user_agent",
                                         F.concat(F.lit("10.0."), (F.col("client") % 4).cast("string"), F.lit("."), (F.col("client") % 250).cast("string")).alias("ip"))
-    return abuse.applicable_rules(log, dim).select("event_id", "rule", "priority")
+    return abuse.applicable_rules(log, rules).select("event_id", "rule", "priority")
 
 
 @query("rate_limit_verdicts", "req", """RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY us, event_id) AS k FROM req),

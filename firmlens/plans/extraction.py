@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from firmlens.operators import extraction, fusion, quality
+from firmlens.operators.durable import computed_once
 from firmlens.plans import views
 from firmlens.plans.registry import query
 from firmlens.plans.telemetry import rounded
@@ -215,7 +216,7 @@ def firm_descriptions(spark, sf):
     UNION ALL SELECT firm_id, 'https://x.com/x' || k, 'twitter', 'x' || k FROM live WHERE ok AND k % 2 = 0
     UNION ALL SELECT firm_id, 'https://youtube.com/channel/y' || k || '/v', 'youtube', 'y' || k FROM live WHERE ok AND k % 5 = 0""")
 def firm_profiles(spark, sf):
-    return extraction.profiles(firm_parts(spark, sf), ["firm_id"]).drop("pos")
+    return extraction.profiles(firm_parts(spark, sf), ["firm_id"])
 
 
 @query("firm_structured_data", "firm_text", _LIVE + """ SELECT firm_id, CASE WHEN k % 4 = 0 THEN 'LD ' || k END AS ld_name, CASE WHEN k % 4 = 1 THEN 'Ld text ' || k END AS ld_description,
@@ -239,10 +240,8 @@ def firm_page_records(spark, sf):
 
 def scored_firms(spark, sf):
     p = firm_parts(spark, sf).withColumn("html_text", F.col("text"))
-    facts = extraction.company_facts(p)
-    counts = extraction.profiles(p, ["firm_id"]).groupBy("firm_id").agg(F.count(F.lit(1)).alias("n_social"))
-    facts = facts.join(counts, "firm_id", "left").withColumns({
-        "n_social": F.coalesce("n_social", F.lit(0)), "n_people": F.size("people"), "has_financials": F.coalesce("funding_total", "valuation").isNotNull()})
+    facts = extraction.company_facts(p).withColumns({
+        "n_social": F.size(extraction.profile_list(F.col("links"))), "n_people": F.size("people"), "has_financials": F.coalesce("funding_total", "valuation").isNotNull()})
     return quality.extraction_scores(facts)
 
 
@@ -317,14 +316,14 @@ _HOSTS = _PLAIN + ", " + sector_sql("page", "page_id", "text") + f""", ex AS (SE
 def host_profiles(spark, sf):
     none = F.lit(None).cast("string")
     p = views.pages(spark, sf).select("page_id", "host", "scheme", "title", "text")
-    facts = extraction.with_sector(p, "text").withColumns({
-        "name": extraction.company_name(none, F.col("title"), F.array().cast("array<string>"), none), "website": F.concat("scheme", F.lit("://"), "host"),
-        "email": extraction.first_item(extraction.emails(F.col("text"))), "phone": extraction.first_item(extraction.phones(F.col("text"))),
-        "founded_year": extraction.founded_year(F.col("text")), "description": none, "headquarters": none, "address": none, "city": none, "state": none,
-        "n_social": F.lit(0), "n_people": F.lit(0), "has_financials": F.lit(False), "employee_count": F.lit(None).cast("long")})
+    facts = computed_once(
+        extraction.with_sector(p, "text"), sector=F.col("sector"), industry=F.col("industry"),
+        name=extraction.company_name(none, F.col("title"), F.array().cast("array<string>"), none),
+        email=extraction.first_item(extraction.emails(F.col("text"))), phone=extraction.first_item(extraction.phones(F.col("text"))),
+        founded_year=extraction.founded_year(F.col("text"))).withColumns({
+            "website": F.concat("scheme", F.lit("://"), "host"), "description": none, "headquarters": none, "address": none, "city": none, "state": none,
+            "n_social": F.lit(0), "n_people": F.lit(0), "has_financials": F.lit(False), "employee_count": F.lit(None).cast("long")})
     scored = quality.extraction_scores(facts).withColumns({
         "source": F.lpad(F.col("page_id").cast("string"), 12, "0"), "confidence": F.col("confidence_score"), "quality": F.col("data_quality_score"), "completeness": F.col("completeness_score")})
-    fused = fusion.fuse(scored, "host")
-    order = F.struct((-F.col("confidence")).alias("c"), "source")
-    names = fusion.trusted(scored).groupBy("host").agg(F.min_by("name", order).alias("name"))
-    return rounded(fused.join(names, "host").select("host", "sources", "name", "industry", "sector", "founded_year", "email", "phone", "confidence", "quality", "completeness"), "confidence")
+    fused = fusion.fuse(scored, "host", simple=["name", *fusion.SIMPLE])
+    return rounded(fused.select("host", "sources", "name", "industry", "sector", "founded_year", "email", "phone", "confidence", "quality", "completeness"), "confidence")
