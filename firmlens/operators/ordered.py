@@ -33,7 +33,8 @@ def running_totals(df: DataFrame, keys: list[str], levels: list[list[str]],
     it must have few distinct values.
     """
     if is_small(df):
-        along = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        first = [c for lvl in levels for c in lvl]
+        along = Window.partitionBy(*keys).orderBy(*first, *order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(e).over(along).alias(n) for n, e in totals.items()])
     flat = [c for lvl in levels for c in lvl]
     parts = {n: f"__part_{n}" for n in totals}
