@@ -114,7 +114,8 @@ def stock(text: Column) -> tuple[Column, Column]:
 def emails(text: Column, keep_role_mailboxes: bool = False) -> Column:
     """Distinct business mail addresses in order of appearance."""
     drop = "(?i)" + "|".join(PRIVATE_MAIL + ([] if keep_role_mailboxes else [ROLE_MAIL]))
-    return F.array_distinct(F.filter(F.transform(all_matches(text, EMAIL, 0, ""), lambda e: F.lower(e)), lambda e: ~e.rlike(drop)))
+    found = F.when(F.contains(text, F.lit("@")), all_matches(text, EMAIL, 0, "")).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.filter(F.transform(found, lambda e: F.lower(e)), lambda e: ~e.rlike(drop)))
 
 
 def phones(text: Column) -> Column:

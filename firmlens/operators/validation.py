@@ -111,12 +111,14 @@ def percent_decoded(value: Column) -> Column:
 def scan_text(df: DataFrame, column: str, max_length: int = 10000) -> DataFrame:
     """Attack flags per text and the text without script parts. The whole text is scanned."""
     value = F.col(column)
-    clean = value
+    clean = F.col("clean_text")
+    df = df.withColumn("clean_text", value)
     for p in SCRIPT_PATTERNS:
-        clean = F.regexp_replace(clean, "(?iU)" + p, "")
+        # A pattern is only tried where its one indispensable character occurs.
+        sign = "<" if p.startswith("<") else ":" if p.endswith(":") else "="
+        df = df.withColumn("clean_text", F.when(clean.contains(sign), F.regexp_replace(clean, "(?iU)" + p, "")).otherwise(clean))
     decoded = percent_decoded(F.col("clean_text"))
-    return (df.withColumn("clean_text", clean)
-            .withColumns({
+    return (df.withColumns({
                 "too_long": F.length(value) > max_length, "sql": matches_any(value, SQL_PATTERNS),
                 "script": F.col("clean_text") != value, "command": matches_any(F.col("clean_text"), COMMAND_PATTERNS),
                 "traversal": matches_any(F.col("clean_text"), TRAVERSAL_PATTERNS),

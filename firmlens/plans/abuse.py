@@ -123,7 +123,7 @@ def crawls_outside_blocks(spark, sf):
 
 
 def threats(spark, sf):
-    d = views.table(spark, sf, "documents").select("doc_id", "text")
+    d = views.documents(spark, sf)
     return validation.scan_text(d, "text").filter("sql or script or command or traversal")
 
 

@@ -61,7 +61,7 @@ def sector_sql(source, keys, text):
 
 @query("document_sectors", "", sector_sql("documents", "doc_id", "text") + " SELECT doc_id, sector, industry FROM sector")
 def document_sectors(spark, sf):
-    return extraction.with_sector(views.table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "sector", "industry")
+    return extraction.with_sector(views.documents(spark, sf), "text").select("doc_id", "sector", "industry")
 
 
 _EMAIL_SQL = r"""list_distinct_ordered(list_filter(list_transform(regexp_extract_all({0}, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}'), lambda e: lower(e)),
@@ -84,13 +84,13 @@ def phones_sql(text):
 
 @query("document_emails", "", f"""SELECT doc_id, array_to_string({emails_sql('text')}, ' ') AS emails, array_to_string({emails_sql('text', '')}, ' ') AS emails_with_roles FROM documents""")
 def document_emails(spark, sf):
-    return views.table(spark, sf, "documents").select("doc_id", F.array_join(extraction.emails(F.col("text")), " ").alias("emails"),
+    return views.documents(spark, sf).select("doc_id", F.array_join(extraction.emails(F.col("text")), " ").alias("emails"),
                                                       F.array_join(extraction.emails(F.col("text"), True), " ").alias("emails_with_roles"))
 
 
 @query("document_phones", "", f"SELECT doc_id, array_to_string({phones_sql('text')}, '; ') AS phones FROM documents")
 def document_phones(spark, sf):
-    return views.table(spark, sf, "documents").select("doc_id", F.array_join(extraction.phones(F.col("text")), "; ").alias("phones"))
+    return views.documents(spark, sf).select("doc_id", F.array_join(extraction.phones(F.col("text")), "; ").alias("phones"))
 
 
 def _years(text):
@@ -101,7 +101,7 @@ def _years(text):
 @query("document_years", "", f"SELECT doc_id, {_years('t')} AS founded_year FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || ' Established 1' || (doc_id % 900 + 100) ELSE text END AS t FROM documents)")
 def document_years(spark, sf):
     k = F.col("doc_id")
-    d = views.table(spark, sf, "documents").select("doc_id", F.when(k % 3 == 0, F.concat("text", F.lit(" Established 1"), (k % 900 + 100).cast("string"))).otherwise(F.col("text")).alias("t"))
+    d = views.documents(spark, sf).select("doc_id", F.when(k % 3 == 0, F.concat("text", F.lit(" Established 1"), (k % 900 + 100).cast("string"))).otherwise(F.col("text")).alias("t"))
     return d.select("doc_id", extraction.founded_year(F.col("t")).alias("founded_year"))
 
 

@@ -188,7 +188,7 @@ def sanitized_records(spark, sf):
     SELECT doc_id, length(t) AS clean_chars, md5(t) AS clean_md5, CASE WHEN length(t) > 200 THEN regexp_replace(left(t, 200), ' [^ ]*$', '') || '...' ELSE t END AS summary,
     CASE WHEN length(t) > 80 THEN left(t, 80) || '...' ELSE t END AS label FROM t""")
 def sanitized_text(spark, sf):
-    t = views.table(spark, sf, "documents").select("doc_id", text.sanitized(F.col("text")).alias("t"))
+    t = views.documents(spark, sf).select("doc_id", text.sanitized(F.col("text")).alias("t"))
     return t.select("doc_id", F.length("t").cast("long").alias("clean_chars"), F.md5("t").alias("clean_md5"),
                     text.cut_at_word(F.col("t"), 200).alias("summary"), text.shortened(F.col("t"), 80).alias("label"))
 
@@ -214,7 +214,7 @@ def _strip():
     {_re2(validation.COMMAND_PATTERNS).replace('{0}', 'clean')} AS command, {_re2(validation.TRAVERSAL_PATTERNS).replace('{0}', 'clean')} AS traversal,
     decoded <> clean AND ({_re2(validation.SQL_PATTERNS + validation.SCRIPT_PATTERNS).replace('{0}', 'decoded')}) AS evasion, md5(clean) AS clean_md5 FROM d""")
 def text_threats(spark, sf):
-    d = views.table(spark, sf, "documents").select("doc_id", "text")
+    d = views.documents(spark, sf)
     return validation.scan_text(d, "text").select("doc_id", "too_long", "sql", "script", "command", "traversal", "evasion",
                                                   F.md5("clean_text").alias("clean_md5"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from firmlens.functions import urls
 from firmlens.operators import ordered
+from firmlens.operators.sizes import spread
 
 AS_OF = "2024-01-31 00:00:00"
 AS_OF_US = 1706659200000000
@@ -18,6 +19,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def epoch_us(col: str) -> Column:
     """Microseconds since 1970 of a zone-less timestamp, whatever the session zone."""
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {col})")
@@ -45,7 +50,7 @@ def pages(spark, sf) -> DataFrame:
     bare = F.regexp_replace(bare, r"(?s)<style[^>]*>.*?</style>", " ")
     bare = F.regexp_replace(bare, r"(?s)<!--.*?-->", " ")
     text = F.trim(F.regexp_replace(F.regexp_replace(bare, r"<[^>]+>", " "), r"[ \t\r\n\f]+", " "))
-    return table(spark, sf, "pages").select(
+    return spread(table(spark, sf, "pages")).select(
         "page_id", "url", "html", urls.scheme(F.col("url")).alias("scheme"),
         urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"),
         F.regexp_extract("url", r"^[a-z]+://[^/]+/([a-z]{2})/", 1).alias("lang"),
@@ -285,7 +290,7 @@ def firm_texts(spark, sf) -> DataFrame:
              .when(k % 4 == 1, F.concat(F.lit("Showing 1-10 of "), s(k * 17)))
              .when(k % 4 == 2, F.concat(F.lit("Page 2 of about "), s(k))).otherwise(F.lit("none")))
     parts = [size, year, stock, money, people, addr, mail, phone]
-    return table(spark, sf, "customer").select(
+    return spread(table(spark, sf, "customer")).select(
         k.alias("firm_id"), F.col("c_name").alias("known_name"), size.alias("size_text"), year.alias("year_text"),
         stock.alias("stock_text"), money.alias("money_text"), people.alias("people_text"),
         addr.alias("address_text"), mail.alias("mail_text"), phone.alias("phone_text"),

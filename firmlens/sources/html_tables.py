@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+from firmlens.operators.sizes import spread
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Where pages keep descriptions, contacts and their frame.
@@ -186,7 +188,7 @@ def page_table(pages: DataFrame, keys: list[str], more_about: list[str] = (), mo
             parts = pd.DataFrame([page_parts(h, about, contact) for h in frame["html"]], columns=PARTS, index=frame.index)
             yield pd.concat([frame[keys], parts], axis=1)
     types = dict(pages.dtypes)
-    return pages.select(*keys, "html").mapInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", " + PARTS_DDL)
+    return spread(pages.select(*keys, "html")).mapInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", " + PARTS_DDL)
 
 
 def result_boxes(html: str) -> list[tuple]:
@@ -215,7 +217,7 @@ def result_table(serps: DataFrame, keys: list[str]) -> DataFrame:
             rows = [(*k, *r) for *k, html in frame[keys + ["html"]].itertuples(index=False) for r in result_boxes(html)]
             yield pd.DataFrame(rows, columns=keys + ["pos", "is_ad", "title", "url", "raw_description"])
     types = dict(serps.dtypes)
-    return serps.select(*keys, "html").mapInPandas(
+    return spread(serps.select(*keys, "html")).mapInPandas(
         run, ", ".join(f"{k} {types[k]}" for k in keys) + ", pos int, is_ad boolean, title string, url string, raw_description string")
 
 
@@ -226,5 +228,5 @@ def statistics_table(serps: DataFrame, keys: list[str]) -> DataFrame:
             lines = [first_of(read_html(h).tags(), RESULT_STATS, lambda t: t.tight_text())[1] for h in frame["html"]]
             yield frame[keys].assign(stats_text=lines, content_length=frame["html"].str.len())
     types = dict(serps.dtypes)
-    return serps.select(*keys, "html").mapInPandas(
+    return spread(serps.select(*keys, "html")).mapInPandas(
         run, ", ".join(f"{k} {types[k]}" for k in keys) + ", stats_text string, content_length long")
