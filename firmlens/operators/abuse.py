@@ -100,6 +100,8 @@ def applicable_rules(log: DataFrame, rules: list[tuple]) -> DataFrame:
 def sliding_limit(log: DataFrame, keys: list[str], limit: int, window_seconds: int,
                   chunk_us: int = 24 * HOUR) -> DataFrame:
     """Exact limiter verdict per request: only allowed requests use up the window."""
+    # Chunks much longer than the window settle in few rounds.
+    chunk_us = max(chunk_us, 10 * window_seconds * SECOND)
     work = log.withColumn("chunk", F.floor(F.col("us") / chunk_us).cast("long"))
     return sequential.chunked_scan(work, keys, "chunk", ["us", "event_id"], "us",
                                    sequential.window_limit_scan(window_seconds * SECOND, limit),

@@ -24,6 +24,7 @@ def politeness(log: DataFrame, keys: list[str], delay: str) -> DataFrame:
 def hourly_counts(log: DataFrame, keys: list[str], limit: int = 100, width_us: int = HOUR,
                   chunk_us: int = 24 * HOUR) -> DataFrame:
     """Crawls since the domain's last counter reset; the reset is anchored at a crawl."""
+    chunk_us = max(chunk_us, 10 * width_us)
     work = log.withColumn("chunk", F.floor(F.col("us") / chunk_us).cast("long"))
     out = sequential.chunked_scan(work, keys, "chunk", ["us", "event_id"], "us",
                                   sequential.anchored_count_scan(width_us), "hour_count long")

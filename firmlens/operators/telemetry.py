@@ -233,6 +233,7 @@ def threshold_alerts(samples: DataFrame, thresholds: DataFrame) -> DataFrame:
 def emitted_alerts(alerts: DataFrame, keys: list[str], wait_seconds: int = 300,
                    chunk_us: int = 86_400_000_000) -> DataFrame:
     """Alerts that survive the per-key cooldown."""
+    chunk_us = max(chunk_us, 10 * wait_seconds * SECOND)
     work = alerts.withColumn("chunk", F.floor(F.col("us") / chunk_us).cast("long"))
     out = sequential.chunked_scan(work, keys, "chunk", ["us", "event_id"], "us",
                                   sequential.cooldown_scan(wait_seconds * SECOND), "emitted boolean")
