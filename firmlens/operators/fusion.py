@@ -19,7 +19,8 @@ def fuse(records: DataFrame, key: str, fill_headquarters: bool = False, simple:
     """One record per company: the most confident source, gaps filled from the others in order.
 
     The order is confidence, highest first, then source name. Address and city come together from
-    one source, and so do head count and size class (when the input has one).
+    one source, and so do head count and size class (when the input has one). The mean is taken
+    over decimals, so that it does not depend on the order of partial sums.
     """
     good = trusted(records)
     order = F.struct((-F.col("confidence")).alias("c"), "source")
@@ -37,7 +38,7 @@ def fuse(records: DataFrame, key: str, fill_headquarters: bool = False, simple:
         (first(F.col("headquarters"), has("headquarters")) if fill_headquarters else F.min_by("headquarters", order)).alias("headquarters"),
         first(F.col("email"), has("email")).alias("email"), first(F.col("phone"), has("phone")).alias("phone"),
         first(place, has("address")).alias("__address"), first(place, contact).alias("__contact"),
-        F.avg("confidence").alias("__mean"), F.max("quality").alias("quality"), F.max("completeness").alias("completeness"))
+        F.avg(F.col("confidence").cast("decimal(20,10)")).cast("double").alias("__mean"), F.max("quality").alias("quality"), F.max("completeness").alias("completeness"))
     where = F.coalesce("__address", "__contact")
     bonus = F.least((F.col("sources") - 1) * 0.1, F.lit(0.3))
     sized = {c: F.col(f"__people.{c}") for c in (["employee_count", "company_size"] if "company_size" in records.columns else ["employee_count"])}
