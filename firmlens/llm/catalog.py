@@ -1,3 +1,3 @@
 """All queries of the subpackage and their checking SQL."""
 from firmlens.llm.registry import ORACLES, QUERIES  # noqa: F401
-from firmlens.llm import line_quality, packing, personal_data, simhash  # noqa: F401
+from firmlens.llm import byte_bpe, hamming_index, line_quality, packing, personal_data, simhash, web_archive  # noqa: F401

@@ -1,6 +1,7 @@
 """The queries of this subpackage and their checking SQL."""
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,5 +19,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it (on a cluster: also ship it with --py-files)."""
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if home not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*paths, home])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
