@@ -99,7 +99,7 @@ def write_archives(captures: DataFrame, path: str, file_bytes: int = FILE_BYTES)
             for page_id, url, html, digest, refers_to in zip(*(frame[c] for c in ("page_id", "url", "html", "digest", "refers_to"))):
                 if out is None:
                     name, at = f"part-{uuid.uuid4().hex}.warc.gz", 0
-                    out = store.open_output_stream(f"{root}/{name}")
+                    out = store.open_output_stream(f"{root}/{name}", compression=None)
                 raw = gzip.compress(record(_whole(page_id), url, (html or "").encode(), digest, _whole(refers_to)), 1, mtime=0)
                 out.write(raw)
                 places.append((name, at, len(raw)))
