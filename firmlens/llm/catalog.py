@@ -1,3 +1,4 @@
 """All queries of the subpackage and their checking SQL."""
 from firmlens.llm.registry import ORACLES, QUERIES  # noqa: F401
-from firmlens.llm import byte_bpe, hamming_index, line_quality, packing, personal_data, simhash, web_archive  # noqa: F401
+from firmlens.llm import (block_labeller, byte_bpe, hamming_index, licences, line_quality, packing, personal_data,  # noqa: F401
+                          quotations, simhash, web_archive)
