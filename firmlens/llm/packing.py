@@ -46,17 +46,38 @@ class WordIds(dict):
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.mark = "\x01"
         self.mark_ids = self._encode([self.mark])[0]
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a run of letters
+        self.closes[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+        self.tails = {t.encode(): f.tobytes() for t, f in zip(".,!", self._encode([*".,!"]))} | {b"": b""}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    @staticmethod
+    def _core(word: bytes) -> tuple[bytes, bytes]:
+        """The word without a mark that follows an ASCII letter, which is split off anyway, and in lower case if it is ASCII."""
+        tail = word[-1:] if word[-1:] in (b".", b",", b"!") and word[-2:-1].isalpha() else b""
+        core = word[:-1] if tail else word
+        return core.lower() if core.isascii() else core, tail
+
     def learn(self, words: set[bytes]) -> None:
-        """Encode unknown words, a thousand at a time, told apart by a mark that no word holds."""
-        if len(self) + len(words) > REMEMBERED:
+        """Encode the cores of unknown words, a thousand at a time, and put the words together from them."""
+        if len(self) + 2 * len(words) > REMEMBERED:
             self.clear()
-        plain = [w for w in words if b"\x01" not in w]
-        for k in range(0, len(plain), 1000):
-            part = [w.decode() for w in plain[k:k + 1000]]
+        cores = {w: self._core(w) for w in words}
+        unknown = {c for c, _ in cores.values() if c not in self}
+        letters = [c for c in unknown if c.decode().isalpha()]
+        odd = [c for c in unknown if b"\x01" in c]
+        marked = [c for c in unknown.difference(letters) if b"\x01" not in c]
+        for k in range(0, len(letters), 1000):
+            part = [c.decode() for c in letters[k:k + 1000]]
+            ids = self._encode([" ".join(part)])[0]
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            found = np.split(ids, ends[:-1]) if len(ends) == len(part) else self._encode(part)
+            self.update((c, f.tobytes()) for c, f in zip(letters[k:k + 1000], found))
+        for k in range(0, len(marked), 1000):
+            part = [c.decode() for c in marked[k:k + 1000]]
             ids = self._encode([f" {self.mark} ".join(part)])[0]
             ends = np.flatnonzero(ids == self.mark_ids[0])
             if len(self.mark_ids) == 1 and len(ends) == len(part) - 1:
@@ -64,9 +85,9 @@ class WordIds(dict):
                 found = [found[0], *(f[1:] for f in found[1:])]
             else:
                 found = self._encode(part)
-            self.update((w, f.tobytes()) for w, f in zip(plain[k:k + 1000], found))
-        odd = [w for w in words if b"\x01" in w]
-        self.update((w, f.tobytes()) for w, f in zip(odd, self._encode([w.decode() for w in odd])))
+            self.update((c, f.tobytes()) for c, f in zip(marked[k:k + 1000], found))
+        self.update((c, f.tobytes()) for c, f in zip(odd, self._encode([c.decode() for c in odd])))
+        self.update([(w, self[c] + self.tails[t]) for w, (c, t) in cores.items()])
 
     def ids(self, text: str | None) -> bytes:
         words = (text or "").encode().split()
