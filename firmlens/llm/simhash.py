@@ -158,6 +158,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = near_duplicates(docs)
     keep = stored(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "keep")
-    once = docs.join(keep.filter("n = 1").select("doc_id"), "doc_id", "left_semi")
-    repeated = docs.join(keep.filter("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # merge joins at every size: the kept ids grow with the input and are never broadcast
+    once = docs.join(keep.filter("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
+    repeated = docs.join(keep.filter("n > 1").select("doc_id").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(repeated).unionByName(docs.filter("doc_id is null")).select(*docs.columns)
