@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from firmlens.llm.registry import query, table
 
 #: Characters encoded together, and slices that a Python worker remembers.
-CHUNK_CHARS, REMEMBERED = 1 << 20, 1_000_000
+CHUNK_CHARS, REMEMBERED = 1 << 19, 500_000
 #: Bytes up to which a slice is merged by plain search for the lowest rank.
 SHORT = 64
 
@@ -274,8 +274,8 @@ def decode(tokens: DataFrame, ranks: str | None = None) -> DataFrame:
         token = slices_of(path).tokens.__getitem__
         for batch in batches:
             column = batch.column("ids")
-            flat, offsets = column.values.to_pylist(), column.offsets.to_pylist()
-            texts = [b"".join(map(token, flat[a:b])) for a, b in zip(offsets, offsets[1:])]
+            flat, offsets = column.values.to_numpy(), column.offsets.to_pylist()
+            texts = [b"".join(map(token, flat[a:b].tolist())) for a, b in zip(offsets, offsets[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column, pa.array(texts, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return tokens.select("doc_id", "ids").mapInArrow(of, "doc_id bigint, ids array<int>, decoded binary")
