@@ -3,8 +3,7 @@
 A plain ``Window.partitionBy(key).orderBy(...)`` puts every row of a key in one
 task. The helpers here take *bucket* columns that grow with the sort order
 (a page number, a ten-minute slot, a block of ids). The heavy window then runs
-per (key, bucket); only one summary row per bucket is ordered per key. Inputs whose
-checked size fits one task anyway take the plain window instead.
+per (key, bucket); only one summary row per bucket is ordered per key.
 """
 from __future__ import annotations
 
@@ -13,8 +12,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from firmlens.operators.sizes import is_small
-
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Equi-join in which null keys meet null keys; keeps the left key columns."""
@@ -32,10 +29,6 @@ def running_totals(df: DataFrame, keys: list[str], levels: list[list[str]],
     them first. With no keys the coarsest level is the only global ordering, so
     it must have few distinct values.
     """
-    if is_small(df):
-        first = [c for lvl in levels for c in lvl]
-        along = Window.partitionBy(*keys).orderBy(*first, *order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(e).over(along).alias(n) for n, e in totals.items()])
     flat = [c for lvl in levels for c in lvl]
     parts = {n: f"__part_{n}" for n in totals}
     work = df.select("*", *[e.alias(parts[n]) for n, e in totals.items()])
@@ -73,9 +66,6 @@ def row_numbers(df: DataFrame, keys: list[str], levels: list[list[str]], order:
 def previous_values(df: DataFrame, keys: list[str], bucket: list[str], order: list[str],
                     columns: dict[str, str]) -> DataFrame:
     """Lag by one row per key: ``columns`` maps source column to new column."""
-    if is_small(df):
-        along = Window.partitionBy(*keys).orderBy(*order)
-        return df.select("*", *[F.lag(s).over(along).alias(d) for s, d in columns.items()])
     packed = F.struct(*[F.col(s).alias(d) for s, d in columns.items()])
     last = df.groupBy(*keys, *bucket).agg(
         F.max_by(packed, F.struct(*order)).alias("__last"))
@@ -92,14 +82,12 @@ def trailing_counts(df: DataFrame, keys: list[str], at: str, width: int, name: s
     """Rows of the same key whose integer time lies in ``[t - width, t]``.
 
     Each row is also sent to the next slot of ``width`` as context, so a task
-    holds two slots of one key and not the whole key.
+    holds two slots of one key and not the whole key. Rows without a time only meet
+    each other, once.
     """
-    if is_small(df):
-        seen = F.count(F.lit(1)).over(Window.partitionBy(*keys).orderBy(at).rangeBetween(-width, 0))
-        return df.withColumn(name, seen if include_self else seen - 1)
     slot = F.floor(F.col(at) / F.lit(width)).cast("long")
     spread = (df.withColumn("__slot", slot)
-              .withColumn("__copy", F.explode(F.array(F.lit(0), F.lit(1))))
+              .withColumn("__copy", F.explode(F.when(F.col(at).isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
               .withColumn("__slot", F.col("__slot") + F.col("__copy")))
     reach = Window.partitionBy(*keys, "__slot").orderBy(at).rangeBetween(-width, 0)
     seen = F.count(F.lit(1)).over(reach)
@@ -128,10 +116,6 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str
     """
     base = df if keys else df.withColumn("__all", F.lit(0))
     by = keys or ["__all"]
-    if is_small(df):
-        held = (base.filter(F.col(value).isNotNull()).groupBy(*by)
-                .agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(value)).alias("__s")))
-        return held.select(*keys, "n", *[F.try_element_at("__s", e.cast("int")).alias(nm) for nm, e in ranks.items()])
     freq = base.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(
         F.count(F.lit(1)).alias("__c"))
     span = freq.groupBy(*by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__c").alias("n"))

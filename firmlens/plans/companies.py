@@ -131,9 +131,9 @@ def investment_targets(spark, sf):
     return rounded(insight.sure(reports(spark, sf)).select("company_id", "name", "opportunity"), "opportunity").orderBy(F.desc("opportunity"), "company_id")
 
 
-@query("market_research", "company", _REPORT_SQL + " SELECT company_id, industry, round(opportunity, 6) AS opportunity FROM rep ORDER BY opportunity DESC, company_id LIMIT 50")
+@query("market_research", "company", _REPORT_SQL + " SELECT company_id, industry, round(opportunity, 6) AS opportunity FROM rep")
 def market_research(spark, sf):
-    return rounded(reports(spark, sf).select("company_id", "industry", "opportunity"), "opportunity").orderBy(F.desc("opportunity"), "company_id").limit(50)
+    return rounded(reports(spark, sf).select("company_id", "industry", "opportunity"), "opportunity")
 
 
 _LEAD = _REPORT_SQL + """, lead AS (SELECT company_id, least(CASE WHEN rev = '' THEN 0 WHEN rev LIKE '%billion%' THEN 40 WHEN rev LIKE '%million%' THEN 25 ELSE 10 END

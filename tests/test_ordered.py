@@ -117,3 +117,13 @@ def test_abuse_fixture(spark):
     r = abuse.abuse_profiles(df, ["client"]).collect()[0]
     assert r["score"] == pytest.approx(0.6) and not r["suspicious"]
     assert np.isclose(r["error_rate"], 0.2)
+
+
+def test_trailing_counts_with_null_times_equals_a_plain_window(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from firmlens.operators.ordered import trailing_counts
+    df = spark.createDataFrame([(1, 1, None), (2, 1, None), (3, 1, 5), (4, 1, 12), (5, 2, None), (6, 2, 0), (7, 1, 30)], "i int, k int, t long")
+    plain = df.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("k").orderBy("t").rangeBetween(-10, 0)))
+    assert {(r["i"], r["n"]) for r in trailing_counts(df, ["k"], "t", 10, "n").collect()} == {(r["i"], r["n"]) for r in plain.collect()}
