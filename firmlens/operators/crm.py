@@ -21,7 +21,7 @@ def first_name(name: Column) -> Column:
 
 def last_name(name: Column) -> Column:
     parts = F.split(F.trim(name), r"\s+")
-    return F.when(F.size(parts) > 1, F.array_join(F.slice(parts, 2, 1000), " ")).otherwise("")
+    return F.when(F.size(parts) > 1, F.array_join(F.slice(parts, 2, F.size(parts)), " ")).otherwise("")
 
 
 def chief(people: Column) -> Column:
@@ -46,9 +46,10 @@ def match_accounts(companies: DataFrame, accounts: DataFrame, key: str) -> DataF
     """Existing account of each company by name or website; null means a new one.
 
     Two equi joins stand in for the either-or condition, so neither becomes a nested loop.
+    Accounts are reduced to one per name or website first: a common name adds no rows.
     """
     by = lambda c: (companies.select(key, c).filter(F.col(c).isNotNull())
-                    .join(accounts.select("account_id", c).filter(F.col(c).isNotNull()), c).select(key, "account_id"))
+                    .join(accounts.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min("account_id").alias("account_id")), c).select(key, "account_id"))
     found = by("name").unionByName(by("website")).groupBy(key).agg(F.min("account_id").alias("account_id"))
     return companies.join(found, key, "left").withColumn("action", F.when(F.col("account_id").isNull(), "insert").otherwise("update"))
 

@@ -1,20 +1,13 @@
 """Cutting lineage so that iterative jobs survive lost executors."""
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors see: the one the cluster names; local runs get a fresh one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="firmlens-")
-    return folder
+    """Folder all executors see: ``spark.checkpoint.dir``, or one in the warehouse where that is unset."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch").rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

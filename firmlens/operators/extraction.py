@@ -233,7 +233,7 @@ def company_facts(parts: DataFrame, url: str = "url", known: str = "known_name")
 
 
 def organic_results(boxes: DataFrame, keys: list[str], wanted: str) -> DataFrame:
-    """Boxes with their outcome and, for accepted ones, a gapless rank; ``wanted`` results are kept (200 at most).
+    """Boxes with their outcome and, for accepted ones, a gapless rank; ``wanted`` results are kept.
 
     A captured page holds a few hundred boxes at most, so the window per page is small.
     """
@@ -242,7 +242,7 @@ def organic_results(boxes: DataFrame, keys: list[str], wanted: str) -> DataFrame
     text = F.trim(F.regexp_replace(F.regexp_replace("raw_description", r"(?U)\s+", " "), r"(?U)^[•·\-\s]+", ""))
     upto = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     ranked = boxes.withColumn("outcome", outcome).withColumn("rank", F.count_if(F.col("outcome") == "success").over(upto).cast("int"))
-    limit = F.least(F.col(wanted), F.lit(200))
+    limit = F.col(wanted)
     seen = (F.col("rank") < limit) | ((F.col("rank") == limit) & (F.col("outcome") == "success"))
     return ranked.filter(seen).withColumn("description", text)
 

@@ -27,7 +27,7 @@ def remediation_days(severity: Column) -> Column:
 
 def with_retention(records: DataFrame, policies: DataFrame) -> DataFrame:
     """Days kept and expiry per record; a category without policy is kept 30 days."""
-    out = records.join(F.broadcast(policies), "category", "left")
+    out = records.join(policies, "category", "left")
     return out.withColumns({"has_policy": F.col("keep_days").isNotNull(), "keep_days": F.coalesce("keep_days", F.lit(DEFAULT_DAYS))}).withColumn(
         "expires_us", F.col("created_us") + F.col("keep_days").cast("long") * DAY)
 

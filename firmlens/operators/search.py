@@ -94,10 +94,12 @@ def merged_ranks(results: DataFrame, keys: list[str]) -> DataFrame:
 def merge_summary(results: DataFrame, requested: DataFrame, keys: list[str]) -> DataFrame:
     """Per request: pages fetched, results, the first known estimate, pages with results.
 
-    ``requested`` has one row per asked page (at most ten per request) with its estimate.
+    ``requested`` has one row per asked page (at most ten per request) with its estimate;
+    results of pages that were not fetched do not count.
     """
     counts = results.groupBy(*keys, "page").agg(F.count(F.lit(1)).alias("found"))
-    per_page = requested.join(counts, keys + ["page"], "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    per_page = requested.join(counts, keys + ["page"], "left").withColumn(
+        "found", F.when(F.col("fetched"), F.coalesce("found", F.lit(0))).otherwise(0))
     return per_page.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("pages_requested"), F.count_if("fetched").alias("pages_fetched"), F.sum("found").alias("total_results"),
         F.min_by("estimate", F.when(F.col("estimate").isNotNull(), F.col("page"))).alias("estimate"),
@@ -202,4 +204,4 @@ def best_addresses(scored: DataFrame) -> DataFrame:
 def crawl_shortlist(best: DataFrame, most: str = "max_pages_to_crawl") -> DataFrame:
     """The addresses of each request worth crawling; ``best`` also carries the request's page limit."""
     w = Window.partitionBy("request_id").orderBy(F.desc("priority"), "seen", "url")
-    return best.withColumn("position", F.row_number().over(w)).filter((F.col("position") <= 20) & (F.col("position") <= F.col(most)))
+    return best.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= F.col(most))

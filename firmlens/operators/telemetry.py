@@ -57,7 +57,7 @@ def load_run_summary(requests: DataFrame, keys: list[str]) -> DataFrame:
 
 def service_levels(samples: DataFrame, levels: DataFrame, as_of: int) -> DataFrame:
     """State of each service level over its own window before ``as_of`` (``name``, ``value``, ``us``)."""
-    due = (samples.join(F.broadcast(levels), F.col("name") == F.col("metric"))
+    due = (samples.join(levels, F.col("name") == F.col("metric"))
            .filter((F.col("us") >= as_of - F.col("hours") * (3600 * SECOND)) & (F.col("us") <= as_of)))
     p95 = ordered.order_statistics(due.filter(F.startswith("metric", F.lit("response_time"))), ["sla"], "value",
                                    {"p95": F.floor(F.col("n") * 0.95) + 1}).drop("n")
@@ -226,7 +226,7 @@ def threshold_alerts(samples: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Samples at or above their warning or critical limit."""
     hit = (F.when(F.col("value") >= F.col("critical"), F.struct(F.lit("critical").alias("severity"), F.col("critical").alias("limit")))
            .when(F.col("value") >= F.col("warning"), F.struct(F.lit("warning").alias("severity"), F.col("warning").alias("limit"))))
-    return (samples.join(F.broadcast(thresholds), "metric").withColumn("hit", hit).filter("hit is not null")
+    return (samples.join(thresholds, "metric").withColumn("hit", hit).filter("hit is not null")
             .select(*samples.columns, "hit.severity", "hit.limit"))
 
 

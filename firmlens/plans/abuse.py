@@ -7,8 +7,9 @@ from firmlens.functions import urls
 from firmlens.operators import abuse, crawl, validation
 from firmlens.operators import dimensions as dims
 from firmlens.plans import views
-from firmlens.plans.registry import query
+from firmlens.plans.registry import ORACLES, query
 from firmlens.plans.telemetry import AS_OF, rounded
+from firmlens.plans.validation import text_threats  # noqa: F401  (its SQL is part of the rollup's)
 
 _LIMITS = {"per_hour": 0.1, "endpoints": 4, "agents": 45, "errors": 0.1, "variance": 4e8}
 _PROFILE = """g AS (SELECT *, us - lag(us) OVER (PARTITION BY client ORDER BY us, event_id) AS gap, row_number() OVER (PARTITION BY client ORDER BY us DESC, event_id DESC) AS k FROM req),
@@ -127,16 +128,16 @@ def threats(spark, sf):
     return validation.scan_text(d, "text").filter("sql or script or command or traversal")
 
 
-@query("security_rollup", "req", _PROFILE + """, n AS (SELECT ms, is_error FROM req ORDER BY us DESC, event_id DESC LIMIT 1000)
+@query("security_rollup", "req", _PROFILE + """, n AS (SELECT ms, is_error FROM req WHERE us > (SELECT max(us) FROM req) - 604800000000),
+    found AS (""" + ORACLES["text_threats"] + """)
     SELECT (SELECT count(*) FROM req WHERE agent > 90) AS rate_limit_violations, (SELECT count(*) FROM req WHERE agent > 90 AND is_error) AS blocked_requests,
-    (SELECT count(*) FROM documents WHERE contains(text, '#') OR contains(text, '$')) AS security_violations, (SELECT count(*) FROM prof WHERE score > 0.7) AS suspicious_clients,
+    (SELECT count(*) FROM found WHERE sql OR script OR command OR traversal) AS security_violations, (SELECT count(*) FROM prof WHERE score > 0.7) AS suspicious_clients,
     (SELECT round(avg(ms), 6) FROM n) AS avg_ms, (SELECT round(count(*) FILTER (is_error) / count(*) * 100, 6) FROM n) AS error_pct""")
 def security_rollup(spark, sf):
     e = views.events(spark, sf)
     limited = e.filter("agent > 90").withColumn("action", F.when(F.col("is_error"), "client_blocked_1h").otherwise("request_limited"))
-    docs = views.table(spark, sf, "documents").filter(F.contains("text", F.lit("#")) | F.contains("text", F.lit("$")))
-    recent = e.select("ms", "is_error", "us", "event_id").orderBy(F.desc("us"), F.desc("event_id")).limit(1000)
-    return rounded(abuse.security_rollup(limited, docs, abuse.abuse_profiles(e, ["client"], _LIMITS), recent), "avg_ms", "error_pct")
+    week = e.filter(F.col("us") > e.agg(F.max("us")).scalar() - 7 * 24 * 3_600_000_000)
+    return rounded(abuse.security_rollup(limited, threats(spark, sf), abuse.abuse_profiles(e, ["client"], _LIMITS), week), "avg_ms", "error_pct")
 
 
 @query("security_event_feed", "req", f"""SELECT 'alert' AS kind, event_id AS id, us, 'critical' AS severity, NULL AS client FROM req WHERE ms > 200

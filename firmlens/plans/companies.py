@@ -262,7 +262,7 @@ def with_people(c):
 
 
 @query("crm_account_fields", "company", """f AS (SELECT company_id, unnest([{'field': 'Name', 'value': name}, {'field': 'Website', 'value': website}, {'field': 'Industry', 'value': industry},
-      {'field': 'Description', 'value': substring(description, 1, 40)}, {'field': 'Phone', 'value': phone}, {'field': 'BillingStreet', 'value': address}, {'field': 'BillingCity', 'value': city},
+      {'field': 'Description', 'value': substring(description, 1, 32000)}, {'field': 'Phone', 'value': phone}, {'field': 'BillingStreet', 'value': address}, {'field': 'BillingCity', 'value': city},
       {'field': 'BillingState', 'value': state}, {'field': 'BillingCountry', 'value': country},
       {'field': 'NumberOfEmployees', 'value': CAST(TRY_CAST(split_part(replace(employee_text, '+', ''), '-', 1) AS BIGINT) AS VARCHAR)},
       {'field': 'AnnualRevenue', 'value': CASE company_id % 5 WHEN 0 THEN (company_id % 90 + 1) || '500000000' WHEN 1 THEN (company_id % 900 + 1) || '000000' WHEN 3 THEN (company_id % 50 + 1) || '250000000' END},
@@ -270,7 +270,7 @@ def with_people(c):
       {'field': 'CeoName', 'value': CASE WHEN lead_title LIKE '%CEO%' THEN coalesce(ceo_name, 'Bo Kim') ELSE 'Dee Fox' END}]) AS p FROM company)
     SELECT company_id, p.field AS field, p.value AS value FROM f WHERE p.value IS NOT NULL""")
 def crm_account_fields(spark, sf):
-    a = crm.account_rows(with_people(views.companies(spark, sf)), description_limit=40)
+    a = crm.account_rows(with_people(views.companies(spark, sf)))
     return a.select("company_id", F.explode("fields").alias("field", "value"))
 
 

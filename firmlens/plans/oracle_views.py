@@ -67,8 +67,8 @@ VIEW_SQL: dict[str, tuple[str, str]] = {
         o_orderkey % 3 <> 0 AS has_contact, CAST(o_orderkey % 4 AS INT) AS n_social,
         CAST(o_orderkey % 5 AS INT) AS n_people FROM orders"""),
     "serp": ("page", """SELECT lang AS query, CAST((rank_all - 1) // 10 + 1 AS INT) AS page,
-        CAST((rank_all - 1) % 10 + 1 AS INT) AS rank, page_id, url, host, title, description
-        FROM (SELECT *, substring(text, 1, 160) AS description,
+        CAST((rank_all - 1) % 10 + 1 AS INT) AS rank, page_id, url, host, title
+        FROM (SELECT *,
           row_number() OVER (PARTITION BY lang ORDER BY page_id) AS rank_all FROM page)"""),
     "source_record": ("", """SELECT l_partkey AS company,
         concat_ws('/', lpad(l_orderkey::VARCHAR, 12, '0'), l_linenumber::VARCHAR, lpad(l_suppkey::VARCHAR, 8, '0'),

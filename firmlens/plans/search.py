@@ -106,24 +106,23 @@ def blocked_pages(spark, sf):
     return p.unionByName(d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(captcha).alias("captcha"), F.count_if(blocked).alias("blocked"))
 
 
-@query("merged_ranks", "serp", """SELECT query, page, rank, page_id, row_number() OVER (PARTITION BY query ORDER BY page, rank) AS merged_rank FROM serp WHERE page_id % 5 <> 0""")
+@query("merged_ranks", "serp", """SELECT query, page, rank, page_id, row_number() OVER (PARTITION BY query ORDER BY page, rank) AS merged_rank FROM serp""")
 def merged_ranks(spark, sf):
-    kept = views.serp_results(spark, sf).filter("page_id % 5 <> 0").select("query", "page", "rank", "page_id")
-    return search.merged_ranks(kept, ["query"])
+    return search.merged_ranks(views.serp_results(spark, sf).select("query", "page", "rank", "page_id"), ["query"])
 
 
 @query("merge_summary", "serp", """asked AS (SELECT query, (page - 1) // 5 AS request_no, page, min(page_id) AS first_id FROM serp GROUP BY ALL),
-    kept AS (SELECT query, page, count(*) AS found FROM serp WHERE page % 4 <> 0 GROUP BY ALL)
-    SELECT a.query, request_no, count(*) AS pages_requested, count(*) FILTER (a.page % 4 <> 0) AS pages_fetched, CAST(sum(coalesce(found, 0)) AS BIGINT) AS total_results,
+    kept AS (SELECT query, page, count(*) AS found FROM serp GROUP BY ALL)
+    SELECT a.query, request_no, count(*) AS pages_requested, count(*) FILTER (a.page % 4 <> 0) AS pages_fetched, CAST(sum(CASE WHEN a.page % 4 <> 0 THEN found ELSE 0 END) AS BIGINT) AS total_results,
     arg_min(first_id * 10, a.page) FILTER (first_id % 2 = 0 AND a.page % 4 <> 0) AS estimate,
-    string_agg(CAST(a.page AS VARCHAR), ',' ORDER BY a.page) FILTER (coalesce(found, 0) > 0) AS pages_included
+    string_agg(CAST(a.page AS VARCHAR), ',' ORDER BY a.page) FILTER (found > 0 AND a.page % 4 <> 0) AS pages_included
     FROM asked a LEFT JOIN kept k ON a.query = k.query AND a.page = k.page GROUP BY ALL""")
 def merge_summary(spark, sf):
     s = views.serp_results(spark, sf).withColumn("request_no", F.expr("(page - 1) div 5"))
     asked = s.groupBy("query", "request_no", "page").agg(F.min("page_id").alias("first_id")).select(
         "query", "request_no", "page", (F.col("page") % 4 != 0).alias("fetched"),
         F.when((F.col("first_id") % 2 == 0) & (F.col("page") % 4 != 0), F.col("first_id") * 10).alias("estimate"))
-    out = search.merge_summary(s.filter("page % 4 <> 0"), asked, ["query", "request_no"])
+    out = search.merge_summary(s, asked, ["query", "request_no"])
     return out.withColumn("pages_included", F.array_join("pages_included", ","))
 
 
@@ -178,7 +177,7 @@ _CANDIDATES = """cand AS (SELECT page_id, page_id // 8 AS request_id, CAST(page_
       WHEN 3 THEN 'https://en.wikipedia.org/wiki/Firm' WHEN 4 THEN 'https://firm-' || (page_id // 8) || '-shop.net/x' WHEN 5 THEN 'https://www.firm' || (page_id // 8) || '.com/about'
       ELSE 'https://www.facebook.com/firm' END AS url,
     CASE WHEN page_id % 3 = 0 THEN 'Firm ' || (page_id // 8) || ' contact and funding' ELSE title END AS title,
-    CASE WHEN page_id % 5 = 0 THEN 'Firm ' || (page_id // 8) || ' is a company' ELSE substring(text, 1, 80) END AS description FROM page)"""
+    CASE WHEN page_id % 5 = 0 THEN 'Firm ' || (page_id // 8) || ' is a company' ELSE text END AS description FROM page)"""
 
 
 def _any(field, words):
@@ -207,7 +206,7 @@ def candidates(spark, sf):
         .when(k % 7 == 4, F.concat(F.lit("https://firm-"), rs, F.lit("-shop.net/x"))).when(k % 7 == 5, F.concat(F.lit("https://www.firm"), rs, F.lit(".com/about")))
         .otherwise("https://www.facebook.com/firm").alias("url"),
         F.when(k % 3 == 0, F.concat(F.lit("Firm "), rs, F.lit(" contact and funding"))).otherwise(F.col("title")).alias("title"),
-        F.when(k % 5 == 0, F.concat(F.lit("Firm "), rs, F.lit(" is a company"))).otherwise(F.substring("text", 1, 80)).alias("description"))
+        F.when(k % 5 == 0, F.concat(F.lit("Firm "), rs, F.lit(" is a company"))).otherwise(F.col("text")).alias("description"))
 
 
 def scored(spark, sf):
@@ -223,9 +222,9 @@ def address_priorities(spark, sf):
     return scored(spark, sf).select("page_id", "request_id", "url", F.round("priority", 6).alias("priority"))
 
 
-@query("first_results", "page", _CANDIDATES + """ SELECT request_id, query_no, rank, url FROM (SELECT *, row_number() OVER (PARTITION BY request_id, query_no ORDER BY rank) AS k FROM cand) WHERE k <= 3""")
+@query("first_results", "page", _CANDIDATES + """ SELECT request_id, query_no, rank, url FROM (SELECT *, row_number() OVER (PARTITION BY request_id, query_no ORDER BY rank) AS k FROM cand) WHERE k <= 5""")
 def first_results(spark, sf):
-    return search.first_results(candidates(spark, sf).select("request_id", "query_no", "rank", "url"), ["request_id", "query_no"], 3)
+    return search.first_results(candidates(spark, sf).select("request_id", "query_no", "rank", "url"), ["request_id", "query_no"])
 
 
 @query("best_addresses", "page", _PRIORITY + " SELECT request_id, url, round(max(priority), 6) AS priority FROM scored GROUP BY ALL")
@@ -233,17 +232,18 @@ def best_addresses(spark, sf):
     return search.best_addresses(scored(spark, sf)).select("request_id", "url", F.round("priority", 6).alias("priority"))
 
 
-@query("crawl_shortlist", "page", _PRIORITY + """, b AS (SELECT request_id, url, max(round(priority, 6)) AS priority, min(query_no * 100 + rank) AS seen FROM scored GROUP BY ALL)
+@query("crawl_shortlist", "page", _PRIORITY + """, t AS (SELECT *, row_number() OVER (PARTITION BY request_id, query_no ORDER BY rank) AS k FROM scored),
+    b AS (SELECT request_id, url, max(round(priority, 6)) AS priority, min(query_no * 100 + rank) AS seen FROM t WHERE k <= 5 GROUP BY ALL)
     SELECT request_id, url, priority, position FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY priority DESC, seen, url) AS position FROM b)
     WHERE position <= request_id % 4 + 1""")
 def crawl_shortlist(spark, sf):
-    s = scored(spark, sf).withColumn("priority", F.round("priority", 6))
-    best = search.best_addresses(s).withColumn("max_pages_to_crawl", F.col("request_id") % 4 + 1)
+    first = search.first_results(scored(spark, sf), ["request_id", "query_no"])
+    best = search.best_addresses(first.withColumn("priority", F.round("priority", 6))).withColumn("max_pages_to_crawl", F.col("request_id") % 4 + 1)
     return search.crawl_shortlist(best).select("request_id", "url", "priority", "position")
 
 
 _CRAWLED = """crawled AS (SELECT page_id, url, page_id % 9 <> 0 AS success, CASE WHEN page_id % 3 = 0 THEN html WHEN page_id % 3 = 1 THEN '' END AS cleaned_html,
-    CASE WHEN page_id % 5 = 0 THEN left(text, 90) ELSE text END AS markdown FROM page),
+    CASE WHEN page_id % 5 = 0 THEN 'Page ' || page_id ELSE text END AS markdown FROM page),
     chosen AS (SELECT *, coalesce(nullif(cleaned_html, ''), nullif(markdown, ''), '') AS content FROM crawled)"""
 
 
@@ -251,7 +251,7 @@ def crawled(spark, sf):
     k = F.col("page_id")
     return views.pages(spark, sf).select(
         "page_id", "url", (k % 9 != 0).alias("success"), F.when(k % 3 == 0, F.col("html")).when(k % 3 == 1, "").alias("cleaned_html"),
-        F.when(k % 5 == 0, F.substring("text", 1, 90)).otherwise(F.col("text")).alias("markdown"))
+        F.when(k % 5 == 0, F.concat(F.lit("Page "), k.cast("string"))).otherwise(F.col("text")).alias("markdown"))
 
 
 @query("usable_pages", "page", _CRAWLED + """ SELECT page_id, md5(content) AS content_md5, CASE WHEN NOT success THEN 'crawl_failed'

@@ -71,7 +71,13 @@ def stream_crawl_tracker(spark, sf):
     return monitors.finished(monitors.crawl_tracker(log, "client", "client long", limit=1))
 
 
-@query("stream_abuse_profiles")
+@query("stream_abuse_profiles", "req", """g AS (SELECT *, us - lag(us) OVER (PARTITION BY client ORDER BY us, event_id) AS gap FROM req),
+    s AS (SELECT *, count(*) FILTER (gap IS NULL OR gap > 86400000000) OVER (PARTITION BY client ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS visit FROM g),
+    u AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (is_error) OVER w AS wrong, min(us) OVER w AS since, len(list_distinct(list(endpoint) OVER w)) AS endpoints,
+      len(list_distinct(list(agent) OVER w)) AS agents, var_pop(gap / 1e6) OVER (PARTITION BY client, visit ORDER BY us, event_id ROWS 9 PRECEDING) AS variance
+      FROM s WINDOW w AS (PARTITION BY client, visit ORDER BY us, event_id ROWS UNBOUNDED PRECEDING))
+    SELECT client, event_id, us, round(CASE WHEN n / greatest((us - since) / 3600e6, 0.1::DOUBLE) > 0.5 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN endpoints > 3 THEN 0.2::DOUBLE ELSE 0 END
+      + CASE WHEN agents > 10 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN wrong / n > 0.1 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN n > 11 AND variance < 4e8 THEN 0.1::DOUBLE ELSE 0 END, 6) AS score FROM u""")
 def stream_abuse_profiles(spark, sf):
     """Running scores; the batch form is ``abuse_profiles``."""
     limits = {"per_hour": 0.5, "endpoints": 3, "agents": 10, "errors": 0.1, "variance": 4e8}

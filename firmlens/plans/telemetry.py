@@ -343,7 +343,7 @@ def sample_alerts(spark, sf):
 _KINDS = ["rate_limit_error", "search_timeout", "crawl_timeout", "search_api_error", "company_not_found",
           "insufficient_data", "connection_error", "value_error"]
 _KIND_SQL = "([" + ", ".join(f"'{k}'" for k in _KINDS) + "])[agent % 8 + 1]"
-_CLASS_SQL = f"""f AS (SELECT event_id, {_KIND_SQL} AS kind, CASE WHEN event_id % 2 = 0 THEN 'Service unavailable' ELSE 'bad key' END AS msg FROM req WHERE ms > 10),
+_CLASS_SQL = f"""f AS (SELECT event_id, {_KIND_SQL} AS kind, CASE WHEN event_id % 2 = 0 THEN 'Service unavailable' ELSE 'bad key' END AS msg FROM req),
     c AS (SELECT event_id, kind, CASE kind WHEN 'rate_limit_error' THEN 'rate_limit' WHEN 'search_timeout' THEN 'timeout' WHEN 'crawl_timeout' THEN 'timeout'
       WHEN 'search_api_error' THEN CASE WHEN event_id % 2 = 0 THEN 'transient' ELSE 'permanent' END WHEN 'company_not_found' THEN 'not_found'
       WHEN 'insufficient_data' THEN 'data_quality' WHEN 'connection_error' THEN 'transient' ELSE 'permanent' END AS failure_class FROM f)"""
@@ -352,7 +352,7 @@ _CLASS_SQL = f"""f AS (SELECT event_id, {_KIND_SQL} AS kind, CASE WHEN event_id
 def failures(spark, sf):
     kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), F.col("agent") % 8 + 1)
     msg = F.when(F.col("event_id") % 2 == 0, "Service unavailable").otherwise("bad key")
-    return views.events(spark, sf).filter("ms > 10").select("event_id", kind.alias("kind"), msg.alias("message")).withColumn(
+    return views.events(spark, sf).select("event_id", kind.alias("kind"), msg.alias("message")).withColumn(
         "failure_class", telemetry.failure_class(F.col("kind"), F.col("message")))
 
 

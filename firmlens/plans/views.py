@@ -128,12 +128,11 @@ def batch_items(spark, sf) -> DataFrame:
 def serp_results(spark, sf) -> DataFrame:
     """Result pages of ten per query; the query is the page's language."""
     p = pages(spark, sf).select("page_id", "url", "host", "title", F.col("lang").alias("query"),
-                                F.substring("text", 1, 160).alias("description"),
                                 F.floor(F.col("page_id") / 4096).alias("block"))
     r = ordered.row_numbers(p, ["query"], [["block"]], ["page_id"], "rank_all")
     return r.select("query", F.expr("int((rank_all - 1) div 10) + 1").alias("page"),
                     F.expr("int((rank_all - 1) % 10) + 1").alias("rank"),
-                    "page_id", "url", "host", "title", "description")
+                    "page_id", "url", "host", "title")
 
 
 def source_records(spark, sf) -> DataFrame:
