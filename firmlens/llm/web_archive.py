@@ -58,7 +58,8 @@ def payload_digest(payload: Column) -> Column:
 def with_responses(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """Adds payload digest and ``refers_to``, the page whose payload a page repeats (null: none)."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    told = stored(pages.select("page_id", "url", "html", payload_digest(payload).alias("digest"), F.octet_length(payload).cast("bigint").alias("n_bytes")), "captures")
+    # the digest is computed for either use: a stored copy of the pages would take their whole size on disk again
+    told = pages.select("page_id", "url", "html", payload_digest(payload).alias("digest"), F.octet_length(payload).cast("bigint").alias("n_bytes"))
     largest = stored(told.filter(F.col("n_bytes") >= min_bytes).groupBy("digest", "n_bytes").agg(F.max("page_id").alias("largest")), "responses")
     return told.join(largest, ["digest", "n_bytes"], "left").select(
         "page_id", "url", "html", "digest",
