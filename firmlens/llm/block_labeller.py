@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from firmlens.llm.registry import query, table
 
-#: Pages whose words fill the training pages at most, training pages, and passes over them.
-SAMPLE_PAGES, TRAIN_PAGES, PASSES = 100, 400, 70
+#: Pages whose words fill the training pages at most, words taken of each, training pages, and passes over them.
+SAMPLE_PAGES, SAMPLE_WORDS, TRAIN_PAGES, PASSES = 100, 400, 400, 70
 PATH_SLOTS, WORD_SLOTS, NUMBERS, WIDTH, HIDDEN = 1024, 512, 5, 20, 14
 #: Blocks that the network reads together at most (a longer page is read by itself).
 READ_BLOCKS = 60_000
@@ -327,7 +327,7 @@ class PageMaker:
         parts = [f"<h1>{head}</h1>"] if self.pick.random() < 0.9 else []
         texts += [head] if parts else []
         for k in range(self.pick.randint(1, 14)):
-            text = self.sentence(2, 90)
+            text = self.sentence(1, 4) if self.pick.random() < 0.2 else self.sentence(2, 90)
             texts.append(text)
             form = self.pick.random()
             opening = self.pick.choice(["p"] * 12 + ["h2", "h3", "blockquote", "pre", "li", "div", "td"])
@@ -349,10 +349,10 @@ class PageMaker:
         return f"<!DOCTYPE html><html><head><title>{top}</title><style>p{{}}</style></head><body>{body}</body></html>", {" ".join(t.split()) for t in texts}
 
 
-def train(pages: DataFrame, sample: int = SAMPLE_PAGES, made: int = TRAIN_PAGES, seed: int = 7) -> Labeller:
-    """Fit the network on ``made`` pages of the grammar; their words come from at most ``sample`` pages."""
+def train(pages: DataFrame, sample: int = SAMPLE_PAGES, words_each: int = SAMPLE_WORDS, made: int = TRAIN_PAGES, seed: int = 7) -> Labeller:
+    """Fit the network on ``made`` pages of the grammar; their words are ``words_each`` at most of each of ``sample`` pages at most."""
     picked = pages.filter("page_id is not null").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
-    rows = pages.join(F.broadcast(picked), "page_id", "left_semi").select(F.array_distinct(F.slice(F.split(F.regexp_replace("html", "<[^>]*>", " "), r"\s+"), 1, 400)).alias("w")).collect()
+    rows = pages.join(F.broadcast(picked), "page_id", "left_semi").select(F.array_distinct(F.slice(F.split(F.regexp_replace("html", "<[^>]*>", " "), r"\s+"), 1, words_each)).alias("w")).collect()
     words = sorted({w for r in rows for w in r["w"] or [] if w and "<" not in w and "&" not in w and ">" not in w})
     maker, training = PageMaker(words, seed), []
     for _ in range(made):

@@ -215,6 +215,15 @@ def test_block_labels_on_held_out_layouts():
     assert [t for _, t, _ in block_labeller.blocks_of("<p>a &amp;\n b<br>c<p>d<script>x</script>")] == ["a & b c", "d"]
 
 
+def test_article_blocks_of_given_pages(spark):
+    importable(spark)
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = {r["page_id"]: r["text"] for r in block_labeller.extract(pages, block_labeller.train(pages)).collect()}
+    want = {r["page_id"]: "\n".join(t for p, t, _ in block_labeller.blocks_of(r["html"]) if "article" in p) for r in pages.select("page_id", "html").collect()}
+    assert found.keys() == want.keys()
+    assert sum(found[k] != want[k] for k in want) <= 0.01 * len(want)
+
+
 def luhn(digits):
     return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(digits))) % 10 == 0
 
