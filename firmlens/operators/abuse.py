@@ -71,32 +71,57 @@ def in_network(ip: Column, cidr: Column) -> Column:
     return F.floor(ip_number(ip) / size) == F.floor(net / size)
 
 
-def applicable_rules(log: DataFrame, rules: list[tuple]) -> DataFrame:
-    """Requests with each rule that covers them.
-
-    A rule is (name, requests, window seconds, endpoint prefixes, agent parts, exempt networks,
-    priority). Rules are a short configuration list, so each request tests them in place.
-    """
+def covers(prefixes: list[str] | None, agents: list[str] | None, exempt: list[str] | None) -> Column:
+    """Whether a rule covers a request; a missing list asks nothing."""
     def any_of(tests):
         out = F.lit(False)
         for t in tests:
             out = out | F.coalesce(t, F.lit(False))
         return out
+    ok = F.lit(True)
+    if prefixes:
+        ok = ok & any_of(F.startswith(F.col("endpoint"), F.lit(p)) for p in prefixes)
+    if agents:
+        ok = ok & any_of(F.contains(F.lower("user_agent"), F.lit(a.lower())) for a in agents)
+    if exempt:
+        ok = ok & ~any_of(in_network(F.col("ip"), F.lit(n)) for n in exempt)
+    return ok
+
 
-    def covers(prefixes, agents, networks):
-        ok = F.lit(True)
-        if prefixes:
-            ok = ok & any_of(F.startswith(F.col("endpoint"), F.lit(p)) for p in prefixes)
-        if agents:
-            ok = ok & any_of(F.contains(F.lower("user_agent"), F.lit(a.lower())) for a in agents)
-        if networks:
-            ok = ok & ~any_of(in_network(F.col("ip"), F.lit(n)) for n in networks)
-        return ok
+def applicable_rules(log: DataFrame, rules: list[tuple]) -> DataFrame:
+    """Requests with each rule that covers them.
+
+    A rule is (name, requests, window seconds, endpoint prefixes, agent parts, exempt networks,
+    priority). Rules are a short configuration list, so each request tests them in place.
+    """
     hits = [F.when(covers(p, a, n), F.struct(F.lit(name).alias("rule"), F.lit(q).alias("requests"), F.lit(w).alias("window_seconds"),
                                              F.lit(pr).alias("priority"))) for name, q, w, p, a, n, pr in rules]
     return log.withColumn("r", F.explode(F.array_compact(F.array(*hits)))).select(*log.columns, "r.*")
 
 
+def rule_chain(log: DataFrame, keys: list[str], rules: list[tuple], block_seconds: int = 3600, chunk_us: int | None = None) -> DataFrame:
+    """Limiter verdict of each request (``us``, ``event_id``, ``endpoint``, ``score``) under all rules that cover it.
+
+    Rules as in ``applicable_rules``, asked by priority until one denies; a request that no rule covers is allowed.
+    ``score`` is the suspicion score known at the request (null: none). Added columns: ``allowed``, ``rule`` and
+    ``reason`` of the denial, and ``threat_level`` and ``action`` of its security event, all null if allowed.
+    """
+    ranked = sorted(rules, key=lambda r: r[6])
+    mask = sum((F.when(covers(p, a, n), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, _, _, p, a, n, _) in enumerate(ranked)), F.lit(0))
+    longest = max([block_seconds, *(r[2] for r in ranked)]) * SECOND
+    work = log.withColumns({"__mask": mask.cast("long"), "__score": F.coalesce(F.col("score").cast("double"), F.lit(0.0)),
+                            "__chunk": F.floor(F.col("us") / F.lit(chunk_us or max(24 * HOUR, 10 * longest))).cast("long")})
+    scan = sequential.rule_chain_scan([(q, w * SECOND) for _, q, w, *_ in ranked], block_seconds * SECOND)
+    out = sequential.chunked_scan(work, keys, "__chunk", ["us", "event_id"], ["us", "__mask", "__score"], scan, "denied_by int, in_block boolean")
+    denied = F.col("denied_by") >= 0
+    return out.withColumns({
+        "allowed": ~denied, "rule": F.when(denied, F.element_at(F.array(*[F.lit(r[0]) for r in ranked]), F.col("denied_by") + 1)),
+        "reason": F.when(denied, F.when(F.col("in_block"), "client_blocked").otherwise("rate_limit_exceeded")),
+        "threat_level": F.when(denied, F.when(F.col("__score") >= 0.7, "high").otherwise("medium")),
+        "action": F.when(denied, F.when(F.col("__score") > 0.9, f"client_blocked_{block_seconds // 3600}h").otherwise("request_blocked")),
+    }).drop("__mask", "__score", "__chunk", "denied_by", "in_block")
+
+
 def sliding_limit(log: DataFrame, keys: list[str], limit: int, window_seconds: int,
                   chunk_us: int = 24 * HOUR) -> DataFrame:
     """Exact limiter verdict per request: only allowed requests use up the window."""

@@ -43,10 +43,10 @@ DURATION_BUCKETS = [0.1, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 120.0]
 CACHE_SECONDS = {"company": 86400, "serp": 21600, "crawl": 43200, "batch": 21600, "performance": 300,
                  "default": 3600}
 
-# Rule, requests, window seconds, endpoint prefixes, priority.
+# Rule, requests, window seconds, endpoint prefixes, priority (the lowest number is checked first).
 RATE_RULES = [
-    ("burst_protection", 200, 300, None, 5),
     ("search_endpoint_strict", 10, 60, ["/api/v1/search", "/api/v1/search/batch"], 10),
     ("crawl_endpoint_moderate", 20, 60, ["/api/v1/crawl"], 20),
     ("company_endpoint_generous", 50, 60, ["/api/v1/company/extract", "/api/v1/company/batch_extract"], 30),
-    ("global_per_ip", 100, 60, None, 100)]
+    ("global_per_ip", 100, 60, None, 100),
+    ("burst_protection", 200, 300, None, 5)]

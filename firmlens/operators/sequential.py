@@ -35,15 +35,17 @@ def segments(frame: pd.DataFrame, ids: list[str]) -> list[tuple[int, int]]:
     return list(zip(starts, [*starts[1:], len(frame)]))
 
 
-def chunked_scan(df: DataFrame, keys: list[str], chunk: str, order: list[str], time: str,
+def chunked_scan(df: DataFrame, keys: list[str], chunk: str, order: list[str], inputs: str | list[str],
                  scan: Callable, out_fields: str) -> DataFrame:
-    """Run ``scan(state, times) -> (state, {column: values})`` along each key.
+    """Run ``scan(state, *inputs) -> (state, {column: values})`` along each key.
 
+    ``inputs`` names the columns whose values the scan is given (one list each), as a rule the time.
     ``state`` is None or a JSON-able value; a scan may be called several times for one chunk, each
     time with the next rows. Keys must not be null. Output: the input columns plus ``out_fields``
     (a DDL list such as ``"allowed boolean"``).
     """
     ids = keys + [chunk]
+    inputs = [inputs] if isinstance(inputs, str) else inputs
     types = dict(df.dtypes)
     id_ddl = ", ".join(f"{c} {types[c]}" for c in ids)
     full_ddl = ", ".join(f"{c} {t}" for c, t in df.dtypes) + ", " + out_fields
@@ -61,7 +63,7 @@ def chunked_scan(df: DataFrame, keys: list[str], chunk: str, order: list[str], t
                         on_end(at, state)
                     start = frame["__state"].iloc[a]
                     at, state = here, (json.loads(start) if isinstance(start, str) else None)
-                state, new = scan(state, frame[time].to_numpy()[a:b].tolist())
+                state, new = scan(state, *(frame[c].to_numpy()[a:b].tolist() for c in inputs))
                 on_rows(new)
             yield frame
         if at is not None:
@@ -89,7 +91,7 @@ def chunked_scan(df: DataFrame, keys: list[str], chunk: str, order: list[str], t
     def exits_of(rows: DataFrame, entries: DataFrame) -> DataFrame:
         return sorted_with(rows, entries).mapInPandas(exit_states, id_ddl + ", state string")
 
-    slim = df.select(*dict.fromkeys(ids + order + [time]))
+    slim = df.select(*dict.fromkeys(ids + order + inputs))
     entries = df.select(*ids).distinct().withColumn("state", F.lit(None).cast("string"))
     exits = checkpointed(exits_of(slim, entries))
     follow = Window.partitionBy(*keys).orderBy(chunk)
@@ -134,6 +136,39 @@ def window_limit_scan(width: int, limit: int):
     return scan
 
 
+def rule_chain_scan(rules: list[tuple[int, int]], block: int):
+    """Limiter rules (limit, width) asked in turn; the first denial ends the check.
+
+    Bit i of a row's mask says that rule i covers it. Each rule counts the requests it let pass itself.
+    A score above 0.8 quarters the limits; a denial at a score above 0.9 blocks the key for ``block``,
+    and a blocked key is denied by the first rule that covers the request.
+    """
+    def scan(state, times, masks, scores):
+        kept, until = state or ([[] for _ in rules], None)
+        kept, denied_by, in_block = [list(q) for q in kept], [], []
+        for t, mask, score in zip(times, masks, scores):
+            blocked, denied = until is not None and t < until, -1
+            for i, (limit, width) in enumerate(rules):
+                if not mask >> i & 1:
+                    continue
+                queue = kept[i]
+                while queue and queue[0] < t - width:
+                    queue.pop(0)
+                if blocked or len(queue) >= (max(1, limit // 4) if score > 0.8 else limit):
+                    denied = i
+                    break
+                queue.append(t)
+            if denied >= 0 and score > 0.9:
+                until = t + block
+            denied_by.append(denied)
+            in_block.append(blocked and denied >= 0)
+        if times:  # what no later request can see is no state
+            kept = [[x for x in q if x >= times[-1] - width] for q, (_, width) in zip(kept, rules)]
+            until = until if until is not None and until > times[-1] else None
+        return ([kept, until] if any(kept) or until is not None else None), {"denied_by": denied_by, "in_block": in_block}
+    return scan
+
+
 def anchored_count_scan(width: int):
     """Counter that restarts at 1 once ``width`` passed since its last restart."""
     def scan(state, times):

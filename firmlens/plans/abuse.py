@@ -71,6 +71,42 @@ def rate_limit_verdicts(spark, sf):
     return abuse.sliding_limit(log, ["client"], 2, 86400, chunk_us=7 * views.DAY_US).select("event_id", "client", "allowed", "remaining")
 
 
+# The fixed rules at the pace of this log, which is slower by about 1440: a minute becomes a day, ten requests become one.
+_CHAIN = [(n, max(1, q // 10), w * 1440, p, None, None, pr) for n, q, w, p, pr in dims.RATE_RULES]
+_CHAIN_LIMITS = {"per_hour": 0.08, "endpoints": 4, "agents": 45, "errors": 0.2, "variance": 4e9}
+
+
+def _chain_sql():
+    """The walk over each client's requests, with one list of passed times per rule."""
+    ranked = list(enumerate(sorted(_CHAIN, key=lambda r: r[6])))
+    hit = ", ".join((" OR ".join(f"path LIKE '{p}%'" for p in r[3]) if r[3] else "true") + f" AS m{i}" for i, r in ranked)
+    quota = ", ".join(f"CASE WHEN score > 0.8 THEN {max(1, r[1] // 4)} ELSE {r[1]} END AS l{i}" for i, r in ranked)
+    old = ", ".join(f"list_filter(w.q{i}, lambda x: x >= r.us - {r[2] * 1_000_000}) AS o{i}" for i, r in ranked)
+    first = "CASE " + " ".join(f"WHEN m{i} AND (blocked OR len(o{i}) >= l{i}) THEN {i}" for i, _ in ranked) + " ELSE 99 END AS denied"
+    after = ", ".join(f"CASE WHEN m{i} AND {i} < denied THEN list_append(o{i}, us) ELSE o{i} END AS q{i}" for i, _ in ranked)
+    names = "CASE denied " + " ".join(f"WHEN {i} THEN '{r[0]}'" for i, r in ranked) + " END"
+    empty = ", ".join(f"CAST([] AS BIGINT[]) AS q{i}" for i, _ in ranked)
+    return f"""RECURSIVE {_PROFILE.replace("per_hour > 0.1 ", "per_hour > 0.08 ").replace("error_rate > 0.1 ", "error_rate > 0.2 ").replace("variance < 4e8", "variance < 4e9")},
+    r AS (SELECT *, {hit}, {quota} FROM (SELECT req.event_id, req.client, us, {_PATH_SQL} AS path, score, row_number() OVER (PARTITION BY req.client ORDER BY us, event_id) AS k FROM req JOIN prof ON req.client = prof.client)),
+    walk AS (SELECT client, 0::BIGINT AS k, 0::BIGINT AS event_id, 99 AS denied, false AS blocked, 0::DOUBLE AS score, 0::BIGINT AS until_us, {empty} FROM r WHERE k = 1
+      UNION ALL SELECT client, k, event_id, denied, blocked, score, CASE WHEN denied < 99 AND score > 0.9 THEN us + 86400000000 ELSE until_us END AS until_us, {after}
+      FROM (SELECT *, {first} FROM (SELECT r.*, w.until_us, r.us < w.until_us AS blocked, {old} FROM walk w JOIN r ON r.client = w.client AND r.k = w.k + 1)))
+    SELECT event_id, client, denied = 99 AS allowed, {names} AS rule, CASE WHEN denied < 99 THEN CASE WHEN blocked THEN 'client_blocked' ELSE 'rate_limit_exceeded' END END AS reason,
+    CASE WHEN denied < 99 THEN CASE WHEN score >= 0.7 THEN 'high' ELSE 'medium' END END AS threat_level, CASE WHEN denied < 99 THEN CASE WHEN score > 0.9 THEN 'client_blocked_24h' ELSE 'request_blocked' END END AS action
+    FROM walk WHERE k > 0"""
+
+
+@query("rule_chain_verdicts", "req", _chain_sql())
+def rule_chain_verdicts(spark, sf):
+    """All rules in turn with quartered limits and blocks; scores are the clients' profiles over the log."""
+    e = views.events(spark, sf)
+    paths = F.create_map(*[F.lit(x) for kv in _PATHS.items() for x in kv])
+    log = (e.select("event_id", "client", "us", paths[F.col("endpoint")].alias("endpoint"))
+           .join(abuse.abuse_profiles(e, ["client"], _CHAIN_LIMITS).select("client", "score"), "client", "left"))
+    return abuse.rule_chain(log, ["client"], _CHAIN, block_seconds=86400, chunk_us=10 * views.DAY_US).select(
+        "event_id", "client", "allowed", "rule", "reason", "threat_level", "action")
+
+
 def robots_files(spark, sf):
     p = views.pages(spark, sf).select(urls.site(F.col("url")).alias("domain")).distinct()
     n = F.length("domain") % 4
