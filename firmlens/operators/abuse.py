@@ -106,20 +106,38 @@ def rule_chain(log: DataFrame, keys: list[str], rules: list[tuple], block_second
     ``score`` is the suspicion score known at the request (null: none). Added columns: ``allowed``, ``rule`` and
     ``reason`` of the denial, and ``threat_level`` and ``action`` of its security event, all null if allowed.
     """
-    ranked = sorted(rules, key=lambda r: r[6])
-    mask = sum((F.when(covers(p, a, n), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, _, _, p, a, n, _) in enumerate(ranked)), F.lit(0))
-    longest = max([block_seconds, *(r[2] for r in ranked)]) * SECOND
-    work = log.withColumns({"__mask": mask.cast("long"), "__score": F.coalesce(F.col("score").cast("double"), F.lit(0.0)),
-                            "__chunk": F.floor(F.col("us") / F.lit(chunk_us or max(24 * HOUR, 10 * longest))).cast("long")})
-    scan = sequential.rule_chain_scan([(q, w * SECOND) for _, q, w, *_ in ranked], block_seconds * SECOND)
-    out = sequential.chunked_scan(work, keys, "__chunk", ["us", "event_id"], ["us", "__mask", "__score"], scan, "denied_by int, in_block boolean")
+    longest = max([block_seconds, *(r[2] for r in rules)]) * SECOND
+    work = chain_inputs(log, rules).withColumn("chunk", F.floor(F.col("us") / F.lit(chunk_us or max(24 * HOUR, 10 * longest))).cast("long"))
+    out = sequential.chunked_scan(work, keys, "chunk", ["us", "event_id"], ["us", "mask", "score"], chain_scan(rules, block_seconds), CHAIN_FIELDS)
+    return chain_verdicts(out.drop("chunk"), rules, block_seconds)
+
+
+CHAIN_FIELDS = "denied_by int, in_block boolean"
+
+
+def by_priority(rules: list[tuple]) -> list[tuple]:
+    return sorted(rules, key=lambda r: r[6])
+
+
+def chain_inputs(log: DataFrame, rules: list[tuple]) -> DataFrame:
+    """The log with ``mask``, whose bit i says that the rule of rank i covers the request, and without missing scores."""
+    bits = [F.when(covers(p, a, n), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, _, _, p, a, n, _) in enumerate(by_priority(rules))]
+    return log.withColumns({"mask": sum(bits, F.lit(0)).cast("long"), "score": F.coalesce(F.col("score").cast("double"), F.lit(0.0))})
+
+
+def chain_scan(rules: list[tuple], block_seconds: int):
+    return sequential.rule_chain_scan([(q, w * SECOND) for _, q, w, *_ in by_priority(rules)], block_seconds * SECOND)
+
+
+def chain_verdicts(scanned: DataFrame, rules: list[tuple], block_seconds: int) -> DataFrame:
+    """Names of the denying rules, reasons, and the security events' levels and actions."""
     denied = F.col("denied_by") >= 0
-    return out.withColumns({
-        "allowed": ~denied, "rule": F.when(denied, F.element_at(F.array(*[F.lit(r[0]) for r in ranked]), F.col("denied_by") + 1)),
+    return scanned.withColumns({
+        "allowed": ~denied, "rule": F.when(denied, F.element_at(F.array(*[F.lit(r[0]) for r in by_priority(rules)]), F.col("denied_by") + 1)),
         "reason": F.when(denied, F.when(F.col("in_block"), "client_blocked").otherwise("rate_limit_exceeded")),
-        "threat_level": F.when(denied, F.when(F.col("__score") >= 0.7, "high").otherwise("medium")),
-        "action": F.when(denied, F.when(F.col("__score") > 0.9, f"client_blocked_{block_seconds // 3600}h").otherwise("request_blocked")),
-    }).drop("__mask", "__score", "__chunk", "denied_by", "in_block")
+        "threat_level": F.when(denied, F.when(F.col("score") >= 0.7, "high").otherwise("medium")),
+        "action": F.when(denied, F.when(F.col("score") > 0.9, f"client_blocked_{block_seconds // 3600}h").otherwise("request_blocked")),
+    }).drop("mask", "denied_by", "in_block")
 
 
 def sliding_limit(log: DataFrame, keys: list[str], limit: int, window_seconds: int,

@@ -72,13 +72,13 @@ def rate_limit_verdicts(spark, sf):
 
 
 # The fixed rules at the pace of this log, which is slower by about 1440: a minute becomes a day, ten requests become one.
-_CHAIN = [(n, max(1, q // 10), w * 1440, p, None, None, pr) for n, q, w, p, pr in dims.RATE_RULES]
+CHAIN = [(n, max(1, q // 10), w * 1440, p, None, None, pr) for n, q, w, p, pr in dims.RATE_RULES]
 _CHAIN_LIMITS = {"per_hour": 0.08, "endpoints": 4, "agents": 45, "errors": 0.2, "variance": 4e9}
 
 
 def _chain_sql():
     """The walk over each client's requests, with one list of passed times per rule."""
-    ranked = list(enumerate(sorted(_CHAIN, key=lambda r: r[6])))
+    ranked = list(enumerate(sorted(CHAIN, key=lambda r: r[6])))
     hit = ", ".join((" OR ".join(f"path LIKE '{p}%'" for p in r[3]) if r[3] else "true") + f" AS m{i}" for i, r in ranked)
     quota = ", ".join(f"CASE WHEN score > 0.8 THEN {max(1, r[1] // 4)} ELSE {r[1]} END AS l{i}" for i, r in ranked)
     old = ", ".join(f"list_filter(w.q{i}, lambda x: x >= r.us - {r[2] * 1_000_000}) AS o{i}" for i, r in ranked)
@@ -96,14 +96,21 @@ def _chain_sql():
     FROM walk WHERE k > 0"""
 
 
-@query("rule_chain_verdicts", "req", _chain_sql())
-def rule_chain_verdicts(spark, sf):
-    """All rules in turn with quartered limits and blocks; scores are the clients' profiles over the log."""
-    e = views.events(spark, sf)
+CHAIN_SQL = _chain_sql()
+
+
+def chain_log(spark, sf, requests):
+    """Requests (batch or stream) on their paths, with the score of the client's profile over the log."""
     paths = F.create_map(*[F.lit(x) for kv in _PATHS.items() for x in kv])
-    log = (e.select("event_id", "client", "us", paths[F.col("endpoint")].alias("endpoint"))
-           .join(abuse.abuse_profiles(e, ["client"], _CHAIN_LIMITS).select("client", "score"), "client", "left"))
-    return abuse.rule_chain(log, ["client"], _CHAIN, block_seconds=86400, chunk_us=10 * views.DAY_US).select(
+    profiles = abuse.abuse_profiles(views.events(spark, sf), ["client"], _CHAIN_LIMITS).select("client", "score")
+    return requests.withColumn("endpoint", paths[F.col("endpoint")]).join(profiles, "client", "left")
+
+
+@query("rule_chain_verdicts", "req", CHAIN_SQL)
+def rule_chain_verdicts(spark, sf):
+    """All rules in turn with quartered limits and blocks."""
+    log = chain_log(spark, sf, views.events(spark, sf).select("event_id", "client", "us", "endpoint"))
+    return abuse.rule_chain(log, ["client"], CHAIN, block_seconds=86400, chunk_us=10 * views.DAY_US).select(
         "event_id", "client", "allowed", "rule", "reason", "threat_level", "action")
 
 

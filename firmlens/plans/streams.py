@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from firmlens.plans import views
+from firmlens.plans.abuse import CHAIN, CHAIN_SQL, chain_log
 from firmlens.plans.registry import query
 from firmlens.plans.telemetry import rounded
 from firmlens.sources.captured import EVENT_SCHEMA
@@ -16,29 +16,45 @@ def log_stream(spark, sf):
                     (F.col("event_type") == "error").alias("is_error"), F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("agent"))
 
 
-def _closed(width, delay):
-    """Windows a watermark of ``delay`` has closed by the end of the log."""
-    return f"(slot + {width}) <= (SELECT (max(us) - {delay}) // 1000 * 1000 FROM req)"
+def _rollup_sql(minutes):
+    """Windows of so many minutes that start every minute."""
+    return f"""s AS (SELECT endpoint, (us // 60000000 - i) * 60000000 AS slot, ms FROM req, range(0, {minutes}) t(i))
+    SELECT endpoint, slot AS window_us, count(*) AS n, round(sum(ms), 4) AS total, min(ms) AS least, max(ms) AS most FROM s GROUP BY ALL"""
 
 
-@query("stream_rollups", "req", f"""w AS (SELECT endpoint, us // 3600000000 * 3600000000 AS slot, count(*) AS n, sum(ms) AS total, min(ms) AS least, max(ms) AS most FROM req GROUP BY ALL)
-    SELECT endpoint, slot AS window_us, n, round(total, 4) AS total, least, most FROM w WHERE {_closed(3600000000, 600000000)}""")
+@query("stream_rollups", "req", _rollup_sql(1))
 def stream_rollups(spark, sf):
-    return rounded(monitors.finished(monitors.rollups(log_stream(spark, sf), ["endpoint"], "ms", "1 hour")), "total", digits=4)
+    return rounded(monitors.finished_windows(monitors.rollups(log_stream(spark, sf), ["endpoint"], "ms"), ["endpoint"]), "total", digits=4)
 
 
-@query("stream_error_ratios", "req", f"""w AS (SELECT client % 10 AS service, us // 21600000000 * 21600000000 AS slot, count(*) AS n, count(*) FILTER (is_error) AS hits FROM req GROUP BY ALL)
-    SELECT service, slot AS window_us, n, hits, round(hits / n, 6) AS ratio FROM w WHERE {_closed(21600000000, 600000000)}""")
+@query("stream_recent_view", "req", _rollup_sql(5))
+def stream_recent_view(spark, sf):
+    """The last five minutes, as seen every minute."""
+    return rounded(monitors.finished_windows(monitors.rollups(log_stream(spark, sf), ["endpoint"], "ms", "5 minutes", "1 minute"), ["endpoint"]), "total", digits=4)
+
+
+@query("stream_error_ratios", "req", """w AS (SELECT client % 10 AS service, us // 300000000 * 300000000 AS slot, count(*) AS n, count(*) FILTER (is_error) AS hits FROM req GROUP BY ALL)
+    SELECT service, slot AS window_us, n, hits, round(hits / n, 6) AS ratio FROM w""")
 def stream_error_ratios(spark, sf):
     log = log_stream(spark, sf).withColumn("service", F.col("client") % 10)
-    return rounded(monitors.finished(monitors.ratios(log, ["service"], F.col("is_error"), "6 hours")), "ratio")
+    return rounded(monitors.finished_windows(monitors.ratios(log, ["service"], F.col("is_error")), ["service"]), "ratio")
+
+
+@query("stream_cache_ratios", "req", """w AS (SELECT endpoint, us // 600000000 * 600000000 AS slot, count(*) AS n, count(*) FILTER (event_id % 3 <> 0) AS hits FROM req GROUP BY ALL)
+    SELECT endpoint, slot AS window_us, n, hits, round(hits / n, 6) AS ratio FROM w""")
+def stream_cache_ratios(spark, sf):
+    return rounded(monitors.finished_windows(monitors.ratios(log_stream(spark, sf), ["endpoint"], F.col("event_id") % 3 != 0, "10 minutes"), ["endpoint"]), "ratio")
 
 
-@query("stream_service_levels", "req", f"""s AS (SELECT endpoint, (us // 300000000 - i) * 300000000 AS slot, ms FROM req, range(0, 12) t(i)),
+def _level_sql(slots):
+    return f"""s AS (SELECT endpoint, (us // 300000000 - i) * 300000000 AS slot, ms FROM req, range(0, {slots}) t(i)),
     w AS (SELECT endpoint, slot, count(*) AS n, avg(ms) AS mean FROM s GROUP BY ALL)
-    SELECT endpoint, slot AS window_us, n, round(mean, 8) AS mean, CASE WHEN mean <= 30 THEN 'meeting' WHEN mean <= 60 THEN 'at_risk' ELSE 'breach' END AS status FROM w WHERE {_closed(3600000000, 600000000)}""")
+    SELECT endpoint, slot AS window_us, n, round(mean, 8) AS mean, CASE WHEN mean <= 30 THEN 'meeting' WHEN mean <= 60 THEN 'at_risk' ELSE 'breach' END AS status FROM w"""
+
+
+@query("stream_service_levels", "req", _level_sql(12))
 def stream_service_levels(spark, sf):
-    return rounded(monitors.finished(monitors.service_levels(log_stream(spark, sf), ["endpoint"], "ms", 30.0, 60.0)), "mean", digits=8)
+    return rounded(monitors.finished_windows(monitors.service_levels(log_stream(spark, sf), ["endpoint"], "ms", 30.0, 60.0), ["endpoint"]), "mean", digits=8)
 
 
 @query("stream_alert_cooldown", "req", """RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY us, event_id) AS k FROM req WHERE ms > 50),
@@ -58,6 +74,13 @@ def stream_rate_limits(spark, sf):
     return monitors.finished(monitors.rate_limits(log_stream(spark, sf), ["client"], "client long", 3, 172800))
 
 
+@query("stream_rule_chain", "req", CHAIN_SQL)
+def stream_rule_chain(spark, sf):
+    """The batch form is ``rule_chain_verdicts``; scores of the clients' profiles are joined to the stream."""
+    return monitors.finished(monitors.rule_chain(chain_log(spark, sf, log_stream(spark, sf)), ["client"], "client long", CHAIN, 86400)).select(
+        "event_id", "client", "allowed", "rule", "reason", "threat_level", "action")
+
+
 @query("stream_crawl_tracker", "req", """RECURSIVE r AS (SELECT *, CASE agent % 20 WHEN 0 THEN 24 WHEN 1 THEN 1 ELSE 0 END AS hours, row_number() OVER (PARTITION BY client ORDER BY us, event_id) AS k FROM req),
     walk AS (SELECT client, k, event_id, us, us AS anchor, 1 AS n, CASE WHEN hours > 0 THEN us + hours * 3600000000 ELSE 0 END AS until_us, 'ok' AS verdict FROM r WHERE k = 1
       UNION ALL SELECT r.client, r.k, r.event_id, r.us, CASE WHEN r.us < until_us THEN anchor WHEN r.us - anchor >= 3600000000 THEN r.us ELSE anchor END,

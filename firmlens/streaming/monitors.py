@@ -5,6 +5,7 @@ Event time and watermarks decide what is late; each stateful rule keeps a few nu
 """
 from __future__ import annotations
 
+import json
 import sys
 import uuid
 
@@ -12,8 +13,10 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from firmlens.operators import abuse
 from firmlens.operators.durable import shared_folder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -32,6 +35,23 @@ def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+def finished_windows(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Run a windowed stream over all input there is; every window with its last state, closed by the watermark or not.
+
+    Each micro-batch writes the windows it changed under its number, so a replay overwrites.
+    """
+    spark: SparkSession = stream.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows/batch=-1")
+    done = (stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
+            .foreachBatch(lambda rows, number: rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")).start())
+    done.awaitTermination()
+    ids = [*keys, "window_us"]
+    values = [c for c in stream.columns if c not in ids]
+    rows = spark.read.schema(T.StructType([*stream.schema, T.StructField("batch", T.LongType())])).parquet(f"{folder}/rows")
+    return rows.groupBy(*ids).agg(F.max_by(F.struct(*values), "batch").alias("last")).select(*ids, "last.*").select(*stream.columns)
+
+
 def event_stream(spark: SparkSession, folder: str, schema: str, files: str = "*", files_per_batch: int = 1000) -> DataFrame:
     """Event log files as a stream, with event time in both forms."""
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", files).parquet(folder)
@@ -95,7 +115,7 @@ def alert_cooldown(alerts: DataFrame, keys: list[str], key_ddl: str, wait_second
             sent.append(ok)
             last = t if ok else last
         return (int(last),), rows[sent][[*keys, "event_id", "us"]]
-    return stateful(alerts, keys, f"{key_ddl}, event_id long, us long", "last long", step)
+    return stateful(alerts, keys, f"{key_ddl}, event_id long, us long", "last long", step, wait_seconds * SECOND)
 
 
 def rate_limits(requests: DataFrame, keys: list[str], key_ddl: str, limit: int, window_seconds: int) -> DataFrame:
@@ -110,7 +130,19 @@ def rate_limits(requests: DataFrame, keys: list[str], key_ddl: str, limit: int,
             if ok:
                 kept.append(int(t))
         return (kept,), rows[[*keys, "event_id", "us"]].assign(allowed=allowed)
-    return stateful(requests, keys, f"{key_ddl}, event_id long, us long, allowed boolean", "kept array<long>", step)
+    return stateful(requests, keys, f"{key_ddl}, event_id long, us long, allowed boolean", "kept array<long>", step, window_seconds * SECOND)
+
+
+def rule_chain(requests: DataFrame, keys: list[str], key_ddl: str, rules: list[tuple], block_seconds: int = 3600) -> DataFrame:
+    """Streaming form of ``abuse.rule_chain``; a key's state goes once it is silent for the longest window and block."""
+    scan = abuse.chain_scan(rules, block_seconds)
+
+    def step(state, rows):
+        new, verdicts = scan(json.loads(state[0]) if state and state[0] else None, rows["us"].tolist(), rows["mask"].tolist(), rows["score"].tolist())
+        return (json.dumps(new) if new else "",), rows[[*keys, "event_id", "us", "score"]].assign(**verdicts)
+    longest = max([block_seconds, *(r[2] for r in rules)]) * SECOND
+    out = stateful(abuse.chain_inputs(requests, rules), keys, f"{key_ddl}, event_id long, us long, score double, {abuse.CHAIN_FIELDS}", "state string", step, longest)
+    return abuse.chain_verdicts(out, rules, block_seconds)
 
 
 def crawl_tracker(crawls: DataFrame, key: str, key_ddl: str, limit: int = 100) -> DataFrame:
@@ -133,7 +165,7 @@ def crawl_tracker(crawls: DataFrame, key: str, key_ddl: str, limit: int = 100) -
             if hours:
                 until = int(t) + hours * HOUR
         return (until, anchor, count), rows[[key, "event_id", "us"]].assign(verdict=verdicts)
-    return stateful(crawls, [key], f"{key_ddl}, event_id long, us long, verdict string", "until long, anchor long, n long", step)
+    return stateful(crawls, [key], f"{key_ddl}, event_id long, us long, verdict string", "until long, anchor long, n long", step, 24 * HOUR)
 
 
 def abuse_profiles(requests: DataFrame, key: str, key_ddl: str, limits: dict, idle_hours: int = 24) -> DataFrame:

@@ -1,5 +1,5 @@
 """Streams over an event log in several files, against their batch twins."""
-from firmlens.operators import abuse, telemetry
+from firmlens.operators import abuse, sequential, telemetry
 from firmlens.plans import views
 from firmlens.sources import sinks
 from firmlens.sources.captured import EVENT_SCHEMA
@@ -40,3 +40,34 @@ def test_replays_and_routing(spark, tmp_path):
     raw = monitors.event_stream(spark, folder, EVENT_SCHEMA, "*.parquet", files_per_batch=2).drop("us", "at")
     sinks.route_stream(raw, str(tmp_path / "routed"), str(tmp_path / "progress")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "routed" / "all")).count() == views.events(spark, SF).count()
+
+
+RULES = [("all", 2, 86400, None, None, None, 9), ("searches", 1, 43200, ["view", "err"], None, None, 1)]
+
+
+def test_rule_chain_over_many_batches_and_chunks(spark, tmp_path):
+    folder = split_log(spark, tmp_path)
+    log = views.events(spark, SF).selectExpr("event_id", "us", "client", "endpoint", "client % 11 / 10D AS score")
+    verdicts = lambda df: {(r["event_id"], r["rule"], r["reason"], r["action"]) for r in df.collect()}
+    want = verdicts(abuse.rule_chain(log, ["client"], RULES, 7200))
+    assert {v[1] for v in want} == {None, "all", "searches"} and {v[2] for v in want} == {None, "client_blocked", "rate_limit_exceeded"}
+    assert verdicts(abuse.rule_chain(log, ["client"], RULES, 7200, chunk_us=86_400_000_000)) == want
+    requests = stream(spark, folder).selectExpr("event_id", "us", "at", "client", "endpoint", "client % 11 / 10D AS score")
+    assert verdicts(monitors.finished(monitors.rule_chain(requests, ["client"], "client long", RULES, 7200))) == want
+
+
+def test_rule_chain_quarters_and_blocks():
+    scan = sequential.rule_chain_scan([(4, 100), (8, 100)], 50)
+    masks, calm, bad = [3] * 6, [0.0] * 6, [0.95] * 6
+    assert scan(None, list(range(6)), masks, calm)[1]["denied_by"] == [-1, -1, -1, -1, 0, 0]
+    state, out = scan(None, list(range(6)), masks, bad)
+    assert out == {"denied_by": [-1, 0, 0, 0, 0, 0], "in_block": [False, False, True, True, True, True]}
+    assert scan(state, [54, 106], [2, 2], [0.0, 0.0])[1] == {"denied_by": [1, -1], "in_block": [True, False]}
+    assert scan(None, [0, 1], [0, 0], [1.0, 1.0])[1]["denied_by"] == [-1, -1]
+
+
+def test_open_windows_are_returned(spark, tmp_path):
+    folder = split_log(spark, tmp_path)
+    got = monitors.finished_windows(monitors.rollups(stream(spark, folder), ["endpoint"], "ms", "7 days"), ["endpoint"])
+    assert sum(r["n"] for r in got.collect()) == views.events(spark, SF).count()
+    assert monitors.finished_windows(monitors.rollups(stream(spark, folder).filter("false"), ["endpoint"], "ms"), ["endpoint"]).count() == 0
