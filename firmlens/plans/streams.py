@@ -1,11 +1,16 @@
 """Streaming jobs run to the end of the event log, comparable with their batch twins."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from firmlens.operators.durable import shared_folder
+from firmlens.plans import views
 from firmlens.plans.abuse import CHAIN, CHAIN_SQL, chain_log
 from firmlens.plans.registry import query
 from firmlens.plans.telemetry import rounded
+from firmlens.sources import sinks
 from firmlens.sources.captured import EVENT_SCHEMA
 from firmlens.streaming import monitors
 
@@ -111,3 +116,12 @@ def stream_abuse_profiles(spark, sf):
 def stream_without_replays(spark, sf):
     log = log_stream(spark, sf)
     return monitors.finished(monitors.without_replays(log.unionByName(log.filter("event_id % 3 = 0"))).select("event_id", "us", "client"))
+
+
+@query("routed_events", "req", """SELECT kind, us // 86400000000 AS day, count(*) AS n FROM (SELECT us, unnest(list_filter(['all', CASE WHEN is_error THEN 'errors' END,
+    CASE WHEN endpoint IN ('purchase', 'signup') THEN 'business' END], lambda x: x IS NOT NULL)) AS kind FROM req) GROUP BY ALL""")
+def routed_events(spark, sf):
+    """The log written by kind and day, and what was read back per folder."""
+    folder = f"{shared_folder(spark)}/routed-{uuid.uuid4().hex}"
+    sinks.route_events(views.logged(spark, sf), folder)
+    return spark.read.parquet(folder).groupBy("kind", F.datediff("day", F.lit("1970-01-01")).cast("long").alias("day")).agg(F.count(F.lit(1)).alias("n"))

@@ -85,7 +85,8 @@ _SLA_NAMES = {"view": "response_time_p95", "purchase": "request_success_rate", "
       ELSE 'breach' END AS status FROM v""")
 def service_level_status(spark, sf):
     names = F.create_map(*[F.lit(x) for kv in _SLA_NAMES.items() for x in kv])
-    samples = views.metrics(spark, sf).withColumn("name", F.try_element_at(names, F.col("name"))).filter("name is not null")
+    longest = max(hours for *_, hours, _ in dims.SERVICE_LEVELS) * 3_600_000_000
+    samples = views.metrics(spark, sf, AS_OF - longest - 1, AS_OF).withColumn("name", F.try_element_at(names, F.col("name"))).filter("name is not null")
     levels = dims.frame(spark, dims.SERVICE_LEVELS, dims.SERVICE_LEVELS_DDL)
     return rounded(telemetry.service_levels(samples, levels, AS_OF), "current_value")
 
@@ -138,7 +139,7 @@ def performance_grades(spark, sf):
     FROM (SELECT 'op' || (client % 7) AS operation, 'E' || (agent % 4) AS error_type, us FROM req WHERE is_error)
     WHERE us > {AS_OF} - 744 * 3600000000 AND us <= {AS_OF} GROUP BY 1, 2 ORDER BY errors DESC, 1, 2 LIMIT 10""")
 def top_errors(spark, sf):
-    e = views.events(spark, sf).filter("is_error").select(
+    e = views.events(spark, sf, AS_OF - 744 * 3_600_000_000, AS_OF).filter("is_error").select(
         F.concat(F.lit("op"), (F.col("client") % 7).cast("string")).alias("operation"),
         F.concat(F.lit("E"), (F.col("agent") % 4).cast("string")).alias("error_type"), "us")
     return rounded(telemetry.top_errors(e, AS_OF, keep_hours=744), "per_minute")
@@ -165,7 +166,7 @@ def hourly_performance(spark, sf):
     round(coalesce(avg(ms / 1000), 0), 2) AS avg_seconds
     FROM req WHERE us > {AS_OF} - 3600000000 AND us <= {AS_OF}""")
 def last_hour_performance(spark, sf):
-    t = views.events(spark, sf).filter((F.col("us") > AS_OF - 3_600_000_000) & (F.col("us") <= AS_OF))
+    t = views.events(spark, sf, AS_OF - 3_600_000_000, AS_OF)
     n, ok = F.count(F.lit(1)), F.count_if(~F.col("is_error"))
     return t.agg(n.alias("tasks"), ok.alias("successful"),
                  F.round(F.coalesce(F.try_divide(ok, n) * 100, F.lit(0.0)), 2).alias("success_pct"),

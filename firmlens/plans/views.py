@@ -1,6 +1,8 @@
 """Domain tables derived from the given star-schema, event and page tables."""
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,18 +30,27 @@ def epoch_us(col: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {col})")
 
 
-def events(spark, sf) -> DataFrame:
+def logged(spark, sf, after: int | None = None, until: int | None = None) -> DataFrame:
+    """The event log, or what of it lies in (after, until], in microseconds; the range reaches the scan as time stamps."""
+    log = table(spark, sf, "events")
+    for us, sign in ((after, ">"), (until, "<=")):
+        if us is not None:
+            log = log.filter(f"ts {sign} timestamp_ntz'{datetime(1970, 1, 1) + timedelta(microseconds=us)}'")
+    return log
+
+
+def events(spark, sf, after: int | None = None, until: int | None = None) -> DataFrame:
     """Service request log: who called what, when, how long, with which agent."""
-    return table(spark, sf, "events").select(
+    return logged(spark, sf, after, until).select(
         "event_id", epoch_us("ts").alias("us"), F.col("user_id").alias("client"),
         F.col("event_type").alias("endpoint"), F.col("value").alias("ms"),
         (F.col("event_type") == "error").alias("is_error"),
         F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("agent"))
 
 
-def metrics(spark, sf) -> DataFrame:
+def metrics(spark, sf, after: int | None = None, until: int | None = None) -> DataFrame:
     """Metric samples: one named series per event type."""
-    return table(spark, sf, "events").select(
+    return logged(spark, sf, after, until).select(
         "event_id", F.col("event_type").alias("name"), "value", epoch_us("ts").alias("us"))
 
 

@@ -69,6 +69,8 @@ def test_sheets_and_routing(spark, tmp_path):
         sinks.write_sheet(views.companies(spark, SF), str(tmp_path / fmt), fmt)
         assert spark.read.format(fmt).load(str(tmp_path / fmt)).count() == flat.count()
     e = views.table(spark, SF, "events")
-    sinks.route_events(e, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out" / "all")).count() == e.count()
-    assert spark.read.parquet(str(tmp_path / "out" / "errors")).count() == e.filter("event_type = 'error'").count()
+    for _ in range(2):  # a re-run replaces
+        sinks.route_events(e, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out" / "kind=all")).count() == e.count()
+    assert spark.read.parquet(str(tmp_path / "out" / "kind=errors")).count() == e.filter("event_type = 'error'").count()
+    assert spark.read.parquet(str(tmp_path / "out" / "kind=business")).count() == e.filter("event_type in ('purchase', 'signup')").count()
