@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmlens.functions import text, urls
+from firmlens.operators.durable import computed_once
 
 
 def messages(*checks: tuple[Column, str]) -> Column:
@@ -117,13 +118,12 @@ def scan_text(df: DataFrame, column: str, max_length: int = 10000) -> DataFrame:
         # A pattern is only tried where its one indispensable character occurs.
         sign = "<" if p.startswith("<") else ":" if p.endswith(":") else "="
         df = df.withColumn("clean_text", F.when(clean.contains(sign), F.regexp_replace(clean, "(?iU)" + p, "")).otherwise(clean))
-    decoded = percent_decoded(F.col("clean_text"))
-    return (df.withColumns({
-                "too_long": F.length(value) > max_length, "sql": matches_any(value, SQL_PATTERNS),
-                "script": F.col("clean_text") != value, "command": matches_any(F.col("clean_text"), COMMAND_PATTERNS),
-                "traversal": matches_any(F.col("clean_text"), TRAVERSAL_PATTERNS),
-                "evasion": F.col("clean_text").contains("%") & (decoded != F.col("clean_text"))
-                & matches_any(decoded, SQL_PATTERNS + SCRIPT_PATTERNS)}))
+    df = computed_once(df, clean_text=clean)
+    decoded = percent_decoded(clean)
+    return computed_once(
+        df, too_long=F.length(value) > max_length, sql=matches_any(value, SQL_PATTERNS), script=clean != value,
+        command=matches_any(clean, COMMAND_PATTERNS), traversal=matches_any(clean, TRAVERSAL_PATTERNS),
+        evasion=clean.contains("%") & (decoded != clean) & matches_any(decoded, SQL_PATTERNS + SCRIPT_PATTERNS))
 
 
 def scan_headers(df: DataFrame) -> DataFrame:
