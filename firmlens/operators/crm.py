@@ -32,6 +32,7 @@ def chief(people: Column) -> Column:
 def account_rows(records: DataFrame, people: str = "people", description_limit: int = 32000) -> DataFrame:
     """Account fields: cut texts, parsed numbers, domain, chief; missing fields are left out of the map."""
     c = F.col
+    # Names of the account fields.
     fields = {
         "Name": c("name"), "Website": c("website"), "Industry": c("industry"), "Description": F.substring("description", 1, description_limit),
         "Phone": c("phone"), "BillingStreet": c("address"), "BillingCity": c("city"), "BillingState": c("state"), "BillingCountry": c("country"),

@@ -22,6 +22,7 @@ def level(score: Column, names: tuple[str, str, str, str]) -> Column:
     return (F.when(score >= 0.8, names[0]).when(score >= 0.6, names[1]).when(score >= 0.4, names[2]).otherwise(names[3]))
 
 
+# Fields of each part of a record.
 BASIC = ["name", "description", "website", "industry", "founded_year"]
 CONTACT = ["email", "phone", "address", "city", "country"]
 EXTRA = ["n_social", "n_people", "revenue"]
