@@ -1,23 +1,30 @@
 """Licence scans: Dice coefficient over word bigrams between passages and licence templates.
 
-A document's lines, its blocks between blank lines and its whole text are normalised (lower case,
-letters and digits) and compared with templates of licence texts and notices. Dice counts repeated
-bigrams as often as they occur. Two bounds come first, and neither can lose a match:
+A document's lines, its blocks between blank lines, its whole text and all runs of its words are
+normalised (lower case, letters and digits) and compared with templates of licence texts and notices.
+Dice counts repeated bigrams as often as they occur. Runs find a licence wherever it stands: over
+several paragraphs or comment lines inside a longer text, wrapped, or inside a long line. A run is
+reported where it is best among the runs that overlap it, unless it lies inside a line, block or whole
+text that matches the same licence; a run inside another one is not counted again. Three bounds come
+first, and none can lose a match:
 
 * Sizes. Dice of at least t needs t / (2 - t) <= size / size of template <= (2 - t) / t, so only
   templates of a fitting size are candidates, and most long texts have none.
 * Key words. A match holds at least t / (2 - t) of a template's bigrams. For each template words are
   chosen that touch more than the rest of its bigrams, so a match holds one of them.
+* Shared bigrams. Runs are sought for templates of which the text holds t / (2 - t) of the bigrams
+  somewhere, and begin and end at bigrams of the template, since others only lower the coefficient.
 
 Null and empty texts match nothing. Rows that repeat a doc_id count as one document. Null doc_ids
 are one document too.
 """
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmlens.llm.registry import query, table
@@ -111,6 +118,47 @@ def key_words(templates: list[tuple[str, str]], min_dice: float = MIN_DICE) -> l
     return list(chosen)
 
 
+def _known(templates: list[tuple[str, str]], low: float, high: float) -> Column:
+    """Templates as structs: size m, numbered and distinct bigrams, how often each occurs, and the bounds of runs."""
+    rows = []
+    for name, text in templates:
+        pairs = bigrams_of(text)
+        m = sum(pairs.values())
+        least = math.ceil(m * low - 1e-9)  # bigrams that a match shares
+        rows.append(F.struct(F.lit(name).alias("licence"), F.lit(m).alias("m"), F.lit(_numbered(text)).alias("own"), F.lit("|".join(pairs)).alias("kinds"),
+                             F.lit(",".join(map(str, pairs.values()))).alias("counts"), F.lit(len(pairs) - m + least).alias("need"),
+                             F.lit(least).alias("least"), F.lit(math.floor(m * high + 1e-9)).alias("reach")))
+    return F.array(*rows)
+
+
+def _runs(min_dice: float) -> Column:
+    """Matching runs of words as (s, e, dice), bigrams s to e; ``hits`` are the places of the template's bigrams in the text."""
+    m, reach, least = F.col("m"), F.col("reach"), F.col("least")
+
+    def best_from(a):
+        begin = F.get("hits", a)["at"]
+
+        def add(acc, y):
+            shared = acc["shared"] + F.when(y["spent"] < a, 1).otherwise(0)
+            dice = 2.0 * shared / (y["at"] - begin + 1 + m)
+            better = dice > acc["dice"]
+            return F.struct(shared.alias("shared"), F.when(better, dice).otherwise(acc["dice"]).alias("dice"), F.when(better, y["at"]).otherwise(acc["e"]).alias("e"))
+
+        start = F.struct(F.lit(0).alias("shared"), F.lit(0.0).alias("dice"), F.lit(-1).alias("e"))
+        return F.aggregate(F.slice("hits", a + 1, reach), start, add, lambda acc: F.struct(begin.alias("s"), acc["e"].alias("e"), acc["dice"].alias("dice")))
+
+    starts = F.filter(F.sequence(F.lit(0), F.size("hits") - least), lambda a: F.get("hits", a + least - 1)["at"] - F.get("hits", a)["at"] < reach)
+    found = F.filter(F.transform(starts, best_from), lambda x: x["dice"] >= min_dice)
+
+    def apart(acc, x):
+        last = F.get(acc, F.size(acc) - 1)
+        return (F.when((F.size(acc) == 0) | (x["s"] > last["e"]), F.concat(acc, F.array(x)))
+                .when(x["dice"] > last["dice"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(x))).otherwise(acc))
+
+    none = F.array().cast("array<struct<s:int,e:int,dice:double>>")
+    return F.when(F.size("hits") >= least, F.aggregate(found, none, apart)).otherwise(none)
+
+
 def scan(documents: DataFrame, templates: list[tuple[str, str]] | None = None, min_dice: float = MIN_DICE) -> DataFrame:
     """(doc_id, licence, dice, n_passages): licences that a passage of the document matches, with the best coefficient."""
     templates = TEMPLATES if templates is None else templates
@@ -119,22 +167,57 @@ def scan(documents: DataFrame, templates: list[tuple[str, str]] | None = None, m
     held = rf"(?<![a-z0-9])(?:{'|'.join(re.escape(w) for w in key_words(templates, min_dice))})(?![a-z0-9])"
     plain = F.regexp_replace(F.lower("text"), r"[^a-z0-9\n]+", " ")
     normal = documents.select("doc_id", F.inline(F.array(F.struct(plain.alias("plain"))))).filter(F.col("plain").rlike(held))
-    passages = F.array_distinct(F.transform(F.concat(F.split("plain", "\n"), F.split("plain", "\n ?\n"), F.array("plain")),
+    # the whole text comes first, so it keeps place 0 where a line or block equals it
+    passages = F.array_distinct(F.transform(F.concat(F.array("plain"), F.split("plain", "\n"), F.split("plain", "\n ?\n")),
                                             lambda p: F.trim(F.regexp_replace(p, r"[ \n]+", " "))))
-    units = normal.select("doc_id", F.explode(passages).alias("unit")).filter(F.col("unit").rlike(held))
+    units = normal.select("doc_id", F.xxhash64("plain").alias("h"), F.posexplode(passages).alias("pos", "unit")).filter(F.col("unit").rlike(held))
     n = F.length("unit") - F.length(F.translate("unit", " ", ""))  # bigrams: one less than words
-    sized = units.withColumn("n", n).filter((F.col("n") >= min(sizes) * low) & (F.col("n") <= max(sizes) * high))
+    fits = (F.col("n") >= min(sizes) * low) & (F.col("n") <= max(sizes) * high)
+    sized = units.withColumn("n", n).filter((F.col("n") >= min(sizes) * low) & ((F.col("n") <= max(sizes) * high) | (F.col("pos") == 0)))
     words = F.split("unit", " ")
     pairs = F.zip_with(F.slice(words, 1, F.col("n")), F.slice(words, 2, F.col("n")), lambda a, b: F.concat_ws(" ", a, b))
     # repeated bigrams are numbered, so that equal numbers of them meet in the intersection
     numbered = F.transform("pairs", lambda p, i: F.concat_ws("#", p, F.size(F.filter(F.slice("pairs", 1, i + 1), lambda q: q == p))))
-    known = F.array(*[F.struct(F.lit(name).alias("licence"), F.lit(size).alias("m"), F.lit(_numbered(text)).alias("own"))
-                      for (name, text), size in zip(templates, sizes)])
-    candidates = (sized.select("doc_id", "unit", "n", pairs.alias("pairs")).select("doc_id", "unit", "n", numbered.alias("pairs"), F.explode(known).alias("t"))
-                  .filter((F.col("n") >= F.col("t.m") * low) & (F.col("n") <= F.col("t.m") * high)))
-    shared = F.size(F.array_intersect("pairs", F.split("t.own", r"\|")))
-    scored = candidates.select("doc_id", "t.licence", "unit", (2.0 * shared / (F.col("n") + F.col("t.m"))).alias("dice")).filter(F.col("dice") >= min_dice)
-    return scored.groupBy("doc_id", "licence").agg(F.max("dice").alias("dice"), F.count_distinct("unit").alias("n_passages"))
+    every = F.split(F.lit("|".join(dict.fromkeys(p for _, t in templates for p in bigrams_of(t)))), r"\|")
+    known = F.filter(_known(templates, low, high), lambda t: ((F.col("n") >= t["m"] * low) & (F.col("n") <= t["m"] * high))
+                     | (F.col("met").isNotNull() & (F.size(F.array_intersect("met", F.split(t["kinds"], r"\|"))) >= t["need"])))
+    candidates = (sized.select("doc_id", "h", "pos", "unit", "n", F.inline(F.array(F.struct(pairs.alias("pairs")))))
+                  .select("doc_id", "h", "pos", "unit", "n", "pairs", F.inline(F.array(F.struct(
+                      F.when(fits, numbered).alias("numbered"), F.when(F.col("pos") == 0, F.array_intersect("pairs", every)).alias("met")))))
+                  .select("doc_id", "h", "pos", "unit", "n", "pairs", "numbered", F.inline(known)))
+    shared = F.size(F.array_intersect("numbered", F.split("own", r"\|")))
+    fit = (F.col("n") >= F.col("m") * low) & (F.col("n") <= F.col("m") * high)
+    cut = F.when(fit, 2.0 * shared / (F.col("n") + F.col("m")))
+    kinds, counts = F.split("kinds", r"\|"), F.split("counts", ",")
+    places = F.filter(F.transform("pairs", lambda p, i: F.struct(i.alias("at"), F.array_position("kind_list", p).cast("int").alias("kind"))), lambda x: x["kind"] > 0)
+
+    def spent(x, j):
+        """With the hit before which no run may begin if this hit is to count: the template has its bigram only so often."""
+        skip = F.greatest(j - F.col("reach"), F.lit(0))
+        before = F.filter(F.transform(F.slice("places", skip + 1, j - skip), lambda y, i: F.when(y["kind"] == x["kind"], skip + i)), lambda i: i.isNotNull())
+        often = F.get("count_list", x["kind"] - 1).cast("int")
+        return F.struct(x["at"].alias("at"), F.coalesce(F.when(F.size(before) >= often, F.get(before, F.size(before) - often)), F.lit(-1)).alias("spent"))
+
+    base = ["doc_id", "h", "unit", "licence", "m", "least", "reach"]
+    placed = candidates.select(*base, F.inline(F.array(F.struct(cut.alias("cut"), kinds.alias("kind_list"), counts.alias("count_list"),
+                               F.when(F.col("pos") == 0, F.col("pairs")).otherwise(F.array().cast("array<string>")).alias("pairs")))))
+    placed = placed.select(*base, "cut", "count_list", F.inline(F.array(F.struct(places.alias("places")))))
+    placed = placed.select(*base, "cut", F.inline(F.array(F.struct(F.transform("places", spent).alias("hits")))))
+    placed = placed.select("doc_id", "h", "unit", "licence", "cut", F.inline(F.array(F.struct(_runs(min_dice).alias("runs")))))
+    texts = F.transform("runs", lambda x: F.struct(F.array_join(F.slice(words, x["s"] + 1, x["e"] - x["s"] + 2), " ").alias("unit"), x["dice"].alias("dice"), F.lit(False).alias("cut")))
+    whole = F.array(F.struct(F.col("unit"), F.col("cut").alias("dice"), F.lit(True).alias("cut")))
+    scored = placed.select("doc_id", "h", "licence", F.explode(F.concat(whole, texts)).alias("p")).filter(F.col("p.dice") >= min_dice)
+
+    def inside(x, y):
+        return F.contains(F.concat(F.lit(" "), y["unit"], F.lit(" ")), F.concat(F.lit(" "), x["unit"], F.lit(" ")))
+
+    # per text, so that the passages compared with each other are those of one text
+    all_ = scored.groupBy("doc_id", "h", "licence").agg(F.collect_set("p").alias("all"))
+    taken = F.filter("all", lambda x: x["cut"] | ~F.exists("all", lambda y: y["cut"] & inside(x, y)))
+    kept = all_.select("doc_id", "licence", F.inline(F.array(F.struct(taken.alias("taken")))))
+    counted = F.filter("taken", lambda x: x["cut"] | ~F.exists("taken", lambda y: (y["unit"] != x["unit"]) & inside(x, y)))
+    best = kept.select("doc_id", "licence", F.array_max(F.transform("taken", lambda x: x["dice"])).alias("dice"), F.explode(F.transform(counted, lambda x: x["unit"])).alias("unit"))
+    return best.groupBy("doc_id", "licence").agg(F.max("dice").alias("dice"), F.count_distinct("unit").alias("n_passages"))
 
 
 def _numbered(text: str) -> str:

@@ -262,6 +262,19 @@ def test_licences(docs):
         assert left < sum(licences.bigrams_of(text).values()) * licences.MIN_DICE / (2 - licences.MIN_DICE)
 
 
+def test_licences_inside_longer_texts(spark):
+    mit = licences.TEMPLATES[0][1].split()
+    body = " ".join(mit[:67]) + ".\n\n" + " ".join(mit[67:87]) + ":\n\n" + " ".join(mit[87:])
+    other = " ".join(f"w{k}" for k in range(120))
+    apache = next(t for name, t in licences.TEMPLATES if name == "Apache-2.0" and len(t) > 100).split()
+    header = "\n#\n".join("# " + " ".join(apache[k:k + 9]) for k in range(0, len(apache), 9))
+    rows = [(1, f"{other}\n\n{body}\n\n{other}"), (2, f"{header}\n\nimport x\n{other}"), (3, f"a b c\nd e Released under the\nMIT License. f g h {other}"),
+            (4, f"{other} licensed under CC BY 4.0 {other}"), (5, f"{body}\n{other}\n{body} {other} software"), (6, f"{other}\n\n{' '.join(mit[:80])}\n\n{other}"), (7, NOTICE)]
+    got = {(r["doc_id"], r["licence"]): (r["dice"], r["n_passages"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got.keys() == {(1, "MIT"), (2, "Apache-2.0"), (3, "MIT"), (4, "CC-BY-4.0"), (5, "MIT"), (7, "MIT")}
+    assert all(dice == 1.0 for dice, _ in got.values()) and got[1, "MIT"][1] == got[5, "MIT"][1] == 1  # equal passages count once
+
+
 def test_quotation_threads(spark):
     importable(spark)
     a, b = "The first message says this at length.\nWith a second line of words.", "A different opening for the talk."
