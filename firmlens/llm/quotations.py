@@ -8,8 +8,8 @@ earliest message of any other conversation. A message replies to the one in its
 which its first-level quotes take most characters (ties: the latest). Threads are followed to their
 root by pointer doubling, and each conversation is numbered thread by thread in order of turns.
 
-Messages that hold a unit are reduced to the earliest per conversation and per unit before any join,
-so a phrase that everybody uses is one row and no pairs arise. Null texts are empty. Units of under
+Messages that hold a unit are reduced to the earliest per conversation, and per unit to those of the
+two smallest conversations, before any join, so a phrase that everybody uses is one row and no pairs arise. Null texts are empty. Units of under
 ``MIN_CHARS`` characters link nothing. Repeated rows (same conversation, turn and text) give repeated
 results; messages without conversation or turn have no links.
 """
@@ -60,15 +60,17 @@ def links(messages: DataFrame) -> DataFrame:
     told = messages.filter("conv_id is not null and turn is not null")
     own = stored(told.select("conv_id", "turn", F.explode(units(unquoted(F.col("text")))).alias("u")).select("conv_id", "turn", F.xxhash64("u").alias("unit")), "units")
     here = stored(own.groupBy("conv_id", "unit").agg(F.min("turn").alias("first_turn")), "here")
-    anywhere = stored(here.groupBy("unit").agg(F.min(F.struct("conv_id", "first_turn")).alias("first")).select(
-        "unit", F.col("first.conv_id").alias("any_conv"), F.col("first.first_turn").alias("any_turn")), "anywhere")
+    # the two smallest conversations of a unit (kept before the shuffle): one of them is not the quoting one
+    holder = F.struct("conv_id", "first_turn")
+    two = here.withColumn("place", F.row_number().over(Window.partitionBy("unit").orderBy("conv_id"))).filter("place <= 2")
+    anywhere = stored(two.groupBy("unit").agg(F.min(holder).alias("one"), F.max(holder).alias("two")), "anywhere")
     quoted = stored(quoted_passages(told).select("conv_id", "turn", "n", "level", F.explode(units(F.col("passage"))).alias("u")).select(
         "conv_id", "turn", "n", "level", F.xxhash64("u").alias("unit"), F.length("u").alias("chars")), "quoted")
     inside = (F.col("first_turn") < F.col("turn"))
-    outside = F.col("any_conv") != F.col("conv_id")
+    other = F.when(F.col("one.conv_id") != F.col("conv_id"), F.col("one")).when(F.col("two.conv_id") != F.col("conv_id"), F.col("two"))
     return (quoted.join(here, ["conv_id", "unit"], "left").join(anywhere, "unit", "left")
-            .withColumn("from_conv", F.when(inside, F.col("conv_id")).when(outside, F.col("any_conv")))
-            .withColumn("from_turn", F.when(inside, F.col("first_turn")).when(outside, F.col("any_turn")))
+            .withColumn("from_conv", F.when(inside, F.col("conv_id")).otherwise(other["conv_id"]))
+            .withColumn("from_turn", F.when(inside, F.col("first_turn")).otherwise(other["first_turn"]))
             .filter("from_conv is not null").select("conv_id", "turn", "n", "level", "unit", "chars", "from_conv", "from_turn"))
 
 

@@ -288,3 +288,14 @@ def test_quotation_threads(spark):
     assert kept[1, 2]["text"] == "I agree." and kept[1, 2]["parent_turn"] == 0 and kept[1, 5]["thread_turn"] == 1 and kept[1, 5]["depth"] == 2
     assert kept[2, 0]["n_sources"] == 1 and kept[2, 0]["parent_turn"] is None
     assert quotations.conversations(df.limit(0)).count() == 0
+
+
+def test_quotations_of_other_conversations(spark):
+    importable(spark)
+    said = "A passage that several people write."
+    rows = [(5, 2, "user", f"> {said}\nnew"), (5, 4, "user", said), (9, 0, "user", said), (7, 3, "user", said), (7, 1, "user", f"> {said}\nmore"), (8, 0, "user", f"> {said}")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {(r["conv_id"], r["turn"], r["from_conv"], r["from_turn"]) for r in quotations.links(df).collect()}
+    assert found == {(5, 2, 7, 3), (7, 1, 5, 4), (8, 0, 5, 4)}  # the smallest other conversation, also where the quoting one is the smallest
+    kept = {(r["conv_id"], r["turn"]): r for r in quotations.conversations(df).collect()}
+    assert kept[5, 2]["n_linked_passages"] == kept[5, 2]["n_sources"] == 1
