@@ -9,8 +9,10 @@ which its first-level quotes take most characters (ties: the latest). Threads ar
 root by pointer doubling, and each conversation is numbered thread by thread in order of turns.
 
 Messages that hold a unit are reduced to the earliest per conversation, and per unit to those of the
-two smallest conversations, before any join, so a phrase that everybody uses is one row and no pairs arise. Null texts are empty. Units of under
-``MIN_CHARS`` characters link nothing. Repeated rows (same conversation, turn and text) give repeated
+two smallest conversations, before any join, so a phrase that everybody uses is one row and no pairs arise. Null texts are empty. Within a
+conversation units of any length with a letter or digit are linked; shorter than ``MIN_CHARS`` characters,
+a part of a passage is linked only where the whole passage is not linked in the conversation. Other conversations are searched for units of at least
+``MIN_CHARS`` characters. Repeated rows (same conversation, turn and text) give repeated
 results; messages without conversation or turn have no links.
 """
 from __future__ import annotations
@@ -23,6 +25,7 @@ from firmlens.llm.registry import query, table
 from firmlens.llm.scratch import stored
 from firmlens.operators.ordered import row_numbers
 
+#: Characters from which a unit is sought in other conversations, and a part beside its linked whole.
 MIN_CHARS = 12
 MARKS = r"^(?:[ \t]*>)+"
 #: Lines that announce a quotation and belong to it.
@@ -36,9 +39,9 @@ def unquoted(text: Column) -> Column:
 
 
 def units(text: Column) -> Column:
-    """Normalised whole, blocks and lines of a passage, each once."""
+    """Normalised whole, blocks and lines of a passage, each once, the whole first."""
     pieces = F.concat(F.array(text), F.split(text, r"\n[ \t]*\n"), F.split(text, "\n"))
-    return F.filter(F.array_distinct(F.transform(pieces, lambda p: F.trim(F.regexp_replace(F.lower(p), r"\s+", " ")))), lambda p: F.length(p) >= MIN_CHARS)
+    return F.filter(F.array_distinct(F.transform(pieces, lambda p: F.trim(F.regexp_replace(F.lower(p), r"\s+", " ")))), lambda p: p.rlike(r"[\p{L}\p{N}]"))
 
 
 def quoted_passages(messages: DataFrame) -> DataFrame:
@@ -58,20 +61,22 @@ def quoted_passages(messages: DataFrame) -> DataFrame:
 def links(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, n, level, unit, chars, from_conv, from_turn): every quoted unit with its origin."""
     told = messages.filter("conv_id is not null and turn is not null")
-    own = stored(told.select("conv_id", "turn", F.explode(units(unquoted(F.col("text")))).alias("u")).select("conv_id", "turn", F.xxhash64("u").alias("unit")), "units")
-    here = stored(own.groupBy("conv_id", "unit").agg(F.min("turn").alias("first_turn")), "here")
+    own = stored(told.select("conv_id", "turn", F.explode(units(unquoted(F.col("text")))).alias("u")).select(
+        "conv_id", "turn", F.xxhash64("u").alias("unit"), (F.length("u") >= MIN_CHARS).alias("long")), "units")
+    here = stored(own.groupBy("conv_id", "unit").agg(F.min("turn").alias("first_turn"), F.max("long").alias("long")), "here")
     # the two smallest conversations of a unit (kept before the shuffle): one of them is not the quoting one
     holder = F.struct("conv_id", "first_turn")
-    two = here.withColumn("place", F.row_number().over(Window.partitionBy("unit").orderBy("conv_id"))).filter("place <= 2")
+    two = here.filter("long").withColumn("place", F.row_number().over(Window.partitionBy("unit").orderBy("conv_id"))).filter("place <= 2")
     anywhere = stored(two.groupBy("unit").agg(F.min(holder).alias("one"), F.max(holder).alias("two")), "anywhere")
-    quoted = stored(quoted_passages(told).select("conv_id", "turn", "n", "level", F.explode(units(F.col("passage"))).alias("u")).select(
-        "conv_id", "turn", "n", "level", F.xxhash64("u").alias("unit"), F.length("u").alias("chars")), "quoted")
+    quoted = stored(quoted_passages(told).select("conv_id", "turn", "n", "level", F.xxhash64("passage").alias("h"), F.posexplode(units(F.col("passage"))).alias("pos", "u")).select(
+        "conv_id", "turn", "n", "level", "h", "pos", F.xxhash64("u").alias("unit"), F.length("u").alias("chars")), "quoted")
     inside = (F.col("first_turn") < F.col("turn"))
     other = F.when(F.col("one.conv_id") != F.col("conv_id"), F.col("one")).when(F.col("two.conv_id") != F.col("conv_id"), F.col("two"))
-    return (quoted.join(here, ["conv_id", "unit"], "left").join(anywhere, "unit", "left")
+    whole = F.max((F.col("pos") == 0) & (F.col("from_conv") == F.col("conv_id"))).over(Window.partitionBy("conv_id", "turn", "n", "h"))
+    return (quoted.join(here.drop("long"), ["conv_id", "unit"], "left").join(anywhere, "unit", "left")
             .withColumn("from_conv", F.when(inside, F.col("conv_id")).otherwise(other["conv_id"]))
             .withColumn("from_turn", F.when(inside, F.col("first_turn")).otherwise(other["first_turn"]))
-            .filter("from_conv is not null").select("conv_id", "turn", "n", "level", "unit", "chars", "from_conv", "from_turn"))
+            .filter("from_conv is not null").withColumn("whole", whole).filter((F.col("pos") == 0) | (F.col("chars") >= MIN_CHARS) | ~F.col("whole")).select("conv_id", "turn", "n", "level", "unit", "chars", "from_conv", "from_turn"))
 
 
 def thread_roots(parents: DataFrame) -> DataFrame:

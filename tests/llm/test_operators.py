@@ -299,3 +299,14 @@ def test_quotations_of_other_conversations(spark):
     assert found == {(5, 2, 7, 3), (7, 1, 5, 4), (8, 0, 5, 4)}  # the smallest other conversation, also where the quoting one is the smallest
     kept = {(r["conv_id"], r["turn"]): r for r in quotations.conversations(df).collect()}
     assert kept[5, 2]["n_linked_passages"] == kept[5, 2]["n_sources"] == 1
+
+
+def test_short_quotations(spark):
+    importable(spark)
+    rows = [(1, 0, "user", "Yes, agreed"), (1, 1, "user", "ok thanks"), (1, 2, "user", "> Yes, agreed\nthen this"), (1, 3, "user", "> 好的\nno source"), (1, 4, "user", "好的"),
+            (1, 5, "user", "> 好的\nhere"), (1, 6, "user", "> ---\n\n> ok thanks\n> and unheard words"), (1, 7, "user", "ok\na longer line of words"),
+            (1, 8, "user", "> ok\n> a longer line of words\nx"), (2, 0, "user", "> ok thanks\nnot from elsewhere"), (1, 9, "user", "ok")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    kept = {(r["conv_id"], r["turn"]): r for r in quotations.conversations(df).collect()}
+    assert {k: r["parent_turn"] for k, r in kept.items() if r["parent_turn"] is not None} == {(1, 2): 0, (1, 5): 4, (1, 6): 1, (1, 8): 7}
+    assert kept[1, 5]["thread_turn"] == 4 and kept[1, 8]["n_sources"] == 1 and kept[2, 0]["n_linked_passages"] == 0
