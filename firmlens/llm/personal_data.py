@@ -30,9 +30,10 @@ STRICT = {
     "card": (r"[0-9](?:[\x20-]?+[0-9])++", None),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
 }
+#: Tokens and names are taken whole at any length; a full stop after a secret is not part of it.
 PROPOSED = {
-    "secret": (r'(?i)(?<![A-Za-z])(?:token|password|passwd|secret|api[_-]?key)\x20?[=:]\x20?"?[0-9A-Za-z_-]{12,200}+"?', None),
-    "mail_words": (r"(?i)(?<![a-z0-9])[a-z0-9._-]{2,64}+\x20?[(\[]at[)\]]\x20?[a-z0-9-]{1,64}+\x20?[(\[]dot[)\]]\x20?[a-z]{2,10}+", None),
+    "secret": (r'(?i)(?<![A-Za-z])(?:token|password|passwd|secret|api[_-]?key)\x20?[=:]\x20?"?[0-9A-Za-z_./+=-]{11,}[0-9A-Za-z_/+=-]"?', None),
+    "mail_words": (r"(?i)(?:\G|(?<![a-z0-9._-]))[a-z0-9._-]{2,}+\x20?[(\[]at[)\]]\x20?[a-z0-9-]++\x20?[(\[]dot[)\]]\x20?[a-z]{2,}+", None),
     "phone_local": (r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])", None),
     "ssn": (r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-"),
     "iban": (r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![0-9A-Za-z])", None),

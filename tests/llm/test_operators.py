@@ -243,6 +243,17 @@ def test_personal_data(docs):
     assert personal_data.personal_data(docs.limit(0)).count() == 0
 
 
+def test_long_secrets_are_taken_whole(spark):
+    importable(spark)
+    token = "aZ09_-" * 700
+    jwt = f"eyJhbGciOi.{token}/+x.{token[:50]}=="
+    user = "long.user-name_" * 20 + "x"
+    texts = [f'api_key="{token}" end', f"token: {jwt}. Then", f"write to {user} [at] example [dot] com now", 'password = "abcdefghijkl"', ".-" * 20000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [texts[r["doc_id"]][x["s"]:x["e"]] for x in r["cands"] if x["kind"] in ("secret", "mail_words")] for r in personal_data.candidates(df, ["doc_id"]).collect()}
+    assert found == {0: [f'api_key="{token}"'], 1: [f"token: {jwt}"], 2: [f"{user} [at] example [dot] com"], 3: [texts[3]], 4: []}
+
+
 def against_sql(df, sql, **tables):
     con = duckdb.connect()
     for name, frame in tables.items():
