@@ -1,7 +1,8 @@
 """Personal data by weak supervision: labelers vote, EM weighs them, a span classifier decides.
 
-Patterns propose spans, the four strict kinds among them. Labelers (pattern checks, gazetteers, the
-characters around a span) each vote for, against or not at all. The votes are counted by pattern
+Patterns propose spans, the four strict kinds among them. Labelers (pattern checks, cue words, the
+characters around a span) each vote for, against or not at all. There is no gazetteer: personal names
+and postal addresses are not proposed. The votes are counted by pattern
 over all documents; expectation-maximisation on those counts estimates how reliable each labeler is
 and how likely each pattern of votes is to be personal data; a logistic span classifier is fitted to
 these probabilities and decides over the spans that the strict kinds do not settle. The strict
