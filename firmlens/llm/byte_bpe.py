@@ -267,7 +267,7 @@ def encode(documents: DataFrame, ranks: str | None = None) -> DataFrame:
 
 
 def decode(tokens: DataFrame, ranks: str | None = None) -> DataFrame:
-    """Adds the bytes of all ids as ``decoded``, put together slice by slice; ``slices`` is not returned."""
+    """Adds the bytes of all ids as ``decoded``, put together id by id; ``slices`` is neither used nor returned."""
     path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

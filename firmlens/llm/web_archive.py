@@ -4,8 +4,9 @@ Pages become WARC records, compressed one by one, in archive files of the shared
 whose payload an earlier-chosen page already holds becomes a revisit record without payload. The
 index has two levels: lines (reversed-host key, page, place of the record) sorted by key and kept in
 compressed blocks, and a sparse directory with the first key of each block. A look-up finds the
-block of a key by binary search in the directory, the line by binary search in the block, and reads
-only the record's byte range.
+block of a key by a filter over the blocks' first and last keys, the line by binary search in the
+block, and reads only the record's byte range. The op5 query does not look up: it reads every block
+and record in turn.
 
 Writers name their files afresh on every attempt and hand over the places of the records; only
 files named in the stored lines belong to the archive, so a lost or repeated task does no harm.
@@ -155,9 +156,9 @@ def find(block: bytes, key: str) -> list[list]:
 
 
 def look_up(index: DataFrame, path: str, urls: list[str]) -> list[tuple[dict[str, str], bytes]]:
-    """Records of a few URLs: binary search in the directory, in the blocks, then range reads.
+    """Records of a few URLs: a filter over the blocks' key bounds, binary search in the blocks, then range reads.
 
-    Only block boundaries that surround the asked keys leave the executors.
+    Only blocks whose key bounds surround the asked keys leave the executors.
     """
     spark = index.sparkSession
     asked = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "url string").select(reversed_host_key(F.col("url"))).collect()]
