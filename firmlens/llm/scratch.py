@@ -12,8 +12,8 @@ def folder(spark: SparkSession, name: str = "table") -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
+def stored(df: DataFrame, name: str = "table", compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet and read it back: the lineage ends here, lost executors cost nothing before it."""
     path = folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
