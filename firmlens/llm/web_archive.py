@@ -3,10 +3,11 @@
 Pages become WARC records, compressed one by one, in archive files of the shared folder. A page
 whose payload an earlier-chosen page already holds becomes a revisit record without payload. The
 index has two levels: lines (reversed-host key, page, place of the record) sorted by key and kept in
-compressed blocks, and a sparse directory with the first key of each block. A look-up finds the
-block of a key by a filter over the blocks' first and last keys, the line by binary search in the
-block, and reads only the record's byte range. The op5 query does not look up: it reads every block
-and record in turn.
+compressed blocks, and a sparse directory with the first line of each block. Index files hold the
+blocks of a range of keys and end with their directory; the first lines of the files, of which there
+are at most ``MAX_PARTS`` at any size, go to the tasks that look up. A look-up searches the files'
+first lines, the directory and the block by bisection, and reads only byte ranges: the directory,
+one block, the records. The op5 query reads every page back this way.
 
 Writers name their files afresh on every attempt and hand over the places of the records; only
 files named in the stored lines belong to the archive, so a lost or repeated task does no harm.
@@ -25,8 +26,9 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,8 @@ from firmlens.llm.scratch import folder, stored
 
 #: Lines of an index block, and bytes after which a new archive file begins.
 BLOCK_LINES, FILE_BYTES = 2000, 256 << 20
+#: Index files at most, so that their first lines are bounded.
+MAX_PARTS = 4096
 #: Payloads of fewer bytes are always written in full.
 MIN_REVISIT_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"
@@ -60,7 +64,7 @@ def with_responses(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> Data
     """Adds payload digest and ``refers_to``, the page whose payload a page repeats (null: none)."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
     # the digest is computed for either use: a stored copy of the pages would take their whole size on disk again
-    told = pages.select("page_id", "url", "html", payload_digest(payload).alias("digest"), F.octet_length(payload).cast("bigint").alias("n_bytes"))
+    told = pages.select(F.col("page_id").cast("bigint"), "url", "html", payload_digest(payload).alias("digest"), F.octet_length(payload).cast("bigint").alias("n_bytes"))
     largest = stored(told.filter(F.col("n_bytes") >= min_bytes).groupBy("digest", "n_bytes").agg(F.max("page_id").alias("largest")), "responses")
     return told.join(largest, ["digest", "n_bytes"], "left").select(
         "page_id", "url", "html", "digest",
@@ -92,128 +96,199 @@ def parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def write_archives(captures: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Writes the records and returns (key, page_id, file, start, size), stored."""
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Writes the records and returns (key, page_id, file, start, size), stored. A task begins a new file after ``file_bytes``."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path)
         store.create_dir(root)
-        for frame in batches:
-            places, out, name, at = [], None, None, 0
-            for page_id, url, html, digest, refers_to in zip(*(frame[c] for c in ("page_id", "url", "html", "digest", "refers_to"))):
+        places, out, name, at = [], None, None, 0
+        for batch in batches:
+            for key, page_id, url, html, digest, refers_to in zip(*(batch.column(c).to_pylist() for c in ("key", "page_id", "url", "html", "digest", "refers_to"))):
                 if out is None:
                     name, at = f"part-{uuid.uuid4().hex}.warc.gz", 0
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
-                raw = gzip.compress(record(_whole(page_id), url, (html or "").encode(), digest, _whole(refers_to)), 1, mtime=0)
+                raw = gzip.compress(record(page_id, url, (html or "").encode(), digest, refers_to), 1, mtime=0)
                 out.write(raw)
-                places.append((name, at, len(raw)))
+                places.append((key, page_id, name, at, len(raw)))
                 at += len(raw)
-                if at >= file_bytes:
+                if at >= file_bytes:  # places are handed over only when their file is closed
                     out.close()
-                    out = None
-            if out is not None:  # places are handed over only when their file is closed
-                out.close()
-            spots = pd.DataFrame(places, columns=["file", "start", "size"])
-            yield pd.concat([frame[["key", "page_id"]].reset_index(drop=True), spots], axis=1)
+                    yield _table(places, LINE)
+                    places, out = [], None
+        if out is not None:
+            out.close()
+            yield _table(places, LINE)
 
     keyed = captures.withColumn("key", reversed_host_key(F.col("url")))
-    return stored(keyed.mapInPandas(write, "key string, page_id bigint, file string, start bigint, size bigint"), "lines")
+    return stored(keyed.mapInArrow(write, "key string, page_id bigint, file string, start bigint, size bigint"), "lines")
 
 
-def _whole(x):
-    return None if x is None or x != x else int(x)
+LINE = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("start", pa.int64()), ("size", pa.int64())])
+PART = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("start", pa.int64()), ("size", pa.int64()), ("n_lines", pa.int64())])
 
 
-def build_index(lines: DataFrame, n_parts: int, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Blocks of sorted lines: (part, first_key, last_key, n_lines, block), stored; without ``block`` it is the directory."""
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-        def packed(rows):
-            text = "\n".join(json.dumps([None if x != x else x for x in r]) for r in rows)
-            return pd.DataFrame([(rows[0][0], rows[-1][0], len(rows), zlib.compress(text.encode(), 6))], columns=["first_key", "last_key", "n_lines", "block"])
 
-        for frame in batches:
-            held += [(k, _whole(p), f, int(a), int(n)) for k, p, f, a, n in frame.itertuples(index=False, name=None)]
-            while len(held) >= block_lines:
-                yield packed(held[:block_lines])
-                held = held[block_lines:]
-        if held:
-            yield packed(held)
-
-    # the salt of page_id splits the lines of one key over several parts
-    ordered = lines.select("key", "page_id", "file", "start", "size").repartitionByRange(n_parts, "key", "page_id").sortWithinPartitions("key", "page_id", "file", "start")
-    return stored(ordered.mapInPandas(blocks, "first_key string, last_key string, n_lines bigint, block binary"), "index")
+def _place(key: str, page_id: int | None) -> tuple[str, int, int]:
+    """Place of a line in the order of the index: by key, then page, pages without id first."""
+    return (key, 0, 0) if page_id is None else (key, 1, page_id)
 
 
-def lines_of(block: bytes) -> list[list]:
-    return [json.loads(line) for line in zlib.decompress(block).decode().split("\n")]
+class Index(NamedTuple):
+    """Folder of archives and index files, and the parts in order: (first place, file, where its directory starts, its size), ``MAX_PARTS`` at most."""
 
+    path: str
+    parts: list[tuple[tuple[str, int, int], str, int, int]]
 
-def find(block: bytes, key: str) -> list[list]:
-    """Lines of a key in a block, by binary search."""
-    lines = lines_of(block)
-    keys = [x[0] for x in lines]
-    return lines[bisect.bisect_left(keys, key):bisect.bisect_right(keys, key)]
 
+def build_index(lines: DataFrame, path: str, n_parts: int, block_lines: int = BLOCK_LINES) -> Index:
+    """Sorts the lines and writes them as compressed blocks, a file per part, each file ending with its directory.
 
-def look_up(index: DataFrame, path: str, urls: list[str]) -> list[tuple[dict[str, str], bytes]]:
-    """Records of a few URLs: a filter over the blocks' key bounds, binary search in the blocks, then range reads.
-
-    Only blocks whose key bounds surround the asked keys leave the executors.
+    The directory holds the first place of every block with its byte range.
     """
-    spark = index.sparkSession
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path)
+        held, out, at, name, directory, n = [], None, 0, f"index-{uuid.uuid4().hex}", [], 0
+
+        def put(rows) -> bytes:
+            raw = zlib.compress("\n".join(map(json.dumps, rows)).encode(), 6)
+            out.write(raw)
+            return raw
+
+        def block(rows) -> int:
+            directory.append((rows[0][0], rows[0][1], at, len(raw := put(rows))))
+            return at + len(raw)
+
+        for batch in batches:
+            held += zip(*(batch.column(f.name).to_pylist() for f in LINE))
+            n += batch.num_rows
+            if held and out is None:
+                store.create_dir(root)
+                out = store.open_output_stream(f"{root}/{name}", compression=None)
+            while len(held) >= block_lines:
+                at = block(held[:block_lines])
+                held = held[block_lines:]
+        if held:
+            at = block(held)
+        if out is not None:
+            size = len(put(directory))
+            out.close()
+            yield _table([(directory[0][0], directory[0][1], name, at, size, n)], PART)
+
+    # the page splits the lines of one key over several parts
+    ordered = lines.select(*[f.name for f in LINE]).repartitionByRange(n_parts, "key", "page_id").sortWithinPartitions("key", "page_id", "file", "start")
+    parts = stored(ordered.mapInArrow(write, "key string, page_id bigint, file string, start bigint, size bigint, n_lines bigint"), "parts")
+    rows = parts.collect()  # one row per part
+    return Index(path, sorted((_place(r["key"], r["page_id"]), r["file"], r["start"], r["size"]) for r in rows))
+
+
+class Finder:
+    """Finds lines: binary search over the parts, in the directory of a part, and in a block, each read by its byte range."""
+
+    def __init__(self, index: Index):
+        self.store, self.root = fs.FileSystem.from_uri(index.path)
+        self.parts = index.parts
+        self.firsts = [p[0] for p in index.parts]
+        self.open: tuple[str, object] = ("", None)
+        self.last: dict[str, tuple] = {}
+
+    def read(self, name: str, start: int, size: int) -> bytes:
+        if self.open[0] != name:
+            self.close()
+            self.open = (name, self.store.open_input_file(f"{self.root}/{name}"))
+        return self.open[1].read_at(size, start)
+
+    def close(self) -> None:
+        if self.open[1] is not None:
+            self.open[1].close()
+        self.open = ("", None)
+
+    def _rows(self, kind: str, name: str, start: int, size: int) -> tuple[list, list]:
+        """Rows of a directory or block and their places; the last of each kind is remembered, as look-ups come in order."""
+        if kind not in self.last or self.last[kind][:2] != (name, start):
+            rows = [json.loads(x) for x in zlib.decompress(self.read(name, start, size)).decode().split("\n")]
+            self.last[kind] = (name, start, rows, [_place(r[0], r[1]) for r in rows])
+        return self.last[kind][2:]
+
+    def lines(self, low: tuple, high: tuple) -> Iterator[list]:
+        """Lines from place ``low`` to place ``high``, both included."""
+        p = max(bisect.bisect_left(self.firsts, low) - 1, 0)
+        while p < len(self.parts) and self.firsts[p] <= high:
+            _, name, start, size = self.parts[p]
+            directory, firsts = self._rows("directory", name, start, size)
+            b = max(bisect.bisect_left(firsts, low) - 1, 0)
+            while b < len(directory) and firsts[b] <= high:
+                rows, places = self._rows("block", name, *directory[b][2:])
+                yield from rows[bisect.bisect_left(places, low):bisect.bisect_right(places, high)]
+                b += 1
+            p += 1
+
+    def records(self, lines: list[list]) -> Iterator[tuple]:
+        """(page_id, header fields, payload) of lines, in the order of their places in the archives."""
+        for _, page_id, name, start, size in sorted(lines, key=lambda x: (x[2], x[3])):
+            yield (page_id, *parsed(gzip.decompress(self.read(name, start, size))))
+
+
+def look_up(index: Index, spark: SparkSession, urls: list[str]) -> list[tuple[dict[str, str], bytes]]:
+    """Records of a few URLs, each found by two binary searches and read by its range."""
     asked = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "url string").select(reversed_host_key(F.col("url"))).collect()]
-    store, root = fs.FileSystem.from_uri(path)
-    found = []
+    finder, found = Finder(index), []
     for key in dict.fromkeys(asked):
-        for row in index.filter((F.col("first_key") <= key) & (F.col("last_key") >= key)).select("block").toLocalIterator():
-            for _, _, name, start, size in find(row["block"], key):
-                with store.open_input_file(f"{root}/{name}") as file:
-                    found.append(parsed(gzip.decompress(file.read_at(size, start))))
+        found += [(fields, payload) for _, fields, payload in finder.records(list(finder.lines((key, 0, 0), (key, 2, 0))))]
+    finder.close()
     return found
 
 
-def read_back(index: DataFrame, path: str) -> DataFrame:
-    """Every record by its index line and byte range: (page_id, record_type, refers_to, digest, payload)."""
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, root = fs.FileSystem.from_uri(path)
-        for frame in batches:
-            for block in frame["block"]:
-                lines = sorted(lines_of(block), key=lambda x: (x[2], x[3]))
-                rows, size, name, file = [], 0, None, None
-                for _, page_id, where, start, length in lines:
-                    if where != name:
-                        if file is not None:
-                            file.close()
-                        name, file = where, store.open_input_file(f"{root}/{where}")
-                    fields, payload = parsed(gzip.decompress(file.read_at(length, start)))
-                    revisit = fields["WARC-Type"] == "revisit"
-                    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:") if revisit else base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                    rows.append((page_id, fields["WARC-Type"], int(fields["X-Refers-To-Page"]) if revisit else None, digest, payload))
-                    size += len(payload)
-                    if size > 16 << 20:
-                        yield _records(rows)
-                        rows, size = [], 0
-                if file is not None:
-                    file.close()
-                if rows:
-                    yield _records(rows)
-
-    return index.select("block").mapInPandas(read, "page_id bigint, record_type string, refers_to bigint, digest string, payload binary")
-
-
-def _records(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["page_id", "record_type", "refers_to", "digest", "payload"])
-    return frame.astype({"page_id": "Int64", "refers_to": "Int64"})
-
-
-def archive(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> tuple[DataFrame, str]:
-    """Writes all pages; returns the index and the folder of the archives."""
+def read_back(index: Index, asked: DataFrame, n_parts: int) -> DataFrame:
+    """Records of the asked (key, page_id), looked up in the index: (page_id, record_type, refers_to, digest, payload).
+
+    The asked keys are dealt out by range, so the look-ups of a task stay within few blocks.
+    """
+    schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("digest", pa.string()), ("payload", pa.binary())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder, lines = Finder(index), []
+
+        def taken() -> Iterator[pa.RecordBatch]:
+            rows, size = [], 0
+            for page_id, fields, payload in finder.records(lines):
+                revisit = fields["WARC-Type"] == "revisit"
+                digest = fields["WARC-Payload-Digest"].removeprefix("sha1:") if revisit else base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                rows.append((page_id, fields["WARC-Type"], int(fields["X-Refers-To-Page"]) if revisit else None, digest, payload))
+                size += len(payload)
+                if size > 16 << 20:
+                    yield _table(rows, schema)
+                    rows, size = [], 0
+            if rows:
+                yield _table(rows, schema)
+
+        for batch in batches:
+            for key, page_id in zip(batch.column("key").to_pylist(), batch.column("page_id").to_pylist()):
+                place = _place(key, page_id)
+                for line in finder.lines(place, place):
+                    lines.append(line)
+                    if len(lines) >= BLOCK_LINES:
+                        yield from taken()
+                        lines = []
+        yield from taken()
+        finder.close()
+
+    dealt = asked.select("key", "page_id").distinct().repartitionByRange(n_parts, "key", "page_id").sortWithinPartitions("key", "page_id")
+    return dealt.mapInArrow(read, "page_id bigint, record_type string, refers_to bigint, digest string, payload binary")
+
+
+def archive(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> tuple[Index, DataFrame]:
+    """Writes all pages; returns the index and the stored lines (key, page_id, file, start, size)."""
     spark = pages.sparkSession
     path = folder(spark, "warc")
     where = path if "://" in path or path.startswith("file:") else f"file://{_absolute(path)}"
     lines = write_archives(with_responses(pages, min_bytes), where)
-    n_parts = max(1, -(-lines.count() // (4 * BLOCK_LINES)))
-    return build_index(lines, n_parts), where
+    return build_index(lines, where, parts_of(lines.count())), lines
+
+
+def parts_of(n_lines: int) -> int:
+    return min(MAX_PARTS, max(1, -(-n_lines // (4 * BLOCK_LINES))))
 
 
 def _absolute(path: str) -> str:
@@ -223,8 +298,11 @@ def _absolute(path: str) -> str:
 
 @query("op5_indexed_archives")
 def op5_indexed_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, path = archive(table(spark, sf_dir, "pages"))
-    records = stored(read_back(index, path).select("page_id", "record_type", "refers_to", "digest", F.octet_length("payload").cast("bigint").alias("n")), "records")
+    pages = table(spark, sf_dir, "pages")
+    index, lines = archive(pages)
+    asked = pages.select(reversed_host_key(F.col("url")).alias("key"), F.col("page_id").cast("bigint").alias("page_id"))
+    found = read_back(index, asked, parts_of(lines.count()))
+    records = stored(found.select("page_id", "record_type", "refers_to", "digest", F.octet_length("payload").cast("bigint").alias("n")), "records")
     responses = stored(records.filter("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to")).agg(F.max("n").alias("held")), "held")
     return records.join(responses, "refers_to", "left").select(
         "page_id", F.when(F.col("record_type") == "response", F.col("n")).otherwise(F.col("held")).alias("payload_bytes"),
