@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +38,7 @@ BLOCK_TAGS = frozenset("""address article aside blockquote body button caption d
 h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead
 title tr ul""".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT_TAGS = frozenset("script style template noscript svg math iframe object canvas".split())
+SILENT_TAGS = frozenset("script style template".split())
 
 
 class Blocks(HTMLParser):
@@ -366,16 +366,16 @@ def extract(pages: DataFrame, labeller: Labeller) -> DataFrame:
     """(page_id, url, text) of every page."""
     weights = labeller.w
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Labeller(weights)
-        for frame in batches:
-            for a in range(0, len(frame), 500):
-                part = frame.iloc[a:a + 500]
-                found = [blocks_of(h) for h in part["html"]]
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                found = [blocks_of(h) for h in part.column("html").to_pylist()]
                 texts = ["\n".join(b[1] for b, keep in zip(blocks, content) if keep) for blocks, content in zip(found, reader.content(found))]
-                yield pd.DataFrame({"page_id": part["page_id"].to_numpy(), "url": part["url"].to_numpy(), "text": texts})
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    return pages.select("page_id", "url", "html").mapInPandas(of, "page_id bigint, url string, text string")
+    return pages.select(F.col("page_id").cast("bigint"), "url", "html").mapInArrow(of, "page_id bigint, url string, text string")
 
 
 @query("op7_recurrent_block_labeller")

@@ -5,15 +5,17 @@ windows) come first; then Viterbi decoding finds the best label sequence of its
 share of word characters in content lines decides whether the document stays.
 
 Nulls and empty texts count as texts without words: base_failed is true. Repeated rows are judged
-each on its own. Columns other than doc_id and text do not matter. Without labelled documents there
+each on its own. Columns other than doc_id and text are not read; those kept pass through as they are. Without labelled documents there
 is no model and the base rules alone decide.
 """
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from firmlens.llm.registry import query, table
 
@@ -244,23 +246,24 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def judge(documents: DataFrame, field: Field | None, min_content: float = MIN_CONTENT, keep: list[str] | None = None) -> DataFrame:
-    """Base counts, content share and verdict of every document; ``keep`` names input columns to carry along."""
+    """Base counts, content share and verdict of every document; ``keep`` names input columns to carry along unread."""
     keep = ["doc_id"] if keep is None else keep
-    chosen = documents.select(*keep, *([] if "text" in keep else ["text"]))
+    chosen = documents.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
     parts = None if field is None else (field.weights, field.move, field.start)
 
     def verdicts(batches):
         model = None if parts is None else Field(*parts)
-        for frame in batches:
-            texts = [t if isinstance(t, str) else None for t in frame["text"]]
-            found = [_judged(texts[a:b], model, min_content) for a, b in chunks(texts)]
-            if found:
-                yield pd.concat([frame[keep].reset_index(drop=True), pd.concat(found, ignore_index=True)], axis=1)
+        for batch in batches:
+            texts = batch.column("__text").to_pylist()
+            for a, b in chunks(texts):
+                found = pa.RecordBatch.from_pandas(_judged(texts[a:b], model, min_content), preserve_index=False)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in keep), *found.columns],
+                                                 [*keep, *found.schema.names])
 
-    types = dict(chosen.dtypes)
-    ddl = ", ".join([f"`{c}` {types[c]}" for c in keep] + [f"{c} bigint" for c in MEASURES]
-                    + ["base_failed boolean", "n_lines bigint", "n_content_lines bigint", "content_share double", "kept boolean"])
-    return chosen.mapInPandas(verdicts, ddl)
+    schema = T.StructType([chosen.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in MEASURES] + [
+        T.StructField("base_failed", T.BooleanType()), T.StructField("n_lines", T.LongType()), T.StructField("n_content_lines", T.LongType()),
+        T.StructField("content_share", T.DoubleType()), T.StructField("kept", T.BooleanType())])
+    return chosen.mapInArrow(verdicts, schema)
 
 
 def _judged(texts: list[str | None], model: Field | None, min_content: float) -> pd.DataFrame:
@@ -287,6 +290,7 @@ def op4_line_field_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the rules keep."""
+    """Keeps the documents that the rules keep; their columns travel as one struct and stay as they are, whatever their names."""
     field = train(docs, table(spark, sf_dir, "labels"))
-    return judge(docs, field, keep=docs.columns).filter("kept").select(*docs.columns)
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    return judge(held, field, keep=["row"]).filter("kept").select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -5,7 +5,7 @@ partitions of bounded size, each packed by best-fit decreasing. Dual feasible fu
 bound on the bins that a partition's lengths need. A partition that reaches its bound is certified;
 the others have a gap. As long as the total is above the bound for all lengths, partitions with gaps
 give up the documents of their unfilled bins (certified ones those of their emptiest bin); these are
-dealt anew, packed again, and kept if they fill fewer bins. Lengths reach the driver as a histogram
+dealt anew, packed again, and kept if they fill fewer bins; if not, another deal is tried. Lengths reach the driver as a histogram
 of at most ``capacity`` rows.
 
 Null and empty texts are documents of the end token alone. Repeated rows are packed each on its own.
@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +27,7 @@ from firmlens.llm.scratch import stored
 
 CAPACITY, END_ID = 4096, 1
 #: Rows that one packing task holds, and rounds of exchange at most.
-PART_ROWS, ROUNDS = 200_000, 4
+PART_ROWS, ROUNDS = 200_000, 8
 #: Words whose ids a Python worker remembers.
 REMEMBERED = 1_200_000
 
@@ -115,18 +115,21 @@ def token_pieces(documents: DataFrame, tokenizer: str | None = None, capacity: i
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     end = np.array([end_id], "<u4").tobytes()
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = word_ids(path)
-        for frame in batches:
+        for batch in batches:
             rows = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"]):
+            for at, text in enumerate(batch.column("text").to_pylist()):
                 ids = memory.ids(text) + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at:at + 4 * capacity]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, part))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
+                for k, start in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[start:start + 4 * capacity]
+                    rows.append((at, k, start // 4, len(part) // 4, part))
+            at, *columns = zip(*rows) if rows else ((),) * 5
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), *[pa.array(c, kind) for c, kind in zip(columns, kinds)]],
+                                             ["doc_id", "piece", "start", "length", "ids"])
 
-    return documents.select("doc_id", "text").mapInPandas(pieces, "doc_id bigint, piece int, start bigint, length bigint, ids binary")
+    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(pieces, "doc_id bigint, piece int, start bigint, length bigint, ids binary")
 
 
 def lower_bound(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -173,54 +176,75 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
     return bins, offsets, np.array(free, np.int64)
 
 
-def packed_partitions(items: DataFrame, size: str, capacity: int, n_rows: int, turn: int, part_rows: int) -> DataFrame:
-    """Adds sequence_id, offset and unfilled (to be given up if bins are to be saved)."""
-    names = [c for c in items.columns if c not in ("sequence_id", "offset", "unfilled")]
+MARKS = ("sequence_id", "offset", "unfilled", "part_bins", "part_bound")
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = [f for f in batches if len(f)]
-        if not frames:
+
+def packed_partitions(items: DataFrame, size: str, capacity: int, n_parts: int, turn: int) -> DataFrame:
+    """Adds sequence_id, offset, the bins and the lower bound of the partition, and unfilled (to be given up if bins are to be saved).
+
+    The first deal spreads the rows evenly; each later one is another deal of the stored rows.
+    """
+    names = [c for c in items.columns if c not in MARKS]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = [b for b in batches if b.num_rows]
+        if not full:
             return
-        frame = pd.concat(frames, ignore_index=True)
-        lengths = frame[size].to_numpy(np.int64)
+        held = pa.Table.from_batches(full)
+        lengths = held.column(size).to_numpy().astype(np.int64)
         bins, offsets, free = best_fit(lengths, capacity)
         values, counts = np.unique(lengths, return_counts=True)
-        certified = len(free) == lower_bound(values, counts, capacity)
+        bound = lower_bound(values, counts, capacity)
         give = free > 0
-        if certified:
+        if len(free) == bound:  # certified
             give &= np.arange(len(free)) == free.argmax()
         base = turn << 56 | TaskContext.get().partitionId() << 32
-        yield frame.assign(sequence_id=bins + base, offset=offsets, unfilled=give[bins])
+        n = len(lengths)
+        for name, column in zip(MARKS, (bins + base, offsets, give[bins], np.full(n, len(free)), np.full(n, bound))):
+            held = held.append_column(name, pa.array(column))
+        yield from held.combine_chunks().to_batches()
 
     types = dict(items.dtypes)
-    ddl = ", ".join([f"`{c}` {types[c]}" for c in names] + ["sequence_id bigint", "offset bigint", "unfilled boolean"])
-    return items.select(*names).repartition(max(1, -(-n_rows // part_rows))).mapInPandas(pack, ddl)
+    ddl = ", ".join([f"`{c}` {types[c]}" for c in names] + ["sequence_id bigint", "offset bigint", "unfilled boolean", "part_bins bigint", "part_bound bigint"])
+    rows = items.select(*names)
+    dealt = rows.repartition(n_parts, F.xxhash64(F.monotonically_increasing_id(), F.lit(turn))) if turn else rows.repartition(n_parts)
+    return dealt.mapInArrow(pack, ddl)
 
 
 def pack(items: DataFrame, size: str = "length", capacity: int = CAPACITY, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """Adds sequence_id and offset to items of 1 to ``capacity`` units; other columns are carried along."""
+    """Adds sequence_id, offset and the certificate: bins (part_bins) and lower bound (part_bound) of the partition that packed the row.
+
+    Items have 1 to ``capacity`` units; other columns are carried along unread, but for those of the names added, which are replaced.
+    Rounds end when the total reaches the bound of all lengths, when one partition holds all that can move, after ``rounds``, or after two
+    deals in a row that saved nothing.
+    """
     items = stored(items, "items")
     seen = items.groupBy(size).agg(F.count(F.lit(1)).alias("n")).collect()  # at most capacity rows
     bound = lower_bound(np.array([r[0] for r in seen]), np.array([r["n"] for r in seen]), capacity)
-    moving = stored(packed_partitions(items, size, capacity, sum(r["n"] for r in seen), 0, part_rows), "packed")
-    done = None
+
+    def parts(n_rows: int) -> int:
+        return max(1, -(-n_rows // part_rows))
 
     def bins(df: DataFrame) -> int:
         return df.filter("offset = 0").count()
 
-    total = bins(moving)
+    moving = stored(packed_partitions(items, size, capacity, parts(sum(r["n"] for r in seen)), 0), "packed")
+    done, total, idle = None, bins(moving), 0
     for turn in range(1, rounds + 1):
-        if total <= bound:
+        if total <= bound or idle == 2:
             break
         given = moving.filter("unfilled")
-        before = bins(given)
-        again = stored(packed_partitions(given, size, capacity, given.count(), turn, part_rows), "packed")
-        saved = before - bins(again)
-        if saved <= 0:
+        n_parts = parts(given.count())
+        again = stored(packed_partitions(given, size, capacity, n_parts, turn), "packed")
+        saved = bins(given) - bins(again)
+        if saved > 0:
+            settled = moving.filter("not unfilled")
+            done = settled if done is None else done.unionByName(settled)
+            moving, total, idle = again, total - saved, 0
+        elif n_parts == 1:
             break
-        settled = moving.filter("not unfilled")
-        done = settled if done is None else done.unionByName(settled)
-        moving, total = again, total - saved
+        else:
+            idle += 1
     return (moving if done is None else done.unionByName(moving)).drop("unfilled")
 
 

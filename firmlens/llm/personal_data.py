@@ -231,10 +231,23 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; personal data in its text is replaced, and n_chars follows where it was the text's length."""
-    model = train(stored(candidates(docs, []), "candidates"))
-    found = decided(candidates(docs, docs.columns), model)
-    held = F.inline(F.array(F.struct(F.when(F.size("spans") > 0, redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text")).alias("__text"))))
-    new = found.select("*", held)
-    length = {"n_chars": F.when(F.col("n_chars") == F.length("text"), F.length("__text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {}
-    return new.select(*[(F.col("__text") if c == "text" else length.get(c, F.col(c))).alias(c) for c in docs.columns])
+    """Every document stays; personal data in its text is replaced, and n_chars follows where it was the text's length.
+
+    Other columns pass through as they are, whatever their names: they travel as one struct. The candidates
+    are stored with the documents, so each text is searched once.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    held = docs.select(F.struct(*columns).alias("row"), F.col("text"))
+    found = stored(candidates(held, ["row", "text"]), "candidates")
+    spans = F.col("spans")
+    new = decided(found, train(found)).select("row", F.inline(F.array(F.struct(
+        F.when(F.size(spans) > 0, redacted(F.col("text"), spans)).otherwise(F.col("text")).alias("new")))))
+    types = dict(docs.dtypes)
+
+    def out(c: str) -> Column:
+        old = F.col("row")[c]
+        if c == "text":
+            return F.col("new")
+        return F.when(old == F.length(F.col("row")["text"]), F.length("new")).otherwise(old).cast(types[c]) if c == "n_chars" else old
+
+    return new.select(*[out(c).alias(c) for c in docs.columns])

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,11 +58,11 @@ def fingerprint(text: str | None) -> int:
 def fingerprints(documents: DataFrame) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
     def of(batches):
-        for frame in batches:
-            fps = np.array([fingerprint(t) for t in frame["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "fp": fps.view(np.int64)})
+        for batch in batches:
+            fps = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return documents.select("doc_id", "text").mapInPandas(of, "doc_id bigint, fp bigint")
+    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(of, "doc_id bigint, fp bigint")
 
 
 def decoder() -> np.ndarray:
@@ -161,4 +162,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # merge joins at every size: the kept ids grow with the input and are never broadcast
     once = docs.join(keep.filter("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
     repeated = docs.join(keep.filter("n > 1").select("doc_id").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated).unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    return once.unionByName(repeated).unionByName(docs.filter("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])

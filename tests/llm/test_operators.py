@@ -169,8 +169,8 @@ def test_archives(spark):
     importable(spark)
     pages = [(1, "http://M.example.com/a?b#c", "<p>é</p>"), (2, "http://m.example.com/a?b", "<p>é</p>"), (3, None, None), (4, "", ""), (5, "https://u@h:80", "x\r\n\r\ny"), (5, "https://u@h:80", "x\r\n\r\ny")]
     df = spark.createDataFrame([(*p, 0) for p in pages], "page_id long, url string, html string, size int")
-    index, path = web_archive.archive(df)
-    got = sorted((r["page_id"], r["record_type"], r["refers_to"], r["digest"], bytes(r["payload"])) for r in web_archive.read_back(index, path).collect())
+    index, lines = web_archive.archive(df)
+    got = sorted((r["page_id"], r["record_type"], r["refers_to"], r["digest"], bytes(r["payload"])) for r in web_archive.read_back(index, lines, 3).collect())
     largest = {}
     for p, _, h in pages:
         largest[h or ""] = max(p, largest.get(h or "", 0))
@@ -179,8 +179,68 @@ def test_archives(spark):
         raw, to = (h or "").encode(), largest[h or ""]
         want.append((p, "response" if to == p else "revisit", None if to == p else to, base64.b32encode(hashlib.sha1(raw).digest()).decode(), raw if to == p else b""))
     assert got == sorted(want, key=repr) or sorted(got, key=repr) == sorted(want, key=repr)
-    assert [f["X-Page-Id"] for f, _ in web_archive.look_up(index, path, ["HTTP://m.example.com/a?b"])] == ["1", "2"]
-    assert web_archive.read_back(*web_archive.archive(df.limit(0))).count() == 0
+    assert [f["X-Page-Id"] for f, _ in web_archive.look_up(index, spark, ["HTTP://m.example.com/a?b"])] == ["1", "2"]
+    assert web_archive.read_back(*web_archive.archive(df.limit(0)), 1).count() == 0
+
+
+def test_index_of_many_blocks(spark):
+    """Repeated keys over several blocks and parts, pages without id, and keys that are not there."""
+    importable(spark)
+    rows = [(f"com,h{k % 7})/{k % 5}", None if k % 9 == 0 else k // 2, f"f{k % 3}", 10 * k, k) for k in range(400)]
+    lines = spark.createDataFrame(rows, "key string, page_id long, file string, start long, size long")
+    path = "file://" + web_archive._absolute(web_archive.folder(spark, "warc"))
+    index = web_archive.build_index(lines, path, 5, block_lines=7)
+    assert 1 < len(index.parts) <= 5
+    finder = web_archive.Finder(index)
+    for key in sorted({r[0] for r in rows}) + ["", "com,h3)", "zzz"]:
+        assert sorted(map(tuple, finder.lines((key, 0, 0), (key, 2, 0))), key=repr) == sorted((r for r in rows if r[0] == key), key=repr)
+    for r in rows[::13]:
+        place = web_archive._place(r[0], r[1])
+        assert sorted(map(tuple, finder.lines(place, place)), key=repr) == sorted((x for x in rows if x[:2] == r[:2]), key=repr)
+    finder.close()
+
+
+def test_large_ids_beside_null_ids(spark):
+    """Ids that no double holds come through every operator in one batch with null ids."""
+    importable(spark)
+    big = [2 ** 53 + 1, None, 2 ** 53 + 3, -(2 ** 53) - 1]
+    texts = ["some words " * 30, "other words", "some words " * 30, None]
+    docs_ = spark.createDataFrame([(i, t) for i, t in zip(big, texts)], "doc_id long, text string").coalesce(1)
+    want = sorted(map(repr, big))
+
+    def ids(df, c="doc_id"):
+        return sorted(repr(r[c]) for r in df.select(c).collect())
+
+    packed = packing.pack(packing.token_pieces(docs_))
+    assert ids(packed) == want and {r["part_bins"] >= r["part_bound"] for r in packed.collect()} == {True}
+    near = simhash.near_duplicates(docs_)
+    assert ids(near) == want
+    assert {r["doc_id"]: r["component_id"] for r in near.collect()}[2 ** 53 + 3] == 2 ** 53 + 1
+    assert ids(line_quality.judge(docs_, None)) == want
+    pages = spark.createDataFrame([(i, f"http://h/{k}", f"<p>{t}</p>") for k, (i, t) in enumerate(zip(big, texts))], "page_id long, url string, html string").coalesce(1)
+    index, lines = web_archive.archive(pages)
+    back = web_archive.read_back(index, lines, 2)
+    assert ids(back, "page_id") == want
+    assert {r["page_id"]: r["refers_to"] for r in back.collect()}[2 ** 53 + 1] == 2 ** 53 + 3
+    maker = block_labeller.PageMaker(["w"], 1)
+    labeller = block_labeller.fit([(block_labeller.blocks_of(maker.page()[0]), None) for _ in range(0)] or [([(("p", "in:p"), "a b.", 0)], [True])], passes=1)
+    assert ids(block_labeller.extract(pages, labeller), "page_id") == want
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    importable(spark)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    body = " ".join(f"word{k}" for k in range(60))
+    names = "doc_id long, text string, kept string, n_words int, base_failed int, cands string, spans string, row int, new string, n_chars long, `a.b` int, n int, fp string, component_id int"
+    rows = [(2 ** 53 + 1, f"{body} mail x@y.zz", "k", 1, 2, "c", "s", 3, "n", len(body) + 12, 4, 5, "f", 6), (None, body, None, None, None, None, None, None, None, 1, None, None, None, None)]
+    df = spark.createDataFrame(rows, names).coalesce(1)
+    one = line_quality.stage(spark, df, str(tmp_path))
+    assert one.columns == df.columns and sorted(map(repr, one.collect())) == sorted(map(repr, df.collect()))
+    two = simhash.stage(spark, one, "")
+    assert two.columns == df.columns and sorted(map(repr, two.collect())) == sorted(map(repr, df.collect()))
+    three = personal_data.stage(spark, two, "").collect()
+    want = [r if r[0] is None else (r[0], f"{body} mail [email]", *r[2:9], len(body) + 13, *r[10:]) for r in rows]
+    assert sorted(repr(tuple(r)) for r in three) == sorted(map(repr, want))
 
 
 def test_nearest_vectors(spark):
