@@ -42,9 +42,9 @@ LENGTH, GRAM = 200, 64
 #: Segments of one key that are sorted together at most; larger groups are halved.
 GROUP = 256
 #: Bytes up to which suffixes are sorted by multikey quicksort, and bytes of segments sorted at a time.
-SHALLOW, BLOCK_BYTES = 24, 1 << 20
+SHALLOW, BLOCK_BYTES = 24, 1 << 19
 #: Bytes hashed at a time: positions must fit 24 bits.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 # --- anchors ---------------------------------------------------------------------------------------------------------
