@@ -1,21 +1,31 @@
 """Cutting lineage so that iterative jobs survive lost executors."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors see: ``spark.checkpoint.dir``, or one in the warehouse where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch").rstrip("/")
-
+    """Folder all executors see: ``spark.checkpoint.dir``, or one in the warehouse of a local session where that is unset.
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so that lost executors cost no recomputation of earlier rounds."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    On a cluster the warehouse may be a folder of the driver alone, so there the setting is asked for.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` below the shared folder and read it back: computed once, and lost executors cost nothing before it."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def computed_once(df: DataFrame, **columns: Column) -> DataFrame:

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from firmlens.operators.durable import stored
+
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Equi-join in which null keys meet null keys; keeps the left key columns."""
@@ -105,43 +107,33 @@ def streaks(df: DataFrame, keys: list[str], levels: list[list[str]], order: list
             .filter(F.col("streak_length") >= min_length))
 
 
-def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column],
-                     bins: int = 1024, levels: int = 2) -> DataFrame:
+def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
     """Exact k-th smallest values per key, at ranks given as expressions over ``n``.
 
-    Equal values are counted map-side first. The value range of a key is cut into ``bins``,
-    prefix sums over the bins find the one that holds a rank, and that bin is cut again;
-    only values of a last, narrow bin are ever sorted together. Two levels tell a million
-    ranges apart, which also serves long-tailed values.
+    Equal values are counted map-side, and the counted values are dealt out by ranges of (key, value)
+    whose bounds come from a sample, so a key with most of the values is spread over many parts. That
+    table is stored. Prefix counts over the parts of a key find the part that holds a rank, and only
+    such parts are sorted, each by itself. The input is read once.
     """
     base = df if keys else df.withColumn("__all", F.lit(0))
     by = keys or ["__all"]
-    freq = base.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(
-        F.count(F.lit(1)).alias("__c"))
-    span = freq.groupBy(*by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__c").alias("n"))
-    targets = span.select(*by, "n", "__lo", "__hi", F.explode(F.array(*[
-        F.struct(F.lit(nm).alias("what"), e.cast("long").alias("rank")) for nm, e in ranks.items()])).alias("__w")
-    ).select(*by, "__lo", "__hi", F.col("__w.what").alias("__what"), F.col("__w.rank").alias("__rank"))
-
-    def inside(targets: DataFrame) -> DataFrame:
-        spans = targets.select(*by, "__lo", "__hi").distinct()
-        return join_null_safe(freq, spans, by, "inner").filter(F.col("__v").between(F.col("__lo"), F.col("__hi")))
-
-    upto = Window.partitionBy(*by, "__lo").orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
-    for _ in range(levels):
-        width = (F.col("__hi") - F.col("__lo")) / F.lit(bins)
-        cell = F.when(width > 0, F.least(F.floor((F.col("__v") - F.col("__lo")) / width), F.lit(bins - 1))).otherwise(0)
-        per_bin = (inside(targets).groupBy(*by, "__lo", cell.cast("int").alias("__bin"))
-                   .agg(F.sum("__c").alias("__bc"), F.min("__v").alias("__blo"), F.max("__v").alias("__bhi"))
-                   .withColumn("__to", F.sum("__bc").over(upto)))
-        rest = F.col("__rank") - F.col("__to") + F.col("__bc")
-        targets = (join_null_safe(targets.drop("__hi"), per_bin, by + ["__lo"], "inner")
-                   .filter((rest > 0) & (F.col("__rank") <= F.col("__to")))
-                   .select(*by, F.col("__blo").alias("__lo"), F.col("__bhi").alias("__hi"), "__what", rest.alias("__rank")))
-    along = Window.partitionBy(*by, "__lo").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside(targets).drop("__hi").withColumn("__to", F.sum("__c").over(along))
-    found = (join_null_safe(targets.drop("__hi"), ranked, by + ["__lo"], "inner")
-             .filter((F.col("__rank") <= F.col("__to")) & (F.col("__rank") > F.col("__to") - F.col("__c"))))
-    stats = found.groupBy(*by).agg(*[F.max(F.when(F.col("__what") == nm, F.col("__v"))).alias(nm) for nm in ranks])
-    out = join_null_safe(span.select(*by, "n"), stats, by)
+    counted = base.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    values = stored(counted.repartitionByRange(*by, "__v").withColumn("__part", F.spark_partition_id()), "values")
+    upto = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
+    parts = values.groupBy(*by, "__part").agg(F.sum("__c").alias("__pc")).withColumns({
+        "__to": F.sum("__pc").over(upto), "n": F.sum("__pc").over(Window.partitionBy(*by))})
+    wanted = F.array(*[F.struct(F.lit(nm).alias("what"), e.cast("long").alias("rank")) for nm, e in ranks.items()])
+    rest = F.col("__w.rank") - F.col("__to") + F.col("__pc")
+    targets = (parts.withColumn("__w", F.explode(wanted)).filter((rest > 0) & (F.col("__w.rank") <= F.col("__to")))
+               .groupBy(*by, "__part", "n").agg(F.map_from_entries(F.collect_list(F.struct("__w.what", rest))).alias("__ranks")))  # one entry per rank
+    along = Window.partitionBy(*by, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = join_null_safe(values, targets, [*by, "__part"], "inner").withColumn("__to", F.sum("__c").over(along))
+
+    def pick(name: str) -> Column:
+        rank = F.try_element_at("__ranks", F.lit(name))
+        return F.max(F.when((rank <= F.col("__to")) & (rank > F.col("__to") - F.col("__c")), F.col("__v"))).alias(name)
+
+    picked = ranked.groupBy(*by).agg(*[pick(nm) for nm in ranks])
+    sizes = parts.groupBy(*by).agg(F.max("n").alias("n"))
+    out = join_null_safe(sizes, picked, by)
     return out if keys else out.drop("__all")

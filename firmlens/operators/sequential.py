@@ -1,11 +1,15 @@
 """Order-dependent rules (cooldowns, rate limits, anchored counters) at scale.
 
-Each key's log is cut into time chunks. Every chunk is scanned on its own from
-an assumed entry state; its exit state becomes the next chunk's entry state.
-Chunks whose entry state changed are scanned again until nothing changes. The
-first chunk is right after the first round, so the result equals a single scan
-of the whole log, yet the work of one key is spread over all its chunks. Rows
+Each key's log is cut into time chunks. Every chunk is scanned on its own, first as if nothing came
+before it; its exit state, as it looks at the time of the next chunk's first row, becomes that chunk's
+entry state. After a pause longer than the rule remembers, that state is empty, so the chunk was right
+at once. Only chunks with another entry state than assumed are scanned again, until there are none:
+the rounds follow the longest stretch without such a pause, not the length of the log. The first chunk
+of a key is right after the first round, so the result equals a single scan of the whole log. Rows
 stream through the scan in Arrow batches, so a chunk need not fit in memory.
+
+Building the result runs jobs: one scan of the slim log, a small one per round, and further scans of
+changed chunks only.
 """
 from __future__ import annotations
 
@@ -19,7 +23,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from firmlens.operators.durable import checkpointed
+from firmlens.operators.durable import stored
 from firmlens.operators.ordered import join_null_safe
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -39,77 +43,95 @@ def chunked_scan(df: DataFrame, keys: list[str], chunk: str, order: list[str], i
                  scan: Callable, out_fields: str) -> DataFrame:
     """Run ``scan(state, *inputs) -> (state, {column: values})`` along each key.
 
-    ``inputs`` names the columns whose values the scan is given (one list each), as a rule the time.
+    ``inputs`` names the columns whose values the scan is given (one list each), the time first.
     ``state`` is None or a JSON-able value; a scan may be called several times for one chunk, each
-    time with the next rows. Keys must not be null. Output: the input columns plus ``out_fields``
-    (a DDL list such as ``"allowed boolean"``).
+    time with the next rows. ``scan.settle(state, time)`` is what of a state still matters at a time,
+    or None. Keys must not be null. Output: the input columns plus ``out_fields`` (a DDL list such
+    as ``"allowed boolean"``).
     """
     ids = keys + [chunk]
     inputs = [inputs] if isinstance(inputs, str) else inputs
+    settle = scan.settle
     types = dict(df.dtypes)
     id_ddl = ", ".join(f"{c} {types[c]}" for c in ids)
     full_ddl = ", ".join(f"{c} {t}" for c, t in df.dtypes) + ", " + out_fields
     columns = [c for c, _ in df.dtypes]
 
     def walk(batches, on_rows, on_end):
-        at, state = None, None
+        at, state, first = None, None, None
         for frame in batches:
             if frame.empty:
                 continue
             for a, b in segments(frame, ids):
                 here = tuple(frame[c].iloc[a] for c in ids)
+                values = [frame[c].to_numpy()[a:b].tolist() for c in inputs]
                 if here != at:
                     if at is not None:
-                        on_end(at, state)
-                    start = frame["__state"].iloc[a]
-                    at, state = here, (json.loads(start) if isinstance(start, str) else None)
-                state, new = scan(state, *(frame[c].to_numpy()[a:b].tolist() for c in inputs))
+                        on_end(at, first, state)
+                    start = frame["__entry"].iloc[a]
+                    at, state, first = here, (json.loads(start) if isinstance(start, str) else None), values[0][0]
+                state, new = scan(state, *values)
                 on_rows(new)
             yield frame
         if at is not None:
-            on_end(at, state)
+            on_end(at, first, state)
 
     def exit_states(batches):
         found: list[tuple] = []
-        for _ in walk(batches, lambda new: None, lambda at, s: found.append((*at, None if s is None else json.dumps(s)))):
+        names = [*ids, "__first", "__exit"]
+        for _ in walk(batches, lambda new: None, lambda at, first, s: found.append((*at, first, None if s is None else json.dumps(s)))):
             if len(found) > 10000:
-                yield pd.DataFrame(found, columns=ids + ["state"])
+                yield pd.DataFrame(found, columns=names)
                 found.clear()
-        yield pd.DataFrame(found, columns=ids + ["state"])
+        yield pd.DataFrame(found, columns=names)
 
     def verdicts(batches):
         parts: list[dict] = []
-        for frame in walk(batches, parts.append, lambda at, s: None):
+        for frame in walk(batches, parts.append, lambda at, first, s: None):
             new = {c: [x for p in parts for x in p[c]] for c in parts[0]}
             parts.clear()
             yield frame[columns].assign(**new)
 
-    def sorted_with(rows: DataFrame, entries: DataFrame) -> DataFrame:
-        joined = join_null_safe(rows, entries.withColumnRenamed("state", "__state"), ids, "inner")
-        return joined.repartition(*ids).sortWithinPartitions(*ids, *order)
+    def settled(batches):
+        """Entry states: the exit before, as it looks at the first row."""
+        for frame in batches:
+            before = [None if not isinstance(s, str) else settle(json.loads(s), t) for s, t in zip(frame["__before"], frame["__first"].tolist())]
+            yield frame.drop(columns="__before").assign(__entry=[None if s is None else json.dumps(s) for s in before])
+
+    def in_order(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*ids).sortWithinPartitions(*ids, *order)
 
-    def exits_of(rows: DataFrame, entries: DataFrame) -> DataFrame:
-        return sorted_with(rows, entries).mapInPandas(exit_states, id_ddl + ", state string")
+    def exits_of(rows: DataFrame) -> DataFrame:
+        return in_order(rows).mapInPandas(exit_states, f"{id_ddl}, __first long, __exit string")
 
     slim = df.select(*dict.fromkeys(ids + order + inputs))
-    entries = df.select(*ids).distinct().withColumn("state", F.lit(None).cast("string"))
-    exits = checkpointed(exits_of(slim, entries))
+    none = F.lit(None).cast("string")
+    chunks = stored(exits_of(slim.withColumn("__entry", none)).withColumn("__used", none), "chunks")
     follow = Window.partitionBy(*keys).orderBy(chunk)
     while True:
-        proposed = exits.select(*ids, F.lag("state").over(follow).alias("state"))
-        changed = checkpointed(
-            join_null_safe(proposed, entries.withColumnRenamed("state", "__old"), ids)
-            .filter(~F.col("state").eqNullSafe(F.col("__old"))).drop("__old"))
+        before = chunks.withColumn("__before", F.lag("__exit").over(follow))
+        entered = stored(before.mapInPandas(settled, f"{id_ddl}, __first long, __exit string, __used string, __entry string"), "entries")
+        changed = entered.filter(~F.col("__entry").eqNullSafe(F.col("__used"))).select(*ids, "__entry")
         if changed.isEmpty():
             break
-        entries = proposed
-        untouched = join_null_safe(exits, changed.select(*ids), ids, "leftanti")
-        exits = checkpointed(untouched.unionByName(exits_of(slim, changed)))
-    return sorted_with(df, entries).mapInPandas(verdicts, full_ddl)
+        again = exits_of(join_null_safe(slim, changed, ids, "inner")).select(*ids, F.col("__exit").alias("__new"), F.lit(True).alias("__again"))
+        chunks = stored(join_null_safe(entered, again, ids).select(
+            *ids, "__first", F.when(F.col("__again"), F.col("__new")).otherwise(F.col("__exit")).alias("__exit"), F.col("__entry").alias("__used")), "chunks")
+    entries = entered.filter("__entry is not null").select(*ids, "__entry")
+    return in_order(join_null_safe(df, entries, ids)).mapInPandas(verdicts, full_ddl)
+
+
+def settles(settle: Callable):
+    """Names what of a scan's state still matters at a later time."""
+    def named(scan):
+        scan.settle = settle
+        return scan
+    return named
 
 
 def cooldown_scan(wait: int):
     """Emit a row only if more than ``wait`` passed since the last emitted one."""
+    @settles(lambda last, t: last if t - last <= wait else None)
     def scan(state, times):
         last, emitted = state, []
         for t in times:
@@ -122,6 +144,7 @@ def cooldown_scan(wait: int):
 
 def window_limit_scan(width: int, limit: int):
     """Sliding-window limiter in which only allowed requests count."""
+    @settles(lambda kept, t: [x for x in kept if x >= t - width] or None)
     def scan(state, times):
         kept, allowed, remaining = list(state or []), [], []
         for t in times:
@@ -143,6 +166,12 @@ def rule_chain_scan(rules: list[tuple[int, int]], block: int):
     A score above 0.8 quarters the limits; a denial at a score above 0.9 blocks the key for ``block``,
     and a blocked key is denied by the first rule that covers the request.
     """
+    def later(state, t):
+        kept = [[x for x in q if x >= t - width] for q, (_, width) in zip(state[0], rules)]
+        until = state[1] if state[1] is not None and state[1] > t else None
+        return [kept, until] if any(kept) or until is not None else None
+
+    @settles(later)
     def scan(state, times, masks, scores):
         kept, until = state or ([[] for _ in rules], None)
         kept, denied_by, in_block = [list(q) for q in kept], [], []
@@ -169,8 +198,40 @@ def rule_chain_scan(rules: list[tuple[int, int]], block: int):
     return scan
 
 
+def profile_scan(limits: dict, idle: int):
+    """Suspicion score after each request, from what the client did up to and with it; silence beyond ``idle`` starts afresh.
+
+    The state holds counts, first and last time, the last eleven gaps, and of endpoints and agents as many as
+    still matter: once there are more than the limit, more of them change nothing.
+    """
+    def scan(state, times, endpoints, agents, errors):
+        n, wrong, first, last, seen, used, gaps = state or (0, 0, 0, 0, [], [], [])
+        seen, used, gaps, scores = set(seen), set(used), list(gaps), []
+        for t, endpoint, agent, bad in zip(times, endpoints, agents, errors):
+            if n and t - last > idle:
+                n, wrong, seen, used, gaps = 0, 0, set(), set(), []
+            if n:
+                gaps = [*gaps, (t - last) / 1_000_000][-11:]
+            else:
+                first = t
+            n, wrong, last = n + 1, wrong + bool(bad), t
+            if len(seen) <= limits["endpoints"] and endpoint is not None:
+                seen.add(endpoint)
+            if len(used) <= limits["agents"] and agent is not None:
+                used.add(agent)
+            recent = gaps[-10:]
+            mean = sum(recent) / len(recent) if recent else 0.0
+            even = len(gaps) > 10 and sum((g - mean) ** 2 for g in recent) / len(recent) < limits["variance"]
+            score = (0.3 * (n / max((last - first) / 3_600_000_000, 0.1) > limits["per_hour"]) + 0.2 * (len(seen) > limits["endpoints"])
+                     + 0.15 * (len(used) > limits["agents"]) + 0.25 * (wrong / n > limits["errors"]) + 0.1 * even)
+            scores.append(min(score, 1.0))
+        return [n, wrong, first, last, sorted(seen), sorted(used), gaps], {"score": scores}
+    return scan
+
+
 def anchored_count_scan(width: int):
     """Counter that restarts at 1 once ``width`` passed since its last restart."""
+    @settles(lambda state, t: state if t - state[0] < width else None)
     def scan(state, times):
         anchor, count = state or (None, 0)
         counts = []

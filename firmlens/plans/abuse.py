@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from firmlens.functions import urls
 from firmlens.operators import abuse, crawl, validation
 from firmlens.operators import dimensions as dims
+from firmlens.operators.durable import stored
 from firmlens.plans import views
 from firmlens.plans.registry import ORACLES, query
 from firmlens.plans.telemetry import AS_OF, rounded
@@ -73,7 +74,16 @@ def rate_limit_verdicts(spark, sf):
 
 # The fixed rules at the pace of this log, which is slower by about 1440: a minute becomes a day, ten requests become one.
 CHAIN = [(n, max(1, q // 10), w * 1440, p, None, None, pr) for n, q, w, p, pr in dims.RATE_RULES]
-_CHAIN_LIMITS = {"per_hour": 0.08, "endpoints": 4, "agents": 45, "errors": 0.2, "variance": 4e9}
+CHAIN_LIMITS = {"per_hour": 0.5, "endpoints": 3, "agents": 10, "errors": 0.1, "variance": 4e8}
+
+# A client's score as it stood with each request; silence of more than a day starts afresh.
+RUNNING_SQL = """g AS (SELECT *, us - lag(us) OVER (PARTITION BY client ORDER BY us, event_id) AS gap FROM req),
+    s AS (SELECT * REPLACE (CASE WHEN gap <= 86400000000 THEN gap END AS gap), count(*) FILTER (gap IS NULL OR gap > 86400000000) OVER (PARTITION BY client ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS visit FROM g),
+    u AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (is_error) OVER w AS wrong, min(us) OVER w AS since, len(list_distinct(list(endpoint) OVER w)) AS endpoints,
+      len(list_distinct(list(agent) OVER w)) AS agents, var_pop(gap / 1e6) OVER (PARTITION BY client, visit ORDER BY us, event_id ROWS 9 PRECEDING) AS variance
+      FROM s WINDOW w AS (PARTITION BY client, visit ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)),
+    running AS (SELECT client, event_id, us, endpoint, CASE WHEN n / greatest((us - since) / 3600e6, 0.1::DOUBLE) > 0.5 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN endpoints > 3 THEN 0.2::DOUBLE ELSE 0 END
+      + CASE WHEN agents > 10 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN wrong / n > 0.1 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN n > 11 AND variance < 4e8 THEN 0.1::DOUBLE ELSE 0 END AS score FROM u)"""
 
 
 def _chain_sql():
@@ -86,8 +96,8 @@ def _chain_sql():
     after = ", ".join(f"CASE WHEN m{i} AND {i} < denied THEN list_append(o{i}, us) ELSE o{i} END AS q{i}" for i, _ in ranked)
     names = "CASE denied " + " ".join(f"WHEN {i} THEN '{r[0]}'" for i, r in ranked) + " END"
     empty = ", ".join(f"CAST([] AS BIGINT[]) AS q{i}" for i, _ in ranked)
-    return f"""RECURSIVE {_PROFILE.replace("per_hour > 0.1 ", "per_hour > 0.08 ").replace("error_rate > 0.1 ", "error_rate > 0.2 ").replace("variance < 4e8", "variance < 4e9")},
-    r AS (SELECT *, {hit}, {quota} FROM (SELECT req.event_id, req.client, us, {_PATH_SQL} AS path, score, row_number() OVER (PARTITION BY req.client ORDER BY us, event_id) AS k FROM req JOIN prof ON req.client = prof.client)),
+    return f"""RECURSIVE {RUNNING_SQL},
+    r AS (SELECT *, {hit}, {quota} FROM (SELECT event_id, client, us, {_PATH_SQL} AS path, score, row_number() OVER (PARTITION BY client ORDER BY us, event_id) AS k FROM running)),
     walk AS (SELECT client, 0::BIGINT AS k, 0::BIGINT AS event_id, 99 AS denied, false AS blocked, 0::DOUBLE AS score, 0::BIGINT AS until_us, {empty} FROM r WHERE k = 1
       UNION ALL SELECT client, k, event_id, denied, blocked, score, CASE WHEN denied < 99 AND score > 0.9 THEN us + 86400000000 ELSE until_us END AS until_us, {after}
       FROM (SELECT *, {first} FROM (SELECT r.*, w.until_us, r.us < w.until_us AS blocked, {old} FROM walk w JOIN r ON r.client = w.client AND r.k = w.k + 1)))
@@ -97,21 +107,31 @@ def _chain_sql():
 
 
 CHAIN_SQL = _chain_sql()
+CHAIN_COLUMNS = ["event_id", "client", "allowed", "rule", "reason", "threat_level", "action"]
 
 
-def chain_log(spark, sf, requests):
-    """Requests (batch or stream) on their paths, with the score of the client's profile over the log."""
+def on_paths(requests):
+    """Requests (batch or stream) with the service's paths as endpoints."""
     paths = F.create_map(*[F.lit(x) for kv in _PATHS.items() for x in kv])
-    profiles = abuse.abuse_profiles(views.events(spark, sf), ["client"], _CHAIN_LIMITS).select("client", "score")
-    return requests.withColumn("endpoint", paths[F.col("endpoint")]).join(profiles, "client", "left")
+    return requests.withColumn("endpoint", paths[F.col("endpoint")])
+
+
+def chain_verdicts(spark, sf):
+    """The log under all rules, each request judged with its client's score as it stood with that request."""
+    log = abuse.running_scores(on_paths(views.events(spark, sf).select("event_id", "client", "us", "endpoint", "agent", "is_error")), ["client"], CHAIN_LIMITS)
+    return abuse.rule_chain(stored(log.drop("agent", "is_error"), "scored"), ["client"], CHAIN, block_seconds=86400, chunk_us=10 * views.DAY_US)
 
 
 @query("rule_chain_verdicts", "req", CHAIN_SQL)
 def rule_chain_verdicts(spark, sf):
-    """All rules in turn with quartered limits and blocks."""
-    log = chain_log(spark, sf, views.events(spark, sf).select("event_id", "client", "us", "endpoint"))
-    return abuse.rule_chain(log, ["client"], CHAIN, block_seconds=86400, chunk_us=10 * views.DAY_US).select(
-        "event_id", "client", "allowed", "rule", "reason", "threat_level", "action")
+    """All rules in turn with quartered limits and blocks, under running scores."""
+    return chain_verdicts(spark, sf).select(*CHAIN_COLUMNS)
+
+
+@query("running_scores", "req", f"{RUNNING_SQL} SELECT client, event_id, us, round(score, 6) AS score FROM running")
+def running_scores(spark, sf):
+    """The batch form of ``stream_abuse_profiles``."""
+    return rounded(abuse.running_scores(views.events(spark, sf), ["client"], CHAIN_LIMITS), "score").select("client", "event_id", "us", "score")
 
 
 def robots_files(spark, sf):

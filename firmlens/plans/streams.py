@@ -7,16 +7,25 @@ from pyspark.sql import functions as F
 
 from firmlens.operators.durable import shared_folder
 from firmlens.plans import views
-from firmlens.plans.abuse import CHAIN, CHAIN_SQL, chain_log
+from firmlens.plans.abuse import CHAIN, CHAIN_COLUMNS, CHAIN_LIMITS, CHAIN_SQL, RUNNING_SQL, on_paths
 from firmlens.plans.registry import query
 from firmlens.plans.telemetry import rounded
 from firmlens.sources import sinks
 from firmlens.sources.captured import EVENT_SCHEMA
-from firmlens.streaming import monitors
+from firmlens.streaming import in_order, monitors
 
 
 def log_stream(spark, sf):
-    s = monitors.event_stream(spark, sf, EVENT_SCHEMA, "events.parquet*")
+    return _as_log(monitors.event_stream(spark, sf, EVENT_SCHEMA, "events.parquet*"))
+
+
+def ordered_log(spark, sf):
+    """The log as a stream for rules that need event-time order, and the folder for its closing row."""
+    s, closing = in_order.event_stream(spark, sf, EVENT_SCHEMA, "events.parquet*")
+    return _as_log(s), closing
+
+
+def _as_log(s):
     return s.select("event_id", "us", "at", F.col("user_id").alias("client"), F.col("event_type").alias("endpoint"), F.col("value").alias("ms"),
                     (F.col("event_type") == "error").alias("is_error"), F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("agent"))
 
@@ -67,7 +76,8 @@ def stream_service_levels(spark, sf):
       UNION ALL SELECT r.endpoint, r.k, r.event_id, r.us, CASE WHEN r.us - w.last > 1800000000 THEN r.us ELSE w.last END, r.us - w.last > 1800000000 FROM walk w JOIN r ON r.endpoint = w.endpoint AND r.k = w.k + 1)
     SELECT endpoint, event_id, us FROM walk WHERE emitted""")
 def stream_alert_cooldown(spark, sf):
-    return monitors.finished(monitors.alert_cooldown(log_stream(spark, sf).filter("ms > 50"), ["endpoint"], "endpoint string", 1800))
+    log, closing = ordered_log(spark, sf)
+    return in_order.finished(monitors.alert_cooldown(in_order.where(log, F.col("ms") > 50), ["endpoint"], "endpoint string", 1800), closing)
 
 
 @query("stream_rate_limits", "req", """RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY us, event_id) AS k FROM req),
@@ -76,14 +86,15 @@ def stream_alert_cooldown(spark, sf):
       FROM (SELECT r.client, r.k, r.event_id, r.us, list_filter(w.kept, lambda x: x >= r.us - 172800000000) AS old FROM walk w JOIN r ON r.client = w.client AND r.k = w.k + 1))
     SELECT client, event_id, us, allowed FROM walk""")
 def stream_rate_limits(spark, sf):
-    return monitors.finished(monitors.rate_limits(log_stream(spark, sf), ["client"], "client long", 3, 172800))
+    log, closing = ordered_log(spark, sf)
+    return in_order.finished(monitors.rate_limits(log, ["client"], "client long", 3, 172800), closing)
 
 
 @query("stream_rule_chain", "req", CHAIN_SQL)
 def stream_rule_chain(spark, sf):
-    """The batch form is ``rule_chain_verdicts``; scores of the clients' profiles are joined to the stream."""
-    return monitors.finished(monitors.rule_chain(chain_log(spark, sf, log_stream(spark, sf)), ["client"], "client long", CHAIN, 86400)).select(
-        "event_id", "client", "allowed", "rule", "reason", "threat_level", "action")
+    """The batch form is ``rule_chain_verdicts``."""
+    log, closing = ordered_log(spark, sf)
+    return in_order.finished(monitors.rule_chain(on_paths(log), ["client"], "client long", CHAIN, 86400, CHAIN_LIMITS), closing).select(*CHAIN_COLUMNS)
 
 
 @query("stream_crawl_tracker", "req", """RECURSIVE r AS (SELECT *, CASE agent % 20 WHEN 0 THEN 24 WHEN 1 THEN 1 ELSE 0 END AS hours, row_number() OVER (PARTITION BY client ORDER BY us, event_id) AS k FROM req),
@@ -95,21 +106,16 @@ def stream_rule_chain(spark, sf):
     SELECT client, event_id, us, verdict FROM walk""")
 def stream_crawl_tracker(spark, sf):
     a = F.col("agent") % 20
-    log = log_stream(spark, sf).withColumn("status", F.when(a == 0, 429).when(a == 1, 403).otherwise(200))
-    return monitors.finished(monitors.crawl_tracker(log, "client", "client long", limit=1))
+    log, closing = ordered_log(spark, sf)
+    crawls = log.withColumn("status", F.when(a == 0, 429).when(a == 1, 403).otherwise(200))
+    return in_order.finished(monitors.crawl_tracker(crawls, "client", "client long", limit=1), closing)
 
 
-@query("stream_abuse_profiles", "req", """g AS (SELECT *, us - lag(us) OVER (PARTITION BY client ORDER BY us, event_id) AS gap FROM req),
-    s AS (SELECT *, count(*) FILTER (gap IS NULL OR gap > 86400000000) OVER (PARTITION BY client ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS visit FROM g),
-    u AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (is_error) OVER w AS wrong, min(us) OVER w AS since, len(list_distinct(list(endpoint) OVER w)) AS endpoints,
-      len(list_distinct(list(agent) OVER w)) AS agents, var_pop(gap / 1e6) OVER (PARTITION BY client, visit ORDER BY us, event_id ROWS 9 PRECEDING) AS variance
-      FROM s WINDOW w AS (PARTITION BY client, visit ORDER BY us, event_id ROWS UNBOUNDED PRECEDING))
-    SELECT client, event_id, us, round(CASE WHEN n / greatest((us - since) / 3600e6, 0.1::DOUBLE) > 0.5 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN endpoints > 3 THEN 0.2::DOUBLE ELSE 0 END
-      + CASE WHEN agents > 10 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN wrong / n > 0.1 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN n > 11 AND variance < 4e8 THEN 0.1::DOUBLE ELSE 0 END, 6) AS score FROM u""")
+@query("stream_abuse_profiles", "req", f"{RUNNING_SQL} SELECT client, event_id, us, round(score, 6) AS score FROM running")
 def stream_abuse_profiles(spark, sf):
-    """Running scores; the batch form is ``abuse_profiles``."""
-    limits = {"per_hour": 0.5, "endpoints": 3, "agents": 10, "errors": 0.1, "variance": 4e8}
-    return rounded(monitors.finished(monitors.abuse_profiles(log_stream(spark, sf), "client", "client long", limits)), "score")
+    """Running scores; the batch form is ``running_scores``."""
+    log, closing = ordered_log(spark, sf)
+    return rounded(in_order.finished(monitors.abuse_profiles(log, "client", "client long", CHAIN_LIMITS), closing), "score")
 
 
 @query("stream_without_replays", "req", "SELECT event_id, us, client FROM req")

@@ -1,23 +1,21 @@
 """Structured Streaming forms of the log analytics.
 
 Input streams carry ``at`` (event time), ``us`` (the same in microseconds) and ``event_id``.
-Event time and watermarks decide what is late; each stateful rule keeps a few numbers per key.
+Event time and watermarks decide what is late; the stateful rules judge rows in event-time order (``in_order``).
 """
 from __future__ import annotations
 
-import json
 import sys
 import uuid
 
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from firmlens.operators import abuse
+from firmlens.operators import abuse, sequential
 from firmlens.operators.durable import shared_folder
+from firmlens.streaming import in_order
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -85,67 +83,47 @@ def service_levels(stream: DataFrame, keys: list[str], value: str, target: float
     return out.withColumn("status", F.when(F.col("mean") <= target, "meeting").when(F.col("mean") <= alert, "at_risk").otherwise("breach"))
 
 
-def stateful(stream: DataFrame, keys: list[str], fields: str, state: str, step, idle: int | None = None, delay: str = "1 hour") -> DataFrame:
-    """Run ``step(state, rows) -> (state, rows)`` per key; rows come in time order within a batch.
-
-    With ``idle`` microseconds, a key that stays silent so long in event time loses its state.
-    """
-    def run(key, frames, group):
-        if group.hasTimedOut:
-            group.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
-        old = group.get if group.exists else None
-        new, out = step(old, rows)
-        group.update(new)
-        if idle is not None:
-            group.setTimeoutTimestamp(max(int(rows["us"].max() + idle) // 1000, group.getCurrentWatermarkMs() + 1))
-        yield out
-    ready = stream.withWatermark("at", delay) if idle is not None else stream
-    timeout = GroupStateTimeout.EventTimeTimeout if idle is not None else GroupStateTimeout.NoTimeout
-    return ready.groupBy(*keys).applyInPandasWithState(run, fields, state, "append", timeout)
-
-
-def alert_cooldown(alerts: DataFrame, keys: list[str], key_ddl: str, wait_seconds: int = 300) -> DataFrame:
+def alert_cooldown(alerts: DataFrame, keys: list[str], key_ddl: str, wait_seconds: int = 300, delay: str = "1 hour") -> DataFrame:
     """Alerts more than ``wait_seconds`` after the last one sent for their key."""
+    scan = sequential.cooldown_scan(wait_seconds * SECOND)
+
     def step(state, rows):
-        last, sent = (state[0] if state else None), []
-        for t in rows["us"]:
-            ok = last is None or t - last > wait_seconds * SECOND
-            sent.append(ok)
-            last = t if ok else last
-        return (int(last),), rows[sent][[*keys, "event_id", "us"]]
-    return stateful(alerts, keys, f"{key_ddl}, event_id long, us long", "last long", step, wait_seconds * SECOND)
+        last, found = scan(state, rows["us"].tolist())
+        return last, rows[found["emitted"]][[*keys, "event_id", "us"]]
+    return in_order.stateful(alerts, keys, "", f"{key_ddl}, event_id long, us long", step, wait_seconds * SECOND, delay)
 
 
-def rate_limits(requests: DataFrame, keys: list[str], key_ddl: str, limit: int, window_seconds: int) -> DataFrame:
+def rate_limits(requests: DataFrame, keys: list[str], key_ddl: str, limit: int, window_seconds: int, delay: str = "1 hour") -> DataFrame:
     """Limiter verdict per request; only allowed requests use up the window."""
+    scan = sequential.window_limit_scan(window_seconds * SECOND, limit)
+
     def step(state, rows):
-        kept, allowed = (list(state[0]) if state else []), []
-        for t in rows["us"]:
-            while kept and kept[0] < t - window_seconds * SECOND:
-                kept.pop(0)
-            ok = len(kept) < limit
-            allowed.append(ok)
-            if ok:
-                kept.append(int(t))
-        return (kept,), rows[[*keys, "event_id", "us"]].assign(allowed=allowed)
-    return stateful(requests, keys, f"{key_ddl}, event_id long, us long, allowed boolean", "kept array<long>", step, window_seconds * SECOND)
-
-
-def rule_chain(requests: DataFrame, keys: list[str], key_ddl: str, rules: list[tuple], block_seconds: int = 3600) -> DataFrame:
-    """Streaming form of ``abuse.rule_chain``; a key's state goes once it is silent for the longest window and block."""
-    scan = abuse.chain_scan(rules, block_seconds)
+        kept, found = scan(state, rows["us"].tolist())
+        return kept, rows[[*keys, "event_id", "us"]].assign(allowed=found["allowed"])
+    return in_order.stateful(requests, keys, "", f"{key_ddl}, event_id long, us long, allowed boolean", step, window_seconds * SECOND, delay)
+
+
+def rule_chain(requests: DataFrame, keys: list[str], key_ddl: str, rules: list[tuple], block_seconds: int = 3600, limits: dict | None = None,
+               delay: str = "1 hour") -> DataFrame:
+    """Streaming form of ``abuse.rule_chain``: each verdict uses the score as it runs, from requests up to the one judged.
+
+    Requests have ``endpoint``, which rules and score look at, ``agent`` and ``is_error``.
+    A key's state goes once it is silent for the longest window, block and profile age.
+    """
+    chain, profile = abuse.chain_scan(rules, block_seconds), sequential.profile_scan(abuse.limits_with(limits), 24 * HOUR)
 
     def step(state, rows):
-        new, verdicts = scan(json.loads(state[0]) if state and state[0] else None, rows["us"].tolist(), rows["mask"].tolist(), rows["score"].tolist())
-        return (json.dumps(new) if new else "",), rows[[*keys, "event_id", "us", "score"]].assign(**verdicts)
-    longest = max([block_seconds, *(r[2] for r in rules)]) * SECOND
-    out = stateful(abuse.chain_inputs(requests, rules), keys, f"{key_ddl}, event_id long, us long, score double, {abuse.CHAIN_FIELDS}", "state string", step, longest)
+        passed, seen = state or (None, None)
+        seen, scores = profile(seen, *(rows[c].tolist() for c in ("us", "endpoint", "agent", "is_error")))
+        passed, verdicts = chain(passed, rows["us"].tolist(), rows["mask"].tolist(), scores["score"])
+        return [passed, seen], rows[[*keys, "event_id", "us"]].assign(**scores, **verdicts)
+    longest = max([24 * 3600, block_seconds, *(r[2] for r in rules)]) * SECOND
+    out = in_order.stateful(abuse.chain_inputs(requests, rules), keys, "mask long, endpoint string, agent long, is_error boolean",
+                            f"{key_ddl}, event_id long, us long, score double, {abuse.CHAIN_FIELDS}", step, longest, delay)
     return abuse.chain_verdicts(out, rules, block_seconds)
 
 
-def crawl_tracker(crawls: DataFrame, key: str, key_ddl: str, limit: int = 100) -> DataFrame:
+def crawl_tracker(crawls: DataFrame, key: str, key_ddl: str, limit: int = 100, delay: str = "1 hour") -> DataFrame:
     """Whether each crawl of a domain was due: not while blocked, not above the hourly count.
 
     ``status`` 429 or 503 blocks the domain for a day, 401 or 403 for an hour.
@@ -153,44 +131,29 @@ def crawl_tracker(crawls: DataFrame, key: str, key_ddl: str, limit: int = 100) -
     def step(state, rows):
         until, anchor, count = state if state else (0, -1, 0)
         verdicts = []
-        for t, code in zip(rows["us"], rows["status"]):
+        for t, code in zip(rows["us"].tolist(), rows["status"].tolist()):
             if t < until:
                 verdicts.append("blocked")
                 continue
             count += 1
             if anchor < 0 or t - anchor >= HOUR:
-                anchor, count = int(t), 1
+                anchor, count = t, 1
             verdicts.append("over_limit" if count > limit else "ok")
             hours = 24 if code in (429, 503) else 1 if code in (401, 403) else 0
             if hours:
-                until = int(t) + hours * HOUR
-        return (until, anchor, count), rows[[key, "event_id", "us"]].assign(verdict=verdicts)
-    return stateful(crawls, [key], f"{key_ddl}, event_id long, us long, verdict string", "until long, anchor long, n long", step, 24 * HOUR)
+                until = t + hours * HOUR
+        return [until, anchor, count], rows[[key, "event_id", "us"]].assign(verdict=verdicts)
+    return in_order.stateful(crawls, [key], "status int", f"{key_ddl}, event_id long, us long, verdict string", step, 24 * HOUR, delay)
 
 
-def abuse_profiles(requests: DataFrame, key: str, key_ddl: str, limits: dict, idle_hours: int = 24) -> DataFrame:
+def abuse_profiles(requests: DataFrame, key: str, key_ddl: str, limits: dict, idle_hours: int = 24, delay: str = "1 hour") -> DataFrame:
     """Running suspicion score after each request; a client silent for a day starts afresh."""
+    scan = sequential.profile_scan(abuse.limits_with(limits), idle_hours * HOUR)
+
     def step(state, rows):
-        n, wrong, first, last, endpoints, agents, gaps = state if state else (0, 0, 0, 0, [], [], [])
-        endpoints, agents, gaps, scores = set(endpoints), set(agents), list(gaps), []
-        for t, e, a, bad in zip(rows["us"], rows["endpoint"], rows["agent"], rows["is_error"]):
-            if n and t - last > idle_hours * HOUR:
-                n, wrong, endpoints, agents, gaps = 0, 0, set(), set(), []
-            if n == 0:
-                first = int(t)
-            else:
-                gaps = [*gaps, (t - last) / SECOND][-11:]
-            n, wrong, last = n + 1, wrong + int(bad), int(t)
-            endpoints.add(e)
-            agents.add(int(a))
-            recent = gaps[-10:]
-            mean = sum(recent) / len(recent) if recent else 0.0
-            even = len(gaps) > 10 and sum((g - mean) ** 2 for g in recent) / len(recent) < limits["variance"]
-            scores.append(0.3 * (n / max((last - first) / HOUR, 0.1) > limits["per_hour"]) + 0.2 * (len(endpoints) > limits["endpoints"])
-                          + 0.15 * (len(agents) > limits["agents"]) + 0.25 * (wrong / n > limits["errors"]) + 0.1 * even)
-        return (n, wrong, first, last, sorted(endpoints), sorted(agents), [float(g) for g in gaps]), rows[[key, "event_id", "us"]].assign(score=[float(s) for s in scores])
-    return stateful(requests, [key], f"{key_ddl}, event_id long, us long, score double",
-                    "n long, wrong long, first long, last long, endpoints array<string>, agents array<long>, gaps array<double>", step, idle_hours * HOUR)
+        state, found = scan(state, *(rows[c].tolist() for c in ("us", "endpoint", "agent", "is_error")))
+        return state, rows[[key, "event_id", "us"]].assign(**found)
+    return in_order.stateful(requests, [key], "endpoint string, agent long, is_error boolean", f"{key_ddl}, event_id long, us long, score double", step, idle_hours * HOUR, delay)
 
 
 def retention_sweeper(records: DataFrame, sweep, checkpoint: str):

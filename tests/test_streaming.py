@@ -1,9 +1,13 @@
 """Streams over an event log in several files, against their batch twins."""
+import random
+
+from pyspark.sql import functions as F
+
 from firmlens.operators import abuse, sequential, telemetry
 from firmlens.plans import views
 from firmlens.sources import sinks
 from firmlens.sources.captured import EVENT_SCHEMA
-from firmlens.streaming import monitors
+from firmlens.streaming import in_order, monitors
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,15 +26,85 @@ def stream(spark, folder):
     return s.selectExpr("event_id", "us", "at", "user_id AS client", "event_type AS endpoint", "value AS ms", "event_type = 'error' AS is_error")
 
 
-def test_limits_and_cooldown_over_many_batches(spark, tmp_path):
-    folder = split_log(spark, tmp_path)
+DELAY = "14 days"
+PROFILE = {"per_hour": 0.5, "endpoints": 3, "agents": 10, "errors": 0.1, "variance": 4e8}
+
+
+def mixed_log(spark, tmp_path):
+    """The log in six files that overlap: each row comes with its fifth of the month or the next one, files and rows in no order."""
+    folder = str(tmp_path / "mixed")
+    log = views.table(spark, SF, "events")
+    fifth = F.floor((F.dayofmonth("ts") - 1) / 6.3) + F.pmod(F.xxhash64("event_id"), F.lit(2))
+    for i in range(7):
+        log.filter(fifth == i).orderBy(F.xxhash64("event_id")).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def mixed(spark, folder):
+    s, closing = in_order.event_stream(spark, folder, EVENT_SCHEMA, "*.parquet", files_per_batch=1)
+    return s.selectExpr("event_id", "us", "at", "user_id AS client", "event_type AS endpoint", "value AS ms", "event_type = 'error' AS is_error",
+                        "CAST(regexp_extract(props, '([0-9]+)', 1) AS LONG) AS agent"), closing
+
+
+def test_rows_in_any_order_equal_the_batch_twins(spark, tmp_path):
+    folder = mixed_log(spark, tmp_path)
     log = views.events(spark, SF)
-    got = {(r["event_id"], r["allowed"]) for r in monitors.finished(monitors.rate_limits(stream(spark, folder), ["client"], "client long", 2, 86400)).collect()}
-    want = {(r["event_id"], r["allowed"]) for r in abuse.sliding_limit(log.select("event_id", "client", "us"), ["client"], 2, 86400).collect()}
-    assert got == want
-    sent = {r["event_id"] for r in monitors.finished(monitors.alert_cooldown(stream(spark, folder).filter("ms > 30"), ["endpoint"], "endpoint string", 3600)).collect()}
-    twin = {r["event_id"] for r in telemetry.emitted_alerts(log.filter("ms > 30").select("event_id", "endpoint", "us"), ["endpoint"], 3600).collect()}
-    assert sent == twin
+    requests, closing = mixed(spark, folder)
+    got = {(r["event_id"], r["allowed"]) for r in in_order.finished(monitors.rate_limits(requests, ["client"], "client long", 2, 86400, DELAY), closing).collect()}
+    assert got == {(r["event_id"], r["allowed"]) for r in abuse.sliding_limit(log.select("event_id", "client", "us"), ["client"], 2, 86400).collect()}
+    requests, closing = mixed(spark, folder)
+    sent = in_order.finished(monitors.alert_cooldown(in_order.where(requests, F.col("ms") > 30), ["endpoint"], "endpoint string", 3600, DELAY), closing)
+    twin = telemetry.emitted_alerts(log.filter("ms > 30").select("event_id", "endpoint", "us"), ["endpoint"], 3600)
+    assert {r["event_id"] for r in sent.collect()} == {r["event_id"] for r in twin.collect()}
+
+
+def test_chain_and_scores_in_any_order(spark, tmp_path):
+    folder = mixed_log(spark, tmp_path)
+    scored = abuse.running_scores(views.events(spark, SF), ["client"], PROFILE)
+    requests, closing = mixed(spark, folder)
+    got = in_order.finished(monitors.abuse_profiles(requests, "client", "client long", PROFILE, delay=DELAY), closing)
+    want = {r["event_id"]: round(r["score"], 9) for r in scored.collect()}
+    assert {r["event_id"]: round(r["score"], 9) for r in got.collect()} == want and len(set(want.values())) > 3
+    requests, closing = mixed(spark, folder)
+    got = in_order.finished(monitors.rule_chain(requests, ["client"], "client long", RULES, 7200, PROFILE, DELAY), closing)
+    want = abuse.rule_chain(scored.drop("agent", "is_error", "ms"), ["client"], RULES, 7200)
+    verdicts = lambda df: {(r["event_id"], r["rule"], r["reason"], r["action"]) for r in df.collect()}
+    assert verdicts(got) == verdicts(want)
+
+
+def test_rows_are_released_before_the_end(spark, tmp_path):
+    folder = mixed_log(spark, tmp_path)
+    requests, closing = mixed(spark, folder)
+    out = monitors.rate_limits(requests, ["client"], "client long", 2, 86400, DELAY)
+    spark.conf.set(in_order.PROVIDER, in_order.ROCKS_DB)
+    out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "p")).trigger(availableNow=True).start(str(tmp_path / "r")).awaitTermination()
+    spark.conf.unset(in_order.PROVIDER)
+    assert 0 < spark.read.parquet(str(tmp_path / "r")).count() < views.events(spark, SF).count()
+
+
+def test_running_scores_of_one_busy_client(spark):
+    """One client holds the whole log: native running totals against the scan of the stream."""
+    pick = random.Random(2)
+    t, rows = 0, []
+    for k in range(2600):
+        t += pick.choice([1, 1_000_000, 60_000_000, 60_000_000, 30 * 3_600_000_000 if pick.random() < 0.02 else 5])
+        rows.append((k, t, None if k % 7 == 0 else "one", pick.choice("abcdef") if k % 11 else None, pick.randint(0, 12), pick.random() < 0.4))
+    df = spark.createDataFrame([r[:2] + ("one",) + r[3:] for r in rows], "event_id long, us long, client string, endpoint string, agent int, is_error boolean")
+    limits = {"per_hour": 50, "endpoints": 4, "agents": 9, "errors": 0.4, "variance": 900.0}
+    _, want = sequential.profile_scan(limits, 24 * abuse.HOUR)(None, *([r[i] for r in rows] for i in (1, 3, 4, 5)))
+    got = {r["event_id"]: r["score"] for r in abuse.running_scores(df, ["client"], limits).collect()}
+    assert [round(got[k], 9) for k in range(2600)] == [round(x, 9) for x in want["score"]] and len(set(want["score"])) > 5
+
+
+def test_chunks_are_cut_at_pauses(spark):
+    """A log with pauses takes one round, whatever its length; a stretch without them is handed on chunk by chunk."""
+    rows = [(k, "x", 1000 * (k // 3) + k % 3) for k in range(300)] + [(1000 + k, "y", 7 * k) for k in range(900)]
+    df = spark.createDataFrame(rows, "event_id long, key string, us long").withColumn("chunk", F.floor(F.col("us") / 1000).cast("long"))
+    got = sequential.chunked_scan(df, ["key"], "chunk", ["us", "event_id"], "us", sequential.window_limit_scan(100, 2), "allowed boolean, remaining long").collect()
+    for key in "xy":
+        mine = sorted((r["us"], r["event_id"], r["allowed"], r["remaining"]) for r in got if r["key"] == key)
+        _, want = sequential.window_limit_scan(100, 2)(None, [m[0] for m in mine])
+        assert [m[2] for m in mine] == want["allowed"] and [m[3] for m in mine] == want["remaining"]
 
 
 def test_replays_and_routing(spark, tmp_path):
@@ -45,15 +119,12 @@ def test_replays_and_routing(spark, tmp_path):
 RULES = [("all", 2, 86400, None, None, None, 9), ("searches", 1, 43200, ["view", "err"], None, None, 1)]
 
 
-def test_rule_chain_over_many_batches_and_chunks(spark, tmp_path):
-    folder = split_log(spark, tmp_path)
+def test_rule_chain_over_chunks(spark):
     log = views.events(spark, SF).selectExpr("event_id", "us", "client", "endpoint", "client % 11 / 10D AS score")
     verdicts = lambda df: {(r["event_id"], r["rule"], r["reason"], r["action"]) for r in df.collect()}
     want = verdicts(abuse.rule_chain(log, ["client"], RULES, 7200))
     assert {v[1] for v in want} == {None, "all", "searches"} and {v[2] for v in want} == {None, "client_blocked", "rate_limit_exceeded"}
     assert verdicts(abuse.rule_chain(log, ["client"], RULES, 7200, chunk_us=86_400_000_000)) == want
-    requests = stream(spark, folder).selectExpr("event_id", "us", "at", "client", "endpoint", "client % 11 / 10D AS score")
-    assert verdicts(monitors.finished(monitors.rule_chain(requests, ["client"], "client long", RULES, 7200))) == want
 
 
 def test_rule_chain_quarters_and_blocks():
