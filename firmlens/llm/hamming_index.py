@@ -8,14 +8,18 @@ every vector is coded by all rotations, 256 bits in 16 substrings.
 Index rows and queries are dealt to blocks by hash, each pair of blocks is one task. In a block every
 substring has a table from value to rows. If two codes differ in at most 16 * (s + 1) - 1 bits, one
 substring differs in at most s (pigeonhole), so probing all values within s bits of each substring of
-a query retrieves every code within that radius. Probing starts with s = 2. A query that found too
-few codes goes on with larger radii; there the probes outnumber the rows of a block, so that the
-codes themselves are compared, which retrieves the same set. All retrieved vectors are reranked with
-exact inner products in double precision.
+a query retrieves every code within that radius. The radius grows by further probes, from s = 2, until
+it holds ``enough`` codes of the block or all; codes that no probe has reached are not looked at. All
+codes within the radius are reranked with exact inner products in double precision.
+
+The radius follows the data: near neighbours need few probes. Vectors without structure lie at almost
+the same distance from each other; there the probes reach most rows of a block before the radius holds
+enough, and the work is that of all pairs, in blocks of bounded size. The README gives figures.
 
 Rows that are null, zero, of another length than most, or that hold null or non-finite components
 take no part. Rows with the query's vec_id are never its results; of rows that repeat another
-vec_id the best counts. Ties go to the smaller vec_id.
+vec_id the best counts. Ties go to the smaller vec_id. Other columns are not read; an empty table
+or no queries give an empty result.
 """
 from __future__ import annotations
 
@@ -32,9 +36,9 @@ from firmlens.llm.scratch import stored
 SAMPLE, ROTATIONS = 4000, 4
 BITS, SUBSTRING = 256, 16
 #: Index rows and queries of a block at most on average.
-INDEX_BLOCK, QUERY_BLOCK = 8192, 1024
-#: A query's radius grows until a block yields so many codes.
-ENOUGH = 128
+INDEX_BLOCK, QUERY_BLOCK = 32768, 1024
+#: A query's radius grows until it holds so many codes of a block.
+ENOUGH = 512
 
 
 def clean_vectors(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -75,67 +79,58 @@ def _lifted(v: np.ndarray, largest: float, as_query: bool) -> np.ndarray:
     return np.column_stack([v, np.sqrt(np.maximum(0, 1 - (v * v).sum(axis=1)))])
 
 
-def _near_values(bits: int) -> np.ndarray:
-    """All 16-bit values with at most ``bits`` ones."""
-    values = np.arange(1 << SUBSTRING)
-    return values[np.bitwise_count(values) <= bits].astype(np.uint16)
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x, y = np.ascontiguousarray(a).view(np.uint64), np.ascontiguousarray(b).view(np.uint64)
-    return sum(np.bitwise_count(x[:, None, k] ^ y[None, :, k]).astype(np.int32) for k in range(x.shape[1]))
+#: 16-bit values by their number of ones: what a substring may differ in.
+FLIPS = [np.flatnonzero(np.bitwise_count(np.arange(1 << SUBSTRING)) == ones) for ones in range(SUBSTRING + 1)]
 
 
 class Block:
     """Substring tables of the codes of one block."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.rows = np.argsort(codes, axis=0, kind="stable")
-        self.starts = [np.searchsorted(codes[self.rows[:, j], j], np.arange((1 << SUBSTRING) + 1)) for j in range(codes.shape[1])]
-
-    def probe(self, queries: np.ndarray, s: int) -> list[np.ndarray]:
-        """Rows of every code within 16 * (s + 1) - 1 bits of each query."""
-        flips = _near_values(s)
-        found = []
-        for q in queries:
-            hit = []
-            for j, value in enumerate(q):
-                probes = value ^ flips
-                a, b = self.starts[j][probes], self.starts[j][probes.astype(np.int64) + 1]
-                hit += [self.rows[x:y, j] for x, y in zip(a[b > a].tolist(), b[b > a].tolist())]
-            rows = np.unique(np.concatenate(hit)) if hit else np.zeros(0, np.int64)
-            near = np.bitwise_count(self.codes[rows] ^ q).sum(axis=1, dtype=np.int32) < SUBSTRING * (s + 1)
-            found.append(rows[near])
-        return found
-
-    def widen(self, queries: np.ndarray, s: int, enough: int) -> list[np.ndarray]:
-        """The same for each query's first larger radius that holds enough codes."""
-        found = []
-        for k in range(0, len(queries), 256):
-            for row in _distances(queries[k:k + 256], self.codes):
-                inside = np.cumsum(np.bincount(row // SUBSTRING, minlength=BITS // SUBSTRING + 1))
-                level = max(s, int(np.searchsorted(inside, min(enough, len(row)))))
-                found.append(np.flatnonzero(row < SUBSTRING * (level + 1)))
-        return found
+        n, parts = codes.shape
+        self.words = np.ascontiguousarray(codes).view(np.uint64)
+        order = np.argsort(codes, axis=0, kind="stable")
+        self.rows = order.T.ravel()  # table after table
+        self.starts = np.stack([j * n + np.searchsorted(codes[order[:, j], j], np.arange((1 << SUBSTRING) + 1)) for j in range(parts)])
+
+    def probed(self, query: np.ndarray, ones: int) -> np.ndarray:
+        """Rows whose value in some substring differs from the query's in exactly ``ones`` bits (repeats included)."""
+        values = query[:, None].astype(np.int64) ^ FLIPS[ones]
+        table = np.arange(len(query))[:, None]
+        first, last = self.starts[table, values].ravel(), self.starts[table, values + 1].ravel()
+        first, last = first[last > first], last[last > first]
+        size = last - first
+        return self.rows[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+    def within(self, query: np.ndarray, enough: int, begin: int = 2) -> tuple[np.ndarray, int, int]:
+        """Every row within the first radius that holds enough codes (or all), that radius, and the rows that probes reached."""
+        n = len(self.words)
+        word = np.ascontiguousarray(query).view(np.uint64)
+        distance = np.full(n, BITS + 1, np.int32)  # beyond any radius until reached
+        for s in range(SUBSTRING + 1):
+            fresh = np.zeros(n, bool)
+            fresh[self.probed(query, s)] = True
+            new = np.flatnonzero(fresh & (distance > BITS))
+            distance[new] = np.bitwise_count(self.words[new] ^ word).sum(axis=1)
+            radius = SUBSTRING * (s + 1) - 1
+            found = np.flatnonzero(distance <= radius)
+            if s >= begin and len(found) >= min(enough, n):
+                break
+        return found, radius, int((distance <= BITS).sum())
 
 
 def _nearest(query_ids: np.ndarray, queries: np.ndarray, query_codes: np.ndarray, ids: np.ndarray, vectors: np.ndarray,
              codes: np.ndarray, k: int, enough: int) -> pd.DataFrame:
     block = Block(codes)
-    found = block.probe(query_codes, 2)
-    few = [i for i, rows in enumerate(found) if len(rows) < enough]
-    for i, rows in zip(few, block.widen(query_codes[few], 3, enough)):
-        found[i] = rows
     out = []
-    for i, rows in enumerate(found):
+    for i, code in enumerate(query_codes):
+        rows, _, _ = block.within(code, enough)
         rows = rows[ids[rows] != query_ids[i]]
         score = (vectors[rows] * queries[i]).sum(axis=1)
-        if len(rows) > k:
-            least = np.partition(score, len(score) - k)[len(score) - k]
-            rows, score = rows[score >= least], score[score >= least]
-        best = np.lexsort((ids[rows], -score))[:k]
-        out.append(pd.DataFrame({"query_id": query_ids[i], "vec_id": ids[rows[best]], "score": score[best]}))
+        # of rows that repeat an id the best counts, and only k ids go on
+        best = rows[np.lexsort((ids[rows], -score))]
+        best = best[np.sort(np.unique(ids[best], return_index=True)[1])][:k]
+        out.append(pd.DataFrame({"query_id": query_ids[i], "vec_id": ids[best], "score": (vectors[best] * queries[i]).sum(axis=1)}))
     return pd.concat(out, ignore_index=True)
 
 

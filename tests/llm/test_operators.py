@@ -261,6 +261,28 @@ def test_nearest_vectors(spark):
     assert hamming_index.search(df.limit(0), df).count() == 0
 
 
+def test_probes_retrieve_every_code_within_the_radius():
+    g = np.random.default_rng(3)
+    centres = g.integers(0, 1 << 16, (5, 16), dtype=np.uint16)
+    codes = np.concatenate([g.integers(0, 1 << 16, (300, 16), dtype=np.uint16), *(c ^ (1 << g.integers(0, 16, (40, 16))).astype(np.uint16) for c in centres)])
+    block = hamming_index.Block(codes)
+    for query in [*centres, *codes[:20], g.integers(0, 1 << 16, 16, dtype=np.uint16)]:
+        distance = np.bitwise_count(codes ^ query).sum(axis=1)
+        for enough in (1, 30, 400, 10 ** 6):
+            found, radius, reached = block.within(query, enough)
+            assert found.tolist() == np.flatnonzero(distance <= radius).tolist() and len(found) >= min(enough, len(codes)) and reached >= len(found)
+            assert radius == 47 or (distance <= radius - 16).sum() < enough
+    assert block.within(centres[0], 10)[2] < 100  # near codes are reached without the rest
+
+
+def test_nearest_with_repeats_and_ties(spark):
+    importable(spark)
+    rows = [(0, [1.0, 0.0, 0.0]), (0, [0.0, 1.0, 0.0]), (1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0]), (2, [0.5, 0.0, 0.0]), (3, [0.0, 2.0, 0.0]), (2 ** 53 + 1, [0.25, 0.0, 0.5])]
+    df = hamming_index.clean_vectors(spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, code string, g int"), "vec_id", "embedding")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in hamming_index.search(df, df.filter("vec_id in (1, 3)"), k=3).collect())
+    assert got == [(1, 1, 0, 1.0), (1, 2, 2, 1.0), (1, 3, 2 ** 53 + 1, 0.25), (3, 1, 0, 2.0), (3, 2, 1, 0.0), (3, 3, 2, 0.0)]
+
+
 def test_block_labels_on_held_out_layouts():
     words = [f"w{k}" for k in range(300)]
     maker, training = block_labeller.PageMaker(words, 1), []
