@@ -1,74 +1,109 @@
 """Merging what several sources say about a company.
 
-All merges are ``min_by``/``max_by`` aggregates, which combine on the map side, so a company
-with very many sources costs no more memory than one with two.
+Which source wins a field is decided on numbers alone. The records are dealt out by ranges of company
+and order (confidence, source), so that a company with very many sources is spread over parts, and
+numbered along it. The winner of a field is the least number among the records that have it: minima of
+numbers, which combine on the map side and need no sorting. Only the winners' records, at most one per
+field and company, are fetched for their texts.
+
+An empty text counts as missing. Records without a company or source come first in the order.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firmlens.operators.durable import stored
+
 SIMPLE = ["description", "industry", "sector", "founded_year"]
+#: What comes together from the source of the address, and what the base record alone says.
+PLACE = ["address", "city", "state", "country", "postal_code"]
+BASE_ONLY = ["website", "stock_symbol", "funding", "valuation"]
 
 
 def trusted(records: DataFrame, least: float = 0.1) -> DataFrame:
     return records.filter(F.col("confidence") > least)
 
 
+def numbered(records: DataFrame, order: list) -> DataFrame:
+    """Adds ``__id``, which grows along ``order``; stored, as numbers must not change between uses."""
+    dealt = records.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stored(dealt.withColumn("__id", F.monotonically_increasing_id()), "numbered")
+
+
+def present(records: DataFrame, column: str) -> Column:
+    known = F.col(column).isNotNull()
+    return known & (F.col(column) != "") if dict(records.dtypes)[column] == "string" else known
+
+
 def fuse(records: DataFrame, key: str, fill_headquarters: bool = False, simple: list[str] = SIMPLE) -> DataFrame:
     """One record per company: the most confident source, gaps filled from the others in order.
 
-    The order is confidence, highest first, then source name. Address and city come together from
-    one source, and so do head count and size class (when the input has one). The mean is taken
-    over decimals, so that it does not depend on the order of partial sums.
+    The order is confidence, highest first, then source name. Address, city, state, country and postal
+    code come together from one source, the first with an address, else the first with any contact; so do head count
+    and size class. Website, stock symbol, funding and valuation are the base record's. Of the columns
+    of ``PLACE`` and ``BASE_ONLY``, those that the input has are given. The mean is taken over decimals,
+    so that it does not depend on the order of partial sums.
     """
-    good = trusted(records)
-    order = F.struct((-F.col("confidence")).alias("c"), "source")
-
-    def first(value, present):
-        return F.min_by(value, F.when(present, order))
-    has = lambda c: F.col(c).isNotNull()
-    contact = has("email") | has("phone") | has("address")
-    place = F.struct("address", "city")
-    people = F.struct("employee_count", "company_size") if "company_size" in records.columns else F.struct("employee_count")
-    agg = good.groupBy(key).agg(
-        F.count(F.lit(1)).alias("sources"), F.min_by("source", order).alias("base_source"),
-        *[first(F.col(c), has(c)).alias(c) for c in simple],
-        first(people, has("employee_count")).alias("__people"),
-        (first(F.col("headquarters"), has("headquarters")) if fill_headquarters else F.min_by("headquarters", order)).alias("headquarters"),
-        first(F.col("email"), has("email")).alias("email"), first(F.col("phone"), has("phone")).alias("phone"),
-        first(place, has("address")).alias("__address"), first(place, contact).alias("__contact"),
+    have = [c for c in (*simple, "employee_count", "company_size", "headquarters", "email", "phone", *PLACE, *BASE_ONLY) if c in records.columns]
+    slim = trusted(records).select(key, "source", "confidence", "quality", "completeness", *have)
+    rows = numbered(slim, [F.col(key), F.desc("confidence"), F.col("source")])
+
+    def first(test: Column) -> Column:
+        return F.min(F.when(test, F.col("__id")))
+
+    has = {c: present(rows, c) for c in have}
+    fields = [*simple, "employee_count", "email", "phone", "address", *(["headquarters"] if fill_headquarters else [])]
+    best = rows.groupBy(key).agg(
+        F.count(F.lit(1)).alias("sources"), F.min("__id").alias("__base"), *[first(has[c]).alias(f"__{c}") for c in fields],
+        first(has["email"] | has["phone"] | has["address"]).alias("__contact"),
         F.avg(F.col("confidence").cast("decimal(20,10)")).cast("double").alias("__mean"), F.max("quality").alias("quality"), F.max("completeness").alias("completeness"))
-    where = F.coalesce("__address", "__contact")
+    ids = [f"__{c}" for c in ("base", "contact", *fields)]
+    wanted = best.select(F.explode(F.array_distinct(F.array(*ids))).alias("__id")).filter("__id is not null")
+    facts = (rows.join(wanted, "__id").groupBy(key)
+             .agg(F.collect_list(F.struct("__id", "source", *have)).alias("__facts")))  # at most one per field
+    of = best.join(facts, best[key].eqNullSafe(facts[key])).drop(facts[key])
+
+    def said(winner: str, column: str) -> Column:
+        text = F.get(F.filter("__facts", lambda x: x["__id"] == F.col(f"__{winner}")), F.lit(0))[column]
+        return F.when(text != "", text) if dict(rows.dtypes)[column] == "string" else text
+
+    def place(column: str) -> Column:
+        return F.when(F.col("__address").isNotNull(), said("address", column)).otherwise(said("contact", column))
+
+    sized = {"employee_count": said("employee_count", "employee_count")}
+    if "company_size" in have:
+        sized["company_size"] = F.coalesce(said("employee_count", "company_size"), said("base", "company_size"))
     bonus = F.least((F.col("sources") - 1) * 0.1, F.lit(0.3))
-    sized = {c: F.col(f"__people.{c}") for c in (["employee_count", "company_size"] if "company_size" in records.columns else ["employee_count"])}
-    return agg.withColumns({"address": where["address"], "city": where["city"], **sized,
-                            "confidence": F.least(F.col("__mean") + bonus, F.lit(1.0))}).drop(
-        "__people", "__address", "__contact", "__mean")
+    return of.select(
+        key, "sources", said("base", "source").alias("base_source"), *[said(c, c).alias(c) for c in simple],
+        *[e.alias(c) for c, e in sized.items()], said("headquarters" if fill_headquarters else "base", "headquarters").alias("headquarters"),
+        said("email", "email").alias("email"), said("phone", "phone").alias("phone"), *[place(c).alias(c) for c in PLACE if c in have],
+        *[said("base", c).alias(c) for c in BASE_ONLY if c in have], F.least(F.col("__mean") + bonus, F.lit(1.0)).alias("confidence"), "quality", "completeness")
 
 
 def fused_profiles(records: DataFrame, key: str) -> DataFrame:
     """One social profile per platform: the last verified one seen, else the first seen."""
-    order = F.struct("source", "profile_url")
-    pick = F.struct("profile_url", "verified")
-    return (trusted(records).filter("platform is not null").groupBy(key, "platform")
-            .agg(F.coalesce(F.max_by(pick, F.when(F.col("verified"), order)), F.min_by(pick, order)).alias("p"))
-            .select(key, "platform", "p.*"))
+    rows = numbered(trusted(records).filter("platform is not null").select(key, "platform", "source", "profile_url", "verified"),
+                    [F.col(key), F.col("platform"), F.col("source"), F.col("profile_url")])
+    best = rows.groupBy(key, "platform").agg(F.coalesce(F.max(F.when(F.col("verified"), F.col("__id"))), F.min("__id")).alias("__id")).select("__id")
+    return rows.join(best, "__id", "left_semi").select(key, "platform", "profile_url", "verified")
 
 
 def fused_people(records: DataFrame, key: str) -> DataFrame:
     """Each person once, as first seen."""
-    order = F.struct("source", "person", "person_title")
-    return (trusted(records).filter("person is not null").groupBy(key, F.lower(F.trim("person")).alias("person_key"))
-            .agg(F.min_by(F.struct("person", "person_title"), order).alias("p")).select(key, "p.*"))
+    rows = numbered(trusted(records).filter("person is not null").select(key, "source", "person", "person_title"),
+                    [F.col(key), F.col("source"), F.col("person"), F.col("person_title")])
+    best = rows.groupBy(key, F.lower(F.trim("person")).alias("person_key")).agg(F.min("__id").alias("__id")).select("__id")
+    return rows.join(best, "__id", "left_semi").select(key, "person", "person_title")
 
 
 def fused_locations(records: DataFrame, key: str) -> DataFrame:
     """Offices and headquarters of all sources without the base's own headquarters."""
-    good = trusted(records)
-    order = F.struct((-F.col("confidence")).alias("c"), "source")
-    base = good.groupBy(key).agg(F.min_by("headquarters", order).alias("base_hq"), F.count(F.lit(1)).alias("n"))
-    named = good.select(key, F.explode(F.array(F.struct(F.lit(False).alias("hq"), F.col("location").alias("location")),
+    rows = numbered(trusted(records).select(key, "source", "confidence", "headquarters", "location"), [F.col(key), F.desc("confidence"), F.col("source")])
+    first = rows.groupBy(key).agg(F.min("__id").alias("__id"), F.count(F.lit(1)).alias("n"))
+    base = first.join(rows.select("__id", F.col("headquarters").alias("base_hq")), "__id").drop("__id")
+    named = rows.select(key, F.explode(F.array(F.struct(F.lit(False).alias("hq"), F.col("location").alias("location")),
                                                F.struct(F.lit(True).alias("hq"), F.col("headquarters").alias("location")))).alias("l"))
     every = named.filter("l.location is not null").groupBy(key, "l.location").agg(F.bool_and("l.hq").alias("only_hq"))
     return (every.join(base, key).filter(F.when(F.col("n") == 1, ~F.col("only_hq"))

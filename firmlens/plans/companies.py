@@ -12,13 +12,18 @@ from firmlens.plans.telemetry import rounded
 _GOOD = "g AS (SELECT *, (-confidence, source) AS o FROM source_record WHERE confidence > 0.1)"
 
 
-@query("fused_companies", "source_record", _GOOD + """, a AS (SELECT company, count(*) AS sources, arg_min(source, o) AS base_source, arg_min(description, o) FILTER (description IS NOT NULL) AS description,
-    arg_min(industry, o) FILTER (industry IS NOT NULL) AS industry, arg_min(sector, o) FILTER (sector IS NOT NULL) AS sector, arg_min(founded_year, o) FILTER (founded_year IS NOT NULL) AS founded_year,
-    arg_min(employee_count, o) FILTER (employee_count IS NOT NULL) AS employee_count, arg_min_null(headquarters, o) AS headquarters, arg_min(email, o) FILTER (email IS NOT NULL) AS email,
-    arg_min(phone, o) FILTER (phone IS NOT NULL) AS phone, arg_min(address, o) FILTER (address IS NOT NULL) AS address, arg_min(city, o) FILTER (address IS NOT NULL) AS city,
-    avg(confidence) AS m, max(quality) AS quality, max(completeness) AS completeness FROM g GROUP BY company)
-    SELECT company, sources, base_source, description, industry, sector, founded_year, employee_count, headquarters, email, phone, address, city,
-    round(least(m + least(0.1 * (sources - 1), 0.3), 1), 6) AS confidence, quality, completeness FROM a""")
+def _fused_sql():
+    first = lambda c, test: f"arg_min_null({c}, o) FILTER ({test}) AS {c}"
+    simple = ", ".join(first(c, f"{c} <> ''" if c in ("description", "industry", "sector") else f"{c} IS NOT NULL") for c in fusion.SIMPLE)
+    place = ", ".join(f"CASE WHEN bool_or(address <> '') THEN arg_min_null({c}, o) FILTER (address <> '') ELSE arg_min_null({c}, o) FILTER (email <> '' OR phone <> '' OR address <> '') END AS {c}"
+                      for c in fusion.PLACE)
+    base = ", ".join(f"nullif(arg_min_null({c}, o), '') AS {c}" for c in fusion.BASE_ONLY)
+    return f"""{_GOOD}, a AS (SELECT company, count(*) AS sources, arg_min(source, o) AS base_source, {simple}, {first("employee_count", "employee_count IS NOT NULL")}, arg_min_null(headquarters, o) AS headquarters,
+    {first("email", "email <> ''")}, {first("phone", "phone <> ''")}, {place}, {base}, avg(confidence) AS m, max(quality) AS quality, max(completeness) AS completeness FROM g GROUP BY company)
+    SELECT * EXCLUDE (m), round(least(m + least(0.1 * (sources - 1), 0.3), 1), 6) AS confidence FROM a"""
+
+
+@query("fused_companies", "source_record", _fused_sql())
 def fused_companies(spark, sf):
     return rounded(fusion.fuse(views.source_records(spark, sf), "company"), "confidence")
 

@@ -77,7 +77,7 @@ VIEW_SQL: dict[str, tuple[str, str]] = {
         round(l_discount * 8 + 0.1, 2) AS confidence, round(l_tax * 10, 2) AS quality,
         round(l_quantity / 50, 2) AS completeness,
         CASE WHEN l_orderkey % 3 <> 0 THEN 'about ' || l_orderkey END AS description,
-        CASE WHEN l_orderkey % 4 <> 0 THEN 'industry' || (l_suppkey % 7) END AS industry,
+        CASE WHEN l_orderkey % 4 <> 0 THEN CASE WHEN l_suppkey % 6 = 0 THEN '' ELSE 'industry' || (l_suppkey % 7) END END AS industry,
         CASE WHEN l_orderkey % 5 <> 0 THEN 'sector' || (l_suppkey % 5) END AS sector,
         CASE WHEN l_suppkey % 3 <> 0 THEN CAST(1900 + l_orderkey % 120 AS INT) END AS founded_year,
         CASE WHEN l_suppkey % 4 <> 0 THEN CAST(l_quantity * 10 AS INT) END AS employee_count,
@@ -87,6 +87,10 @@ VIEW_SQL: dict[str, tuple[str, str]] = {
         CASE WHEN l_suppkey % 5 <> 0 THEN '555-' || l_orderkey END AS phone,
         CASE WHEN l_linenumber % 3 <> 0 THEN l_suppkey || ' Oak Road' END AS address,
         CASE WHEN l_linenumber % 3 <> 0 THEN 'City' || (l_suppkey % 30) END AS city,
+        'State' || (l_suppkey % 9) AS state, CASE WHEN l_linenumber % 2 <> 0 THEN 'Country' || (l_suppkey % 4) END AS country,
+        CASE WHEN l_suppkey % 2 <> 0 THEN lpad((l_orderkey % 100000)::VARCHAR, 5, '0') END AS postal_code, CASE WHEN l_linenumber % 2 <> 0 THEN 'https://c' || l_partkey || '.com' END AS website,
+        CASE WHEN l_suppkey % 3 <> 0 THEN 'S' || (l_suppkey % 50) END AS stock_symbol, CASE WHEN l_orderkey % 4 <> 0 THEN CAST(l_quantity AS BIGINT) || ' million' END AS funding,
+        CASE WHEN l_orderkey % 5 <> 0 THEN CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE CAST(l_quantity AS BIGINT) || ' billion' END END AS valuation,
         """ + pick("linkedin twitter facebook instagram youtube github tiktok", "l_linenumber") + """ AS platform,
         'https://social/' || l_orderkey AS profile_url, l_returnflag = 'R' AS verified,
         (CASE WHEN l_orderkey % 2 = 0 THEN ' Person ' ELSE 'PERSON ' END) || (l_suppkey % 40) AS person,

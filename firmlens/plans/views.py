@@ -162,7 +162,7 @@ def source_records(spark, sf) -> DataFrame:
         F.round(F.col("l_tax") * 10, 2).alias("quality"),
         F.round(F.col("l_quantity") / 50, 2).alias("completeness"),
         some(3, order, F.concat(F.lit("about "), s(order))).alias("description"),
-        some(4, order, F.concat(F.lit("industry"), (F.col(supp) % 7).cast("string"))).alias("industry"),
+        some(4, order, F.when(F.col(supp) % 6 == 0, "").otherwise(F.concat(F.lit("industry"), (F.col(supp) % 7).cast("string")))).alias("industry"),
         some(5, order, F.concat(F.lit("sector"), (F.col(supp) % 5).cast("string"))).alias("sector"),
         some(3, supp, (1900 + F.col(order) % 120).cast("int")).alias("founded_year"),
         some(4, supp, (F.col("l_quantity") * 10).cast("int")).alias("employee_count"),
@@ -172,6 +172,11 @@ def source_records(spark, sf) -> DataFrame:
         some(5, supp, F.concat(F.lit("555-"), s(order))).alias("phone"),
         some(3, line, F.concat(s(supp), F.lit(" Oak Road"))).alias("address"),
         some(3, line, F.concat(F.lit("City"), (F.col(supp) % 30).cast("string"))).alias("city"),
+        F.concat(F.lit("State"), (F.col(supp) % 9).cast("string")).alias("state"), some(2, line, F.concat(F.lit("Country"), (F.col(supp) % 4).cast("string"))).alias("country"),
+        some(2, supp, F.lpad((F.col(order) % 100000).cast("string"), 5, "0")).alias("postal_code"), some(2, line, F.concat(F.lit("https://c"), s("l_partkey"), F.lit(".com"))).alias("website"),
+        some(3, supp, F.concat(F.lit("S"), (F.col(supp) % 50).cast("string"))).alias("stock_symbol"),
+        some(4, order, F.concat(F.col("l_quantity").cast("long").cast("string"), F.lit(" million"))).alias("funding"),
+        some(5, order, F.when(F.col(line) % 2 == 0, "").otherwise(F.concat(F.col("l_quantity").cast("long").cast("string"), F.lit(" billion")))).alias("valuation"),
         F.element_at(F.array(*[F.lit(x) for x in (
             "linkedin", "twitter", "facebook", "instagram", "youtube", "github", "tiktok")]),
             F.col(line)).alias("platform"),
