@@ -12,9 +12,9 @@ AS_OF = 978307200000000  # 2001-01-01
 DAY = privacy.DAY
 
 _POLICIES = "(VALUES " + ", ".join(f"('{c}', {d}, {str(n).lower()}, {str(a).lower()})" for c, d, n, a in privacy.RETENTION) + ") p(category, keep_days, needs_consent, archive)"
-_RET = f"""ret AS (SELECT d.*, p.keep_days IS NOT NULL AS has_policy, coalesce(p.keep_days, 30) AS keep_days, p.needs_consent, p.archive,
+RETENTION_SQL = f"""ret AS (SELECT d.*, p.keep_days IS NOT NULL AS has_policy, coalesce(p.keep_days, 30) AS keep_days, p.needs_consent, p.archive,
     created_us + coalesce(p.keep_days, 30)::BIGINT * {DAY} AS expires_us FROM data_record d LEFT JOIN {_POLICIES} ON p.category = d.category)"""
-_VIOL = _RET + f""", viol AS (SELECT record_id, subject_id, category, 'missing_retention_policy' AS violation, 'high' AS severity, created_us + 7 * {DAY} AS deadline_us FROM ret WHERE NOT has_policy
+_VIOL = RETENTION_SQL + f""", viol AS (SELECT record_id, subject_id, category, 'missing_retention_policy' AS violation, 'high' AS severity, created_us + 7 * {DAY} AS deadline_us FROM ret WHERE NOT has_policy
     UNION ALL SELECT record_id, r.subject_id, category, 'processing_without_consent', 'critical', created_us + {DAY} FROM ret r LEFT JOIN subject s ON r.subject_id = s.subject_id
       WHERE needs_consent AND NOT coalesce(consent_given, false))"""
 _REQ = """asked AS (SELECT subject_id, (['access', 'portability', 'erasure', 'restrict_processing', 'object'])[subject_id % 5 + 1] AS request_type FROM subject WHERE subject_id % 3 = 0)"""
@@ -33,7 +33,7 @@ def violations(spark, sf):
     return privacy.processing_violations(retained(spark, sf), views.subjects(spark, sf))
 
 
-@query("record_retention", "data_record", _RET + " SELECT record_id, keep_days, has_policy, expires_us FROM ret")
+@query("record_retention", "data_record", RETENTION_SQL + " SELECT record_id, keep_days, has_policy, expires_us FROM ret")
 def record_retention(spark, sf):
     return retained(spark, sf).select("record_id", "keep_days", "has_policy", "expires_us")
 
@@ -43,7 +43,7 @@ def processing_violations(spark, sf):
     return violations(spark, sf)
 
 
-@query("access_verdicts", "data_record subject access", _RET + """, j AS (SELECT a.*, r.subject_id, category, CASE WHEN at_us > expires_us THEN 'access_to_expired_data'
+@query("access_verdicts", "data_record subject access", RETENTION_SQL + """, j AS (SELECT a.*, r.subject_id, category, CASE WHEN at_us > expires_us THEN 'access_to_expired_data'
       WHEN (is_sensitive OR category = 'personal_identifiable') AND coalesce(consent_withdrawn, false) THEN 'access_after_consent_withdrawal' END AS violation
       FROM access a LEFT JOIN ret r ON a.record_id = r.record_id LEFT JOIN subject s ON r.subject_id = s.subject_id)
     SELECT record_id, line, salt, action, at_us, violation, CASE WHEN category IS NULL THEN NULL WHEN violation IS NOT NULL THEN 'non_compliant' ELSE 'compliant' END AS verdict FROM j""")
@@ -111,7 +111,7 @@ def audit_signatures(spark, sf):
     return views.accesses(spark, sf).select("record_id", "line", "salt", privacy.signature(F.col("at_us"), F.col("action"), F.col("operator"), F.lit("/records")).alias("signature"))
 
 
-@query("retention_sweep", "data_record", _RET + f""" SELECT record_id, 'archive' AS step FROM ret WHERE {AS_OF} > expires_us AND coalesce(archive, false)
+@query("retention_sweep", "data_record", RETENTION_SQL + f""" SELECT record_id, 'archive' AS step FROM ret WHERE {AS_OF} > expires_us AND coalesce(archive, false)
     UNION ALL SELECT record_id, 'delete' FROM ret WHERE {AS_OF} > expires_us UNION ALL SELECT record_id, sha256('{AS_OF}delete' || subject_id || 'retention_system') FROM ret WHERE {AS_OF} > expires_us""")
 def retention_sweep(spark, sf):
     archive, due, audit = privacy.retention_sweep(retained(spark, sf), AS_OF)

@@ -6,8 +6,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from firmlens.operators.durable import shared_folder
-from firmlens.plans import views
+from firmlens.operators import dimensions as dims
+from firmlens.operators import privacy
+from firmlens.plans import telemetry, views
 from firmlens.plans.abuse import CHAIN, CHAIN_COLUMNS, CHAIN_LIMITS, CHAIN_SQL, RUNNING_SQL, on_paths
+from firmlens.plans.privacy import AS_OF, RETENTION_SQL
 from firmlens.plans.registry import query
 from firmlens.plans.telemetry import rounded
 from firmlens.sources import sinks
@@ -71,6 +74,48 @@ def stream_service_levels(spark, sf):
     return rounded(monitors.finished_windows(monitors.service_levels(log_stream(spark, sf), ["endpoint"], "ms", 30.0, 60.0), ["endpoint"]), "mean", digits=8)
 
 
+def _percentile_sql():
+    part = """SELECT endpoint, {h} AS hours, (us // {step} - i) * {step} AS slot, CAST(round(ms / 0.01) AS BIGINT) AS cell, ms FROM req, range(0, {n}) t(i)"""
+    both = " UNION ALL ".join(part.format(h=h, step=step, n=n) for h, step, n in ((1, 300_000_000, 12), (24, 3_600_000_000, 24)))
+    return f"""s AS ({both}), w AS (SELECT endpoint, hours, slot, count(*) AS n, avg(ms) AS mean, list_sort(list(cell))[CAST(floor(count(*) * 0.95) AS BIGINT) + 1] * 0.01::DOUBLE AS p95 FROM s GROUP BY ALL)
+    SELECT endpoint, hours, slot AS window_us, n, round(mean, 8) AS mean, round(p95, 2) AS p95, CASE WHEN p95 <= 60 THEN 'meeting' WHEN p95 <= 120 THEN 'at_risk' ELSE 'breach' END AS status FROM w"""
+
+
+@query("stream_service_percentiles", "req", _percentile_sql())
+def stream_service_percentiles(spark, sf):
+    """Service levels by nearest-rank p95 over the last hour, every five minutes, and the last day, every hour."""
+    out = None
+    for hours, step in ((1, "5 minutes"), (24, "1 hour")):
+        cells = monitors.value_histograms(log_stream(spark, sf), ["endpoint"], "ms", f"{hours} hours", step)
+        level = monitors.levels_of(monitors.finished_windows(cells, ["endpoint", "cell"]), ["endpoint"], 60.0, 120.0).withColumn("hours", F.lit(hours))
+        out = level if out is None else out.unionByName(level)
+    return rounded(rounded(out, "mean", digits=8), "p95", digits=2)
+
+
+@query("stream_threshold_alerts", "metric", "RECURSIVE " + telemetry.ALERT_WALK_SQL)
+def stream_threshold_alerts(spark, sf):
+    """Limits joined per micro-batch, then the cooldown per metric and severity in event-time order; the batch form is ``alert_cooldown``."""
+    folder = f"{shared_folder(spark)}/alerts-{uuid.uuid4().hex}"
+    log = monitors.event_stream(spark, sf, EVENT_SCHEMA, "events.parquet*")
+    samples = log.select("event_id", "ts", telemetry.metric_name(F.col("event_type")).alias("metric"), "value")
+    monitors.threshold_alerts(samples, lambda: dims.frame(spark, dims.METRIC_THRESHOLDS, dims.METRIC_THRESHOLDS_DDL), folder)
+    return monitors.sent_alerts(spark, folder, 1800).select("event_id", "metric", "severity", "us")
+
+
+@query("stream_retention_sweep", "data_record", f"""{RETENTION_SQL} SELECT record_id, 'archive' AS step FROM ret WHERE {AS_OF} > expires_us AND coalesce(archive, false)
+    UNION ALL SELECT record_id, sha256('{AS_OF}delete' || subject_id || 'retention_system') FROM ret WHERE {AS_OF} > expires_us
+    UNION ALL SELECT record_id, 'kept ' || category FROM ret WHERE {AS_OF} <= expires_us""")
+def stream_retention_sweep(spark, sf):
+    """Records stored as they arrive and swept: what was archived, the signature of each deletion, and what is still there."""
+    folder = f"{shared_folder(spark)}/sweep-{uuid.uuid4().hex}"
+    orders = spark.readStream.schema(views.table(spark, sf, "orders").schema).option("pathGlobFilter", "orders.parquet*").parquet(sf)
+    policies = dims.frame(spark, privacy.RETENTION, privacy.RETENTION_DDL)
+    monitors.retention_sweeper(views.data_records(spark, sf, orders), policies, folder, AS_OF).awaitTermination()
+    rows = spark.read.parquet(f"{folder}/records")
+    step = F.when(F.col("swept_us").isNotNull(), F.col("signature")).otherwise(F.concat(F.lit("kept "), "category"))
+    return rows.select("record_id", step.alias("step")).unionByName(spark.read.parquet(f"{folder}/archive").select("record_id", F.lit("archive").alias("step")))
+
+
 @query("stream_alert_cooldown", "req", """RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY us, event_id) AS k FROM req WHERE ms > 50),
     walk AS (SELECT endpoint, k, event_id, us, us AS last, true AS emitted FROM r WHERE k = 1
       UNION ALL SELECT r.endpoint, r.k, r.event_id, r.us, CASE WHEN r.us - w.last > 1800000000 THEN r.us ELSE w.last END, r.us - w.last > 1800000000 FROM walk w JOIN r ON r.endpoint = w.endpoint AND r.k = w.k + 1)

@@ -254,9 +254,13 @@ _ALERT_SQL = f"""alert AS (SELECT event_id, us, t.metric, value, CASE WHEN value
     WHERE value >= warning)"""
 
 
+def metric_name(kind):
+    """The metric that an event type stands for."""
+    return F.create_map(*[F.lit(x) for kv in _METRIC_OF.items() for x in kv])[kind]
+
+
 def alerts(spark, sf):
-    names = F.create_map(*[F.lit(x) for kv in _METRIC_OF.items() for x in kv])
-    samples = views.metrics(spark, sf).select("event_id", "us", names[F.col("name")].alias("metric"), "value")
+    samples = views.metrics(spark, sf).select("event_id", "us", metric_name(F.col("name")).alias("metric"), "value")
     return telemetry.threshold_alerts(samples, dims.frame(spark, dims.METRIC_THRESHOLDS, dims.METRIC_THRESHOLDS_DDL))
 
 
@@ -265,13 +269,16 @@ def threshold_alerts(spark, sf):
     return alerts(spark, sf)
 
 
-@query("alert_cooldown", "metric", "RECURSIVE " + _ALERT_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY metric, severity
+ALERT_WALK_SQL = _ALERT_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY metric, severity
       ORDER BY us, event_id) AS k FROM alert),
     walk AS (SELECT metric, severity, k, event_id, us, us AS last, true AS emitted FROM r WHERE k = 1
       UNION ALL SELECT r.metric, r.severity, r.k, r.event_id, r.us,
         CASE WHEN r.us - w.last > 1800000000 THEN r.us ELSE w.last END, r.us - w.last > 1800000000
       FROM walk w JOIN r ON r.metric = w.metric AND r.severity = w.severity AND r.k = w.k + 1)
-    SELECT event_id, metric, severity, us FROM walk WHERE emitted""")
+    SELECT event_id, metric, severity, us FROM walk WHERE emitted"""
+
+
+@query("alert_cooldown", "metric", "RECURSIVE " + ALERT_WALK_SQL)
 def alert_cooldown(spark, sf):
     a = alerts(spark, sf).select("event_id", "metric", "severity", "us")
     return telemetry.emitted_alerts(a, ["metric", "severity"], wait_seconds=1800, chunk_us=5 * views.DAY_US)

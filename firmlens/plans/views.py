@@ -187,13 +187,13 @@ def source_records(spark, sf) -> DataFrame:
         F.when(F.col(line) % 2 == 0, "CEO").otherwise("CTO").alias("person_title"))
 
 
-def data_records(spark, sf) -> DataFrame:
-    """Personal-data records kept about a subject."""
+def data_records(spark, sf, orders: DataFrame | None = None) -> DataFrame:
+    """Personal-data records kept about a subject; ``orders`` may be a stream."""
     pr, st = F.col("o_orderpriority"), F.col("o_orderstatus")
     category = (F.when(pr.startswith("1"), "personal_identifiable").when(pr.startswith("2"), "business_data")
                 .when(pr.startswith("3"), "technical_logs").when(pr.startswith("5"), "analytics_data")
                 .otherwise("security_logs"))
-    return table(spark, sf, "orders").select(
+    return (table(spark, sf, "orders") if orders is None else orders).select(
         F.col("o_orderkey").alias("record_id"), F.col("o_custkey").alias("subject_id"),
         category.alias("category"),
         F.when(st == "F", "consent").when(st == "O", "legitimate_interests").otherwise("legal_obligation")

@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from firmlens.sources.stored_days import merge_days
+
 
 def write_sheet(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """Flat sheet as CSV with a header, or as JSON, ORC or Parquet."""
@@ -31,8 +33,8 @@ def routed(events: DataFrame) -> DataFrame:
 
 
 def route_events(events: DataFrame, folder: str) -> None:
-    """All events, errors and business events by kind and day, in one pass; a re-run replaces its days."""
-    (routed(events).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind", "day").parquet(folder))
+    """All events, errors and business events by kind and day, in one pass; late rows join the rows their days hold, re-runs change nothing."""
+    merge_days(routed(events), folder, ["event_id"], ["kind", "day"])
 
 
 def route_stream(stream: DataFrame, folder: str, checkpoint: str):

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from firmlens.operators.durable import shared_folder
+from firmlens.sources.stored_days import delivered
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -36,7 +37,8 @@ def event_stream(spark: SparkSession, folder: str, schema: str, files: str = "*"
     spark.createDataFrame([], schema).write.parquet(closing)
 
     def read(path: str, glob: str) -> DataFrame:
-        return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", glob).parquet(path)
+        reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", glob)
+        return reader.option("recursiveFileLookup", True).parquet(path)
 
     us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
     both = read(folder, files).unionByName(read(closing, "*.parquet"))
@@ -126,8 +128,11 @@ def stateful(stream: DataFrame, keys: list[str], payload: str, fields: str, step
     return slim.groupBy(*keys).transformWithStateInPandas(InOrder(keys, ddl, step, idle), fields, "Append", "EventTime")
 
 
-def finished(stream: DataFrame, closing: str) -> DataFrame:
-    """Run a stream over all input there is, then over its closing row, and read back what it wrote."""
+def finished(stream: DataFrame, closing: str, send: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+    """Run a stream over all input there is, then over its closing row, and read back what it wrote.
+
+    Micro-batches are kept under their numbers, so a replay overwrites; ``send`` gets each once (``stored_days.delivered``).
+    """
     spark: SparkSession = stream.sparkSession
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     provider = spark.conf.get(PROVIDER, None)
@@ -139,9 +144,9 @@ def finished(stream: DataFrame, closing: str) -> DataFrame:
                 blank = spark.range(1).select(*[(F.expr(f"timestampadd(MICROSECOND, {CLOSING_US}, timestamp_ntz'1970-01-01 00:00:00')") if f.name == "ts" else F.lit(None))
                                                 .cast(f.dataType).alias(f.name) for f in end])
                 blank.write.mode("append").parquet(closing)
-            run = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/progress")
-                   .trigger(availableNow=True).start(f"{folder}/rows"))
+            run = (stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
+                   .foreachBatch(lambda rows, number: delivered(rows, number, folder, send)).start())
             run.awaitTermination()
     finally:
         spark.conf.unset(PROVIDER) if provider is None else spark.conf.set(PROVIDER, provider)
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{folder}/rows")

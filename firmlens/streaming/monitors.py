@@ -7,14 +7,16 @@ from __future__ import annotations
 
 import sys
 import uuid
+from collections.abc import Callable
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from firmlens.operators import abuse, sequential
+from firmlens.operators import abuse, privacy, sequential, telemetry
 from firmlens.operators.durable import shared_folder
+from firmlens.sources import stored_days
 from firmlens.streaming import in_order
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -83,6 +85,45 @@ def service_levels(stream: DataFrame, keys: list[str], value: str, target: float
     return out.withColumn("status", F.when(F.col("mean") <= target, "meeting").when(F.col("mean") <= alert, "at_risk").otherwise("breach"))
 
 
+def value_histograms(stream: DataFrame, keys: list[str], value: str, length: str, step: str, resolution: float = 0.01, delay: str = "10 minutes") -> DataFrame:
+    """Mergeable histogram of the values of each window: rows of ``n`` and ``total`` per cell of width ``resolution``."""
+    cells = stream.withColumn("cell", F.round(F.col(value) / resolution).cast("long"))
+    return windowed(cells, [*keys, "cell"], length, step, [F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")], delay)
+
+
+def levels_of(histograms: DataFrame, keys: list[str], target: float, alert: float, resolution: float = 0.01, above: bool = False) -> DataFrame:
+    """Samples, mean, nearest-rank p95 and state of each window of ``value_histograms``; p95 decides, or the mean where high values are good."""
+    w = Window.partitionBy(*keys, "window_us")
+    upto = w.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)  # a window has as many cells as its values span
+    ranked = histograms.withColumns({"__to": F.sum("n").over(upto), "__all": F.sum("n").over(w)})
+    hit = F.col("__to") > F.floor(F.col("__all") * 0.95)
+    out = ranked.groupBy(*keys, "window_us").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"),
+                                                 (F.min(F.when(hit, F.col("cell"))) * resolution).alias("p95"))
+    good = (lambda limit: F.col("mean") >= limit) if above else (lambda limit: F.col("p95") <= limit)
+    return out.withColumn("status", F.when(good(target), "meeting").when(good(alert), "at_risk").otherwise("breach"))
+
+
+ALERT_SCHEMA = "event_id long, ts timestamp_ntz, metric string, severity string, value double, limit double"
+
+
+def threshold_alerts(samples: DataFrame, rules: Callable[[], DataFrame], folder: str) -> None:
+    """Samples (``event_id``, ``ts``, ``metric``, ``value``) at or above their limits, as files of ``ALERT_SCHEMA`` by micro-batch.
+
+    ``rules`` is called for every micro-batch, so changed limits hold from the next one on.
+    """
+    def each(batch: DataFrame, number: int) -> None:
+        found = telemetry.threshold_alerts(batch.filter("event_id is not null"), rules())
+        found.select("event_id", "ts", "metric", "severity", "value", "limit").write.mode("overwrite").parquet(f"{folder}/alerts/batch={number}")
+    (samples.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination())
+
+
+def sent_alerts(spark: SparkSession, folder: str, wait_seconds: int = 300, send: Callable[[DataFrame, int], None] | None = None, delay: str = "1 hour") -> DataFrame:
+    """The alerts of ``threshold_alerts`` that outlive the cooldown of their metric and severity, each handed to ``send`` once."""
+    alerts, closing = in_order.event_stream(spark, f"{folder}/alerts", ALERT_SCHEMA, "*.parquet")
+    quiet = alert_cooldown(alerts, ["metric", "severity"], "metric string, severity string", wait_seconds, delay)
+    return in_order.finished(quiet, closing, send)
+
+
 def alert_cooldown(alerts: DataFrame, keys: list[str], key_ddl: str, wait_seconds: int = 300, delay: str = "1 hour") -> DataFrame:
     """Alerts more than ``wait_seconds`` after the last one sent for their key."""
     scan = sequential.cooldown_scan(wait_seconds * SECOND)
@@ -156,7 +197,31 @@ def abuse_profiles(requests: DataFrame, key: str, key_ddl: str, limits: dict, id
     return in_order.stateful(requests, [key], "endpoint string, agent long, is_error boolean", f"{key_ddl}, event_id long, us long, score double", step, idle_hours * HOUR, delay)
 
 
-def retention_sweeper(records: DataFrame, sweep, checkpoint: str):
-    """Run a sweep function over newly arrived records, on whatever schedule starts the job."""
-    return (records.writeStream.foreachBatch(lambda batch, number: sweep(batch, number))
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+SWEPT = ["swept_us", "signature"]
+
+
+def retention_sweeper(records: DataFrame, policies: DataFrame, folder: str, as_of: int):
+    """Stores arriving records by month and sweeps what is due at ``as_of``, on whatever schedule starts the job.
+
+    Records to be archived are copied to ``folder/archive`` first; a swept record leaves a row with its id, the time and
+    the signature of its deletion, and nothing else. Both are merged by key, so a replayed micro-batch changes nothing.
+    """
+    kept, archive = f"{folder}/records", f"{folder}/archive"
+    columns = [c for c in records.columns if c != "record_id"]
+
+    def each(batch: DataFrame, number: int) -> None:
+        month = F.expr("trunc(timestampadd(MICROSECOND, created_us, timestamp_ntz'1970-01-01 00:00:00'), 'month')")
+        fresh = batch.filter("record_id is not null and created_us is not null").withColumn("month", month)
+        fresh = fresh.withColumns({"swept_us": F.lit(None).cast("long"), "signature": F.lit(None).cast("string")})
+        before = stored_days.rows_of(batch.sparkSession, kept)
+        if before is not None:  # a record once swept does not come back
+            fresh = fresh.join(before.filter("swept_us is not null").select("record_id", "month"), ["record_id", "month"], "left_anti")
+        stored_days.merge_days(fresh, kept, ["record_id"], ["month"])
+        current = batch.sparkSession.read.parquet(kept).filter("swept_us is null")
+        to_archive, due, audit = privacy.retention_sweep(privacy.with_retention(current, policies), as_of)
+        stored_days.merge_days(to_archive.select("record_id", *columns, "month"), archive, ["record_id"], ["month"])
+        types = dict(current.dtypes)
+        gone = due.select("record_id", "month").join(audit.select("record_id", F.col("at_us").alias("swept_us"), "signature"), "record_id")
+        stored_days.merge_days(gone.select("record_id", "month", *SWEPT, *[F.lit(None).cast(types[c]).alias(c) for c in columns]), kept, ["record_id"], ["month"])
+
+    return records.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()

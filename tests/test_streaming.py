@@ -1,11 +1,12 @@
 """Streams over an event log in several files, against their batch twins."""
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from firmlens.operators import abuse, sequential, telemetry
+from firmlens.operators import abuse, privacy, sequential, telemetry
 from firmlens.plans import views
-from firmlens.sources import sinks
+from firmlens.sources import sinks, stored_days
 from firmlens.sources.captured import EVENT_SCHEMA
 from firmlens.streaming import in_order, monitors
 
@@ -142,3 +143,65 @@ def test_open_windows_are_returned(spark, tmp_path):
     got = monitors.finished_windows(monitors.rollups(stream(spark, folder), ["endpoint"], "ms", "7 days"), ["endpoint"])
     assert sum(r["n"] for r in got.collect()) == views.events(spark, SF).count()
     assert monitors.finished_windows(monitors.rollups(stream(spark, folder).filter("false"), ["endpoint"], "ms"), ["endpoint"]).count() == 0
+
+
+def test_a_late_row_joins_its_day(spark, tmp_path):
+    folder = str(tmp_path / "routed")
+    log = views.logged(spark, SF)
+    sinks.route_events(log.filter("event_id % 50 <> 7"), folder)
+    late = log.filter("event_id % 50 = 7")
+    sinks.route_events(late, folder)
+    sinks.route_events(late, folder)  # a re-run changes nothing
+    sinks.route_events(late.limit(1).withColumn("value", F.lit(-1.0)), folder)  # a corrected row replaces the stored one
+    rows = spark.read.parquet(folder).filter("kind = 'all'")
+    assert sorted(r[0] for r in rows.select("event_id").collect()) == sorted(r[0] for r in log.select("event_id").collect())
+    assert rows.filter("value = -1").count() == 1
+
+
+def test_alerts_are_delivered_once(spark, tmp_path):
+    sent = []
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "event_id long, metric string")
+    for number in (0, 1, 1, 0):  # both micro-batches are replayed
+        stored_days.delivered(rows, number, str(tmp_path / "d"), lambda df, n: sent.append((n, df.count())))
+    assert sent == [(0, 2), (1, 2)]
+
+    def fails(df, n):
+        raise OSError("no connection")
+    with pytest.raises(OSError):
+        stored_days.delivered(rows, 2, str(tmp_path / "d"), fails)
+    stored_days.delivered(rows, 2, str(tmp_path / "d"), lambda df, n: sent.append((n, df.count())))
+    assert sent[-1] == (2, 2)
+
+
+def test_limits_are_read_anew_for_every_batch(spark, tmp_path):
+    folder, limits, sent = str(tmp_path / "alerts"), iter([10.0, 1000.0, 1000.0]), []
+    for i in range(2):
+        part = views.table(spark, SF, "events").orderBy("ts").filter(f"event_id div 500 = {i}")
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    log = monitors.event_stream(spark, str(tmp_path / "log"), EVENT_SCHEMA, "*.parquet", files_per_batch=1)
+    samples = log.select("event_id", "ts", F.col("event_type").alias("metric"), "value")
+    monitors.threshold_alerts(samples, lambda: spark.createDataFrame([("view", (x := next(limits)), x * 5)], "metric string, warning double, critical double"), folder)
+    got = monitors.sent_alerts(spark, folder, 3600, lambda df, n: sent.append(df.count()))
+    seen = views.events(spark, SF).selectExpr("event_id", "us", "endpoint AS metric", "ms AS value").filter("metric = 'view' and event_id < 500 and value >= 10")
+    graded = seen.withColumn("severity", F.expr("CASE WHEN value >= 50 THEN 'critical' ELSE 'warning' END"))
+    want = {r["event_id"] for r in telemetry.emitted_alerts(graded, ["metric", "severity"], 3600).collect()}
+    assert {r["event_id"] for r in got.collect()} == want and sum(sent) == len(want) > 3
+
+
+def test_sweep_over_many_batches(spark, tmp_path):
+    day = 86_400_000_000
+    policies = spark.createDataFrame(privacy.RETENTION, privacy.RETENTION_DDL)
+    rows = [(k, 100 + k, ["technical_logs", "personal_identifiable", "other"][k % 3], k * 10 * day) for k in range(60)]
+    for i in range(3):
+        spark.createDataFrame([r for r in rows if r[0] % 3 == i] + rows[:2], "record_id long, subject_id long, category string, created_us long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    folder = str(tmp_path / "store")
+
+    def sweep(as_of):
+        s = spark.readStream.schema("record_id long, subject_id long, category string, created_us long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        monitors.retention_sweeper(s, policies, folder, as_of).awaitTermination()
+        return {r["record_id"]: r["swept_us"] for r in spark.read.parquet(f"{folder}/records").collect()}
+    keep = {"technical_logs": 90, "personal_identifiable": 365, "other": 30}
+    got = sweep(500 * day)
+    assert {k: v is not None for k, v in got.items()} == {k: t + keep[c] * day < 500 * day for k, _, c, t in rows}
+    assert {r["record_id"] for r in spark.read.parquet(f"{folder}/archive").collect()} == {k for k, _, c, t in rows if c == "personal_identifiable" and t + 365 * day < 500 * day}
+    assert spark.read.parquet(f"{folder}/records").filter("swept_us is not null and (subject_id is not null or category is not null or signature is null)").count() == 0
