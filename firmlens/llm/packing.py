@@ -14,6 +14,7 @@ Bins never leave the partition that filled them, so a lost task is simply run ag
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ CAPACITY, END_ID = 4096, 1
 PART_ROWS, ROUNDS = 200_000, 8
 #: Words whose ids a Python worker remembers.
 REMEMBERED = 1_200_000
+#: Characters of texts whose unknown words are encoded together.
+GROUP_CHARS = 1 << 18
 
 
 class WordIds(dict):
@@ -61,44 +64,57 @@ class WordIds(dict):
         core = word[:-1] if tail else word
         return core.lower() if core.isascii() else core, tail
 
-    def learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: set[bytes]) -> None:
         """Encode the cores of unknown words, a thousand at a time, and put the words together from them."""
-        if len(self) + 2 * len(words) > REMEMBERED:
-            self.clear()
         cores = {w: self._core(w) for w in words}
         unknown = {c for c, _ in cores.values() if c not in self}
         letters = [c for c in unknown if c.decode().isalpha()]
         odd = [c for c in unknown if b"\x01" in c]
         marked = [c for c in unknown.difference(letters) if b"\x01" not in c]
         for k in range(0, len(letters), 1000):
-            part = [c.decode() for c in letters[k:k + 1000]]
-            ids = self._encode([" ".join(part)])[0]
+            part = letters[k:k + 1000]
+            ids = self._encode([b" ".join(part).decode()])[0]
             ends = np.flatnonzero(self.closes[ids]) + 1
-            found = np.split(ids, ends[:-1]) if len(ends) == len(part) else self._encode(part)
-            self.update((c, f.tobytes()) for c, f in zip(letters[k:k + 1000], found))
+            self._keep(part, ids, [0, *ends[:-1].tolist()], ends.tolist())
         for k in range(0, len(marked), 1000):
-            part = [c.decode() for c in marked[k:k + 1000]]
-            ids = self._encode([f" {self.mark} ".join(part)])[0]
-            ends = np.flatnonzero(ids == self.mark_ids[0])
-            if len(self.mark_ids) == 1 and len(ends) == len(part) - 1:
-                found = np.split(ids, ends)
-                found = [found[0], *(f[1:] for f in found[1:])]
-            else:
-                found = self._encode(part)
-            self.update((c, f.tobytes()) for c, f in zip(marked[k:k + 1000], found))
-        self.update((c, f.tobytes()) for c, f in zip(odd, self._encode([c.decode() for c in odd])))
+            part = marked[k:k + 1000]
+            ids = self._encode([f" {self.mark} ".join(c.decode() for c in part)])[0]
+            marks = np.flatnonzero(ids == self.mark_ids[0]).tolist() if len(self.mark_ids) == 1 else []
+            self._keep(part, ids, [0, *(m + 1 for m in marks)], [*marks, len(ids)])
+        self._keep_each(odd)
         self.update([(w, self[c] + self.tails[t]) for w, (c, t) in cores.items()])
 
-    def ids(self, text: str | None) -> bytes:
-        words = (text or "").encode().split()
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            self.learn({w for w in words if w not in self})
-            if all(w in self for w in words):
-                return b"".join(map(self.__getitem__, words))
-            self.learn(set(words))  # the memory was full and has been cleared
-            return b"".join(map(self.__getitem__, words))
+    def _keep(self, words: list[bytes], ids: np.ndarray, starts: list[int], ends: list[int]) -> None:
+        """Each word's part of the ids, if there are as many parts as words."""
+        if len(ends) != len(words):
+            self._keep_each(words)
+            return
+        raw = ids.tobytes()
+        self.update((w, raw[4 * a:4 * b]) for w, a, b in zip(words, starts, ends))
+
+    def _keep_each(self, words: list[bytes]) -> None:
+        self.update((w, f.tobytes()) for w, f in zip(words, self._encode([w.decode() for w in words])))
+
+    def ids_of(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of every text; words are learned for a group of texts at a time."""
+        group, size = [], 0
+        for text in texts:
+            group.append((text or "").encode().split())
+            size += len(text) if text else 0
+            if size >= GROUP_CHARS:
+                yield from self._ids(group)
+                group, size = [], 0
+        yield from self._ids(group)
+
+    def _ids(self, group: list[list[bytes]]) -> list[bytes]:
+        words = set(chain.from_iterable(group))
+        unknown = {w for w in words if w not in self}
+        if len(self) + 2 * len(unknown) > REMEMBERED:
+            self.clear()
+            unknown = words
+        if unknown:
+            self._learn(unknown)
+        return [b"".join(map(self.__getitem__, w)) for w in group]
 
 
 _WORD_IDS: dict[str, WordIds] = {}
@@ -119,8 +135,8 @@ def token_pieces(documents: DataFrame, tokenizer: str | None = None, capacity: i
         memory = word_ids(path)
         for batch in batches:
             rows = []
-            for at, text in enumerate(batch.column("text").to_pylist()):
-                ids = memory.ids(text) + end
+            for at, ids in enumerate(memory.ids_of(batch.column("text").to_pylist())):
+                ids += end
                 for k, start in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[start:start + 4 * capacity]
                     rows.append((at, k, start // 4, len(part) // 4, part))
