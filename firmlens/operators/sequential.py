@@ -110,7 +110,7 @@ def chunked_scan(df: DataFrame, keys: list[str], chunk: str, order: list[str], i
     follow = Window.partitionBy(*keys).orderBy(chunk)
     while True:
         before = chunks.withColumn("__before", F.lag("__exit").over(follow))
-        entered = stored(before.mapInPandas(settled, f"{id_ddl}, __first long, __exit string, __used string, __entry string"), "entries")
+        entered = before.mapInPandas(settled, f"{id_ddl}, __first long, __exit string, __used string, __entry string")
         changed = entered.filter(~F.col("__entry").eqNullSafe(F.col("__used"))).select(*ids, "__entry")
         if changed.isEmpty():
             break
