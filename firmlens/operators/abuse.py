@@ -143,6 +143,17 @@ def applicable_rules(log: DataFrame, rules: list[tuple]) -> DataFrame:
     return log.withColumn("r", F.explode(F.array_compact(F.array(*hits)))).select(*log.columns, "r.*")
 
 
+RULES_DDL = "name string, requests int, window_seconds int, prefixes array<string>, agents array<string>, exempt array<string>, priority int"
+
+
+def rules_from(table: DataFrame, most: int = 1000) -> list[tuple]:
+    """Rules kept as a table (``RULES_DDL``), so that they can be changed without code; at most ``most``, as every request is tested against each."""
+    rows = table.select(*[c.split()[0] for c in RULES_DDL.split(", ")]).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
+    return sorted((tuple(r) for r in rows), key=lambda r: (r[6], r[0]))
+
+
 def rule_chain(log: DataFrame, keys: list[str], rules: list[tuple], block_seconds: int = 3600, chunk_us: int | None = None) -> DataFrame:
     """Limiter verdict of each request (``us``, ``event_id``, ``endpoint``, ``score``) under all rules that cover it.
 

@@ -36,6 +36,22 @@ BOTTLENECKS = [
     ("io_bound", "response_time", 5.0, 30.0), ("concurrency_limited", "queue_depth", 10.0, 100.0),
     ("resource_contention", "connection_pool_usage", 80.0, 100.0)]
 
+# What to do about each bottleneck, in order, and whether it can be done automatically.
+RECOMMENDATIONS = [
+    ("cpu_bound", 1, "Reduce concurrent extraction tasks", True), ("cpu_bound", 2, "Enable request queuing", True),
+    ("cpu_bound", 3, "Optimize parsing algorithms", False),
+    ("memory_bound", 1, "Enable memory optimization", True), ("memory_bound", 2, "Reduce batch sizes", True),
+    ("memory_bound", 3, "Clear cache more frequently", True),
+    ("io_bound", 1, "Increase connection pool size", True), ("io_bound", 2, "Reduce request timeouts", True),
+    ("io_bound", 3, "Enable HTTP/2", True),
+    ("rate_limited", 1, "Implement exponential backoff", True), ("rate_limited", 2, "Reduce request rate", True),
+    ("rate_limited", 3, "Implement request prioritization", True),
+    ("concurrency_limited", 1, "Increase worker count", True), ("concurrency_limited", 2, "Implement task prioritization", True),
+    ("concurrency_limited", 3, "Optimize task processing time", False),
+    ("resource_contention", 1, "Increase connection pool size", True), ("resource_contention", 2, "Implement connection recycling", True),
+    ("resource_contention", 3, "Monitor connection leaks", True)]
+RECOMMENDATIONS_DDL = "bottleneck string, step int, action string, automated boolean"
+
 # Upper bounds of duration buckets in seconds.
 DURATION_BUCKETS = [0.1, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 120.0]
 

@@ -91,9 +91,20 @@ def bottlenecks(samples: DataFrame, keys: list[str]) -> DataFrame:
         "priority", F.when(F.col("severity") > 0.7, "high").when(F.col("severity") > 0.4, "medium").otherwise("low"))
 
 
-def bottleneck_alerts(found: DataFrame) -> DataFrame:
-    return (found.filter("severity > 0.7")
-            .withColumn("alert", F.when(F.col("severity") > 0.8, "critical").otherwise("high")))
+def optimization_recommendations(found: DataFrame, actions: DataFrame) -> DataFrame:
+    """Bottlenecks with the actions against them, in order, and whether any can be taken automatically; kinds without actions are left out.
+
+    ``actions`` (bottleneck, step, action, automated) is a short configuration table and can be replaced.
+    """
+    told = actions.groupBy("bottleneck").agg(F.array_sort(F.collect_list(F.struct("step", "action"))).alias("steps"), F.bool_or("automated").alias("automated_fixes_available"))
+    return found.join(told, "bottleneck").withColumn("recommendations", F.col("steps.action")).drop("steps")
+
+
+def bottleneck_alerts(found: DataFrame, actions: DataFrame) -> DataFrame:
+    """Alerts on severe bottlenecks with the actions against them."""
+    severe = found.filter("severity > 0.7").withColumn("alert", F.when(F.col("severity") > 0.8, "critical").otherwise("high"))
+    told = actions.groupBy("bottleneck").agg(F.array_sort(F.collect_list(F.struct("step", "action"))).alias("steps"))
+    return severe.join(told, "bottleneck", "left").withColumn("recommendations", F.coalesce(F.col("steps.action"), F.array().cast("array<string>"))).drop("steps")
 
 
 def steps(value: Column, cuts: list[tuple[float, float]]) -> Column:

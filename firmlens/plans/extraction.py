@@ -290,9 +290,14 @@ def parse_statistics(spark, sf):
     return rounded(extraction.parse_statistics(boxes(spark, sf), ["query", "page"]), "success_pct")
 
 
-@query("search_page_totals", "serp", "SELECT DISTINCT query, page, 'About ' || format('{:,}', page * 1234) || ' results' AS stats_text, CAST(page * 1234 AS BIGINT) AS total_results FROM serp")
+@query("search_page_totals", "serp", """b AS (SELECT query, page, '<div class="g">' || CASE WHEN page_id % 7 = 0 THEN '<div class="ads-fr">ad</div>' ELSE '' END
+      || CASE WHEN page_id % 7 = 1 THEN '<h3 class="LC20lb">' || title || '</h3>' ELSE '<a href="' || CASE WHEN page_id % 7 = 2 THEN 'http://' ELSE url END || '"><h3 class="LC20lb">' || title || '</h3></a>' END
+      || CASE WHEN page_id % 7 = 3 THEN '' ELSE '<div class="VwiC3b">• Facts   about <b>page ' || page_id || '</b></div>' END || '</div>' AS box FROM serp),
+    t AS (SELECT query, page, 'About ' || format('{:,}', page * 1234) || ' results' AS stats_text, sum(length(box)) AS boxes FROM b GROUP BY ALL)
+    SELECT query, page, stats_text, CAST(page * 1234 AS BIGINT) AS total_results,
+    CAST(length('<html><body><div id="result-stats">' || stats_text || '</div><div id="search"></div></body></html>') + boxes AS BIGINT) AS content_length FROM t""")
 def search_page_totals(spark, sf):
-    return extraction.with_result_total(html_tables.statistics_table(serp_pages(spark, sf), ["query", "page"])).drop("content_length")
+    return extraction.with_result_total(html_tables.statistics_table(serp_pages(spark, sf), ["query", "page"]))
 
 
 # The chain from captured pages to one profile per host.

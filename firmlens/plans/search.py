@@ -1,10 +1,13 @@
 """Queries over search requests, result pages and crawl candidates."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from firmlens.functions import numbers, urls
 from firmlens.operators import search
+from firmlens.operators.durable import shared_folder
 from firmlens.plans import views
 from firmlens.plans.registry import query
 from firmlens.sources import captured
@@ -269,7 +272,27 @@ def crawl_facts(spark, sf):
 
 
 @query("request_page_outcomes", "page", _CRAWLED + """ SELECT page_id // 8 AS request_id, count(*) AS attempted, count(*) FILTER (success AND length(trim(content)) > 100) AS crawled,
-    count(*) FILTER (NOT success OR length(trim(content)) <= 100) AS failed FROM chosen GROUP BY 1""")
+    count(*) FILTER (NOT success OR length(trim(content)) <= 100) AS failed, coalesce(string_agg(url, ' ' ORDER BY url) FILTER (success AND length(trim(content)) > 100), '') AS sources_found,
+    count(*) FILTER (NOT success) AS crawl_errors, count(*) FILTER (success AND length(trim(content)) <= 100) AS insufficient_content_errors FROM chosen GROUP BY 1""")
 def request_page_outcomes(spark, sf):
-    p = captured.usable_pages(crawled(spark, sf)).groupBy(F.expr("page_id div 8").alias("request_id"))
-    return p.agg(F.count(F.lit(1)).alias("attempted"), F.count_if(F.col("problem").isNull()).alias("crawled"), F.count("problem").alias("failed"))
+    p = captured.usable_pages(crawled(spark, sf)).withColumn("request_id", F.expr("page_id div 8"))
+    return captured.request_outcomes(p, "request_id").withColumn("sources_found", F.array_join("sources_found", " "))
+
+
+@query("captured_search_pages", "serp", """f AS (SELECT query, page, min(page_id) AS first_id, count(*) AS n FROM serp GROUP BY ALL)
+    SELECT CASE WHEN first_id % 5 <> 0 THEN query END AS query, CASE WHEN first_id % 5 <> 0 THEN page END AS page, CASE query WHEN 'en' THEN 'US' WHEN 'fr' THEN 'FR' ELSE 'XX' END AS country, query AS language,
+    first_id % 5 <> 0 AS intact, CASE WHEN first_id % 5 <> 0 THEN n END AS boxes, CASE WHEN first_id % 5 = 0 THEN '{"query": "' || query || '", "page": ' || page END AS broken FROM f""")
+def captured_search_pages(spark, sf):
+    """Search pages with the country and language of their requests, captured as JSON lines of which some are cut off."""
+    s = views.serp_results(spark, sf).groupBy("query", "page").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    html = F.concat(F.lit("<html>"), F.repeat(F.lit('<div class="g"></div>'), F.col("n").cast("int")), F.lit("</html>"))
+    whole = F.to_json(F.struct(F.concat_ws("-", "query", "page").alias("serp_id"), "query", "page", F.lit(10).alias("results_per_page"), html.alias("html")))
+    cut = F.concat(F.lit('{"query": "'), "query", F.lit('", "page": '), F.col("page").cast("string"))
+    folder = f"{shared_folder(spark)}/serps-{uuid.uuid4().hex}"
+    country = F.when(F.col("query") == "en", "US").when(F.col("query") == "fr", "FR").otherwise("XX")
+    (s.select(F.when(F.col("first_id") % 5 == 0, cut).otherwise(whole).alias("value"), country.alias("country"), F.col("query").alias("language"))
+     .write.partitionBy("country", "language").text(folder))
+    found = captured.search_pages(spark, folder)
+    boxes = F.size(F.regexp_extract_all("html", F.lit('<div class="g">'), F.lit(0)))
+    intact = F.col("broken").isNull()
+    return found.select("query", "page", "country", "language", intact.alias("intact"), F.when(intact, boxes).alias("boxes"), "broken")

@@ -111,11 +111,26 @@ def bottlenecks(spark, sf):
     return rounded(telemetry.bottlenecks(named_series(spark, sf), ["day"]), "severity", "observed")
 
 
-@query("bottleneck_alerts", "metric", _BOTTLENECK_SQL + """ SELECT day, bottleneck, round(severity, 6) AS severity,
-    CASE WHEN severity > 0.8 THEN 'critical' ELSE 'high' END AS alert FROM found WHERE severity > 0.7""")
+_ACTIONS_SQL = "(VALUES " + ", ".join(f"('{b}', {k}, '{a}', {str(auto).lower()})" for b, k, a, auto in dims.RECOMMENDATIONS) + ") t(bottleneck, step, action, automated)"
+_TOLD_SQL = f", told AS (SELECT bottleneck, string_agg(action, '; ' ORDER BY step) AS recommendations, bool_or(automated) AS automated_fixes_available FROM {_ACTIONS_SQL} GROUP BY 1)"
+
+
+def actions(spark):
+    return dims.frame(spark, dims.RECOMMENDATIONS, dims.RECOMMENDATIONS_DDL)
+
+
+@query("bottleneck_alerts", "metric", _BOTTLENECK_SQL + _TOLD_SQL + """ SELECT day, found.bottleneck, round(severity, 6) AS severity,
+    CASE WHEN severity > 0.8 THEN 'critical' ELSE 'high' END AS alert, recommendations FROM found JOIN told ON found.bottleneck = told.bottleneck WHERE severity > 0.7""")
 def bottleneck_alerts(spark, sf):
-    found = telemetry.bottlenecks(named_series(spark, sf), ["day"])
-    return rounded(telemetry.bottleneck_alerts(found).select("day", "bottleneck", "severity", "alert"), "severity")
+    found = telemetry.bottleneck_alerts(telemetry.bottlenecks(named_series(spark, sf), ["day"]), actions(spark))
+    return rounded(found.select("day", "bottleneck", "severity", "alert", F.array_join("recommendations", "; ").alias("recommendations")), "severity")
+
+
+@query("optimization_recommendations", "metric", _BOTTLENECK_SQL + _TOLD_SQL + """ SELECT day, found.bottleneck, round(severity, 6) AS severity,
+    CASE WHEN severity > 0.7 THEN 'high' WHEN severity > 0.4 THEN 'medium' ELSE 'low' END AS priority, recommendations, automated_fixes_available FROM found JOIN told ON found.bottleneck = told.bottleneck""")
+def optimization_recommendations(spark, sf):
+    found = telemetry.optimization_recommendations(telemetry.bottlenecks(named_series(spark, sf), ["day"]), actions(spark))
+    return rounded(found.select("day", "bottleneck", "severity", "priority", F.array_join("recommendations", "; ").alias("recommendations"), "automated_fixes_available"), "severity")
 
 
 @query("performance_grades", "metric", _BOTTLENECK_SQL + """, m AS (SELECT day, avg(value) FILTER (series = 'response_time') AS rt,
