@@ -17,12 +17,10 @@ def priority_rank(priority: Column) -> Column:
     return F.when(priority == "urgent", 1).when(priority == "high", 2).when(priority == "low", 4).otherwise(3)
 
 
-def backlog_order(items: DataFrame, day_us: int = 86_400_000_000, block: int = 65_536) -> DataFrame:
-    """Global processing order: priority, then age."""
-    work = items.withColumns({"prio": priority_rank(F.col("priority")), "day": F.floor(F.col("created_us") / day_us).cast("long"),
-                              "block": F.floor(F.col("pos") / block).cast("long")})
-    # Within a day the order is created_us, then pos; blocks of pos refine days whose rows share one time.
-    return ordered.row_numbers(work, [], [["prio", "day"], ["created_us", "block"]], ["created_us", "pos"], "queue_pos").drop("prio", "day", "block")
+def backlog_order(items: DataFrame) -> DataFrame:
+    """Global processing order: priority, then age, then position."""
+    work = items.withColumn("prio", priority_rank(F.col("priority")))
+    return ordered.totals_along(work, [], ["prio", "created_us", "pos"], {"queue_pos": F.lit(1).cast("long")}).drop("prio")
 
 
 def submit_chunks(items: DataFrame, key: str, pos: str, size: int = 20, block: int = 65_536) -> DataFrame:
@@ -61,10 +59,9 @@ def service_statistics(batch_summaries: DataFrame) -> DataFrame:
         count("failed").alias("failed"), (count("completed") / F.greatest(n, F.lit(1)) * 100).alias("success_rate"))
 
 
-def progress(items: DataFrame, batch: str, day_us: int = 86_400_000_000) -> DataFrame:
+def progress(items: DataFrame, batch: str) -> DataFrame:
     """State of the batch after each finished item, with the expected seconds left."""
-    work = items.withColumn("day", F.floor(F.col("created_us") / day_us).cast("long"))
-    run = ordered.running_totals(work, [batch], [["day"]], ["created_us", "pos"], {
+    run = ordered.totals_along(items.select(batch, "pos", "created_us", "success", "seconds"), [batch], ["created_us", "pos"], {
         "done": F.lit(1).cast("long"), "failed": F.when(F.col("success"), 0).otherwise(1).cast("long"),
         "elapsed": F.round(F.col("seconds") * 100000).cast("long")})
     total = items.groupBy(batch).agg(F.count(F.lit(1)).alias("total"))

@@ -1,9 +1,10 @@
 """Cache keys and what a time-limited cache would have answered."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firmlens.operators import ordered
 from firmlens.operators.dimensions import CACHE_SECONDS
 
 
@@ -36,16 +37,12 @@ def valid_seconds(kind: Column) -> Column:
 def cache_answers(lookups: DataFrame, entries: DataFrame, keys: list[str], kind: str) -> DataFrame:
     """Latest entry still valid at each lookup (``us``), or null.
 
-    An entry matters for one validity span only, so it is sent to its own and the next span
-    slot; no task holds the whole history of a key.
+    Lookups and entries lie along one line per key; the latest entry so far is carried over the parts of
+    a key, so no task holds the whole history of one.
     """
     span = valid_seconds(F.col(kind)).cast("long") * 1_000_000
-    slot = F.floor(F.col("us") / span)
-    asks = lookups.withColumns({"entry_us": F.lit(None).cast("long"), "slot": slot, "asks": F.lit(True)})
-    puts = (entries.select(*keys, "us").withColumns({"entry_us": F.col("us"), "asks": F.lit(False)})
-            .withColumn("slot", F.explode(F.array(slot, slot + 1))))
-    both = asks.unionByName(puts, allowMissingColumns=True)
-    upto = Window.partitionBy(*keys, "slot").orderBy("us").rangeBetween(Window.unboundedPreceding, 0)
-    return (both.withColumn("cached_us", F.max("entry_us").over(upto)).filter("asks")
-            .withColumn("cached_us", F.when(F.col("us") - F.col("cached_us") < span, F.col("cached_us")))
+    asks = lookups.withColumns({"entry_us": F.lit(None).cast("long"), "asks": F.lit(True)})
+    puts = entries.select(*keys, "us").withColumns({"entry_us": F.col("us"), "asks": F.lit(False)})
+    both = ordered.largest_so_far(asks.unionByName(puts, allowMissingColumns=True), keys, "us", "entry_us", "cached_us")
+    return (both.filter("asks").withColumn("cached_us", F.when(F.col("us") - F.col("cached_us") < span, F.col("cached_us")))
             .withColumn("hit", F.col("cached_us").isNotNull()).select(*lookups.columns, "cached_us", "hit"))

@@ -34,17 +34,16 @@ def hourly_counts(log: DataFrame, keys: list[str], limit: int = 100, width_us: i
 def robots_rules(files: DataFrame) -> DataFrame:
     """One row per allow/disallow line of each robots file (``domain``, ``content``), lower-cased.
 
-    A file is one row, so its lines are handled inside the row.
+    A line belongs to the last agent named before it; the lines of a file are gone through once.
     """
     lines = F.transform(F.split(F.lower("content"), "\n"), lambda s: F.trim(s))
-    agent = lambda i: F.slice(F.col("lines"), 1, i)
-    upto = F.filter(agent(F.col("seq") + 1), lambda s: s.startswith("user-agent:"))
-    value = lambda s: F.trim(F.regexp_replace(s, "^[^:]*:", ""))
-    return (files.select("domain", lines.alias("lines"))
-            .select("domain", "lines", F.posexplode("lines").alias("seq", "line"))
-            .filter(F.col("line").startswith("allow:") | F.col("line").startswith("disallow:"))
-            .select("domain", F.col("seq"), F.coalesce(value(F.try_element_at(upto, F.lit(-1))), F.lit("*")).alias("agent"),
-                    F.col("line").startswith("allow:").alias("allowed"), value(F.col("line")).alias("path")))
+    value = F.trim(F.regexp_replace("line", "^[^:]*:", ""))
+    along = Window.partitionBy("domain").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)  # a domain has one file
+    named = (files.select("domain", F.posexplode(lines).alias("seq", "line"))
+             .filter(F.col("line").startswith("user-agent:") | F.col("line").startswith("allow:") | F.col("line").startswith("disallow:"))
+             .withColumn("agent", F.last(F.when(F.col("line").startswith("user-agent:"), value), ignorenulls=True).over(along)))
+    return named.filter(~F.col("line").startswith("user-agent:")).select(
+        "domain", "seq", F.coalesce("agent", F.lit("*")).alias("agent"), F.col("line").startswith("allow:").alias("allowed"), value.alias("path"))
 
 
 def robots_settings(files: DataFrame, least_delay: float = 1.0) -> DataFrame:
@@ -58,21 +57,28 @@ def robots_settings(files: DataFrame, least_delay: float = 1.0) -> DataFrame:
 
 
 def robots_verdicts(pages: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
-    """Whether each address may be fetched: an allow line wins, then a disallow line."""
+    """Whether each address may be fetched: an allow line wins, then a disallow line.
+
+    A rule holds for the paths that begin with it, so each path is cut to the lengths that the rules of its
+    domain have, and the pieces are joined to the rules by equality; rules that do not fit never meet a page.
+    Addresses are told apart by (domain, path), once each.
+    """
     name = agent.lower()
     path = F.coalesce(F.nullif(urls.path(F.col("url")), F.lit("")), F.lit("/"))
     work = pages.withColumns({"domain": urls.site(F.col("url")), "page_path": F.lower(path)})
-    mine = rules.filter(F.col("agent").isin("*", name))
-    per_domain = mine.groupBy("domain").agg(F.sort_array(F.collect_list(
-        F.struct("seq", "agent", "allowed", "path"))).alias("rules"))
-    fits = lambda r, allow: (r["allowed"] == F.lit(allow)) & F.startswith(F.col("page_path"), r["path"]) & (
-        F.lit(allow) | (r["path"] != ""))
-    first = lambda allow: F.try_element_at(F.filter("rules", lambda r: fits(r, allow)), F.lit(1))
-    joined = work.join(per_domain, "domain", "left")
-    yes, no = first(True), first(False)
+    mine = rules.filter(F.col("agent").isin("*", name) & (F.col("allowed") | (F.col("path") != "")))
+    lengths = mine.groupBy("domain").agg(F.collect_set(F.length("path")).alias("lengths"))  # at most as many as a path has places
+    cut = (work.select("domain", "page_path").distinct().join(lengths, "domain")
+           .select("domain", "page_path", F.explode(F.filter("lengths", lambda n: n <= F.length("page_path"))).alias("n"))
+           .withColumn("path", F.substring(F.col("page_path"), F.lit(1), F.col("n"))))
+    first = lambda allow: F.min(F.when(F.col("allowed") == allow, F.struct("seq", "agent")))
+    found = cut.join(mine, ["domain", "path"]).groupBy("domain", "page_path").agg(first(True).alias("yes"), first(False).alias("no"))
+    known = rules.filter(F.col("agent").isin("*", name)).select("domain").distinct().withColumn("has_rules", F.lit(True))
+    joined = work.join(known, "domain", "left").join(found, ["domain", "page_path"], "left")
+    yes, no = F.col("yes"), F.col("no")
     return joined.select(
         *pages.columns, "domain", (yes.isNotNull() | no.isNull()).alias("can_fetch"),
-        F.when(F.col("rules").isNull(), "no robots file")
+        F.when(F.col("has_rules").isNull(), "no robots file")
         .when(yes.isNotNull(), F.concat(F.lit("allowed for "), yes["agent"]))
         .when(no.isNotNull(), F.concat(F.lit("disallowed for "), no["agent"]))
         .otherwise("no matching rule").alias("reason"))
@@ -85,17 +91,12 @@ def block_windows(log: DataFrame, status: Column) -> DataFrame:
             .withColumn("until_us", F.col("us") + F.col("hours") * HOUR))
 
 
-def outside_blocks(log: DataFrame, blocks: DataFrame, keys: list[str], slot_us: int = 24 * HOUR) -> DataFrame:
+def outside_blocks(log: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of the log that fall into no block of their key (block start excluded, end excluded).
 
-    Blocks last at most ``slot_us``, so a row meets blocks of its own and the previous slot;
-    per slot the covered intervals reduce to the latest end seen so far.
+    The latest end of the blocks that began before a row is carried along the key's line of blocks and rows.
     """
     marks = blocks.select(*keys, F.col("us").alias("at"), "until_us").withColumn("row", F.lit(False))
     rows = log.withColumn("at", F.col("us")).withColumn("until_us", F.lit(None).cast("long")).withColumn("row", F.lit(True))
-    both = rows.unionByName(marks, allowMissingColumns=True).withColumn(
-        "slot", F.explode(F.when(F.col("row"), F.array(F.floor(F.col("at") / slot_us))).otherwise(
-            F.array(F.floor(F.col("at") / slot_us), F.floor(F.col("at") / slot_us) + 1))))
-    before = Window.partitionBy(*keys, "slot").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    return (both.withColumn("blocked_to", F.max("until_us").over(before)).filter("row")
-            .filter(F.col("blocked_to").isNull() | (F.col("blocked_to") <= F.col("at"))).select(*log.columns))
+    both = ordered.largest_so_far(rows.unionByName(marks, allowMissingColumns=True), keys, "at", "until_us", "blocked_to", before=True)
+    return both.filter("row").filter(F.col("blocked_to").isNull() | (F.col("blocked_to") <= F.col("at"))).select(*log.columns)

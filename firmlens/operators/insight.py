@@ -1,7 +1,7 @@
 """Scores, categories and industry reports over company records."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firmlens.functions import numbers
@@ -180,13 +180,11 @@ def value_counts(rows: DataFrame, field: str, k: int | None = None) -> DataFrame
 
 
 def top_performers(rows: DataFrame, measures: list[str], key: str, k: int = 5) -> DataFrame:
-    """The k highest companies for each measure."""
-    parts = [rows.filter(F.col(m).isNotNull()).select(F.lit(m).alias("measure"), key, "name", "industry", F.col(m).cast("double").alias("value"))
-             .orderBy(F.desc("value"), key).limit(k) for m in measures]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """The k highest companies for each measure; ranks are limited before the shuffle, so few rows of a measure meet."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures]))
+    long = rows.select(key, "name", "industry", pairs.alias("m")).select("m.measure", key, "name", "industry", "m.value").filter("value is not null")
+    best = Window.partitionBy("measure").orderBy(F.desc("value"), key)
+    return long.withColumn("__rank", F.row_number().over(best)).filter(F.col("__rank") <= k).drop("__rank")
 
 
 def best_industries(rows: DataFrame, value: str, k: int = 10) -> DataFrame:

@@ -60,6 +60,40 @@ def running_totals(df: DataFrame, keys: list[str], levels: list[list[str]],
     return out.select(*df.columns, *totals)
 
 
+def dealt(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """``df`` in parts by ranges of (keys, order), stored, with the part's number ``__part``.
+
+    Bounds come from a sample, so a key that holds most rows, or most rows of one hour, is spread over many parts;
+    rows that are equal in keys and order share a part. Numbers grow along the order.
+    """
+    return stored(df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()), "dealt")
+
+
+def totals_along(df: DataFrame, keys: list[str], order: list, totals: dict[str, Column]) -> DataFrame:
+    """Inclusive running sums of ``totals`` per ``keys`` in ``order``, which must tell rows apart.
+
+    Sums before a part come from one summary row per key and part; only the rows of a part are ordered together.
+    """
+    rows = dealt(df.select("*", *[e.alias(f"__t_{n}") for n, e in totals.items()]), keys, order)
+    sums = rows.groupBy(*keys, "__part").agg(*[F.sum(f"__t_{n}").alias(f"__s_{n}") for n in totals])
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "__part", *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__b_{n}") for n in totals])
+    inside = Window.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = join_null_safe(rows, sums, [*keys, "__part"])
+    return out.select(*df.columns, *[(F.sum(f"__t_{n}").over(inside) + F.col(f"__b_{n}")).alias(n) for n in totals])
+
+
+def largest_so_far(df: DataFrame, keys: list[str], at: str, value: str, name: str, before: bool = False) -> DataFrame:
+    """Adds the largest ``value`` of the key's rows up to the row's ``at`` (with ``before``: strictly before it)."""
+    rows = dealt(df, keys, [at])
+    tops = rows.groupBy(*keys, "__part").agg(F.max(value).alias("__top"))
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*keys, "__part", F.max("__top").over(earlier).alias("__carried"))
+    inside = Window.partitionBy(*keys, "__part").orderBy(at).rangeBetween(Window.unboundedPreceding, -1 if before else 0)
+    out = join_null_safe(rows, tops, [*keys, "__part"])
+    return out.select(*df.columns, F.greatest("__carried", F.max(value).over(inside)).alias(name))
+
+
 def row_numbers(df: DataFrame, keys: list[str], levels: list[list[str]], order: list,
                 name: str = "row_num") -> DataFrame:
     return running_totals(df, keys, levels, order, {name: F.lit(1).cast("long")})

@@ -1,31 +1,12 @@
-"""Size checks before choosing the simple plan over the spread-out one."""
+"""How many tasks an input gets."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-SETTING = "spark.firmlens.smallBytes"
-DEFAULT = 256 << 20
-LOOKUP_SHARE = 8
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether even one task could hold all of the input.
-
-    True when Catalyst's estimate for the plan is within the limit, or when everything the plan
-    scans is within an eighth of it (for joins Catalyst multiplies the sides, which says nothing
-    about lookups). Set ``spark.firmlens.smallBytes`` to 0 to always take the spread-out plans.
-    """
-    limit = int(df.sparkSession.conf.get(SETTING, str(DEFAULT)))
-    if limit <= 0 or df.isStreaming:
-        return False
-    plan = df._jdf.queryExecution().optimizedPlan()
-    if int(str(plan.stats().sizeInBytes())) <= limit:
-        return True
-    leaves = plan.collectLeaves()
-    scanned = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return scanned * LOOKUP_SHARE <= limit
-
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a small input that arrives in one piece; large scans stay as they are."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df) else df
+    """Deal out an input that arrives in fewer parts than there are cores; a scan in more parts stays as it is. Rows never change."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -191,16 +191,18 @@ def threats(spark, sf):
     return validation.scan_text(d, "text").filter("sql or script or command or traversal")
 
 
-@query("security_rollup", "req", _PROFILE + """, n AS (SELECT ms, is_error FROM req WHERE us > (SELECT max(us) FROM req) - 604800000000),
-    found AS (""" + ORACLES["text_threats"] + """)
-    SELECT (SELECT count(*) FROM req WHERE agent > 90) AS rate_limit_violations, (SELECT count(*) FROM req WHERE agent > 90 AND is_error) AS blocked_requests,
+@query("security_rollup", "req", "RECURSIVE " + _PROFILE + """, n AS (SELECT ms, is_error FROM req WHERE us > (SELECT max(us) FROM req) - 604800000000),
+    found AS (""" + ORACLES["text_threats"] + """), verdict AS (WITH """ + CHAIN_SQL + """)
+    SELECT (SELECT count(*) FROM verdict WHERE NOT allowed) AS rate_limit_violations, (SELECT count(*) FROM verdict WHERE action LIKE '%blocked%') AS blocked_requests,
     (SELECT count(*) FROM found WHERE sql OR script OR command OR traversal) AS security_violations, (SELECT count(*) FROM prof WHERE score > 0.7) AS suspicious_clients,
     (SELECT round(avg(ms), 6) FROM n) AS avg_ms, (SELECT round(count(*) FILTER (is_error) / count(*) * 100, 6) FROM n) AS error_pct""")
 def security_rollup(spark, sf):
+    """Limiter events are the denials of the rule chain; the last week is found first, so that its range reaches the scan."""
     e = views.events(spark, sf)
-    limited = e.filter("agent > 90").withColumn("action", F.when(F.col("is_error"), "client_blocked_1h").otherwise("request_limited"))
-    week = e.filter(F.col("us") > e.agg(F.max("us")).scalar() - 7 * 24 * 3_600_000_000)
-    return rounded(abuse.security_rollup(limited, threats(spark, sf), abuse.abuse_profiles(e, ["client"], _LIMITS), week), "avg_ms", "error_pct")
+    denied = chain_verdicts(spark, sf).filter("not allowed")
+    latest = e.agg(F.max("us")).first()[0]
+    week = views.events(spark, sf, after=latest - 7 * views.DAY_US) if latest is not None else e
+    return rounded(abuse.security_rollup(denied, threats(spark, sf), abuse.abuse_profiles(e, ["client"], _LIMITS), week), "avg_ms", "error_pct")
 
 
 @query("security_event_feed", "req", f"""SELECT 'alert' AS kind, event_id AS id, us, 'critical' AS severity, NULL AS client FROM req WHERE ms > 200

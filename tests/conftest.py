@@ -15,11 +15,3 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
-
-
-@pytest.fixture
-def spread_out(spark):
-    """Take the plans meant for inputs too large for one task."""
-    spark.conf.set("spark.firmlens.smallBytes", "0")
-    yield
-    spark.conf.unset("spark.firmlens.smallBytes")

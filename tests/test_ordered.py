@@ -30,7 +30,15 @@ def by_key(rows):
     return out
 
 
-def test_order_statistics_long_tail(frame, spread_out):
+@pytest.fixture
+def many_parts(spark):
+    """Small parts are not put together again."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_order_statistics_long_tail(frame, many_parts):
     n = F.col("n")
     got = {r["key"]: r for r in ordered.order_statistics(frame, ["key"], "value", {"lo": F.lit(1), "mid": F.floor((n + 1) / 2), "hi": n}).collect()}
     for key, rows in by_key(log()).items():
@@ -38,7 +46,7 @@ def test_order_statistics_long_tail(frame, spread_out):
         assert (got[key]["lo"], got[key]["mid"], got[key]["hi"]) == (v[0], v[(len(v) + 1) // 2 - 1], v[-1])
 
 
-def test_exclusive_quantiles_match_definition(frame, spread_out):
+def test_exclusive_quantiles_match_definition(frame, many_parts):
     import statistics
     got = {r["key"]: r for r in telemetry.metric_statistics(frame, ["key"], "value", ["us", "event_id"]).collect()}
     for key, rows in by_key(log()).items():
@@ -50,7 +58,7 @@ def test_exclusive_quantiles_match_definition(frame, spread_out):
         assert got[key]["last_value"] == rows[-1][3]
 
 
-def test_running_totals_and_lag(frame, spread_out):
+def test_running_totals_and_lag(frame):
     slots = frame.withColumn("slot", F.floor(F.col("us") / 60_000_000)).withColumn("sub", F.floor(F.col("us") / 7_000_000))
     run = {r["event_id"]: r["total"] for r in ordered.running_totals(slots, ["key"], [["slot"], ["sub"]], ["us", "event_id"], {"total": F.lit(1).cast("long")}).collect()}
     lag = {r["event_id"]: r["before"] for r in ordered.previous_values(slots, ["key"], ["slot"], ["us", "event_id"], {"us": "before"}).collect()}
@@ -60,7 +68,7 @@ def test_running_totals_and_lag(frame, spread_out):
             assert lag[r[0]] == (rows[i - 1][2] if i else None)
 
 
-def test_trailing_counts_and_streaks(frame, spread_out):
+def test_trailing_counts_and_streaks(frame):
     got = {r["event_id"]: r["in_window"] for r in ordered.trailing_counts(frame, ["key"], "us", 300_000_000).collect()}
     slots = frame.withColumn("slot", F.floor(F.col("us") / 600_000_000))
     runs = sorted((r["key"], r["streak_length"]) for r in ordered.streaks(slots, ["key"], [["slot"]], ["us", "event_id"], F.col("value") < 5, [], 3).collect())
@@ -78,7 +86,7 @@ def test_trailing_counts_and_streaks(frame, spread_out):
 
 
 @pytest.mark.parametrize("chunk_seconds", [40_000, 10 ** 6])
-def test_limiter_equals_single_scan(frame, spread_out, chunk_seconds):
+def test_limiter_equals_single_scan(frame, chunk_seconds):
     got = {r["event_id"]: r["allowed"] for r in abuse.sliding_limit(frame, ["key"], 3, 600, chunk_us=chunk_seconds * 1_000_000).collect()}
     for rows in by_key(log()).values():
         kept = []
@@ -95,7 +103,7 @@ def test_limiter_remaining_then_blocked(spark):
     assert [(r["allowed"], r["remaining"]) for r in out] == [(True, 1), (True, 0), (False, 0)]
 
 
-def test_cooldown_and_hour_counts(frame, spread_out):
+def test_cooldown_and_hour_counts(frame):
     sent = {r["event_id"] for r in telemetry.emitted_alerts(frame, ["key"], 300, chunk_us=40_000_000_000).collect()}
     counts = {r["event_id"]: r["hour_count"] for r in crawl.hourly_counts(frame, ["key"], chunk_us=40_000_000_000).collect()}
     for rows in by_key(log()).values():
@@ -127,3 +135,44 @@ def test_trailing_counts_with_null_times_equals_a_plain_window(spark):
     df = spark.createDataFrame([(1, 1, None), (2, 1, None), (3, 1, 5), (4, 1, 12), (5, 2, None), (6, 2, 0), (7, 1, 30)], "i int, k int, t long")
     plain = df.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("k").orderBy("t").rangeBetween(-10, 0)))
     assert {(r["i"], r["n"]) for r in trailing_counts(df, ["k"], "t", 10, "n").collect()} == {(r["i"], r["n"]) for r in plain.collect()}
+
+
+def test_one_key_with_most_rows_of_one_hour(spark, many_parts):
+    """Running totals and carried maxima of a hot key, many of its rows at one time, over several parts."""
+    pick = random.Random(8)
+    rows = [(k, "hot" if k % 10 else None, pick.choice([5_000, 5_000, pick.randint(0, 9_000)]), pick.choice([None, pick.randint(0, 99)])) for k in range(4000)]
+    df = spark.createDataFrame(rows, "event_id long, key string, us long, value long").repartition(4)
+    parts = ordered.dealt(df, ["key"], ["us", "event_id"]).groupBy("key", "__part").count().collect()
+    assert max(r["count"] for r in parts) < 2500 and len(parts) >= 4
+    got = {r["event_id"]: (r["n"], r["total"]) for r in ordered.totals_along(df, ["key"], ["us", "event_id"], {"n": F.lit(1).cast("long"), "total": F.coalesce("value", F.lit(0))}).collect()}
+    upto = {r["event_id"]: r["top"] for r in ordered.largest_so_far(df, ["key"], "us", "value", "top").collect()}
+    before = {r["event_id"]: r["top"] for r in ordered.largest_so_far(df, ["key"], "us", "value", "top", before=True).collect()}
+    for key in ("hot", None):
+        mine = sorted([(r[2], r[0], r[3]) for r in rows if r[1] == key], key=lambda r: r[:2])
+        total = 0
+        for i, (us, k, value) in enumerate(mine):
+            total += value or 0
+            assert got[k] == (i + 1, total)
+        tops, top = {}, None
+        for us in sorted({m[0] for m in mine}):
+            earlier = top
+            for m in (m for m in mine if m[0] == us):
+                top = m[2] if top is None or (m[2] is not None and m[2] > top) else top
+            tops[us] = (top, earlier)
+        for us, k, _ in mine:
+            assert (upto[k], before[k]) == tops[us]
+
+
+def test_robots_rules_by_prefix(spark):
+    files = spark.createDataFrame([("http://a", "User-agent: x\nDisallow: /\n\nUser-Agent: *\nAllow: /pub\nDisallow: /p\nDisallow:\nAllow: /p/q"), ("http://b", "")], "domain string, content string")
+    pages = spark.createDataFrame([(1, "http://a/pub/1"), (2, "http://a/private"), (3, "http://a/p/q/r"), (4, "http://a"), (5, "http://b/x"), (6, "http://c/x")], "page_id long, url string")
+    got = {r["page_id"]: (r["can_fetch"], r["reason"]) for r in crawl.robots_verdicts(pages, crawl.robots_rules(files), "bot").collect()}
+    assert got == {1: (True, "allowed for *"), 2: (False, "disallowed for *"), 3: (True, "allowed for *"), 4: (True, "no matching rule"), 5: (True, "no robots file"), 6: (True, "no robots file")}
+    assert crawl.robots_verdicts(pages, crawl.robots_rules(files), "X").filter("not can_fetch").count() == 2
+
+
+def test_rules_from_a_table(spark):
+    rules = spark.createDataFrame([("b", 5, 60, None, ["CURL"], None, 15), ("a", 10, 60, ["/api"], None, None, 5)], abuse.RULES_DDL)
+    assert abuse.rules_from(rules) == [("a", 10, 60, ["/api"], None, None, 5), ("b", 5, 60, None, ["CURL"], None, 15)]
+    with pytest.raises(ValueError):
+        abuse.rules_from(rules, most=1)
