@@ -267,18 +267,31 @@ def encode(documents: DataFrame, ranks: str | None = None) -> DataFrame:
 
 
 def decode(tokens: DataFrame, ranks: str | None = None) -> DataFrame:
-    """Adds the bytes of all ids as ``decoded``, put together id by id; ``slices`` is neither used nor returned."""
+    """Adds the bytes as ``decoded``, put together slice by slice: a slice's ids are the span between two offsets, and its bytes are remembered."""
     path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = slices_of(path).tokens.__getitem__
+        token = slices_of(path).tokens
+        known: dict[bytes, bytes] = {}
         for batch in batches:
-            column = batch.column("ids")
-            flat, offsets = column.values.to_numpy(), column.offsets.to_pylist()
-            texts = [b"".join(map(token, flat[a:b].tolist())) for a, b in zip(offsets, offsets[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column, pa.array(texts, pa.binary())], names=["doc_id", "ids", "decoded"])
-
-    return tokens.select("doc_id", "ids").mapInArrow(of, "doc_id bigint, ids array<int>, decoded binary")
+            column, cuts = batch.column("ids"), batch.column("slices")
+            raw = column.values.to_numpy().astype("<i4").tobytes()
+            begin, at = column.offsets.to_numpy(), cuts.offsets.to_numpy()
+            starts = 4 * (cuts.values.to_numpy()[at[0]:at[-1]].astype(np.int64) + np.repeat(begin[:-1], np.diff(at)))
+            texts = []
+            for a, b, end in zip((at - at[0]).tolist(), (at[1:] - at[0]).tolist(), (4 * begin[1:].astype(np.int64)).tolist()):
+                bounds = [*starts[a:b].tolist(), end]
+                spans = [raw[x:y] for x, y in zip(bounds, bounds[1:])]
+                try:
+                    texts.append(b"".join(map(known.__getitem__, spans)))
+                except KeyError:
+                    if len(known) > REMEMBERED:
+                        known.clear()
+                    known.update((s, b"".join(map(token.__getitem__, np.frombuffer(s, "<i4").tolist()))) for s in set(spans) if s not in known)
+                    texts.append(b"".join(map(known.__getitem__, spans)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column, cuts, pa.array(texts, pa.binary())], names=["doc_id", "ids", "slices", "decoded"])
+
+    return tokens.select("doc_id", "ids", "slices").mapInArrow(of, "doc_id bigint, ids array<int>, slices array<int>, decoded binary")
 
 
 def decode_slices(ids: list[int], slices: list[int], first: int, last: int, tokens: list[bytes]) -> bytes:

@@ -9,11 +9,10 @@ which its first-level quotes take most characters (ties: the latest). Threads ar
 root by pointer doubling, and each conversation is numbered thread by thread in order of turns.
 
 Messages that hold a unit are reduced to the earliest per conversation, and per unit to those of the
-two smallest conversations, before any join, so a phrase that everybody uses is one row and no pairs arise. Null texts are empty. Within a
-conversation units of any length with a letter or digit are linked; shorter than ``MIN_CHARS`` characters,
-a part of a passage is linked only where the whole passage is not linked in the conversation. Other conversations are searched for units of at least
-``MIN_CHARS`` characters. Repeated rows (same conversation, turn and text) give repeated
-results; messages without conversation or turn have no links.
+two smallest conversations, before any join, so a phrase that everybody uses is one row and no pairs arise. Null texts are empty. Units of any
+length with a letter or digit are linked, within the conversation first, else to the smallest other conversation that holds them; a floor for the latter can
+be set (``min_chars``). Repeated rows (same conversation, turn and text) give repeated
+results; messages without conversation or turn have no links. Other columns are not read.
 """
 from __future__ import annotations
 
@@ -25,8 +24,8 @@ from firmlens.llm.registry import query, table
 from firmlens.llm.scratch import stored
 from firmlens.operators.ordered import row_numbers
 
-#: Characters from which a unit is sought in other conversations, and a part beside its linked whole.
-MIN_CHARS = 12
+#: Characters from which a unit is sought in other conversations, and a part beside its linked whole; 1 loses no link.
+MIN_CHARS = 1
 MARKS = r"^(?:[ \t]*>)+"
 #: Lines that announce a quotation and belong to it.
 ANNOUNCES = r"(?i)^(?:on|am|le|el) .*(?:wrote|schrieb|écrit|escribió) ?:[ \t]*$"
@@ -58,11 +57,11 @@ def quoted_passages(messages: DataFrame) -> DataFrame:
         "conv_id", "turn", F.col("run").alias("n"), "level", "passage")
 
 
-def links(messages: DataFrame) -> DataFrame:
+def links(messages: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(conv_id, turn, n, level, unit, chars, from_conv, from_turn): every quoted unit with its origin."""
     told = messages.filter("conv_id is not null and turn is not null")
     own = stored(told.select("conv_id", "turn", F.explode(units(unquoted(F.col("text")))).alias("u")).select(
-        "conv_id", "turn", F.xxhash64("u").alias("unit"), (F.length("u") >= MIN_CHARS).alias("long")), "units")
+        "conv_id", "turn", F.xxhash64("u").alias("unit"), (F.length("u") >= min_chars).alias("long")), "units")
     here = stored(own.groupBy("conv_id", "unit").agg(F.min("turn").alias("first_turn"), F.max("long").alias("long")), "here")
     # the two smallest conversations of a unit (kept before the shuffle): one of them is not the quoting one
     holder = F.struct("conv_id", "first_turn")
@@ -76,7 +75,7 @@ def links(messages: DataFrame) -> DataFrame:
     return (quoted.join(here.drop("long"), ["conv_id", "unit"], "left").join(anywhere, "unit", "left")
             .withColumn("from_conv", F.when(inside, F.col("conv_id")).otherwise(other["conv_id"]))
             .withColumn("from_turn", F.when(inside, F.col("first_turn")).otherwise(other["first_turn"]))
-            .filter("from_conv is not null").withColumn("whole", whole).filter((F.col("pos") == 0) | (F.col("chars") >= MIN_CHARS) | ~F.col("whole")).select("conv_id", "turn", "n", "level", "unit", "chars", "from_conv", "from_turn"))
+            .filter("from_conv is not null").withColumn("whole", whole).filter((F.col("pos") == 0) | (F.col("chars") >= min_chars) | ~F.col("whole")).select("conv_id", "turn", "n", "level", "unit", "chars", "from_conv", "from_turn"))
 
 
 def thread_roots(parents: DataFrame) -> DataFrame:
@@ -94,9 +93,9 @@ def thread_roots(parents: DataFrame) -> DataFrame:
                                     (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "roots")
 
 
-def conversations(messages: DataFrame) -> DataFrame:
+def conversations(messages: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """Messages without quotes, with parent, thread, depth, link counts and their place in reply order."""
-    found = stored(links(messages), "links")
+    found = stored(links(messages, min_chars), "links")
     counts = found.groupBy("conv_id", "turn").agg(F.count_distinct("n").alias("n_linked_passages"), F.count_distinct("from_conv", "from_turn").alias("n_sources"))
     taken = found.filter("level = 1 and from_conv = conv_id").groupBy("conv_id", "turn", "from_turn").agg(F.sum("chars").alias("chars"))
     parents = taken.groupBy("conv_id", "turn").agg(F.max(F.struct("chars", "from_turn")).alias("best")).select("conv_id", "turn", F.col("best.from_turn").alias("parent_turn"))
@@ -110,7 +109,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     return ranked.drop(*levels)
 
 
-_UNITS = r"list_filter(list_distinct(list_transform(list_concat([{0}], regexp_split_to_array({0}, '\n[ \t]*\n'), string_split({0}, chr(10))), lambda p: trim(regexp_replace(lower(p), '\s+', ' ', 'g')))), lambda p: length(p) >= 12)"
+_UNITS = r"list_filter(list_distinct(list_transform(list_concat([{0}], regexp_split_to_array({0}, '\n[ \t]*\n'), string_split({0}, chr(10))), lambda p: trim(regexp_replace(lower(p), '\s+', ' ', 'g')))), lambda p: regexp_matches(p, '[\p{{L}}\p{{N}}]'))"
 _OWN = r"""CASE WHEN contains(text, '>') THEN regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(l, '^(?:[ \t]*>)+')
   AND NOT regexp_matches(l, '(?i)^(?:on|am|le|el) .*(?:wrote|schrieb|écrit|escribió) ?:[ \t]*$')), chr(10)), '^(?:[ \t]*\n)+|(?:\n[ \t]*)+$', '', 'g') ELSE coalesce(text, '') END"""
 SQL = rf"""
@@ -121,9 +120,9 @@ runs AS (SELECT *, pos - row_number() OVER (PARTITION BY conv_id, turn, level OR
 passages AS (SELECT conv_id, turn, level, run, string_agg(body, chr(10) ORDER BY pos) AS passage FROM runs WHERE level > 0 GROUP BY ALL),
 quoted AS (SELECT conv_id, turn, level, run, unnest({_UNITS.format('passage')}) AS u FROM passages),
 linked AS (SELECT q.*, (SELECT min(turn) FROM own o WHERE o.conv_id = q.conv_id AND o.u = q.u AND o.turn < q.turn) AS here,
-  (SELECT min((o.conv_id, o.turn)) FROM own o WHERE o.u = q.u) AS anywhere FROM quoted q),
+  (SELECT min((o.conv_id, o.turn)) FROM own o WHERE o.u = q.u AND o.conv_id <> q.conv_id) AS anywhere FROM quoted q),
 found AS (SELECT *, CASE WHEN here IS NOT NULL THEN conv_id ELSE anywhere[1] END AS from_conv, coalesce(here, anywhere[2]) AS from_turn FROM linked
-  WHERE here IS NOT NULL OR anywhere[1] <> conv_id),
+  WHERE here IS NOT NULL OR anywhere IS NOT NULL),
 counts AS (SELECT conv_id, turn, count(DISTINCT (level, run)) AS n_linked_passages, count(DISTINCT (from_conv, from_turn)) AS n_sources FROM found GROUP BY ALL),
 taken AS (SELECT conv_id, turn, from_turn, sum(length(u)) AS chars FROM found WHERE level = 1 AND here IS NOT NULL GROUP BY ALL),
 parents AS (SELECT conv_id, turn, arg_max(from_turn, (chars, from_turn)) AS parent_turn FROM taken GROUP BY ALL),

@@ -390,6 +390,8 @@ def test_quotations_of_other_conversations(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     found = {(r["conv_id"], r["turn"], r["from_conv"], r["from_turn"]) for r in quotations.links(df).collect()}
     assert found == {(5, 2, 7, 3), (7, 1, 5, 4), (8, 0, 5, 4)}  # the smallest other conversation, also where the quoting one is the smallest
+    got, want = against_sql(quotations.conversations(df), quotations.SQL, conversations=pd.DataFrame(rows, columns=df.columns).convert_dtypes())
+    assert got == want
     kept = {(r["conv_id"], r["turn"]): r for r in quotations.conversations(df).collect()}
     assert kept[5, 2]["n_linked_passages"] == kept[5, 2]["n_sources"] == 1
 
@@ -402,4 +404,8 @@ def test_short_quotations(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     kept = {(r["conv_id"], r["turn"]): r for r in quotations.conversations(df).collect()}
     assert {k: r["parent_turn"] for k, r in kept.items() if r["parent_turn"] is not None} == {(1, 2): 0, (1, 5): 4, (1, 6): 1, (1, 8): 7}
-    assert kept[1, 5]["thread_turn"] == 4 and kept[1, 8]["n_sources"] == 1 and kept[2, 0]["n_linked_passages"] == 0
+    assert kept[1, 5]["thread_turn"] == 4 and kept[1, 8]["n_sources"] == 1 and kept[2, 0]["n_linked_passages"] == 1
+    with_floor = {(r["conv_id"], r["turn"]): r for r in quotations.conversations(df, min_chars=12).collect()}
+    assert with_floor[2, 0]["n_linked_passages"] == 0 and with_floor[1, 5]["thread_turn"] == 4
+    got, want = against_sql(quotations.conversations(df), quotations.SQL, conversations=pd.DataFrame(rows, columns=df.columns).convert_dtypes())
+    assert got == want
