@@ -8,9 +8,9 @@ every vector is coded by all rotations, 256 bits in 16 substrings.
 Index rows and queries are dealt to blocks by hash, each pair of blocks is one task. In a block every
 substring has a table from value to rows. If two codes differ in at most 16 * (s + 1) - 1 bits, one
 substring differs in at most s (pigeonhole), so probing all values within s bits of each substring of
-a query retrieves every code within that radius. The radius grows by further probes, from s = 2, until
+a query retrieves every code within that radius. The reach grows by further probes, from s = 2, until
 it holds ``enough`` codes of the block or all; codes that no probe has reached are not looked at. All
-codes within the radius are reranked with exact inner products in double precision.
+codes within the smallest radius that holds as many are reranked with exact inner products in double precision.
 
 The radius follows the data: near neighbours need few probes. Vectors without structure lie at almost
 the same distance from each other; there the probes reach most rows of a block before the radius holds
@@ -79,8 +79,9 @@ def _lifted(v: np.ndarray, largest: float, as_query: bool) -> np.ndarray:
     return np.column_stack([v, np.sqrt(np.maximum(0, 1 - (v * v).sum(axis=1)))])
 
 
+VALUES = 1 << SUBSTRING
 #: 16-bit values by their number of ones: what a substring may differ in.
-FLIPS = [np.flatnonzero(np.bitwise_count(np.arange(1 << SUBSTRING)) == ones) for ones in range(SUBSTRING + 1)]
+FLIPS = [np.flatnonzero(np.bitwise_count(np.arange(VALUES)) == ones).astype(np.int32) for ones in range(SUBSTRING + 1)]
 
 
 class Block:
@@ -90,33 +91,38 @@ class Block:
         n, parts = codes.shape
         self.words = np.ascontiguousarray(codes).view(np.uint64)
         order = np.argsort(codes, axis=0, kind="stable")
-        self.rows = order.T.ravel()  # table after table
-        self.starts = np.stack([j * n + np.searchsorted(codes[order[:, j], j], np.arange((1 << SUBSTRING) + 1)) for j in range(parts)])
+        self.rows = order.T.ravel().astype(np.int32)  # table after table
+        self.starts = np.concatenate([j * n + np.searchsorted(codes[order[:, j], j], np.arange(VALUES + 1)) for j in range(parts)]).astype(np.int32)
+        self.tables = np.arange(parts, dtype=np.int32)[:, None] * (VALUES + 1)
 
     def probed(self, query: np.ndarray, ones: int) -> np.ndarray:
         """Rows whose value in some substring differs from the query's in exactly ``ones`` bits (repeats included)."""
-        values = query[:, None].astype(np.int64) ^ FLIPS[ones]
-        table = np.arange(len(query))[:, None]
-        first, last = self.starts[table, values].ravel(), self.starts[table, values + 1].ravel()
-        first, last = first[last > first], last[last > first]
-        size = last - first
-        return self.rows[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        at = ((query[:, None].astype(np.int32) ^ FLIPS[ones]) + self.tables).ravel()
+        first = self.starts.take(at)
+        size = self.starts.take(at + 1) - first
+        full = np.flatnonzero(size)
+        first, size = first[full], size[full]
+        return self.rows.take(np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum()))
 
     def within(self, query: np.ndarray, enough: int, begin: int = 2) -> tuple[np.ndarray, int, int]:
-        """Every row within the first radius that holds enough codes (or all), that radius, and the rows that probes reached."""
+        """Every row within the smallest radius that holds enough codes (or all), that radius, and the rows that probes reached."""
         n = len(self.words)
         word = np.ascontiguousarray(query).view(np.uint64)
         distance = np.full(n, BITS + 1, np.int32)  # beyond any radius until reached
+        enough = min(enough, n)
         for s in range(SUBSTRING + 1):
             fresh = np.zeros(n, bool)
             fresh[self.probed(query, s)] = True
             new = np.flatnonzero(fresh & (distance > BITS))
-            distance[new] = np.bitwise_count(self.words[new] ^ word).sum(axis=1)
-            radius = SUBSTRING * (s + 1) - 1
-            found = np.flatnonzero(distance <= radius)
-            if s >= begin and len(found) >= min(enough, n):
+            distance[new] = np.bitwise_count(self.words.take(new, axis=0) ^ word).sum(axis=1)
+            if s < begin:
+                continue
+            found = np.flatnonzero(distance < SUBSTRING * (s + 1))  # all of them, by the pigeonhole
+            if len(found) >= enough:
                 break
-        return found, radius, int((distance <= BITS).sum())
+        near = distance[found]
+        radius = int(np.partition(near, enough - 1)[enough - 1]) if enough else 0
+        return found[near <= radius], radius, int((distance <= BITS).sum())
 
 
 def _nearest(query_ids: np.ndarray, queries: np.ndarray, query_codes: np.ndarray, ids: np.ndarray, vectors: np.ndarray,
