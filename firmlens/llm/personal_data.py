@@ -1,15 +1,17 @@
 """Personal data by weak supervision: labelers vote, EM weighs them, a span classifier decides.
 
-Patterns propose spans, the four strict kinds among them. Labelers (pattern checks, cue words, the
-characters around a span) each vote for, against or not at all. There is no gazetteer: personal names
-and postal addresses are not proposed. The votes are counted by pattern
+Patterns and a gazetteer propose spans, the four strict kinds among them: listed given names followed by a
+capitalised word, and house numbers followed by a name and a listed street word. Labelers (pattern checks,
+the gazetteer's lists of names, streets, mail domains, dialling codes and account countries, cue words, the
+characters around a span) each vote for, against or not at all. The votes are counted by pattern
 over all documents; expectation-maximisation on those counts estimates how reliable each labeler is
 and how likely each pattern of votes is to be personal data; a logistic span classifier is fitted to
 these probabilities and decides over the spans that the strict kinds do not settle. The strict
 spans stay whatever the classifier says.
 
 Everything that runs on documents is a column expression. Only the table of vote patterns reaches
-the driver; it has at most kinds * 3^labelers rows at any input size.
+the driver; it has at most kinds * 3^labelers rows at any input size. Matches are located in blocks,
+and what surrounds them is cut from pieces of the text, so the work of a text grows with its matches.
 
 Null and empty texts hold no spans. Repeated rows are scanned each on its own. Offsets count code points.
 """
@@ -39,12 +41,27 @@ PROPOSED = {
     "ssn": (r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-"),
     "iban": (r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![0-9A-Za-z])", None),
 }
+# The gazetteer. Given names that are no common words, street words, mail domains, dialling codes, countries of account numbers.
+GIVEN_NAMES = """Anna Maria John Peter Thomas Michael David Sarah Laura Julia Robert James Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica
+Karen Nancy Margaret Sandra William Richard Joseph Charles Christopher Daniel Matthew Anthony Donald Steven Andrew Kenneth George Joshua Kevin Brian
+Edward Ronald Timothy Jason Jeffrey Pierre Jean Marie Sophie Camille Hans Klaus Jürgen Wolfgang Stefan Andreas Sabine Petra Ursula Monika Carlos José
+Juan Luis Carmen Ana Isabel Lucía Pablo Diego""".split()
+STREETS = "Street St Avenue Ave Road Rd Lane Boulevard Blvd Drive Square Court Way".split()
+MAIL_DOMAINS = "gmail.com yahoo.com hotmail.com outlook.com aol.com icloud.com gmx.de gmx.net web.de t-online.de orange.fr free.fr wanadoo.fr live.com proton.me".split()
+DIALLING = "+1 +33 +34 +39 +44 +49".split()
+ACCOUNTS = "AT BE CH CZ DE DK ES FI FR GB GR HU IE IT LU NL NO PL PT SE".split()
+PROPOSED |= {
+    "name": (r"(?<![\p{L}\p{N}])(?:" + "|".join(GIVEN_NAMES) + r")\x20\p{Lu}\p{Ll}++(?:-\p{Lu}\p{Ll}++)?+", None),
+    "address": (r"(?<![\p{L}\p{N}.,-])[0-9]{1,5}+\x20(?:\p{Lu}[\p{L}.'-]*+\x20){1,3}?(?:" + "|".join(STREETS) + r")(?![\p{L}\p{N}])", None),
+}
 KINDS = [*STRICT, *PROPOSED]
 #: Words before a span that speak for or against personal data.
 FOR_WORDS = r"(?i)mail|phone|tel[.:]|call|fax|mobile|contact|card|visa|iban|account|ssn|social security|token|password|secret|key|login|ip[: ]|host"
 AGAINST_WORDS = r"(?i)version|isbn|issn|doi|order no|page|figure|table|section|article|release"
-LABELERS = ["check", "near_for", "near_against", "shape", "apart", "variety"]
+LABELERS = ["check", "gazetteer", "near_for", "near_against", "shape", "apart", "variety"]
 CONTEXT = 24
+#: Matches located together, and characters of the pieces that contexts are cut from.
+BLOCK, PIECE = 64, 4096
 
 _SPANS = "array<struct<kind:string,s:int,e:int,v:string,strict:boolean>>"
 
@@ -69,30 +86,65 @@ def _passes(kind: str, v: Column) -> Column:
     return F.lit(kind == "email")
 
 
-def _located(kind: str, pattern: str, text: Column, hits: Column) -> Column:
-    """Spans of the matches: the pieces between them give the offsets."""
+def _blocks(hits: Column) -> Column:
+    return F.when(F.size(hits) > 0, F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def _block_sizes(hits: Column, gaps: Column) -> Column:
+    """Characters that each block of matches takes, with the text before every match."""
+    def total(lengths: Column) -> Column:
+        return F.aggregate(lengths, F.lit(0), lambda a, n: a + n)
+
+    return F.transform(_blocks(hits), lambda i: total(F.slice(gaps, i * BLOCK + 1, F.lit(BLOCK))) + total(F.transform(F.slice(hits, i * BLOCK + 1, F.lit(BLOCK)), F.length)))
+
+
+def _block_starts(sizes: Column) -> Column:
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(sizes, start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+
+def _located(kind: str, hits: Column, gaps: Column, starts: Column) -> Column:
+    """Spans of the matches; ``gaps`` are the lengths of the text before each of them."""
     none = F.array().cast(_SPANS)
-    pieces = F.split(text, pattern, -1)
 
-    def add(acc, hit):
-        start = acc["at"] + F.length(F.get(acc["pieces"], acc["i"]))
-        end = start + F.length(hit)
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("s"), end.alias("e"), hit.alias("v"), _passes(kind, hit).alias("strict"))
-        return F.struct(end.alias("at"), (acc["i"] + 1).alias("i"), acc["pieces"].alias("pieces"),
-                        F.concat(acc["out"], F.array(span)).cast(_SPANS).alias("out"))
+    def block(i):
+        def add(acc, j):
+            hit = F.get(hits, j)
+            start = acc["at"] + F.get(gaps, j)
+            end = start + F.length(hit)
+            span = F.struct(F.lit(kind).alias("kind"), start.alias("s"), end.alias("e"), hit.alias("v"), _passes(kind, hit).alias("strict"))
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).cast(_SPANS).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), pieces.alias("pieces"), none.alias("out"))
-    return F.when(F.size(hits) > 0, F.aggregate(hits, start, add, lambda acc: acc["out"])).otherwise(none)
+        inside = F.sequence(i * BLOCK, F.least((i + 1) * BLOCK, F.size(hits)) - 1)
+        return F.aggregate(inside, F.struct(F.get(starts, i).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
 
+    return F.when(F.size(hits) > 0, F.flatten(F.transform(_blocks(hits), block))).otherwise(none)
 
-def _votes(text: Column, x: Column) -> dict[str, Column]:
+
+def _cut(pieces: Column, start: Column, length: Column) -> Column:
+    """At most PIECE characters of a text that comes in pieces."""
+    i = F.floor(start / PIECE).cast("int")
+    return F.substr(F.concat(F.coalesce(F.get(pieces, i), F.lit("")), F.coalesce(F.get(pieces, i + 1), F.lit(""))), start - i * PIECE + 1, length)
+
+
+def _listed(x: Column) -> Column:
+    """What the gazetteer says about a span."""
+    v, kind = x["v"], x["kind"]
+    domain = F.lower(F.regexp_extract(v, "@([^@]*)$", 1))
+    known = F.when(kind.isin("name", "address"), True).when(kind == "email", domain.isin(MAIL_DOMAINS)).when(
+        kind == "phone", v.rlike(r"^(?:" + "|".join(c.replace("+", r"\+") for c in DIALLING) + r")[\x20().-]")).when(kind == "iban", F.substring(v, 1, 2).isin(ACCOUNTS))
+    return F.when(known, 1).when((kind == "iban") & ~known, -1).otherwise(0)
+
+
+def _votes(pieces: Column, x: Column) -> dict[str, Column]:
     v, kind = x["v"], x["kind"]
-    before = F.substr(text, F.greatest(x["s"] - CONTEXT + 1, F.lit(1)), F.least(x["s"], F.lit(CONTEXT)))
-    around = F.concat(F.substr(text, x["s"], F.when(x["s"] > 0, 1).otherwise(0)), F.substr(text, x["e"] + 1, F.lit(1)))
+    before = _cut(pieces, F.greatest(x["s"] - CONTEXT, F.lit(0)), F.least(x["s"], F.lit(CONTEXT)))
+    around = F.concat(_cut(pieces, F.greatest(x["s"] - 1, F.lit(0)), F.when(x["s"] > 0, 1).otherwise(0)), _cut(pieces, x["e"], F.lit(1)))
     distinct = F.size(F.array_distinct(F.split(F.lower(v), "")))
     yes, no = lambda c: F.when(c, 1).otherwise(0), lambda c: F.when(c, -1).otherwise(0)
     return {
         "check": F.when(x["strict"], 1).when(kind.isin(*STRICT), -1).otherwise(0),
+        "gazetteer": _listed(x),
         "near_for": yes(F.concat(before, F.when(kind == "secret", v).otherwise("")).rlike(FOR_WORDS)),
         "near_against": no(before.rlike(AGAINST_WORDS)),
         "shape": F.when(v.rlike(r"[@()+=:]|[0-9][\x20.-][0-9]"), 1).otherwise(0),
@@ -101,25 +153,39 @@ def _votes(text: Column, x: Column) -> dict[str, Column]:
     }
 
 
+def _held(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """Columns behind a generator, so that each is computed once and not again in every lambda that looks at it."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def candidates(documents: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` and an array ``cands`` of spans with their votes, in order of kind and place."""
-    text = F.col("text")
-    patterns = STRICT | PROPOSED
-    hits = []
-    for kind, (pattern, needs) in patterns.items():
-        every = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-        hits.append((F.when(F.contains(text, F.lit(needs)), every) if needs else every).alias(kind))
-    # behind a generator each pattern runs once and the spans are built from its matches
-    held = documents.select(*dict.fromkeys([*keep, "text"]), F.inline(F.array(F.struct(*[h.alias(f"__{k}") for k, h in zip(patterns, hits)]))))
-    spans = F.concat(*[_located(k, patterns[k][0], text, F.col(f"__{k}")) for k in patterns])
-    held = held.select(*keep, *([] if "text" in keep else ["text"]), F.inline(F.array(F.struct(spans.alias("__spans")))))
+    text, patterns = F.col("text"), STRICT | PROPOSED
+    names = list(dict.fromkeys([*keep, "text"]))
+    hits, gaps, sizes = ({k: F.col(f"__{what}_{k}") for k in patterns} for what in ("hits", "gaps", "sizes"))
+
+    def every(kind: str) -> Column:
+        pattern, needs = patterns[kind]
+        found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+        return F.when(F.contains(text, F.lit(needs)), found) if needs else found
+
+    def lengths(kind: str) -> Column:
+        return F.when(F.size(hits[kind]) > 0, F.transform(F.split(text, patterns[kind][0], -1), F.length))
+
+    held = _held(documents, names, **{f"__hits_{k}": every(k) for k in patterns})
+    held = _held(held, [*names, *hits.values()], **{f"__gaps_{k}": lengths(k) for k in patterns})
+    held = _held(held, [*names, *hits.values(), *gaps.values()], **{f"__sizes_{k}": _block_sizes(hits[k], gaps[k]) for k in patterns})
+    held = _held(held, [*names, *hits.values(), *gaps.values()], **{f"__starts_{k}": _block_starts(sizes[k]) for k in patterns})
+    spans = F.concat(*[_located(k, hits[k], gaps[k], F.col(f"__starts_{k}")) for k in patterns])
+    pieces = F.when(F.size("__spans") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+    held = _held(held, names, __spans=spans)
+    held = _held(held, [*keep, "__spans"], __pieces=pieces, __strict=F.filter("__spans", lambda x: x["strict"]))
 
     def with_votes(x):
         return F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["strict"].alias("strict"),
-                        *[c.cast("int").alias(n) for n, c in _votes(text, x).items()])
+                        *[c.cast("int").alias(n) for n, c in _votes(F.col("__pieces"), x).items()])
 
-    free = F.filter("__spans", lambda x: ~x["kind"].isin(*PROPOSED) | ~F.exists(
-        F.col("__spans"), lambda y: y["strict"] & (y["s"] < x["e"]) & (x["s"] < y["e"])))
+    free = F.filter("__spans", lambda x: ~x["kind"].isin(*PROPOSED) | ~F.exists("__strict", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
     return held.select(*keep, F.transform(free, with_votes).alias("cands"))
 
 
@@ -178,7 +244,7 @@ def fit(patterns: list[tuple[str, tuple[int, ...], int]], steps: int = 300) -> S
 
 
 def train(found: DataFrame) -> SpanClassifier:
-    """Counts the vote patterns of all candidates (at most 9 * 3^6 groups) and fits the classifier."""
+    """Counts the vote patterns of all candidates (at most 11 * 3^7 groups) and fits the classifier."""
     counted = (found.select(F.explode("cands").alias("x")).groupBy("x.kind", *[F.col(f"x.{n}").alias(n) for n in LABELERS])
                .agg(F.count(F.lit(1)).alias("n")).collect())
     return fit(sorted((r["kind"], tuple(r[n] for n in LABELERS), r["n"]) for r in counted))
