@@ -1,11 +1,12 @@
 """Ordered helpers against brute force, with one key holding most rows."""
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from firmlens.operators import abuse, crawl, ordered, telemetry
+from firmlens.operators import abuse, crawl, durable, ordered, telemetry
 
 
 def log(seed=3, n=600):
@@ -176,3 +177,25 @@ def test_rules_from_a_table(spark):
     assert abuse.rules_from(rules) == [("a", 10, 60, ["/api"], None, None, 5), ("b", 5, 60, None, ["CURL"], None, 15)]
     with pytest.raises(ValueError):
         abuse.rules_from(rules, most=1)
+
+
+def test_scratch_tables_are_removed(spark):
+    kept = durable.stored(spark.range(3))
+    with durable.scratch():
+        rows = durable.stored(spark.range(5))
+        path = rows.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert rows.count() == 5 and os.path.isdir(path)
+    assert not os.path.exists(path) and kept.count() == 3
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf(dict):
+        def get(self, key, default=None):
+            return super().get(key, default)
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077", "spark.sql.warehouse.dir": "file:/x"})
+    with pytest.raises(RuntimeError):
+        durable.shared_folder(Session)
+    Session.conf["spark.checkpoint.dir"] = "hdfs://host/x/"
+    assert durable.shared_folder(Session) == "hdfs://host/x"
