@@ -14,7 +14,7 @@ STAGES = [
     ("packing", packing.stage),
 ]
 
-#: The trained models, the hash and the tokenizer have no SQL form; the tests hold run() against a brute-force version.
+#: The trained models, the hash and the tokenizer have no SQL form; the tests follow every document through the stages.
 ORACLE_SQL = None
 
 
