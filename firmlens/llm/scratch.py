@@ -3,17 +3,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-
-def folder(spark: SparkSession, name: str = "table") -> str:
-    """A fresh path below ``spark.checkpoint.dir``, or below the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from firmlens.operators.durable import scratch, shared_folder, stored  # noqa: F401
 
 
-def stored(df: DataFrame, name: str = "table", compression: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet and read it back: the lineage ends here, lost executors cost nothing before it."""
-    path = folder(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def folder(spark: SparkSession, name: str = "table") -> str:
+    """A fresh path below ``spark.checkpoint.dir``, or below the warehouse of a local session where that is unset."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
