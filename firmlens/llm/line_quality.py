@@ -248,13 +248,14 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 def judge(documents: DataFrame, field: Field | None, min_content: float = MIN_CONTENT, keep: list[str] | None = None) -> DataFrame:
     """Base counts, content share and verdict of every document; ``keep`` names input columns to carry along unread."""
     keep = ["doc_id"] if keep is None else keep
-    chosen = documents.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
+    own = "text" if "text" in keep else "__text"  # a text that is kept travels once
+    chosen = documents.select(*[F.col(f"`{c}`") for c in keep], *([] if "text" in keep else [F.col("text").alias(own)]))
     parts = None if field is None else (field.weights, field.move, field.start)
 
     def verdicts(batches):
         model = None if parts is None else Field(*parts)
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
+            texts = batch.column(own).to_pylist()
             for a, b in chunks(texts):
                 found = pa.RecordBatch.from_pandas(_judged(texts[a:b], model, min_content), preserve_index=False)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in keep), *found.columns],
@@ -290,7 +291,8 @@ def op4_line_field_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the rules keep; their columns travel as one struct and stay as they are, whatever their names."""
+    """Keeps the documents that the rules keep; columns besides the text travel as one struct, and all stay as they are, whatever their names."""
     field = train(docs, table(spark, sf_dir, "labels"))
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    return judge(held, field, keep=["row"]).filter("kept").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.col("text"))
+    kept = judge(held, field, keep=["row", "text"]).filter("kept")
+    return kept.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -30,7 +30,7 @@ CAPACITY, END_ID = 4096, 1
 #: Rows that one packing task holds, and rounds of exchange at most.
 PART_ROWS, ROUNDS = 200_000, 8
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 1_200_000
+REMEMBERED = 900_000
 #: Characters of texts whose unknown words are encoded together.
 GROUP_CHARS = 1 << 18
 

@@ -302,18 +302,17 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Other columns pass through as they are, whatever their names: they travel as one struct. The candidates
     are stored with the documents, so each text is searched once.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    held = docs.select(F.struct(*columns).alias("row"), F.col("text"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.col("text"))
     found = stored(candidates(held, ["row", "text"]), "candidates")
     spans = F.col("spans")
-    new = decided(found, train(found)).select("row", F.inline(F.array(F.struct(
+    new = decided(found, train(found)).select("row", F.length("text").alias("n"), F.inline(F.array(F.struct(
         F.when(F.size(spans) > 0, redacted(F.col("text"), spans)).otherwise(F.col("text")).alias("new")))))
     types = dict(docs.dtypes)
 
     def out(c: str) -> Column:
-        old = F.col("row")[c]
         if c == "text":
             return F.col("new")
-        return F.when(old == F.length(F.col("row")["text"]), F.length("new")).otherwise(old).cast(types[c]) if c == "n_chars" else old
+        old = F.col("row")[c]
+        return F.when(old == F.col("n"), F.length("new")).otherwise(old).cast(types[c]) if c == "n_chars" else old
 
     return new.select(*[out(c).alias(c) for c in docs.columns])
