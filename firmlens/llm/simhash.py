@@ -84,8 +84,11 @@ def decoder() -> np.ndarray:
     by_remainder = np.zeros(2048, np.int64)
     by_remainder[remainder(errors)] = errors
     high = remainder(np.arange(4096) << 11)
-    words = np.arange(1 << 23)
-    return ((words ^ by_remainder[high[words >> 11] ^ words & 2047]) >> 11).astype(np.int16)
+    index = np.empty(1 << 23, np.int16)
+    for first in range(0, 1 << 23, 1 << 18):  # a part at a time, so that a worker holds little besides the table
+        words = np.arange(first, first + (1 << 18))
+        index[words] = (words ^ by_remainder[high[words >> 11] ^ words & 2047]) >> 11
+    return index
 
 
 def keys_of(fps: np.ndarray, decode: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
