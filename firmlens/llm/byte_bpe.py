@@ -14,19 +14,21 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmlens.llm.registry import query, table
 
-#: Characters encoded together, and slices that a Python worker remembers.
-CHUNK_CHARS, REMEMBERED = 1 << 19, 500_000
+#: Bytes of texts (or of their tokens) that are in work at once, slices that a Python worker remembers, and characters up to which it does.
+CHUNK_BYTES, REMEMBERED, REMEMBERED_CHARS = 1 << 19, 200_000, 256
 #: Bytes up to which a slice is merged by plain search for the lowest rank.
 SHORT = 64
 
@@ -192,17 +194,24 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Slices(dict):
-    """Ids of slices as bytes, merged when first asked for."""
+    """Ids of slices as bytes, merged when first asked for; when there are too many, those not asked for again are forgotten."""
 
     def __init__(self, path: str):
         super().__init__()
         self.ranks = read_ranks(path)
         self.tokens = [token for token, _ in sorted(self.ranks.items(), key=lambda x: x[1])]
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self[piece] = np.array(merged(piece.encode(), self.ranks), "<i4").tobytes()
+        found = self.before.pop(piece, None)
+        if found is None:
+            ids = merged(piece.encode(), self.ranks)
+            found = struct.pack(f"<{len(ids)}i", *ids)
+        if len(piece) <= REMEMBERED_CHARS:
+            if len(self) >= REMEMBERED:
+                self.before = dict(self)
+                self.clear()
+            self[piece] = found
         return found
 
 
@@ -235,15 +244,16 @@ def encoded(texts: list[str], memory: Slices) -> tuple[np.ndarray, np.ndarray, n
     return ids, n_tokens, slices, n_slices
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start, size = 0, 0
-    for k, text in enumerate(texts):
-        if k > start and size + len(text) > CHUNK_CHARS:
-            yield start, k
-            start, size = k, 0
-        size += len(text) + 1
-    if start < len(texts):
-        yield start, len(texts)
+def _chunks(column: pa.Array, width: int = 1) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of a column of texts or lists, with ``CHUNK_BYTES`` at most or of one row; ``width`` bytes count for each unit of an offset."""
+    if not len(column):
+        return
+    at = column.offsets.to_numpy() if pa.types.is_list(column.type) else np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy())))
+    most, start = CHUNK_BYTES // width, 0
+    while start < len(column):
+        end = max(start + 1, int(np.searchsorted(at, int(at[start]) + most, "right")) - 1)
+        yield start, min(end, len(column))
+        start = end
 
 
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
@@ -257,43 +267,53 @@ def encode(documents: DataFrame, ranks: str | None = None) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = slices_of(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in _chunks(texts):
-                ids, n_tokens, slices, n_slices = encoded(texts[a:b], memory)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), _lists(ids, n_tokens), _lists(slices, n_slices)],
+            for a, b in _chunks(batch.column("text")):
+                part = batch.slice(a, b - a)
+                ids, n_tokens, slices, n_slices = encoded([t or "" for t in part.column("text").to_pylist()], memory)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), _lists(ids, n_tokens), _lists(slices, n_slices)],
                                                  names=["doc_id", "ids", "slices"])
 
     return documents.select("doc_id", "text").mapInArrow(of, "doc_id bigint, ids array<int>, slices array<int>")
 
 
 def decode(tokens: DataFrame, ranks: str | None = None) -> DataFrame:
-    """Adds the bytes as ``decoded``, put together slice by slice: a slice's ids are the span between two offsets, and its bytes are remembered."""
+    """Adds the bytes as ``decoded``, put together slice by slice: a slice's ids are the span between two offsets."""
     path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = slices_of(path).tokens
-        known: dict[bytes, bytes] = {}
+        tokens = token_table(path)
         for batch in batches:
-            column, cuts = batch.column("ids"), batch.column("slices")
-            raw = column.values.to_numpy().astype("<i4").tobytes()
-            begin, at = column.offsets.to_numpy(), cuts.offsets.to_numpy()
-            starts = 4 * (cuts.values.to_numpy()[at[0]:at[-1]].astype(np.int64) + np.repeat(begin[:-1], np.diff(at)))
-            texts = []
-            for a, b, end in zip((at - at[0]).tolist(), (at[1:] - at[0]).tolist(), (4 * begin[1:].astype(np.int64)).tolist()):
-                bounds = [*starts[a:b].tolist(), end]
-                spans = [raw[x:y] for x, y in zip(bounds, bounds[1:])]
-                try:
-                    texts.append(b"".join(map(known.__getitem__, spans)))
-                except KeyError:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    known.update((s, b"".join(map(token.__getitem__, np.frombuffer(s, "<i4").tolist()))) for s in set(spans) if s not in known)
-                    texts.append(b"".join(map(known.__getitem__, spans)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column, cuts, pa.array(texts, pa.binary())], names=["doc_id", "ids", "slices", "decoded"])
+            for a, b in _chunks(batch.column("ids"), 4):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded(part.column("ids"), part.column("slices"), tokens)], names=["doc_id", "ids", "slices", "decoded"])
 
     return tokens.select("doc_id", "ids", "slices").mapInArrow(of, "doc_id bigint, ids array<int>, slices array<int>, decoded binary")
 
 
+_TABLES: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def token_table(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all tokens one after another, and where each begins and the last ends."""
+    if path not in _TABLES:
+        tokens = [token for token, _ in sorted(read_ranks(path).items(), key=lambda x: x[1])]
+        _TABLES[path] = np.frombuffer(b"".join(tokens), np.uint8), np.concatenate(([0], np.cumsum(list(map(len, tokens)))))
+    return _TABLES[path]
+
+
+def decoded(column: pa.ListArray, cuts: pa.ListArray, tokens: tuple[np.ndarray, np.ndarray]) -> pa.BinaryArray:
+    """The bytes of each list of ids, from the first of its slices to the first of the next list's."""
+    table, place = tokens
+    begin, at = column.offsets.to_numpy().astype(np.int64), cuts.offsets.to_numpy().astype(np.int64)
+    ids = column.values[begin[0]:begin[-1]].to_numpy()
+    starts = cuts.values[at[0]:at[-1]].to_numpy() + np.repeat(begin[:-1] - begin[0], np.diff(at))
+    sizes = (place[1:] - place[:-1])[ids]
+    upto = np.concatenate(([0], np.cumsum(sizes)))
+    whole = table[np.repeat(place[ids] - upto[:-1], sizes) + np.arange(upto[-1])]
+    bounds = np.append(upto[starts], upto[-1])[at - at[0]]
+    return pa.Array.from_buffers(pa.binary(), len(column), [None, pa.array(bounds, pa.int32()).buffers()[1], pa.py_buffer(whole)])
+
+
 def decode_slices(ids: list[int], slices: list[int], first: int, last: int, tokens: list[bytes]) -> bytes:
     """The bytes of slices ``first`` to ``last`` (exclusive) of a text."""
     bounds = [*slices, len(ids)]

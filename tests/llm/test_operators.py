@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -165,6 +166,25 @@ def test_byte_bpe(docs):
     assert byte_bpe.encode(docs.limit(0)).count() == 0
 
 
+def test_byte_bpe_works_in_bounded_parts(monkeypatch):
+    """Texts, tokens and what is remembered are held a part at a time, whatever the batch; the parts lose no row."""
+    texts = pa.array(["ab " * 10, None, "", "x" * 100, "c d"] * 40)
+    monkeypatch.setattr(byte_bpe, "CHUNK_BYTES", 64)
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 2)
+    ranges = list(byte_bpe._chunks(texts.slice(3)))
+    assert [k for a, b in ranges for k in range(a, b)] == list(range(197)) and all(b - a == 1 or sum(len(t or "") for t in texts[3 + a:3 + b].to_pylist()) <= 64 for a, b in ranges)
+    lists = pa.array([[1, 2], [], None, [3] * 30, [4]], pa.list_(pa.int32()))
+    assert list(byte_bpe._chunks(lists.slice(1), 4)) == [(0, 2), (2, 3), (3, 4)] and list(byte_bpe._chunks(lists.slice(5), 4)) == []
+    memory = byte_bpe.Slices(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    tokens = byte_bpe.token_table(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for a, b in ranges:
+        part = [t or "" for t in texts[3 + a:3 + b].to_pylist()]
+        ids, n, slices, n_slices = byte_bpe.encoded(part, memory)
+        assert byte_bpe.decoded(byte_bpe._lists(ids, n), byte_bpe._lists(slices, n_slices), tokens).to_pylist() == [t.encode() for t in part]
+        memory["y" * 300]
+    assert len(memory) <= 2 >= len(memory.before) and "y" * 300 not in memory
+
+
 def test_archives(spark):
     importable(spark)
     pages = [(1, "http://M.example.com/a?b#c", "<p>é</p>"), (2, "http://m.example.com/a?b", "<p>é</p>"), (3, None, None), (4, "", ""), (5, "https://u@h:80", "x\r\n\r\ny"), (5, "https://u@h:80", "x\r\n\r\ny")]
