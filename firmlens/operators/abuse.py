@@ -33,38 +33,18 @@ def limits_with(own: dict | None) -> dict:
 def running_scores(log: DataFrame, keys: list[str], limits: dict | None = None, idle: int = 24 * HOUR) -> DataFrame:
     """Adds ``score``, the suspicion score of each request's client as it stood with that request.
 
-    A client silent for longer than ``idle`` starts afresh. Counts are running totals, varieties are running
-    totals of first occurrences, and the gaps' variance looks at the ten gaps before; rows of one client meet
-    by the hour only, or by the thousand, so a client may hold most of the log. Times must not be null.
+    A client silent for longer than ``idle`` starts afresh. The log is scanned in chunks of time whose states are joined
+    (``sequential.joined_scan``), so a client may hold most of the log. A request without a time is judged by itself.
     """
     p = limits_with(limits)
-    keep = log.columns
-    levels, order = [["__day"], ["__slot"]], ["us", "event_id"]
-    work = with_previous(log, keys).withColumns({
-        "__gap": F.col("us") - F.col("prev_us"), "__slot": F.floor(F.col("us") / HOUR).cast("long"), "__day": F.floor(F.col("us") / (24 * HOUR)).cast("long")})
-    fresh = F.col("__gap").isNull() | (F.col("__gap") > idle)
-    work = ordered.running_totals(work, keys, levels, order, {"__visit": F.when(fresh, 1).otherwise(0).cast("long")})
-    work = work.withColumn("__gap", F.when(~fresh, F.col("__gap") / SECOND))
-    visit = [*keys, "__visit"]
-    for what in ("endpoint", "agent"):
-        firsts = work.filter(F.col(what).isNotNull()).groupBy(*visit, what).agg(F.min(F.struct(*order)).alias("__at"))
-        work = ordered.join_null_safe(work, firsts, [*visit, what]).withColumn(f"__new_{what}", F.when(F.struct(*order) == F.col("__at"), 1).otherwise(0)).drop("__at")
-    since = work.groupBy(*visit).agg(F.min("us").alias("__since"))
-    work = ordered.join_null_safe(work, since, visit)
-    work = ordered.running_totals(work, visit, levels, order, {
-        "__n": F.lit(1).cast("long"), "__wrong": F.when(F.col("is_error"), 1).otherwise(0).cast("long"),
-        "__endpoints": F.col("__new_endpoint").cast("long"), "__agents": F.col("__new_agent").cast("long")})
-    # blocks of a thousand requests, each with the nine before it
-    block = F.floor(F.col("__n") / 1000)
-    gaps = work.select(*visit, "__n", "__gap", F.explode(F.when(F.col("__n") % 1000 >= 991, F.array(block, block + 1)).otherwise(F.array(block))).alias("__block"))
-    recent = Window.partitionBy(*visit, "__block").orderBy("__n").rowsBetween(-9, 0)
-    spread = (gaps.withColumn("__variance", F.var_pop("__gap").over(recent)).filter(F.col("__block") == F.floor(F.col("__n") / 1000)).select(*visit, "__n", "__variance"))
-    work = ordered.join_null_safe(work, spread, [*visit, "__n"])
-    hours = F.greatest((F.col("us") - F.col("__since")) / HOUR, F.lit(0.1))
-    tests = [(F.col("__n") / hours > p["per_hour"], 0.3), (F.col("__endpoints") > p["endpoints"], 0.2), (F.col("__agents") > p["agents"], 0.15),
-             (F.col("__wrong") / F.col("__n") > p["errors"], 0.25), ((F.col("__n") > 11) & (F.col("__variance") < p["variance"]), 0.1)]
+    keep = [c for c in log.columns if c != "score"]
+    scan = sequential.visit_scan(p, idle)
+    timed = sequential.joined_scan(log.select(keep).filter(F.col("us").isNotNull()), keys, "us", 7 * idle, ["us", "event_id"],
+                                   ["us", "event_id", "endpoint", "agent", "is_error"], scan, "score")
+    one = lambda c: F.when(F.col(c), 1).otherwise(0) if c == "is_error" else F.col(c).isNotNull().cast("int")
+    tests = [(F.lit(1 / 0.1) > p["per_hour"], 0.3), (one("endpoint") > p["endpoints"], 0.2), (one("agent") > p["agents"], 0.15), (one("is_error") > p["errors"], 0.25)]
     score = sum((F.when(test, weight).otherwise(0.0) for test, weight in tests), F.lit(0.0))
-    return work.select(*[c for c in keep if c != "score"], F.least(score, F.lit(1.0)).alias("score"))
+    return timed.unionByName(log.select(keep).filter(F.col("us").isNull()).withColumn("score", F.least(score, F.lit(1.0))))
 
 
 def abuse_profiles(log: DataFrame, keys: list[str], limits: dict | None = None) -> DataFrame:

@@ -19,9 +19,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from firmlens.operators.durable import stored
 from firmlens.operators.ordered import join_null_safe
@@ -121,6 +123,85 @@ def chunked_scan(df: DataFrame, keys: list[str], chunk: str, order: list[str], i
     return in_order(join_null_safe(df, entries, ids)).mapInPandas(verdicts, full_ddl)
 
 
+def joined_scan(df: DataFrame, keys: list[str], at: str, width: int, order: list[str], inputs: list[str], scan: Callable, out: str) -> DataFrame:
+    """Adds ``out``, the numbers that ``scan(state, *inputs) -> (state, numbers)`` gives along each key.
+
+    For scans whose state after a chunk follows from the state before it and the state of the chunk scanned alone:
+    ``scan.join(before, rows, alone)``. The log is cut into chunks of ``width`` by its time ``at``, which must not be null;
+    keys may be. Each chunk is scanned alone, the states that still matter at its end (``scan.settle``) are joined along
+    the key, and each is sent to the next chunk as a row of its own. So rows are shuffled twice, in any log, and no job
+    runs before. A pause longer than ``width`` must leave nothing that matters.
+    """
+    ids = [*keys, "__chunk"]
+    rows = df.withColumn("__chunk", F.floor(F.col(at) / width).cast("long"))
+    settle, join, columns = scan.settle, scan.join, df.columns
+
+    def runs(batches):
+        """Each batch with its runs of equal ids: ids, first row, end, and the state sent to the chunk, if that is the first row."""
+        for batch in batches:
+            here = list(zip(*(batch.column(c).to_pylist() for c in ids)))
+            sent = batch.column("__entry").to_pylist() if "__entry" in batch.schema.names else [None] * len(here)
+            cuts = [k for k in range(len(here)) if k == 0 or here[k] != here[k - 1]] + [len(here)]
+            yield batch, [batch.column(c).to_pylist() for c in inputs], [(here[a], a, b, sent[a]) for a, b in zip(cuts, cuts[1:])]
+
+    def states(batches):
+        names, kinds, last, state, n = [*ids, "__rows", "__state"], None, None, None, 0
+
+        def ended(found):
+            left = settle(state, (last[-1] + 1) * width)
+            if left is not None:
+                found.append((*last, n, json.dumps(left)))
+        for batch, values, parts in runs(batches):
+            kinds, found = [*(batch.schema.field(c).type for c in ids), pa.int64(), pa.string()], []
+            for here, a, b, _ in parts:
+                if here != last:
+                    if last is not None:
+                        ended(found)
+                    last, state, n = here, None, 0
+                state, _ = scan(state, *(v[a:b] for v in values))
+                n += b - a
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(kinds)], names=names)
+        if last is not None:
+            ended(found := [])
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(kinds)], names=names)
+
+    def entries(batches):
+        """What each chunk's successor starts from."""
+        last, state = None, None
+        for batch in batches:
+            sent = []
+            for here, n, alone in zip(zip(*(batch.column(c).to_pylist() for c in ids)), batch.column("__rows").to_pylist(), batch.column("__state").to_pylist()):
+                follows = last is not None and last[:-1] == here[:-1] and last[-1] + 1 == here[-1]
+                last, state = here, join(state, n, json.loads(alone)) if follows else json.loads(alone)
+                sent.append(json.dumps(state))
+            chunk = pa.array([None if c is None else c + 1 for c in batch.column("__chunk").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), chunk, pa.array(sent, pa.string())], names=[*ids, "__entry"])
+
+    def numbers(batches):
+        last, state = None, None
+        for batch, values, parts in runs(batches):
+            found = []
+            for here, a, b, sent in parts:
+                if here != last:
+                    last, state = here, None
+                if sent is not None:
+                    a, state = a + 1, json.loads(sent)
+                state, new = scan(state, *(v[a:b] for v in values))
+                found += new
+            kept = batch.filter(batch.column("__entry").is_null())
+            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in columns), pa.array(found, pa.float64())], names=[*columns, out])
+
+    def typed(names, **more):
+        return T.StructType([T.StructField(c, rows.schema[c].dataType) for c in names] + [T.StructField(c, t) for c, t in more.items()])
+
+    slim = rows.select(*dict.fromkeys(ids + order + inputs)).repartition(*ids).sortWithinPartitions(*ids, *order)
+    alone = slim.mapInArrow(states, typed(ids, __rows=T.LongType(), __state=T.StringType()))
+    sent = alone.repartition(*keys).sortWithinPartitions(*ids).mapInArrow(entries, typed(ids, __entry=T.StringType()))
+    both = rows.unionByName(sent, allowMissingColumns=True)
+    dealt = both.repartition(*ids).sortWithinPartitions(*ids, F.col("__entry").isNull(), *order)
+    return dealt.mapInArrow(numbers, typed(columns, **{out: T.DoubleType()}))
+
+
 def settles(settle: Callable):
     """Names what of a scan's state still matters at a later time."""
     def named(scan):
@@ -229,6 +310,64 @@ def profile_scan(limits: dict, idle: int):
     return scan
 
 
+def visit_scan(limits: dict, idle: int):
+    """The scores of ``profile_scan`` for ``joined_scan``, whose inputs are time, id, endpoint, agent and error.
+
+    Of endpoints and agents the state holds how many rows each came with first: a row that comes twice with the same time
+    and id counts twice. Once there are more than the limit, more of them change nothing.
+    """
+    def settle(state, t):
+        return state if t - state[3] <= idle else None
+
+    def join(before, rows, alone):
+        n, wrong, first, last, seen, used, gaps, _, _ = alone
+        if n != rows or first - before[3] > idle:  # it does not go back to the chunk's first row, or that began afresh
+            return alone
+        merge = lambda old, new, limit: sorted(({**dict(new), **dict(old)}).items(), key=lambda x: str(x[0]))[:limit + 1]
+        return [before[0] + n, before[1] + wrong, before[2], last, merge(before[4], seen, limits["endpoints"]), merge(before[5], used, limits["agents"]),
+                [*before[6], (first - before[3]) / 1_000_000, *gaps][-11:], None, []]
+
+    def scan(state, times, numbers, endpoints, agents, errors):
+        n, wrong, first, last, seen, used, gaps, at, fresh = state or (0, 0, 0, 0, [], [], [], None, [])
+        seen, used, gaps, at, scores = dict(seen), dict(used), list(gaps), at and tuple(at), []
+        fresh = {tuple(f) for f in fresh}
+
+        def met(known, limit, kind, what):
+            if what is None:
+                return
+            if what not in known:
+                if len(known) <= limit:
+                    known[what] = 1
+                    fresh.add((kind, what))
+            elif (kind, what) in fresh:
+                known[what] += 1
+        for t, number, endpoint, agent, bad in zip(times, numbers, endpoints, agents, errors):
+            if n and t - last > idle:
+                n, wrong, seen, used, gaps = 0, 0, {}, {}, []
+            if at != (t, number):
+                at = (t, number)
+                fresh.clear()
+            if n:
+                gaps.append((t - last) / 1_000_000)
+                if len(gaps) > 11:
+                    del gaps[0]
+            else:
+                first = t
+            n, wrong, last = n + 1, wrong + bool(bad), t
+            met(seen, limits["endpoints"], "endpoint", endpoint)
+            met(used, limits["agents"], "agent", agent)
+            even = False
+            if len(gaps) > 10:
+                mean = sum(gaps[-10:]) / 10
+                even = sum((g - mean) ** 2 for g in gaps[-10:]) / 10 < limits["variance"]
+            score = (0.3 * (n / max((last - first) / 3_600_000_000, 0.1) > limits["per_hour"]) + 0.2 * (sum(seen.values()) > limits["endpoints"])
+                     + 0.15 * (sum(used.values()) > limits["agents"]) + 0.25 * (wrong / n > limits["errors"]) + 0.1 * even)
+            scores.append(min(score, 1.0))
+        return [n, wrong, first, last, list(seen.items()), list(used.items()), gaps, at, list(fresh)], scores
+    scan.settle, scan.join = settle, join
+    return scan
+
+
 def anchored_count_scan(width: int):
     """Counter that restarts at 1 once ``width`` passed since its last restart."""
     @settles(lambda state, t: state if t - state[0] < width else None)

@@ -131,7 +131,8 @@ def rule_chain_verdicts(spark, sf):
 @query("running_scores", "req", f"{RUNNING_SQL} SELECT client, event_id, us, round(score, 6) AS score FROM running")
 def running_scores(spark, sf):
     """The batch form of ``stream_abuse_profiles``."""
-    return rounded(abuse.running_scores(views.events(spark, sf), ["client"], CHAIN_LIMITS), "score").select("client", "event_id", "us", "score")
+    log = views.events(spark, sf).select("event_id", "client", "us", "endpoint", "agent", "is_error")
+    return rounded(abuse.running_scores(log, ["client"], CHAIN_LIMITS), "score").select("client", "event_id", "us", "score")
 
 
 def robots_files(spark, sf):

@@ -97,6 +97,22 @@ def test_running_scores_of_one_busy_client(spark):
     assert [round(got[k], 9) for k in range(2600)] == [round(x, 9) for x in want["score"]] and len(set(want["score"])) > 5
 
 
+def test_running_scores_shuffle_the_log_twice(spark):
+    """Two shuffles of the log and one of the few states that pass from chunk to chunk; null clients are one client, requests without time stand alone."""
+    hour, limits = abuse.HOUR, {"per_hour": 0.9, "endpoints": 2, "agents": 2, "errors": 0.3, "variance": 1.0}
+    rows = [(k, k * 20 * hour, None, "abcd"[k // 9 % 4], k // 5 % 4, k % 3 == 0) for k in range(60)] + [(100 + k, k * 30 * hour, "x", "a", 1, None) for k in range(20)]
+    rows += [(200, None, "x", "a", None, True), (201, None, None, None, 1, False)]
+    df = spark.createDataFrame(rows, "event_id long, us long, client string, endpoint string, agent int, is_error boolean")
+    out = abuse.running_scores(df, ["client"], limits)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 3
+    got = {r["event_id"]: r["score"] for r in out.collect()}
+    scan = sequential.profile_scan(limits, 24 * hour)
+    for part in (rows[:60], rows[60:80]):
+        _, want = scan(None, *([r[i] for r in part] for i in (1, 3, 4, 5)))
+        assert [round(got[r[0]], 9) for r in part] == [round(x, 9) for x in want["score"]]
+    assert len({got[k] for k in range(60)}) > 2 and got[200] == 0.55 and got[201] == 0.3
+
+
 def test_chunks_are_cut_at_pauses(spark):
     """A log with pauses takes one round, whatever its length; a stretch without them is handed on chunk by chunk."""
     rows = [(k, "x", 1000 * (k // 3) + k % 3) for k in range(300)] + [(1000 + k, "y", 7 * k) for k in range(900)]
