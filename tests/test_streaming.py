@@ -113,6 +113,83 @@ def test_running_scores_shuffle_the_log_twice(spark):
     assert len({got[k] for k in range(60)}) > 2 and got[200] == 0.55 and got[201] == 0.3
 
 
+class Kept:
+    """Value or map state of one key, in memory."""
+    def __init__(self):
+        self.map, self.value = {}, None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+
+    def getValue(self, key):
+        return self.map[key]
+
+    def removeKey(self, key):
+        del self.map[key]
+
+
+class Handle:
+    def __init__(self):
+        self.timers = set()
+
+    def getMapState(self, *_):
+        return Kept()
+
+    getValueState = getMapState
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.discard(ms)
+
+
+class Clock:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_a_key_with_most_of_the_log_waits_in_pieces(spark, monkeypatch):
+    """Rows of one key in any order are sorted and judged a part at a time; what is not final yet waits on."""
+    for name, value in (("SORTED", 100), ("PIECE", 10), ("TOGETHER", 4)):
+        monkeypatch.setattr(in_order, name, value)
+    pick, sizes, seen = random.Random(5), [], []
+
+    def step(state, rows):
+        sizes.append(len(rows))
+        return (state or 0) + len(rows), rows.assign(before=state or 0)
+    rule = in_order.InOrder(["key"], "us long, event_id long, note string", step, None)
+    rule.init(handle := Handle())
+    rows = [(pick.randint(0, 2_000_000), k, pick.choice(["a", None])) for k in range(3000)] + [(in_order.CLOSING_US, -1, None)]
+    for mark in (-1, 900, 900, 5000):  # no watermark yet, one amid the log, again with rows that come after it, and the end
+        if mark in (-1, 900):
+            new = [r for k, r in enumerate(rows) if k % 2 == (mark > 0) and (mark < 0 or r[0] > 900_000)]
+            frames = [new[a:a + 70] for a in range(0, len(new), 70)] if not (mark > 0 and handle.timers == set()) else []
+            if mark < 0 or not seen:
+                list(rule.handleInputRows(("one",), (sequential.pd.DataFrame(f, columns=["us", "event_id", "note"]) for f in frames), Clock(max(mark, 0))))
+        due = {t for t in handle.timers if t <= mark}
+        assert len(handle.timers) <= 1
+        handle.timers -= due
+        if due:
+            seen += [tuple(r) for f in rule.handleExpiredTimer(("one",), Clock(mark), None) for r in f.itertuples(index=False, name=None)]
+    want = sorted(r for k, r in enumerate(rows[:-1]) if k % 2 == 0 or r[0] > 900_000)
+    assert [r[:3] for r in seen] == [(a, b, c) for a, b, c in want] and [r[3] for r in seen] == ["one"] * len(want)
+    assert max(sizes) < 500 and sum(sizes) == len(want) and not rule.waiting.map and not rule.known.exists()
+    assert rule.rule.get() == (str(len(want)), want[-1][0])
+
+
 def test_chunks_are_cut_at_pauses(spark):
     """A log with pauses takes one round, whatever its length; a stretch without them is handed on chunk by chunk."""
     rows = [(k, "x", 1000 * (k // 3) + k % 3) for k in range(300)] + [(1000 + k, "y", 7 * k) for k in range(900)]
