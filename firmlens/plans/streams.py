@@ -5,7 +5,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from firmlens.operators.durable import shared_folder
+from firmlens.operators.durable import shared_folder, stored
 from firmlens.operators import dimensions as dims
 from firmlens.operators import privacy
 from firmlens.plans import telemetry, views
@@ -84,10 +84,11 @@ def _percentile_sql():
 @query("stream_service_percentiles", "req", _percentile_sql())
 def stream_service_percentiles(spark, sf):
     """Service levels by nearest-rank p95 over the last hour, every five minutes, and the last day, every hour."""
+    cells = monitors.value_histograms(log_stream(spark, sf), ["endpoint"], "ms", "5 minutes", delay="23 hours 10 minutes")
+    cells = stored(monitors.finished_windows(cells, ["endpoint", "cell"], on_disk=True), "histograms")
     out = None
-    for hours, step in ((1, "5 minutes"), (24, "1 hour")):
-        cells = monitors.value_histograms(log_stream(spark, sf), ["endpoint"], "ms", f"{hours} hours", step)
-        level = monitors.levels_of(monitors.finished_windows(cells, ["endpoint", "cell"]), ["endpoint"], 60.0, 120.0).withColumn("hours", F.lit(hours))
+    for hours, minutes in ((1, 5), (24, 60)):
+        level = monitors.levels_of(cells, ["endpoint"], hours * 3600 * monitors.SECOND, minutes * 60 * monitors.SECOND, 60.0, 120.0).withColumn("hours", F.lit(hours))
         out = level if out is None else out.unionByName(level)
     return rounded(rounded(out, "mean", digits=8), "p95", digits=2)
 

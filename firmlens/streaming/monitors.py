@@ -8,6 +8,7 @@ from __future__ import annotations
 import sys
 import uuid
 from collections.abc import Callable
+from contextlib import nullcontext
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from firmlens.operators import abuse, privacy, sequential, telemetry
-from firmlens.operators.durable import shared_folder
+from firmlens.operators.durable import shared_folder, stored
+from firmlens.operators.ordered import join_null_safe
 from firmlens.sources import stored_days
 from firmlens.streaming import in_order
 
@@ -35,17 +37,19 @@ def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def finished_windows(stream: DataFrame, keys: list[str]) -> DataFrame:
+def finished_windows(stream: DataFrame, keys: list[str], on_disk: bool = False) -> DataFrame:
     """Run a windowed stream over all input there is; every window with its last state, closed by the watermark or not.
 
-    Each micro-batch writes the windows it changed under its number, so a replay overwrites.
+    Each micro-batch writes the windows it changed under its number, so a replay overwrites. With ``on_disk`` the state
+    lies in RocksDB, for keys so fine that there are about as many windows as rows.
     """
     spark: SparkSession = stream.sparkSession
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows/batch=-1")
-    done = (stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
-            .foreachBatch(lambda rows, number: rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")).start())
-    done.awaitTermination()
+    with in_order.state_on_disk(spark) if on_disk else nullcontext():
+        done = (stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
+                .foreachBatch(lambda rows, number: rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")).start())
+        done.awaitTermination()
     ids = [*keys, "window_us"]
     values = [c for c in stream.columns if c not in ids]
     rows = spark.read.schema(T.StructType([*stream.schema, T.StructField("batch", T.LongType())])).parquet(f"{folder}/rows")
@@ -85,20 +89,54 @@ def service_levels(stream: DataFrame, keys: list[str], value: str, target: float
     return out.withColumn("status", F.when(F.col("mean") <= target, "meeting").when(F.col("mean") <= alert, "at_risk").otherwise("breach"))
 
 
-def value_histograms(stream: DataFrame, keys: list[str], value: str, length: str, step: str, resolution: float = 0.01, delay: str = "10 minutes") -> DataFrame:
-    """Mergeable histogram of the values of each window: rows of ``n`` and ``total`` per cell of width ``resolution``."""
+def value_histograms(stream: DataFrame, keys: list[str], value: str, step: str, resolution: float = 0.01, delay: str = "10 minutes") -> DataFrame:
+    """Mergeable histogram of the values of each ``step`` of time: rows of ``n`` and ``total`` per cell of width ``resolution``.
+
+    A row is counted once; windows that overlap are put together from these by ``levels_of``.
+    """
     cells = stream.withColumn("cell", F.round(F.col(value) / resolution).cast("long"))
-    return windowed(cells, [*keys, "cell"], length, step, [F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")], delay)
+    return windowed(cells, [*keys, "cell"], step, None, [F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")], delay)
+
 
+BLOCK = 256  # cells that are ranked together at first
 
-def levels_of(histograms: DataFrame, keys: list[str], target: float, alert: float, resolution: float = 0.01, above: bool = False) -> DataFrame:
-    """Samples, mean, nearest-rank p95 and state of each window of ``value_histograms``; p95 decides, or the mean where high values are good."""
+
+def levels_of(histograms: DataFrame, keys: list[str], length_us: int, step_us: int, target: float, alert: float, resolution: float = 0.01,
+              above: bool = False) -> DataFrame:
+    """Samples, mean, nearest-rank p95 and state of windows of ``length_us`` every ``step_us``, whole steps of ``value_histograms``; p95 decides,
+    or the mean where high values are good.
+
+    Windows first add up blocks of cells, which are few, and find the block that holds the rank; only the cells of that block
+    are added up by themselves. Steps that share windows are added up together before they are shuffled.
+    """
+    steps = F.sequence(F.lit(0).cast("long"), F.lit(length_us // step_us - 1).cast("long"))
+    start = F.floor(F.col("window_us") / step_us) * step_us
+    fine = (histograms.withColumns({"step": start, "block": F.floor(F.col("cell") / BLOCK)}).groupBy(*keys, "step", "block", "cell")
+            .agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
+    fine = stored(fine, "cells")
+    group = F.floor(F.col("step") / length_us)
+
+    def in_windows(rows: DataFrame, more: list[str], *aggs: Column) -> DataFrame:
+        near = rows.withColumn("__group", group).repartition(*keys, "__group")
+        each = near.withColumn("window_us", F.explode(F.transform(steps, lambda i: F.col("step") - i * step_us)))
+        return each.groupBy(*keys, "window_us", *more).agg(*aggs)
+
+    blocks = fine.groupBy(*keys, "step", "block").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    blocks = in_windows(blocks, ["block"], F.sum("n").alias("n"), F.sum("total").alias("total"))
     w = Window.partitionBy(*keys, "window_us")
-    upto = w.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)  # a window has as many cells as its values span
-    ranked = histograms.withColumns({"__to": F.sum("n").over(upto), "__all": F.sum("n").over(w)})
-    hit = F.col("__to") > F.floor(F.col("__all") * 0.95)
-    out = ranked.groupBy(*keys, "window_us").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"),
-                                                 (F.min(F.when(hit, F.col("cell"))) * resolution).alias("p95"))
+    upto = w.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)  # a window has as many blocks as its values span
+    ranked = blocks.withColumns({"__to": F.sum("n").over(upto), "__rank": F.floor(F.sum("n").over(w) * 0.95)})
+    hit = (F.col("__to") > F.col("__rank")) & F.col("block").isNotNull()
+    levels = stored(ranked.groupBy(*keys, "window_us").agg(
+        F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"),
+        F.min(F.when(hit, F.struct("block", (F.col("__rank") - F.col("__to") + F.col("n")).alias("rest")))).alias("__hit")), "levels")
+    wanted = levels.filter("__hit is not null").select(*keys, "window_us", F.col("__hit.block").alias("block"), F.col("__hit.rest").alias("__rest"),
+                                                       F.explode(F.transform(steps, lambda i: F.col("window_us") + i * step_us)).alias("step"))
+    cells = join_null_safe(fine.select(*keys, "step", "block", "cell", "n"), wanted, [*keys, "step", "block"], "inner")
+    cells = cells.groupBy(*keys, "window_us", "cell").agg(F.sum("n").alias("n"), F.first("__rest").alias("__rest"))
+    ranked = cells.withColumn("__to", F.sum("n").over(w.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)))
+    found = ranked.filter(F.col("__to") > F.col("__rest")).groupBy(*keys, "window_us").agg((F.min("cell") * resolution).alias("p95"))
+    out = join_null_safe(levels.drop("__hit"), found, [*keys, "window_us"])
     good = (lambda limit: F.col("mean") >= limit) if above else (lambda limit: F.col("p95") <= limit)
     return out.withColumn("status", F.when(good(target), "meeting").when(good(alert), "at_risk").otherwise("breach"))
 

@@ -190,6 +190,30 @@ def test_a_key_with_most_of_the_log_waits_in_pieces(spark, monkeypatch):
     assert rule.rule.get() == (str(len(want)), want[-1][0])
 
 
+def test_histograms_count_a_row_once(spark, tmp_path):
+    """The stream keeps one cell for a row, not one for each window it lies in; the windows are the same."""
+    folder = split_log(spark, tmp_path)
+    cells = monitors.finished_windows(monitors.value_histograms(stream(spark, folder), ["endpoint"], "ms", "1 hour", delay=DELAY), ["endpoint", "cell"], on_disk=True)
+    log = views.events(spark, SF).select("endpoint", "us", "ms").collect()
+    assert cells.agg(F.sum("n")).first()[0] == len(log)
+    extra = spark.createDataFrame([(None, None, h * abuse.HOUR, 1, None) for h in (1, 2, 9)] + [(None, 300, 2 * abuse.HOUR, 40, 120.0), (None, 900, 9 * abuse.HOUR, 1, 9.0)],
+                                  "endpoint string, cell long, window_us long, n long, total double")
+    windows = {}
+    for endpoint, us, cell, n, value in [(r["endpoint"], r["us"], round(r["ms"] / 0.01), 1, r["ms"]) for r in log] + [(r["endpoint"], r["window_us"], r["cell"], r["n"], r["total"]) for r in extra.collect()]:
+        for i in range(6):
+            windows.setdefault((endpoint, us // abuse.HOUR - i), []).append((cell, n, value))
+    got = {(r["endpoint"], r["window_us"] // abuse.HOUR): r for r in monitors.levels_of(cells.unionByName(extra), ["endpoint"], 6 * abuse.HOUR, abuse.HOUR, 60.0, 120.0).collect()}
+    assert got.keys() == windows.keys()
+    for at, parts in windows.items():
+        many = sorted(((c, n) for c, n, _ in parts), key=lambda x: -1 if x[0] is None else x[0])
+        every = [c for c, n in many for _ in range(n)]
+        later = [c for c in every[int(len(every) * 0.95):] if c is not None]
+        assert got[at]["n"] == len(every) and (got[at]["p95"] is None) == (not later)
+        assert not later or abs(got[at]["p95"] - later[0] * 0.01) < 1e-9
+        total = [v for *_, v in parts if v is not None]
+        assert (got[at]["mean"] is None and not total) or abs(got[at]["mean"] - sum(total) / len(every)) < 1e-6
+
+
 def test_chunks_are_cut_at_pauses(spark):
     """A log with pauses takes one round, whatever its length; a stretch without them is handed on chunk by chunk."""
     rows = [(k, "x", 1000 * (k // 3) + k % 3) for k in range(300)] + [(1000 + k, "y", 7 * k) for k in range(900)]
