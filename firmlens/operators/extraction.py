@@ -1,6 +1,8 @@
 """Company facts from page text, as native column expressions."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +53,11 @@ def all_matches(text: Column, pattern: str, group: int = 0, flags: str = "(?i)")
     return F.coalesce(F.regexp_extract_all(text, F.lit(flags + pattern), F.lit(group)), F.array().cast("array<string>"))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with a costly value evaluated once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def first_item(items: Column) -> Column:
     return F.try_element_at(items, F.lit(1))
 
@@ -88,13 +95,16 @@ def with_sector(df: DataFrame, text: str, keywords: str | None = None) -> DataFr
 def people_counts(text: Column) -> tuple[Column, Column]:
     """Head count and range; a later phrasing overrides an earlier one."""
     low = F.lower(text)
-    found = all_matches(low, PEOPLE_COUNTS[0], 1, "")
     ranged = lambda m: m.rlike("[-–]")
-    plain = first_item(F.filter(found, lambda m: ~ranged(m)))
-    stop = F.array_position(F.transform(found, ranged), F.lit(False)).cast("int")
-    before = F.when(stop > 0, F.slice(found, F.lit(1), F.greatest(stop - 1, F.lit(0)))).otherwise(found)
-    last_range = F.try_element_at(F.filter(before, ranged), F.lit(-1))
-    first = F.coalesce(plain.try_cast("long"), F.regexp_extract(last_range, r"^(\d+)", 1).try_cast("long"))
+
+    def sizes(found: Column) -> Column:
+        plain = first_item(F.filter(found, lambda m: ~ranged(m)))
+        stop = F.array_position(F.transform(found, ranged), F.lit(False)).cast("int")
+        before = F.when(stop > 0, F.slice(found, F.lit(1), F.greatest(stop - 1, F.lit(0)))).otherwise(found)
+        return F.struct(plain.alias("plain"), F.try_element_at(F.filter(before, ranged), F.lit(-1)).alias("range"))
+    both = once(all_matches(low, PEOPLE_COUNTS[0], 1, ""), sizes)
+    last_range = both["range"]
+    first = once(both, lambda s: F.coalesce(s["plain"].try_cast("long"), F.regexp_extract(s["range"], r"^(\d+)", 1).try_cast("long")))
     later = [first_item(all_matches(low, p, 1, "")).try_cast("long") for p in PEOPLE_COUNTS[1:]]
     return F.coalesce(*reversed(later), first), last_range
 
@@ -140,11 +150,13 @@ def address_parts(text: Column) -> dict[str, Column]:
 
 def places(sections: Column, text: Column) -> tuple[Column, Column]:
     """Headquarters and other locations: addresses in contact and frame sections, else a place named in the text."""
-    each = F.flatten(F.transform(sections, lambda s: F.concat(*[all_matches(s, p) for p in ADDRESSES])))
+    # the selectors of a page often pick the same section: each text is searched once
+    searched = F.transform(F.array_distinct(sections), lambda s: F.struct(s.alias("text"), F.concat(*[all_matches(s, p) for p in ADDRESSES]).alias("found")))
+    each = once(searched, lambda d: F.flatten(F.transform(sections, lambda s: F.element_at(F.filter(d, lambda x: x["text"].eqNullSafe(s)), 1)["found"])))
     found = F.filter(F.transform(each, stripped), lambda a: F.length(a) > 10)
     named = F.coalesce(*[first_item(F.filter(F.transform(all_matches(text, p, 1), stripped), lambda a: (F.length(a) > 5) & (F.length(a) < 100))) for p in PLACES])
-    rest = F.array_distinct(F.slice(found, F.lit(2), F.greatest(F.size(found) - 1, F.lit(0))))
-    return F.coalesce(first_item(found), named), rest
+    both = once(found, lambda f: F.struct(first_item(f).alias("first"), F.array_distinct(F.slice(f, F.lit(2), F.greatest(F.size(f) - 1, F.lit(0)))).alias("rest")))
+    return F.coalesce(both["first"], named), both["rest"]
 
 
 def contact(df: DataFrame, text: str) -> DataFrame:
@@ -176,9 +188,8 @@ def financial_mentions(text: Column) -> tuple[Column, Column]:
 
 def executives(text: Column, most: int = 5) -> Column:
     """Names with their titles among the first ``most`` mentions."""
-    names, titles = all_matches(text, LEADERS, 1, "(?iU)"), all_matches(text, LEADERS, 2, "(?iU)")
-    pairs = F.transform(F.slice(F.arrays_zip(names.alias("name"), titles.alias("title")), 1, most),
-                        lambda p: F.struct(stripped(p["name"]).alias("name"), F.upper(p["title"]).alias("title")))
+    found = F.when(text.rlike("(?iU)" + LEADERS[LEADERS.rindex("("):]), F.slice(all_matches(text, LEADERS, 0, "(?iU)"), 1, most)).otherwise(F.array().cast("array<string>"))
+    pairs = F.transform(found, lambda m: F.struct(stripped(F.regexp_extract(m, "(?iU)" + LEADERS, 1)).alias("name"), F.upper(F.regexp_extract(m, "(?iU)" + LEADERS, 2)).alias("title")))
     return F.filter(pairs, lambda p: (F.length(p["name"]) > 2) & (F.length(p["name"]) < 50))
 
 

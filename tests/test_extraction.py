@@ -109,3 +109,18 @@ def test_request_rules(spark):
     df = spark.createDataFrame(rows, "id string, company_name string, domain string, country string, language string, max_pages_to_crawl int, timeout_seconds int")
     got = {r["id"]: r["is_valid"] for r in validation.check_company_requests_strictly(df).collect()}
     assert got == {"ok": True, "name": False, "country": False, "language": False, "pages": False, "domain": False}
+
+
+def test_a_section_picked_by_many_selectors_is_read_once(monkeypatch):
+    """Selectors only look at tags that can match, and the text of a tag is put together once; what they find is the same."""
+    html = ('<body><div class="company-info x" id="about">A <b>b</b></div><main><p id="x">m</p></main><header class="header">h</header><p class="contact-us">c</p>'
+            '<footer class="contact" id="footer"><p>mail</p></footer><section><i data-k="v">d</i><i data-k="">e</i></section></body>')
+    extra = ['[data-k="v"]', "[data-k]", "section i", '[data-k=""]', "main .x", "main #x"]
+    tags, calls = html_tables.read_html(html).tags(), []
+    text = html_tables.Tag.text
+    monkeypatch.setattr(html_tables.Tag, "text", lambda t: (calls.append(t.name), text(t))[1])
+    got = dict(zip(html_tables.PARTS, html_tables.page_parts(html, [*html_tables.ABOUT, *extra], html_tables.CONTACT)))
+    assert calls.count("footer") == 1 and calls.count("header") == 1
+    find = lambda selectors: [t for s in selectors for t in html_tables.selected(tags, s)]
+    assert got["about"] == [t.tight_text() for t in find([*html_tables.ABOUT, *extra])] and "d" in got["about"] and "m" in got["about"]
+    assert got["sections"] == [text(t) for t in find([*html_tables.CONTACT, *html_tables.FRAME])]
